@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .hyperminhash import near_duplicates
+from .perplexity import MEASURES, quality
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -15,5 +16,9 @@ def op1_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), k=3, percent=85)
 
 
-QUERIES = {"op1_hyperminhash": op1_hyperminhash}
+def op6_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_read(spark, sf_dir, "documents")).select("doc_id", *MEASURES, "base_failed", "kept", "lang", "entropy", "low", "high")
+
+
+QUERIES = {"op1_hyperminhash": op1_hyperminhash, "op6_perplexity": op6_perplexity}
 ORACLES: dict[str, str] = {}
