@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .hyperminhash import near_duplicates
+from .pii import pii_digest
 from .perplexity import MEASURES, quality
 
 
@@ -20,5 +21,9 @@ def op6_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_read(spark, sf_dir, "documents")).select("doc_id", *MEASURES, "base_failed", "kept", "lang", "entropy", "low", "high")
 
 
-QUERIES = {"op1_hyperminhash": op1_hyperminhash, "op6_perplexity": op6_perplexity}
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op2_pii": op2_pii, "op1_hyperminhash": op1_hyperminhash, "op6_perplexity": op6_perplexity}
 ORACLES: dict[str, str] = {}
