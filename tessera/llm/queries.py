@@ -8,6 +8,8 @@ from .hyperminhash import near_duplicates
 from .pii import pii_digest
 from .perplexity import MEASURES, quality
 
+from .urlfilter import judge
+
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -25,5 +27,25 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_pii": op2_pii, "op1_hyperminhash": op1_hyperminhash, "op6_perplexity": op6_perplexity}
-ORACLES: dict[str, str] = {}
+def op7_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(_read(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op7_bloom_cascade": op7_bloom_cascade, "op2_pii": op2_pii, "op1_hyperminhash": op1_hyperminhash, "op6_perplexity": op6_perplexity}
+ORACLES: dict[str, str] = {
+    "op7_bloom_cascade": r"""
+WITH parts AS (
+  SELECT page_id,
+    coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+ruled AS (
+  SELECT *, CASE
+    WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule
+  FROM parts)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM ruled
+""",
+}
