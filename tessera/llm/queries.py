@@ -5,12 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .hyperminhash import near_duplicates
+from .packing import pack
 from .pii import pii_digest
 from .perplexity import MEASURES, quality
 
 from .urlfilter import judge
 
 
+def vocabulary(name: str) -> str:
+    """Where the box keeps a public vocabulary file; the operators take the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -31,7 +39,11 @@ def op7_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_read(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op7_bloom_cascade": op7_bloom_cascade, "op2_pii": op2_pii, "op1_hyperminhash": op1_hyperminhash, "op6_perplexity": op6_perplexity}
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=1)
+
+
+QUERIES = {"op8_packing": op8_packing, "op7_bloom_cascade": op7_bloom_cascade, "op2_pii": op2_pii, "op1_hyperminhash": op1_hyperminhash, "op6_perplexity": op6_perplexity}
 ORACLES: dict[str, str] = {
     "op7_bloom_cascade": r"""
 WITH parts AS (
