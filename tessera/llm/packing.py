@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stages, utf8
+from .common import Stages, chunks, utf8
 from .encode import encoder
 
 WINDOW, GROUP_PIECES = 2048, 1 << 16
@@ -77,17 +77,19 @@ def _cut(path: str, end_id: int, window: int, with_ids: bool):
         enc = encoder(path)
         for batch in batches:
             names = batch.column(0).to_pylist()
-            ids, at = enc.encode(*utf8(batch.column(1)))
-            rows: list[tuple] = []
-            for name, a, b in zip(names, at[:-1].tolist(), at[1:].tolist(), strict=True):
-                own = np.append(ids[a:b], np.uint32(end_id)).astype("<u4")
-                for s in range(0, len(own), window):
-                    raw = own[s : s + window].tobytes()
-                    rows.append((name, s, len(raw) // 4, zlib.crc32(raw), len(own), raw if with_ids else None))
-            cols = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = [pa.int64()] * 5 + [pa.binary()]
-            arrays = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)][: 6 if with_ids else 5]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: len(arrays)])
+            data, off = utf8(batch.column(1))
+            for i, j in chunks(off, 4 << 20):
+                ids, at = enc.encode(data[off[i] : off[j]], off[i : j + 1] - off[i])
+                rows: list[tuple] = []
+                for name, a, b in zip(names[i:j], at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    own = np.append(ids[a:b], np.uint32(end_id)).astype("<u4")
+                    for s in range(0, len(own), window):
+                        raw = own[s : s + window].tobytes()
+                        rows.append((name, s, len(raw) // 4, zlib.crc32(raw), len(own), raw if with_ids else None))
+                cols = list(zip(*rows, strict=True))
+                kinds = [pa.int64()] * 5 + [pa.binary()]
+                arrays = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)][: 6 if with_ids else 5]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: len(arrays)])
 
     return run
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .hyperminhash import near_duplicates
+from .idfiles import through_files
 from .packing import pack
 from .pii import pii_digest
 from .perplexity import MEASURES, quality
@@ -43,7 +44,11 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=1)
 
 
-QUERIES = {"op8_packing": op8_packing, "op7_bloom_cascade": op7_bloom_cascade, "op2_pii": op2_pii, "op1_hyperminhash": op1_hyperminhash, "op6_perplexity": op6_perplexity}
+def op5_pfor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return through_files(_read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0)
+
+
+QUERIES = {"op5_pfor": op5_pfor, "op8_packing": op8_packing, "op7_bloom_cascade": op7_bloom_cascade, "op2_pii": op2_pii, "op1_hyperminhash": op1_hyperminhash, "op6_perplexity": op6_perplexity}
 ORACLES: dict[str, str] = {
     "op7_bloom_cascade": r"""
 WITH parts AS (
