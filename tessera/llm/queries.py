@@ -11,6 +11,7 @@ from .pii import pii_digest
 from .perplexity import MEASURES, quality
 
 from .urlfilter import judge
+from .wordbpe import encode_texts
 
 
 def vocabulary(name: str) -> str:
@@ -48,7 +49,11 @@ def op5_pfor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return through_files(_read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0)
 
 
-QUERIES = {"op5_pfor": op5_pfor, "op8_packing": op8_packing, "op7_bloom_cascade": op7_bloom_cascade, "op2_pii": op2_pii, "op1_hyperminhash": op1_hyperminhash, "op6_perplexity": op6_perplexity}
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_texts(_read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), digest=True)
+
+
+QUERIES = {"op4_bpe": op4_bpe, "op5_pfor": op5_pfor, "op8_packing": op8_packing, "op7_bloom_cascade": op7_bloom_cascade, "op2_pii": op2_pii, "op1_hyperminhash": op1_hyperminhash, "op6_perplexity": op6_perplexity}
 ORACLES: dict[str, str] = {
     "op7_bloom_cascade": r"""
 WITH parts AS (
