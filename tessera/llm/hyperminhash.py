@@ -7,11 +7,12 @@ well as large ones. Bands of 5 registers propose links, the share of equal regis
 drops proposals far below the threshold, and the rest is confirmed on the full sets of 64-bit shingle hashes.
 
 Scale: equal sets are first merged into one node (partial aggregation, so a hot group of copies never meets in a
-task). In a band bucket members are compared with hubs only, never all with all: the smallest member is a hub,
-then the members not yet in the same component are compared with the next hubs, twice as many in each round, until
-every bucket lies in one component or all its members have been hubs. So no link between different components is lost.
-Components come from alternating large-star and small-star steps. Everything between rounds is a table in the shared
-folder; the driver sees counts only.
+task). In a band bucket the members are compared with one hub: the node that shares most buckets, which in a family of
+copies is the text they come from. That finds nearly every component. What remains are buckets whose other members still lie in several
+components; there every two members of different components are compared, each pair in the first bucket they share only. A
+large bucket is cut into blocks of BLOCK members, and a task compares two blocks: it holds their sets, and emits the links it confirms, not
+the pairs. So no link is lost, and no task grows with a bucket. Components come from alternating large-star and small-star steps. Every
+step's result is a table in the shared folder; the driver sees counts only.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Stages, chunks, utf8
@@ -31,8 +32,12 @@ from .shingles import U, mix, shingle_sets
 BUCKETS, ROWS_PER_BAND = 128, 5
 BANDS = BUCKETS // ROWS_PER_BAND
 MANTISSA = 10
+#: Standard errors by which an estimate may fall short.
+ERRORS = 4.5
 #: Up to so many ids of 8 bytes are broadcast; more are shuffled.
 BROADCAST_IDS = 4_000_000
+#: Members of a bucket that a task holds at once, twice.
+BLOCK = 2048
 _BELOW = 57  # bits of a hash below the 7 that choose the bucket
 _PROBES = np.stack([np.random.default_rng(b + 1).permutation(BUCKETS) for b in range(BUCKETS)])
 _EDGES = np.arange(BUCKETS, dtype=U) << U(_BELOW)
@@ -77,11 +82,11 @@ def estimate(a: np.ndarray, b: np.ndarray, n: int, m: int) -> float:
 
 
 def worth(est: float, n: int, m: int, t: float) -> bool:
-    """False where the estimate is over five standard errors below t, or the sizes alone rule t out."""
+    """False where the estimate is over ERRORS standard errors below t, or the sizes alone rule t out."""
     if min(n, m) < t * max(n, m) - 1e-9:
         return False
     seen = BUCKETS * (1 - (1 - 1 / BUCKETS) ** min(n, m))
-    return est >= t - 5 * math.sqrt(t * (1 - t) / max(1.0, seen)) - 0.02
+    return est >= t - ERRORS * math.sqrt(t * (1 - t) / max(1.0, seen))
 
 
 def _scan(k: int, full: bool):
@@ -102,22 +107,21 @@ def _scan(k: int, full: bool):
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """node, sketch -> node and its band keys, of 64 bits; the band's number is part of the key."""
+    """node, sketch -> node, its band keys of 64 bits (the band's number goes into the key) and the band."""
     mul = np.random.default_rng(7).integers(1 << 32, 1 << 63, (BANDS, ROWS_PER_BAND)).astype(U) * U(2) + U(1)
     for batch in batches:
         if batch.num_rows:
             reg = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, BUCKETS)[:, : BANDS * ROWS_PER_BAND].reshape(-1, BANDS, ROWS_PER_BAND)
             key = mix(mix((reg.astype(U) * mul).sum(2, dtype=U)) + np.arange(BANDS, dtype=U) * U(0x9E3779B97F4A7C15)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.DictionaryArray.from_arrays(pa.array(np.repeat(np.arange(len(key), dtype=np.int32), BANDS)), batch.column(0)).dictionary_decode(), pa.array(key.ravel())], ["node", "key"])
+            yield pa.RecordBatch.from_arrays([pa.DictionaryArray.from_arrays(pa.array(np.repeat(np.arange(len(key), dtype=np.int32), BANDS)), batch.column(0)).dictionary_decode(), pa.array(key.ravel()), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(key)))], ["node", "key", "band"])
 
 
 def _likely(t: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, n, m, x, y = (c.to_pylist() for c in batch.columns)
+            n, m, x, y = (c.to_pylist() for c in batch.columns[4:])
             keep = [worth(estimate(np.frombuffer(p, np.uint16), np.frombuffer(q, np.uint16), v, w), v, w, t) for v, w, p, q in zip(n, m, x, y, strict=True)]
-            out = batch.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([out.column(0), out.column(1)], ["a", "b"])
+            yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1, 2, 3])
 
     return run
 
@@ -125,7 +129,7 @@ def _likely(t: float):
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, x, y = (c.to_pylist() for c in batch.columns)
+            x, y = (c.to_pylist() for c in batch.columns[2:])
             keep = []
             for p, q in zip(x, y, strict=True):
                 v, w = np.frombuffer(p, U), np.frombuffer(q, U)
@@ -134,13 +138,74 @@ def _confirm(percent: int):
                 at = np.minimum(np.searchsorted(w, v), len(w) - 1)
                 both = int((w[at] == v).sum())
                 keep.append(100 * both >= percent * (len(v) + len(w) - both))
-            yield pa.RecordBatch.from_arrays([pa.array([u for u, ok in zip(a, keep, strict=True) if ok], pa.binary()), pa.array([u for u, ok in zip(b, keep, strict=True) if ok], pa.binary())], ["a", "b"])
+            yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1]).rename_columns(["a", "b"])
+
+    return run
+
+
+def _within(percent: int):
+    """key, band, lo, hi, block, comp, n, sketch, set, sorted by bucket and cell -> the confirmed links between components of each cell."""
+    t = percent / 100
+
+    def cell(rows: list[tuple]) -> set[tuple[bytes, bytes]]:
+        _, band, lo, hi = rows[0][:4]
+        comps, number = [r[5] for r in rows], {}
+        comp = np.array([number.setdefault(c, len(number)) for c in comps])
+        n = np.array([r[6] for r in rows], np.int64)
+        reg = np.frombuffer(b"".join(r[7] for r in rows), np.uint16).reshape(-1, BUCKETS)
+        block = np.array([r[4] for r in rows])
+        left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+        may = comp[left][:, None] != comp[right][None, :]
+        small, large = np.minimum(n[left][:, None], n[right]), np.maximum(n[left][:, None], n[right])
+        i, j = np.nonzero(may & (100 * small >= percent * large))
+        i, j = left[i], right[j]
+        if lo == hi:
+            i, j = i[i < j], j[i < j]
+        bands = reg[:, : BANDS * ROWS_PER_BAND].reshape(-1, BANDS, ROWS_PER_BAND)
+        found, joined = set(), {}
+        for a in range(0, len(i), 1 << 14):
+            x, y = i[a : a + (1 << 14)], j[a : a + (1 << 14)]
+            earlier = (bands[x, :band] == bands[y, :band]).all(2).any(1)  # those pairs belong to that bucket
+            x, y = x[~earlier], y[~earlier]
+            same = (reg[x] == reg[y]).mean(1)
+            for u, v, e in zip(x.tolist(), y.tolist(), same.tolist(), strict=True):
+                c = chance(n[u], n[v])
+                if worth((e - c) / (1 - c), n[u], n[v], t):
+                    joined.setdefault(u, []).append(v)
+        sets = {}
+        get = lambda u: sets[u] if u in sets else sets.setdefault(u, np.frombuffer(rows[u][8], U))
+        for u, vs in joined.items():
+            own, others = get(u), [get(v) for v in vs]
+            flat = np.concatenate(others)
+            hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+            both = np.add.reduceat(hit, np.concatenate(([0], np.cumsum([len(o) for o in others])[:-1])), dtype=np.int64)
+            found |= {(comps[u], comps[v]) for v, k, o in zip(vs, both.tolist(), others, strict=True) if 100 * k >= percent * (len(own) + len(o) - k)}
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(links: set) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+        held: list[tuple] = []
+        links: set = set()
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and row[:4] != held[0][:4]:
+                    links |= cell(held)
+                    held = []
+                held.append(row)
+            if len(links) > 10_000:
+                yield out(links)
+                links = set()
+        if held:
+            links |= cell(held)
+        yield out(links)
 
     return run
 
 
 def components(edges: DataFrame, stages: Stages) -> DataFrame:
-    """edges(a, b) -> (node, root): root is the smallest node reachable. Alternates large-star and small-star until edges stand still."""
+    """edges(a, b) -> (node, root): root is the smallest node reachable. Alternates large-star and small-star until the edges are stars around roots."""
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.union(e.select("b", "a")) if large else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
@@ -151,18 +216,16 @@ def components(edges: DataFrame, stages: Stages) -> DataFrame:
             hooked = hooked.union(low.select("a", F.col("low").alias("b")))
         return hooked.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
-    def mark(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    def settled(e: DataFrame) -> bool:
+        """Every node has one edge, to a node that has none."""
+        marks = e.select("a", F.lit(1).alias("out"), F.lit(0).alias("in")).union(e.select("b", F.lit(0), F.lit(1)))
+        return marks.groupBy("a").agg(F.sum("out").alias("o"), F.max("in").alias("i")).where("o > 1 or (o > 0 and i > 0)").isEmpty()
 
     e = stages.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    was = mark(e)
-    while was[0]:
+    while not settled(e):
         nxt = stages.keep(star(star(e, True), False), "edges")
         stages.drop(e)
-        e, now = nxt, mark(nxt)
-        if now == was:
-            break
-        was = now
+        e = nxt
     return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
@@ -173,6 +236,17 @@ def _labelled(df: DataFrame, roots: DataFrame | None) -> DataFrame:
     return df.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
 
 
+def _merge(roots: DataFrame | None, links: DataFrame, stages: Stages) -> DataFrame | None:
+    """roots after links (a, b) between components; both map nodes other than roots to their roots."""
+    if links.isEmpty():
+        return roots
+    new = components(links, stages)
+    if roots is None:
+        return new
+    moved = roots.join(new.toDF("root", "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return stages.keep(moved.union(new), "roots")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs.
 
@@ -189,9 +263,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     nodes = stages.keep(nodes, "nodes")
 
-    bands = nodes.select("node", "sketch").mapInArrow(_bands, "node binary, key long")
-    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    members = stages.keep(bands.join(shared, "key").select("key", "node"), "members")
+    bands = nodes.select("node", "sketch").mapInArrow(_bands, "node binary, key long, band int")
+    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    members = stages.keep(bands.join(shared, "key").select("key", "band", "node", "c"), "members")
     wanted = stages.keep(members.select("node").distinct().join(nodes, "node").select("node", "rep"), "wanted")
     ids = wanted.select(F.col("rep").alias("doc_id")).distinct()
     ids = F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids
@@ -201,37 +275,39 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
     twice = rows.where("node is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count_distinct("node").alias("c")).where("c > 1")
     again = rows.where("node is not null").join(twice.select("doc_id", "a"), "doc_id").select("a", F.col("node").alias("b"))
-    links = stages.keep(again.where("a <> b").distinct(), "links")
-    roots = components(links, stages) if links.count() else None
+    roots = _merge(None, stages.keep(again.where("a <> b").distinct(), "links"), stages)
 
     info = nodes.select("node", "n", "sketch")
-    hubs_now = 1
-    while True:
-        m = _labelled(members, roots)
-        open_keys = m.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        left = stages.keep(m.join(open_keys, "key").select("key", "node", "comp"), "open")
-        stages.drop(members)
-        if left.isEmpty():
-            break
-        w = Window.partitionBy("key").orderBy("node")
-        hubs = left.withColumn("r", F.row_number().over(w)).where(F.col("r") <= hubs_now).groupBy("key").agg(F.collect_list(F.struct("node", "comp")).alias("hubs"), F.max("node").alias("last"))
-        hubs = stages.keep(hubs, "hubs")
-        both = left.join(hubs, "key")
-        pairs = both.select("node", "comp", F.explode(F.filter("hubs", lambda h: (h["node"] < F.col("node")) & (h["comp"] != F.col("comp")))).alias("h"))
-        pairs = stages.keep(pairs.select(F.col("h.node").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """(a, b, ca, cb), nodes and their components -> (a, b), the components that a link joins."""
         likely = pairs.join(info.toDF("a", "n", "x"), "a").join(info.toDF("b", "m", "y"), "b").where(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
-        likely = stages.keep(likely.select("a", "b", "n", "m", "x", "y").mapInArrow(_likely(t), "a binary, b binary"), "likely")
-        found = likely.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a binary, b binary")
-        more = stages.keep(links.union(found).distinct(), "links")
-        stages.drop(pairs)
-        stages.drop(likely)
-        stages.drop(links)
-        links = more
-        roots = components(links, stages)
-        members = stages.keep(left.join(hubs.select("key", "last"), "key").where("node > last").select("key", "node"), "members")
-        stages.drop(left)
-        stages.drop(hubs)
-        hubs_now *= 2
+        likely = likely.select("ca", "cb", "a", "b", "n", "m", "x", "y").mapInArrow(_likely(t), "ca binary, cb binary, a binary, b binary")
+        both = likely.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+        return both.select("ca", "cb", "x", "y").mapInArrow(_confirm(percent), "a binary, b binary").distinct()
+
+    degree = members.groupBy("node").agg(F.sum("c").alias("degree"))
+    hubs = members.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", "node"))["node"].alias("hub"))
+    members = stages.keep(members.join(hubs, "key").where("node <> hub").select("key", "band", "node", "hub"), "members")
+    pairs = members.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = _labelled(pairs.withColumnRenamed("a", "node"), roots).toDF("a", "b", "ca")
+    pairs = _labelled(pairs.withColumnRenamed("b", "node"), roots).select("a", F.col("node").alias("b"), "ca", F.col("comp").alias("cb"))
+    roots = _merge(roots, stages.keep(confirmed(pairs), "links"), stages)
+
+    m = _labelled(members.select("key", "band", "node"), roots)
+    open_keys = m.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("lo <> hi").select("key", "blocks")
+    left = stages.keep(m.join(open_keys, "key"), "open")
+    if not left.isEmpty():
+        block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+        cells = left.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        cells = cells.select("key", "band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "comp", "node")
+        full = info.join(sets, "node")
+        cells = cells.join(full, "node").select("key", "band", "lo", "hi", "block", "comp", "n", "sketch", "set")
+        cells = cells.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+        links = cells.mapInArrow(_within(percent), "a binary, b binary").distinct()
+        roots = _merge(roots, stages.keep(links, "links"), stages)
+    stages.drop(members)
+    stages.drop(left)
     stages.drop(sets)
 
     final = _labelled(nodes.select("node", "rep"), roots)
