@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .chat import TurnTemplate, format_conversations, read_back
 from .hyperminhash import near_duplicates
 from .idfiles import through_files
+from .lengths import token_counts
 from .packing import pack
+from .permutation import nearest
 from .pii import pii_digest
 from .perplexity import MEASURES, quality
 
@@ -53,8 +57,43 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(_read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), digest=True)
 
 
-QUERIES = {"op4_bpe": op4_bpe, "op5_pfor": op5_pfor, "op8_packing": op8_packing, "op7_bloom_cascade": op7_bloom_cascade, "op2_pii": op2_pii, "op1_hyperminhash": op1_hyperminhash, "op6_perplexity": op6_perplexity}
+#: A conversation besides those of the table, whose texts hold the template's own marks.
+MARKED = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
+
+
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = turns.union(spark.createDataFrame(MARKED, "conv_id long, turn long, role string, text string"))
+    template = TurnTemplate()
+    return read_back(format_conversations(turns, template), template)
+
+
+def op9_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op10_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
+
+
+QUERIES = {f.__name__: f for f in (op1_hyperminhash, op2_pii, op3_chat, op4_bpe, op5_pfor, op6_perplexity, op7_bloom_cascade, op8_packing, op9_lengths, op10_permutation)}
 ORACLES: dict[str, str] = {
+    "op3_chat": r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+marked AS (
+  SELECT *, role || chr(10) || text || chr(10) AS line,
+    15 + length(role) + length(text) + length(text) - length(replace(text, '\', ''))
+    + (length(text) - length(replace(text, '###', ''))) // 3 + (length(text) - length(replace(text, '</turn>', ''))) // 7 AS chars
+  FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(line, '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM marked GROUP BY conv_id
+""".replace("\\\\", "\\"),
     "op7_bloom_cascade": r"""
 WITH parts AS (
   SELECT page_id,
