@@ -114,7 +114,7 @@ def diverse_pages(candidates: DataFrame, site: str, most: int) -> DataFrame:
     by_kind = Window.partitionBy(site, "kind", "family").orderBy(F.col("score").desc(), "url")
     # Within a kind and family picks follow rank, so its later rows are out of reach of the prefix.
     bounded = pool.withColumn("_k", F.row_number().over(by_kind)).withColumn("_r", F.row_number().over(Window.partitionBy(site).orderBy(F.col("score").desc(), "url"))).where((F.col("_k") <= DIVERSE_PREFIX) | (F.col("_r") <= most + DIVERSE_PREFIX)).drop("_k", "_r")
-    return bounded.groupBy(site).applyInArrow(_diverse(most), bounded.schema.add("ord", "int"))
+    return bounded.groupBy(site).applyInArrow(_diverse(most), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in bounded.schema) + ", ord int")
 
 
 def median_sample(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:

@@ -39,7 +39,7 @@ def dtcg(tokens: DataFrame, on: list[str]) -> DataFrame:
     types = F.create_map(*(F.lit(x) for kv in DTCG_TYPES.items() for x in kv))
     leaf = F.struct(F.coalesce(F.element_at(types, F.col("group")), F.lit("string")).alias("$type"), F.col("value").alias("$value"))
     groups = tokens.groupBy(*on, "group").agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.struct(F.col("ord").cast("string").alias("k"), leaf.alias("v")).alias("e")))), lambda x: x["e"])).alias("leaves"))
-    return groups.groupBy(*on).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("group", "leaves"))))).alias("text"))
+    return groups.groupBy(*on).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("group", "leaves")), lambda a, b: F.when(a["group"] < b["group"], -1).when(a["group"] > b["group"], 1).otherwise(0)))).alias("text"))
 
 
 def markdown(tokens: DataFrame, on: list[str]) -> DataFrame:
