@@ -20,6 +20,18 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: Rows that Spark sends to Python at a time, at most; texts vary much in length, so few rows bound the memory of a batch.
+BATCH_ROWS = 2000
+#: Bytes of text that the operators work on at a time; a longer text is a piece of work of its own.
+CHUNK_BYTES = 1 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
 
@@ -29,6 +41,7 @@ class Stages:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        small_batches(spark)
         self._paths: dict[int, str] = {}
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:

@@ -8,8 +8,8 @@ from __future__ import annotations
 
 import numpy as np
 
-from .common import chunks
-from .scan import CHUNK_BYTES, Memo, code_points, quiet, ragged, split_byte_level, token_hashes
+from .common import CHUNK_BYTES, chunks
+from .scan import Memo, code_points, quiet, ragged, split_byte_level, token_hashes
 
 _encoders: dict[str, Encoder] = {}
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stages, chunks, utf8
+from .common import CHUNK_BYTES, Stages, chunks, utf8
 from .shingles import U, mix, shingle_sets
 
 BUCKETS, ROWS_PER_BAND = 128, 5
@@ -96,7 +96,7 @@ def _scan(k: int, full: bool):
         for batch in batches:
             ids = batch.column(0)
             data, off = utf8(batch.column(1))
-            for i, j in chunks(off, 2 << 20):
+            for i, j in chunks(off, CHUNK_BYTES):
                 sets = shingle_sets(data[off[i] : off[j]], off[i : j + 1] - off[i], k)
                 node = [hashlib.blake2b(x, digest_size=16).digest() if len(x) else None for x in sets]
                 n = pa.array([len(x) for x in sets], pa.int64())

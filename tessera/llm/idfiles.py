@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, new_path, utf8
+from .common import CHUNK_BYTES, chunks, new_path, small_batches, utf8
 from .encode import encoder
 
 MAGIC = b"TSPFOR1\n"
@@ -170,7 +170,7 @@ def _write(path: str, end_id: int, folder: str):
             writer = Writer(file)
             for batch in batches:
                 data, off = utf8(batch.column(1))
-                for i, j in chunks(off, 4 << 20):
+                for i, j in chunks(off, CHUNK_BYTES):
                     ids, at = enc.encode(data[off[i] : off[j]], off[i : j + 1] - off[i])
                     out = np.full(len(ids) + j - i, end_id, np.uint32)
                     out[np.arange(len(ids)) + np.repeat(np.arange(j - i), np.diff(at))] = ids
@@ -191,6 +191,7 @@ def write_ids(docs: DataFrame, path: str, end_id: int, folder: str, id_col: str
     Returns (file, ids in the files before, ids) for each file. path: a tokenizers vocabulary file. A null text is empty; repeated rows are written
     again; other columns are ignored; an empty table writes no file.
     """
+    small_batches(docs.sparkSession)
     store, where = fs.FileSystem.from_uri(folder)
     store.create_dir(where, recursive=True)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

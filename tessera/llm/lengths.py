@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Stages, chunks, utf8
+from .common import CHUNK_BYTES, Stages, chunks, small_batches, utf8
 from .encode import encoder
 
 LENGTHS_PER_BLOCK = 4096
@@ -26,7 +26,7 @@ def _count(path: str, extra: int):
         enc, seen = encoder(path), Counter()
         for batch in batches:
             data, off = utf8(batch.column(0))
-            for i, j in chunks(off, 4 << 20):
+            for i, j in chunks(off, CHUNK_BYTES):
                 _, at = enc.encode(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 n, c = np.unique(np.diff(at) + extra, return_counts=True)
                 seen.update(dict(zip(n.tolist(), c.tolist(), strict=True)))
@@ -37,6 +37,7 @@ def _count(path: str, extra: int):
 
 def length_histogram(docs: DataFrame, path: str, end_tokens: int = 0, text_col: str = "text") -> DataFrame:
     """n_tokens, n_docs: how many rows of docs have each encoded length. A null text is empty; other columns are ignored; no rows, no result."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
     return texts.mapInArrow(_count(path, end_tokens), "n_tokens long, n_docs long").groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
 

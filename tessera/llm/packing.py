@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stages, chunks, utf8
+from .common import CHUNK_BYTES, Stages, chunks, utf8
 from .encode import encoder
 
 WINDOW, GROUP_PIECES = 2048, 1 << 16
@@ -78,7 +78,7 @@ def _cut(path: str, end_id: int, window: int, with_ids: bool):
         for batch in batches:
             names = batch.column(0).to_pylist()
             data, off = utf8(batch.column(1))
-            for i, j in chunks(off, 4 << 20):
+            for i, j in chunks(off, CHUNK_BYTES):
                 ids, at = enc.encode(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 rows: list[tuple] = []
                 for name, a, b in zip(names[i:j], at[:-1].tolist(), at[1:].tolist(), strict=True):

@@ -13,13 +13,10 @@ from itertools import chain
 
 import numpy as np
 
-from .shingles import U, mix, powers
+from .shingles import BASE, INVERSE, U, mix, powers
 
 LETTER, NUMBER, SPACE, OTHER = range(4)
 MEMO_ENTRIES = 3_000_000
-CHUNK_BYTES = 2 << 20
-_BASE = 0xD1342543DE82EF95
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _tables: list[np.ndarray] = []
 
 
@@ -159,8 +156,8 @@ def token_hashes(cps: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     class_table()
     total = np.empty(len(cps) + 1, U)
     total[0] = 0
-    np.cumsum(_tables[1][cps] * powers(_BASE, len(cps)), out=total[1:])
-    return mix((total[end] - total[start]) * powers(_INVERSE, len(cps) + 1)[start] + (end - start).astype(U) * U(0xA0761D6478BD642F))
+    np.cumsum(_tables[1][cps] * powers(BASE, len(cps)), out=total[1:])
+    return mix((total[end] - total[start]) * powers(INVERSE, len(cps) + 1)[start] + (end - start).astype(U) * U(0xA0761D6478BD642F))
 
 
 def quiet() -> None:

@@ -10,8 +10,8 @@ import numpy as np
 
 U = np.uint64
 _RNG = np.random.default_rng(20240117)
-_BASE = int(_RNG.integers(1 << 62, 1 << 63)) | 5
-_INVERSE = pow(_BASE, -1, 1 << 64)
+BASE = int(_RNG.integers(1 << 62, 1 << 63)) | 5
+INVERSE = pow(BASE, -1, 1 << 64)
 _VALUE = _RNG.integers(1 << 32, 1 << 63, 256).astype(U) * U(2) + U(1)
 _VALUE[65:91] = _VALUE[97:123]
 _SPACE = np.zeros(256, bool)
@@ -51,8 +51,8 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     total = np.empty(len(data) + 1, U)
     total[0] = 0
-    np.cumsum(_VALUE[data] * powers(_BASE, len(data)), out=total[1:])
-    h = (total[end] - total[start]) * powers(_INVERSE, len(data))[start]
+    np.cumsum(_VALUE[data] * powers(BASE, len(data)), out=total[1:])
+    h = (total[end] - total[start]) * powers(INVERSE, len(data))[start]
     return mix(h), np.searchsorted(start, offsets)
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, utf8
+from .common import CHUNK_BYTES, chunks, small_batches, utf8
 from .scan import Memo, class_table, code_points, ragged, split_words, token_hashes
 
 _encoders: dict[str, WordBpe] = {}
@@ -154,7 +154,7 @@ def _encode(path: str, digest: bool):
         bpe = encoder(path)
         for batch in batches:
             data, off = utf8(batch.column(1))
-            for i, j in chunks(off, 2 << 20):
+            for i, j in chunks(off, CHUNK_BYTES):
                 texts = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(off[i:j].tolist(), off[i + 1 : j + 1].tolist(), strict=True)]
                 ids, ends, shown, shown_ends = bpe.texts(texts)
                 raw, text = memoryview(ids.astype("<u4").tobytes()), memoryview(shown.tobytes())
@@ -175,6 +175,7 @@ def encode_texts(docs: DataFrame, path: str, digest: bool = False, id_col: str =
     Special tokens' strings in a text become those tokens. A null or empty text has no ids and decodes to an empty text; repeated rows stay;
     other columns are ignored; an empty table gives an empty result. One map over the rows, no shuffle.
     """
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     last = "ids_sha256 string, decoded_sha256 string" if digest else "ids binary, decoded string"
     return texts.mapInArrow(_encode(path, digest), f"doc_id long, n_tokens long, {last}")
