@@ -21,7 +21,7 @@ def top(df: DataFrame, group: list[str], order: list[Column], n: int, name: str
 
 
 def first_row(df: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
-    return top(df, group, order, 1).drop("ord")
+    return top(df, group, order, 1, "_first").drop("_first")
 
 
 def scale(frequency: DataFrame, group: list[str], n: int, number: str) -> DataFrame:
