@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
 from .numbers import number, plain
 
 RELATED, MATCH, CLUSTER, BACKGROUND_CLUSTER = 96, 20, 30, 12
@@ -25,6 +26,10 @@ def _hex6(text: Column, short: bool = True) -> Column:
 
 def channels(text: Column) -> Column:
     """struct(r, g, b, a) of rgb(), rgba(), #rgb and #rrggbb with whole-number channels; null for anything else."""
+    return let(text, _channels)
+
+
+def _channels(text: Column) -> Column:
     rx = r"(?i)rgba?\(\s*(\d+)[,\s]+(\d+)[,\s]+(\d+)(?:\s*[,/]\s*([\d.]+))?"
     part = lambda i: F.regexp_extract(text, rx, i)
     hexes = _hex6(text)
@@ -35,8 +40,7 @@ def channels(text: Column) -> Column:
 
 def tag_channels(text: Column) -> Column:
     """The same with alpha ignored."""
-    c = channels(text)
-    return F.when(c.isNotNull(), F.struct(c["r"].alias("r"), c["g"].alias("g"), c["b"].alias("b"), F.lit(1.0).alias("a")))
+    return let(channels(text), lambda c: F.when(c.isNotNull(), F.struct(c["r"].alias("r"), c["g"].alias("g"), c["b"].alias("b"), F.lit(1.0).alias("a"))))
 
 
 def token_channels(text: Column) -> Column:
@@ -57,10 +61,13 @@ def recipe_channels(text: Column) -> Column:
 
 def normal(text: Column) -> Column:
     """#rrggbb, or rgba() with three places of alpha below 0.999; null for what is no colour."""
-    c = channels(text)
-    opaque = F.format_string("#%02x%02x%02x", c["r"], c["g"], c["b"])
-    clear = F.concat(F.lit("rgba("), F.concat_ws(", ", c["r"], c["g"], c["b"], plain(c["a"], 3)), F.lit(")"))
-    return F.when(c.isNotNull(), F.when(c["a"] < OPAQUE, clear).otherwise(opaque))
+
+    def shown(c: Column) -> Column:
+        opaque = F.format_string("#%02x%02x%02x", c["r"], c["g"], c["b"])
+        clear = F.concat(F.lit("rgba("), F.concat_ws(", ", c["r"], c["g"], c["b"], plain(c["a"], 3)), F.lit(")"))
+        return F.when(c.isNotNull(), F.when(c["a"] < OPAQUE, clear).otherwise(opaque))
+
+    return let(channels(text), shown)
 
 
 def distance(a: Column, b: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 # Page kinds with the path words that name them, first match wins, and what each adds to a page's score.
 PAGE_KINDS = (
     ("pricing", r"/(?:pricing|plans?|cost)(?:/|$)", 36),
@@ -120,10 +122,13 @@ def segments(p: Column) -> Column:
 def page_score(p: Column, q: Column, location: Column, base: Column) -> Column:
     """100, the kind's boost and the link's place, less 12 for each further step down, 15 for a query and 20 (content 2) for a number
     or a very long word in the path. Null for excluded paths and the base itself. base: the site's own path, / for its root."""
-    kind, parts = page_kind(p), segments(p)
-    boost = F.lit(GENERIC_BOOST)
-    for name, _, value in PAGE_KINDS:
-        boost = F.when(kind == name, value).otherwise(boost)
+    return let(page_kind(p), lambda kind: _page_score(p, q, location, base, kind))
+
+
+def _page_score(p: Column, q: Column, location: Column, base: Column, kind: Column) -> Column:
+    parts = segments(p)
+    boosts = F.create_map(*(F.lit(x) for name, _, value in (*PAGE_KINDS, ("generic", "", GENERIC_BOOST)) for x in (name, value)))
+    boost = F.element_at(boosts, kind)
     under = (base != "/") & F.startswith(p, F.concat(base, F.lit("/")))
     depth = F.size(parts) - F.when(under, F.size(segments(base))).otherwise(0)
     odd = F.exists(parts, lambda s: s.rlike(r"^\d+$") | (F.length(s) > 64))

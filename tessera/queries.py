@@ -140,8 +140,8 @@ def color_normalise(spark, d):
 
 
 def color_contrast(spark, d):
-    c, white = color.channels(F.col("value")), color.channels(F.lit("#ffffff"))
-    return _colors(spark, d).select("p_partkey", F.round(color.luminance(c), 6).alias("luminance"), F.round(color.contrast(c, white), 6).alias("contrast"), F.round(color.distance(c, white), 6).alias("distance"))
+    c, white = F.col("c"), F.struct(*(F.lit(255).alias(k) for k in "rgb"), F.lit(1.0).alias("a"))
+    return _colors(spark, d).withColumn("c", color.channels(F.col("value"))).select("p_partkey", F.round(color.luminance(c), 6).alias("luminance"), F.round(color.contrast(c, white), 6).alias("contrast"), F.round(color.distance(c, white), 6).alias("distance"))
 
 
 def hue_families(spark, d):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text, url
+from ..functions.binding import let
 
 #: What a link's place adds to its page's score.
 PLACE_SCORES = {"nav": 24, "header": 24, "main": 24, "article": 24, "footer": -20}
@@ -41,13 +42,18 @@ def resolve(href: Column, base: Column) -> Column:
 def candidates(pages: DataFrame, site: Column, page_url: str = "url", html: str = "html") -> DataFrame:
     """site, url, kind, family, score, source, contextual: every page that links lead to within their own origin, scored."""
     rows = links(pages.select(site.alias("site"), F.col(page_url).alias("_base"), html), ["site", "_base"], html)
-    base = F.regexp_replace(url.path(F.col("_base")), "/$", "")
-    rows = rows.withColumn("_full", resolve(F.col("href"), F.col("_base"))).withColumn("url", url.crawl_url(F.col("_full")))
-    rows = rows.where(F.col("url").isNotNull() & url.same_origin(F.col("url"), F.col("_base"))).withColumn("_path", url.path(F.col("url"))).withColumn("_basepath", F.when(base == "", F.lit("/")).otherwise(base))
-    score = url.page_score(F.col("_path"), url.query(F.col("url")), F.col("location"), F.col("_basepath"))
-    contextual = (F.col("_basepath") != "/") & F.startswith(F.col("_path"), F.concat(F.col("_basepath"), F.lit("/")))
-    family = F.coalesce(F.get(url.segments(F.col("_path")), F.lit(0)), F.lit(""))
-    return rows.select("site", "url", url.page_kind(F.col("_path")).alias("kind"), family.alias("family"), score.alias("score"), F.lit("dom").alias("source"), contextual.alias("contextual")).where("score is not null")
+
+    def scored(base: Column, u: Column, p: Column) -> Column:
+        root = F.regexp_replace(url.path(base), "/$", "")
+        root = F.when(root == "", F.lit("/")).otherwise(root)
+        contextual = (root != "/") & F.startswith(p, F.concat(root, F.lit("/")))
+        family = F.coalesce(F.get(url.segments(p), F.lit(0)), F.lit(""))
+        made = F.struct(u.alias("url"), url.page_kind(p).alias("kind"), family.alias("family"), url.page_score(p, url.query(u), F.col("location"), root).alias("score"), F.lit("dom").alias("source"), contextual.alias("contextual"))
+        return F.when(u.isNotNull() & url.same_origin(u, base), made)
+
+    # One bound expression for each link: a filter on its fields copies it once, not once for each use.
+    row = let(F.col("_base"), lambda base: let(resolve(F.col("href"), base), lambda full: let(url.crawl_url(full), lambda u: let(url.path(u), lambda p: scored(base, u, p)))))
+    return rows.select("site", row.alias("_r")).where("_r.score is not null").select("site", "_r.*")
 
 
 def title(html: Column) -> Column:
