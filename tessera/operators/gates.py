@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Health issues that make a page's evidence unsafe.
-UNSAFE_HEALTH = ("auth-wall", "captcha", "error-page", "rate-limited", "unexpected-navigation", "empty-page", "loading-skeleton", "overlay-obstruction", "unstable-dom", "capture-failed", "blank-screenshot", "navigation-timeout")
+UNSAFE_HEALTH = ("large-overlay", "main-content-empty", "skeleton-heavy", "fonts-not-ready", "dom-still-mutating", "auth-wall", "captcha", "error-page", "rate-limited", "unexpected-navigation", "health-recovery-failed", "health-recovery-timeout")
 
 
 def evidence_eligible(status: Column, codes: Column) -> Column:
@@ -40,7 +40,7 @@ def dangling(child: DataFrame, key: str, parent: DataFrame, parent_key: str, lab
 def token_score(pages: Column, captures: Column, observations: Column, variable: Column, action: Column, rendered: Column) -> Column:
     """Points for a token: pages 4, 3 or 1, a declared variable 2, use in actions 2, rendered text 1, observations 2 or 1, captures 1."""
     p = F.when(pages >= 3, 4).when(pages >= 2, 3).when(pages >= 1, 1).otherwise(0)
-    o = F.when(observations >= 20, 2).when(observations >= 5, 1).otherwise(0)
+    o = F.when(observations >= 10, 2).when(observations >= 2, 1).otherwise(0)
     flag = lambda c, n: F.when(c, n).otherwise(0)
     return p + o + flag(variable, 2) + flag(action, 2) + flag(rendered, 1) + flag(captures >= 2, 1)
 

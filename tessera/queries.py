@@ -376,7 +376,7 @@ SELECT brand, CAST(floor(CASE WHEN hue < 0 THEN hue + 360 ELSE hue END / 30) AS
     "neutral_coverage": f"SELECT brand, round(sum(CASE WHEN greatest(r, g, b) - least(r, g, b) <= 24 OR (greatest(r, g, b) - least(r, g, b)) / CAST(greatest(r, g, b) AS DOUBLE) <= 0.12 THEN n ELSE 0 END) / sum(n), 6) AS coverage FROM ({_COLORS_SQL}) GROUP BY ALL",
     "subpixel_lengths": "SELECT o_orderkey, round(CASE WHEN abs(px - floor(px * 2 + 0.5) / 2) <= 0.1 THEN floor(px * 2 + 0.5) / 2 ELSE floor(px * 1000 + 0.5) / 1000 END, 6) AS px FROM (SELECT o_orderkey, o_totalprice / 100 AS px FROM orders)",
     "token_confidence": f"""WITH u AS (SELECT category, value, count(DISTINCT url) AS p, count(DISTINCT capture) AS c, count(*) AS o FROM ({_VALID_SQL}) GROUP BY ALL),
-s AS (SELECT category, value, CAST(CASE WHEN p >= 3 THEN 4 WHEN p >= 2 THEN 3 ELSE 1 END + CASE WHEN o >= 20 THEN 2 WHEN o >= 5 THEN 1 ELSE 0 END + CASE category WHEN 'click' THEN 2 WHEN 'view' THEN 1 ELSE 0 END + CASE WHEN c >= 2 THEN 1 ELSE 0 END AS INT) AS score FROM u)
+s AS (SELECT category, value, CAST(CASE WHEN p >= 3 THEN 4 WHEN p >= 2 THEN 3 ELSE 1 END + CASE WHEN o >= 10 THEN 2 WHEN o >= 2 THEN 1 ELSE 0 END + CASE category WHEN 'click' THEN 2 WHEN 'view' THEN 1 ELSE 0 END + CASE WHEN c >= 2 THEN 1 ELSE 0 END AS INT) AS score FROM u)
 SELECT *, CASE WHEN score >= 6 THEN 'high' WHEN score >= 3 THEN 'medium' ELSE 'low' END AS confidence FROM s""",
     "token_provenance": f"""WITH u AS (SELECT *, CAST(value AS DOUBLE) AS x FROM ({_VALID_SQL}) WHERE category = 'click'), t AS (SELECT 't' || p_partkey AS token, p_size + 0.05 AS y FROM part WHERE p_size <= 40),
 j AS (SELECT token, sum(weight) AS o, count(DISTINCT url) AS p, count(DISTINCT capture) AS c, list_sort(list_distinct(list(url)))[1:8] AS pl, list_sort(list_distinct(list('usage:' || site)))[1:12] AS sl FROM u JOIN t ON abs(x - y) <= 0.1 + 1e-9 GROUP BY token)

@@ -194,7 +194,7 @@ def test_analysis_of_snapshots(spark, tmp_path):
     assert [(r.group, r.value, r.ord) for r in out["tokens"].orderBy("group", "ord").collect()] == [("fontSizes", "12px", 1), ("spacing", "8px", 1), ("spacing", "16px", 2)]
     assert [(r.value, r.members) for r in out["palette"].collect()] == [("#000000", 2)]
     found = {r.token: (r.pages, r.captures, r.confidence) for r in out["token_evidence"].collect()}
-    assert found["a/spacing.0"] == (2, 4, "medium")
+    assert found["a/spacing.0"] == (2, 4, "high")  # 3 for pages, 2 for 16 observations, 1 for captures
     cover = out["coverage"].first()
     assert (cover.expected, cover.captured) == (6, 4)
     css = exports.export(out["tokens"].select("analysisId", "group", "ord", "value"), ["analysisId"], "all")
