@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import CHUNK_BYTES, Stages, chunks, utf8
 from .shingles import BASE, INVERSE, U, mix, powers
+from .wordmodel import WordModels
 
 ORDER, BITS = 4, 5
 SPACE, DIGIT, STOP, SIGN, OTHER = 27, 28, 29, 30, 31
@@ -33,6 +34,8 @@ MODEL_BOUND = sum(1 << (k * BITS) for k in range(1, ORDER + 1))
 PASS_ENTRIES = 4 * MODEL_BOUND
 #: Half the width of the band in robust standard deviations, and the least standard deviation, in bits a character.
 WIDTH, LEAST_SPREAD = 14.0, 0.05
+#: How far the word model's upper edge lies above the median in robust standard deviations, and the least of those, in bits a word.
+WORD_WIDTH, LEAST_WORD_SPREAD = 8.0, 0.1
 #: Signs (SIGN) are the model's unknown symbol: each costs so many bits, however often the corpus has it.
 UNKNOWN_BITS = 20.0
 #: A text this many bits a character above its language's mean is scored by the other languages' models, too: its label may be wrong.
@@ -317,16 +320,57 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         scored = scored.union(texts.where(~F.col("lang").isin(list(sizes))).mapInArrow(_score(spark.sparkContext.broadcast({})), schema))
     scored = stages.keep(scored, "scores")
     stages.drop(counts)
-    bands = scored.where(f"n_words >= {MIN_WORDS}").groupBy("lang", F.floor(F.col("entropy") * 1000).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    rows: dict[str, list] = {}
-    for r in bands.toLocalIterator():
-        rows.setdefault(r[0], []).append((r[1], r[2]))
-    edges = [(lang, *band(x, width)) for lang, x in rows.items()]
-    lows = spark.createDataFrame(edges, "lang string, low double, high double")
+    judged = f"n_words >= {MIN_WORDS}"
+    lows = spark.createDataFrame([(lang, *band(x, width)) for lang, x in _histograms(scored.where(judged), "entropy").items()], "lang string, low double, high double")
     failed = F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEATED_PERCENT} * n_words")
     out = scored.join(lows, "lang", "left").join(lows.toDF("other_lang", "other_low", "other_high"), "other_lang", "left").withColumn("base_failed", failed)
     fits = F.col("entropy").between(F.col("low"), F.col("high")) | F.coalesce(F.col("other_entropy").between(F.col("other_low"), F.col("other_high")), F.lit(False))
-    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(fits, F.lit(True))).drop("other_low", "other_high")
+    out = _with_words(out, texts, stages)
+    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(fits, F.lit(True)) & F.col("word_fits")).drop("other_low", "other_high", "word_fits")
+
+
+def _histograms(scored: DataFrame, col: str) -> dict[str, list[tuple[int, int]]]:
+    """(bin, count) pairs of col by language, in bins of 1 / 1000 bit."""
+    rows: dict[str, list] = {}
+    for r in scored.where(F.col(col).isNotNull()).groupBy("lang", F.floor(F.col(col) * 1000).alias("bin")).agg(F.count(F.lit(1)).alias("n")).toLocalIterator():
+        rows.setdefault(r[0], []).append((r[1], r[2]))
+    return rows
+
+
+def _with_words(out: DataFrame, texts: DataFrame, stages: Stages) -> DataFrame:
+    """out with word_entropy, word_high, and word_fits: not above the upper edge of its language's word model, or of another's."""
+    spark = out.sparkSession
+    hashed = texts.select("row_key", F.xxhash64("lang").alias("lang_id"), F.xxhash64("text").bitwiseAND(1).alias("fold"), "text")
+    models = WordModels(hashed, stages)
+    scores = stages.keep(models.score(hashed), "word-scores")
+    out = stages.keep(out.withColumn("lang_id", F.xxhash64("lang")).join(scores, ["row_key", "lang_id"], "left"), "worded")
+    edges = [(lang, upper_edge(x, WORD_WIDTH, LEAST_WORD_SPREAD)) for lang, x in _histograms(out.where("not base_failed"), "word_entropy").items()]
+    highs = F.broadcast(spark.createDataFrame(edges, "lang string, word_high double"))
+    out = out.join(highs, "lang", "left")
+    flagged = out.where("not base_failed and word_entropy > word_high").select("row_key").distinct()
+    others = highs.select(F.xxhash64("lang").alias("lang_id"), "word_high")
+    again = hashed.drop("lang_id").join(F.broadcast(flagged), "row_key", "left_semi").crossJoin(others.select("lang_id"))
+    fits = models.score(again).join(others, "lang_id").where("word_entropy <= word_high").select("row_key", F.lit(True).alias("elsewhere")).distinct()
+    fits = stages.keep(fits, "word-second-look")
+    models.drop()
+    own = F.coalesce(F.col("word_entropy") <= F.col("word_high"), F.lit(True))
+    return out.join(fits, "row_key", "left").withColumn("word_fits", own | F.coalesce("elsewhere", F.lit(False))).drop("elsewhere", "lang_id")
+
+
+def _middle(pairs: list[tuple[float, int]]) -> float:
+    half, run = sum(c for _, c in pairs) / 2, 0
+    for v, c in sorted(pairs):
+        run += c
+        if run >= half:
+            return v
+    return 0.0
+
+
+def upper_edge(histogram: list[tuple[int, int]], width: float, least: float) -> float:
+    """The median plus width robust deviations of the upper half, in bits; wider for a language of few texts, whose spread is not known well."""
+    m, n = _middle(histogram), sum(c for _, c in histogram)
+    spread = max(least, 1.4826 * _middle([(v - m, c) for v, c in histogram if v >= m]) / 1000)
+    return (m + 1) / 1000 + width * (1 + 20 / n) * spread
 
 
 def band(histogram: list[tuple[int, int]], width: float) -> tuple[float, float]:

@@ -34,7 +34,7 @@ def op1_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(_read(spark, sf_dir, "documents")).select("doc_id", *MEASURES, "base_failed", "kept", "lang", "entropy", "low", "high")
+    return quality(_read(spark, sf_dir, "documents")).select("doc_id", *MEASURES, "base_failed", "kept", "lang", "entropy", "low", "high", "word_entropy", "word_high")
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,223 @@
+"""Word bigram models by language, of any size: modified Kneser-Ney, counted and built by Spark, scored by shards.
+
+A word is a run of letters and digits in any script, with A-Z lower-cased and all digits alike; other ASCII signs, and code points
+of scripts without spaces (and all from U+2000 up), are words of their own. The number of bigrams grows with the corpus. Texts are
+dealt into two folds by hash, and a text is scored with the counts of the other fold, so no text vouches for itself.
+
+A text's log probability is a sum of table entries over its positions: u(word) for the unigram, g(before) for the back-off weight,
+d(before, word) for what a known bigram adds; an absent entry adds 0. So the table can be cut into shards of PASS_ENTRIES anywhere,
+each is broadcast in a pass of its own, and the passes' sums add up to the same score. Bigrams of one fold only are never looked up
+by the other fold's texts and stay out of the table.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import CHUNK_BYTES, Stages, chunks, utf8
+from .shingles import BASE, INVERSE, U, mix, powers
+
+#: Entries of one broadcast shard, and distinct bigrams that a counting task holds.
+PASS_ENTRIES, HELD = 4_000_000, 2_000_000
+_VALUE = np.random.default_rng(71).integers(1 << 32, 1 << 63, 256).astype(U) * U(2) + U(1)
+_VALUE[65:91] = _VALUE[97:123]
+_VALUE[48:58] = _VALUE[48]
+_SPACES = np.isin(np.arange(256), [*range(33), 127])
+_ALONE = np.array([33 <= b < 127 and not chr(b).isalnum() or b >= 0xE2 for b in range(256)])
+UNIGRAM, BACKOFF, BIGRAM = 1, 2, 3
+
+
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit hashes of all words in order, and where each text's begin."""
+    if not len(data):
+        return np.zeros(0, U), np.zeros(len(offsets), np.int64)
+    lead = (data & 0xC0) != 0x80
+    after = np.append(data[1:], 0)
+    unspaced = (data == 0xE0) & (after >= 0xB8) & (after <= 0xBB) | (data == 0xE1) & ((after >= 0x80) & (after <= 0x82) | (after >= 0x9E) & (after <= 0x9F))
+    at_lead = np.maximum.accumulate(np.where(lead, np.arange(len(data)), 0))
+    alone = (_ALONE[data] | unspaced)[at_lead]
+    space = _SPACES[data]
+    begin = alone & lead
+    begin[1:] |= ~space[1:] & lead[1:] & (space[:-1] | alone[:-1])
+    edge = offsets[:-1][offsets[:-1] < len(data)]
+    begin[edge] = ~space[edge]
+    stop = np.zeros(len(data) + 1, bool)
+    stop[1:-1] = ~space[:-1] & (space[1:] | begin[1:])
+    stop[-1] = not space[-1]
+    edge = edge[edge > 0]
+    stop[edge] = ~space[edge - 1]
+    start, end = np.flatnonzero(begin), np.flatnonzero(stop)
+    total = np.concatenate((np.zeros(1, U), np.cumsum(_VALUE[data] * powers(BASE, len(data)))))
+    return mix((total[end] - total[start]) * powers(INVERSE, len(data))[start]) >> U(32), np.searchsorted(start, offsets)
+
+
+def bigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """word before << 32 | word for each word (0 before the first of a text), and where each text's begin."""
+    w, at = words(data, offsets)
+    before = np.concatenate((np.zeros(1, U), w[:-1]))[: len(w)]
+    before[at[:-1][at[:-1] < len(w)]] = 0
+    return before << U(32) | w, at
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    k, inv = np.unique(keys, return_inverse=True)
+    return k, np.bincount(inv, counts, len(k)).astype(np.int64)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lang_id, fold, text -> lang_id, key, n0, n1."""
+    held: dict[tuple[int, int], list] = {}
+    size = 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for (lang, fold), parts in held.items():
+            k, n = _summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            for i in range(0, len(k), 1 << 16):
+                key, mine = k[i : i + (1 << 16)].view(np.int64), n[i : i + (1 << 16)]
+                n01 = [pa.array(mine if fold == f else np.zeros(len(mine), np.int64)) for f in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), lang)), pa.array(key), *n01], ["lang_id", "key", "n0", "n1"])
+        held.clear()
+
+    for batch in batches:
+        langs, folds = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        data, off = utf8(batch.column(2))
+        for i, j in chunks(off, CHUNK_BYTES):
+            key, at = bigrams(data[off[i] : off[j]], off[i : j + 1] - off[i])
+            n = np.diff(at)
+            for lang in np.unique(langs[i:j]).tolist():
+                for fold in (0, 1):
+                    own = key[np.repeat((langs[i:j] == lang) & (folds[i:j] == fold), n)]
+                    if len(own):
+                        k, c = np.unique(own, return_counts=True)
+                        held.setdefault((lang, fold), []).append((k, c))
+                        size += len(k)
+            if size > HELD:
+                for g, parts in held.items():
+                    held[g] = [_summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))]
+                size = sum(len(p[0][0]) for p in held.values())
+                if size > HELD // 2:
+                    yield from flush()
+                    size = 0
+    yield from flush()
+
+
+def _discounts(n: list[int]) -> list[float]:
+    """Discounts of counts 1, 2, 3 and more, from the numbers of n-grams with counts 1 to 4."""
+    if min(n) == 0:
+        return [0.5, 0.75, 0.9]
+    y = n[0] / (n[0] + 2 * n[1])
+    return [min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.05), k - 0.05) for k in (1, 2, 3)]
+
+
+def _discount_table(counts: DataFrame, name: str) -> DataFrame:
+    """lang_id and for each fold f the discounts {name}{f}1, {name}{f}2, {name}{f}3."""
+    aggs = [F.sum((F.col(f"n{f}") == k).cast("long")).alias(f"c{f}{k}") for f in (0, 1) for k in (1, 2, 3, 4)]
+    rows = [(r[0], *(d for f in (0, 1) for d in _discounts([r[f"c{f}{k}"] for k in (1, 2, 3, 4)]))) for r in counts.groupBy("lang_id").agg(*aggs).toLocalIterator()]
+    fields = ", ".join(f"{name}{f}{k} double" for f in (0, 1) for k in (1, 2, 3))
+    return F.broadcast(counts.sparkSession.createDataFrame(rows, "lang_id long, " + fields))
+
+
+def _discount(name: str, fold: int) -> Column:
+    n = F.col(f"n{fold}")
+    return F.when(n == 0, 0.0).when(n == 1, F.col(f"{name}{fold}1")).when(n == 2, F.col(f"{name}{fold}2")).otherwise(F.col(f"{name}{fold}3"))
+
+
+def table(texts: DataFrame, stages: Stages) -> tuple[DataFrame, dict[int, tuple[float | None, float | None]]]:
+    """The staged entries lang_id, kind, x, v0, v1 (values by the counts of fold 0 and 1), and by language the log2 probability of an unknown word in either."""
+    found = texts.select("lang_id", "fold", "text").mapInArrow(_count, "lang_id long, key long, n0 long, n1 long")
+    pairs = stages.keep(found.groupBy("lang_id", "key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "bigrams")
+    before, word = F.shiftrightunsigned("key", 32), F.col("key").bitwiseAND(0xFFFFFFFF)
+    dealt = pairs.join(_discount_table(pairs, "d"), "lang_id")
+    backoff = dealt.groupBy("lang_id", before.alias("a")).agg(*(F.sum(f"n{f}").alias(f"t{f}") for f in (0, 1)), *(F.sum(_discount("d", f)).alias(f"s{f}") for f in (0, 1)))
+    backoff = stages.keep(backoff.select("lang_id", "a", "t0", "t1", *(F.when(F.col(f"t{f}") > 0, F.col(f"s{f}") / F.col(f"t{f}")).alias(f"g{f}") for f in (0, 1))), "backoff")
+    follows = stages.keep(pairs.groupBy("lang_id", word.alias("c")).agg(*(F.sum((F.col(f"n{f}") > 0).cast("long")).alias(f"n{f}") for f in (0, 1))), "follows")
+    spread = follows.join(_discount_table(follows, "e"), "lang_id")
+    sums = spread.groupBy("lang_id").agg(*(F.sum(f"n{f}").alias(f"b{f}") for f in (0, 1)), *((F.sum(_discount("e", f)) / F.nullif(F.sum(f"n{f}"), F.lit(0)) / (F.sum((F.col(f"n{f}") > 0).cast("long")) + 1)).alias(f"z{f}") for f in (0, 1)))
+    sums = F.broadcast(stages.keep(sums, "unknown"))
+    unknown = {r["lang_id"]: tuple(None if r[f"z{f}"] is None else float(np.log2(r[f"z{f}"])) for f in (0, 1)) for r in sums.toLocalIterator()}
+    p = lambda f: F.when(F.col(f"n{f}") > 0, (F.col(f"n{f}") - _discount("e", f)) / F.col(f"b{f}") + F.col(f"z{f}")).alias(f"p{f}")
+    single = stages.keep(spread.join(sums, "lang_id").select("lang_id", "c", p(0), p(1), "z0", "z1"), "unigrams")
+    both = dealt.where("n0 > 0 and n1 > 0").withColumn("a", before).withColumn("c", word).join(backoff, ["lang_id", "a"]).join(single, ["lang_id", "c"])
+    adds = lambda f: F.log2(1 + (F.col(f"n{f}") - _discount("d", f)) / F.col(f"t{f}") / (F.col(f"g{f}") * F.col(f"p{f}")))
+
+    def entries(df: DataFrame, kind: int, x: str, value) -> DataFrame:
+        return df.select("lang_id", F.lit(kind).alias("kind"), F.col(x).alias("x"), *(F.coalesce(value(f), F.lit(0.0)).cast("float").alias(f"v{f}") for f in (0, 1)))
+
+    every = entries(single, UNIGRAM, "c", lambda f: F.log2(F.col(f"p{f}") / F.col(f"z{f}"))).union(entries(backoff, BACKOFF, "a", lambda f: F.log2(F.col(f"g{f}")))).union(entries(both, BIGRAM, "key", adds))
+    out = stages.keep(every, "entries")
+    for done in (pairs, backoff, follows, single):
+        stages.drop(done)
+    return out, unknown
+
+
+def entry_hash(lang: np.ndarray, kind: int | np.ndarray, x: np.ndarray) -> np.ndarray:
+    return mix(mix(x.view(U)) + np.asarray(kind).astype(U) * U(0x9E3779B97F4A7C15) + lang.view(U))
+
+
+class Shard:
+    """Entries as a sorted hash array beside the values by fold."""
+
+    def __init__(self, t: pa.Table):
+        lang, kind, x, v0, v1 = (t[c].to_numpy() for c in ("lang_id", "kind", "x", "v0", "v1"))
+        h = entry_hash(lang, kind, x)
+        o = np.argsort(h)
+        self.keys, self.values = h[o], np.stack((v0[o], v1[o]))
+
+    def value(self, fold: np.ndarray, h: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(h), np.float32)
+        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        return np.where(self.keys[at] == h, self.values[fold, at], 0)
+
+
+def _sum(shard):
+    """row_key, lang_id, fold, text -> row_key, lang_id, fold, n, the shard's share of the log probability by the other fold's counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, folds = (np.array(batch.column(k).to_numpy(zero_copy_only=False), np.int64) for k in (1, 2))
+            data, off = utf8(batch.column(3))
+            for i, j in chunks(off, CHUNK_BYTES):
+                key, at = bigrams(data[off[i] : off[j]], off[i : j + 1] - off[i])
+                n = np.diff(at)
+                lang, fold = np.repeat(langs[i:j], n), np.repeat(1 - folds[i:j], n)
+                parts = ((UNIGRAM, key & U(0xFFFFFFFF)), (BACKOFF, key >> U(32)), (BIGRAM, key))
+                bits = sum((shard.value.value(fold, entry_hash(lang, kind, x)) for kind, x in parts), np.zeros(len(key)))
+                cum = np.concatenate((np.zeros(1), np.cumsum(bits, dtype=np.float64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(langs[i:j]), pa.array(folds[i:j]), pa.array(n.astype(np.int64)), pa.array(cum[at[1:]] - cum[at[:-1]])], ["row_key", "lang_id", "fold", "n", "bits"])
+
+    return run
+
+
+class WordModels:
+    """The models of all languages of texts (lang_id, fold, text)."""
+
+    def __init__(self, texts: DataFrame, stages: Stages):
+        self.stages = stages
+        self.entries, self.unknown = table(texts, stages)
+        self.shards = max(1, -(-self.entries.count() // PASS_ENTRIES))
+
+    def score(self, texts: DataFrame) -> DataFrame:
+        """row_key, lang_id, word_entropy (bits a word; null without words or without counts in the other fold) of row_key, lang_id, fold, text; equal rows once."""
+        spark = texts.sparkSession
+        sums = None
+        for s in range(self.shards):
+            own = self.entries.where(F.pmod(F.xxhash64("lang_id", "kind", "x"), F.lit(self.shards)) == s) if self.shards > 1 else self.entries
+            shard = spark.sparkContext.broadcast(Shard(own.toArrow()))
+            part = texts.select("row_key", "lang_id", "fold", "text").mapInArrow(_sum(shard), "row_key long, lang_id long, fold long, n long, bits double")
+            part = self.stages.keep(part, "word-bits").withColumn("shard", F.lit(s))
+            shard.unpersist()
+            sums = part if sums is None else sums.union(part)
+        same = sums.groupBy("row_key", "lang_id", "fold", "shard").agg(F.max("n").alias("n"), F.max("bits").alias("bits"))
+        whole = same.groupBy("row_key", "lang_id", "fold").agg(F.max("n").alias("n"), F.sum("bits").alias("bits"))
+        unknown = F.broadcast(spark.createDataFrame([(k, *v) for k, v in self.unknown.items()], "lang_id long, z0 double, z1 double"))
+        base = F.when(F.col("fold") == 0, F.col("z1")).otherwise(F.col("z0"))
+        return whole.join(unknown, "lang_id", "left").select("row_key", "lang_id", F.when(F.col("n") > 0, -F.col("bits") / F.col("n") - base).alias("word_entropy"))
+
+    def drop(self) -> None:
+        self.stages.drop(self.entries)

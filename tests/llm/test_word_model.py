@@ -1,0 +1,100 @@
+"""The word model of the quality rules."""
+
+import math
+import random
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from tessera.llm import perplexity, wordmodel
+from tessera.llm.common import Stages
+
+
+def chain(rng, n, names):
+    """n words, each with two possible successors."""
+    i, out = rng.randrange(len(names)), []
+    for _ in range(n):
+        out.append(names[i])
+        i = (2 * i + rng.randrange(2)) % len(names)
+    return out
+
+
+def names(rng, n, letters, length=5):
+    found = set()
+    while len(found) < n:
+        found.add("".join(rng.choice(letters) for _ in range(length)))
+    return sorted(found)
+
+
+def verdicts(spark, rows):
+    df = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(rows)], "doc_id long, text string, lang string")
+    return [r for r in sorted(perplexity.quality(df).collect(), key=lambda r: r.doc_id)]
+
+
+def test_words():
+    text = ["", "Ab c1-D2", " \n", "é東京x  ", "дом, дом", "ไทย"]
+    raw = [t.encode() for t in text]
+    w, at = wordmodel.words(np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in raw]))))
+    assert np.diff(at).tolist() == [0, 4, 0, 4, 3, 3]
+    same, _ = wordmodel.words(np.frombuffer("aB c9 d0 é 東 京 x дом".encode(), np.uint8), np.array([0, len("aB c9 d0 é 東 京 x дом".encode())]))
+    assert w[[0, 1, 3]].tolist() == same[:3].tolist() and w[4:8].tolist() == same[3:7].tolist() and w[8] == w[10] == same[7]
+
+
+def discounts(counts):
+    n = [sum(v == j for v in counts) for j in (1, 2, 3, 4)]
+    if min(n) == 0:
+        return [0, 0.5, 0.75, 0.9]
+    y = n[0] / (n[0] + 2 * n[1])
+    return [0] + [min(max(j - (j + 1) * y * n[j] / n[j - 1], 0.05), j - 0.05) for j in (1, 2, 3)]
+
+
+def plain_score(train, text):
+    """Bits a word, written from the definition."""
+    pairs = Counter(p for t in train for p in zip(["^", *t], t))
+    d, follows, total, off = discounts(pairs.values()), Counter(c for _, c in pairs), Counter(), defaultdict(float)
+    e = discounts(follows.values())
+    for (a, _), n in pairs.items():
+        total[a] += n
+        off[a] += d[min(n, 3)]
+    z = sum(e[min(n, 3)] for n in follows.values()) / len(pairs) / (len(follows) + 1)
+    bits = 0
+    for a, c in zip(["^", *text], text):
+        p = z + (follows[c] - e[min(follows[c], 3)]) / len(pairs)
+        if a in total:
+            n = pairs[a, c]
+            p = (n - d[min(n, 3)]) / total[a] + off[a] / total[a] * p
+        bits -= math.log2(p)
+    return bits / len(text)
+
+
+@pytest.mark.parametrize("shard", [10**6, 150])
+def test_scores_equal_the_definition_whatever_the_shards(spark, monkeypatch, shard):
+    monkeypatch.setattr(wordmodel, "PASS_ENTRIES", shard)
+    rng = random.Random(6)
+    vocabulary = names(rng, 60, "abcdefgh")
+    docs = [(i, i % 3 // 2, i % 2, [rng.choice(vocabulary) if rng.random() < 0.3 else w for w in chain(rng, 60, vocabulary)]) for i in range(24)]
+    df = spark.createDataFrame([(i, lang, fold, " ".join(t)) for i, lang, fold, t in docs], "row_key long, lang_id long, fold long, text string").repartition(3)
+    models = wordmodel.WordModels(df, Stages(spark))
+    assert (models.shards > 1) == (shard == 150)
+    got = {r.row_key: r.word_entropy for r in models.score(df).collect()}
+    for i, lang, fold, t in docs:
+        assert got[i] == pytest.approx(plain_score([x for _, k, f, x in docs if k == lang and f != fold], t), rel=1e-4)
+
+
+def test_wrong_word_order_is_rejected(spark):
+    rng = random.Random(7)
+    vocabulary = names(rng, 500, "abcdefghij", 7)
+    clean = [chain(rng, 150, vocabulary) for _ in range(150)]
+    shuffled = [rng.sample(t, len(t)) for t in clean[:4]]
+    got = verdicts(spark, [(" ".join(t), "en") for t in clean + shuffled])
+    assert all(r.kept for r in got[:150])
+    assert not any(r.kept or r.base_failed for r in got[150:])
+
+
+def test_a_wrong_label_is_no_reason(spark):
+    rng = random.Random(8)
+    one, two = names(rng, 500, "abcdef"), names(rng, 500, "abcdef")
+    rows = [(" ".join(chain(rng, 150, one)), "en") for _ in range(100)] + [(" ".join(chain(rng, 150, two)), "de") for _ in range(100)] + [(" ".join(chain(rng, 150, two)), "en")]
+    got = verdicts(spark, rows)
+    assert all(r.kept for r in got) and got[200].word_entropy > got[200].word_high
