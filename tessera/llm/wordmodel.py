@@ -5,9 +5,9 @@ of scripts without spaces (and all from U+2000 up), are words of their own. The
 dealt into two folds by hash, and a text is scored with the counts of the other fold, so no text vouches for itself.
 
 A text's log probability is a sum of table entries over its positions: u(word) for the unigram, g(before) for the back-off weight,
-d(before, word) for what a known bigram adds; an absent entry adds 0. So the table can be cut into shards of PASS_ENTRIES anywhere,
+d(before, word) for what a known bigram adds; an absent entry adds 0. So the table is cut into shards of about PASS_ENTRIES by word,
 each is broadcast in a pass of its own, and the passes' sums add up to the same score. Bigrams of one fold only are never looked up
-by the other fold's texts and stay out of the table.
+by the other fold's texts and stay out of the table. Until then bigrams travel and lie as blobs of 32-bit numbers.
 """
 
 from __future__ import annotations
@@ -16,14 +16,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import CHUNK_BYTES, Stages, chunks, utf8
 from .shingles import BASE, INVERSE, U, mix, powers
 
 #: Entries of one broadcast shard, and distinct bigrams that a counting task holds.
-PASS_ENTRIES, HELD = 4_000_000, 2_000_000
+PASS_ENTRIES, HELD = 3_000_000, 4_000_000
+#: A language's bigrams lie in 2 ** PART_BITS parts by the word before.
+PART_BITS = 7
+BLOBS = ("before", "run", "word", "n0", "n1")
 _VALUE = np.random.default_rng(71).integers(1 << 32, 1 << 63, 256).astype(U) * U(2) + U(1)
 _VALUE[65:91] = _VALUE[97:123]
 _VALUE[48:58] = _VALUE[48]
@@ -69,18 +72,30 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return k, np.bincount(inv, counts, len(k)).astype(np.int64)
 
 
+def _blobs(key: np.ndarray) -> list[bytes]:
+    """Ascending keys as three blobs of 32-bit numbers: the words before, how many keys each has, and the words."""
+    a, run = np.unique(key >> U(32), return_counts=True)
+    return [x.astype("<u4").tobytes() for x in (a, run, key & U(0xFFFFFFFF))]
+
+
+def _keys(before: bytes, run: bytes, word: bytes) -> np.ndarray:
+    a, n, c = (np.frombuffer(x, "<u4") for x in (before, run, word))
+    return np.repeat(a.astype(U), n) << U(32) | c
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """lang_id, fold, text -> lang_id, key, n0, n1."""
+    """lang_id, fold, text -> lang_id, part, fold, the keys' blobs, n; a part holds all bigrams of the words before it."""
     held: dict[tuple[int, int], list] = {}
     size = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
         for (lang, fold), parts in held.items():
             k, n = _summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-            for i in range(0, len(k), 1 << 16):
-                key, mine = k[i : i + (1 << 16)].view(np.int64), n[i : i + (1 << 16)]
-                n01 = [pa.array(mine if fold == f else np.zeros(len(mine), np.int64)) for f in (0, 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), lang)), pa.array(key), *n01], ["lang_id", "key", "n0", "n1"])
+            part = k >> U(64 - PART_BITS)
+            cut = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(k)])).tolist()
+            rows = [(lang, int(part[i]), fold, *_blobs(k[i:j]), n[i:j].astype("<u4").tobytes()) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+            kinds = [pa.int64()] * 3 + [pa.binary()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["lang_id", "part", "fold", "before", "run", "word", "n"])
         held.clear()
 
     for batch in batches:
@@ -100,59 +115,110 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for g, parts in held.items():
                     held[g] = [_summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))]
                 size = sum(len(p[0][0]) for p in held.values())
-                if size > HELD // 2:
+                if size > 3 * HELD // 4:
                     yield from flush()
                     size = 0
     yield from flush()
 
 
+def _merge(t: pa.Table) -> pa.Table:
+    """The rows of a language's part -> one row: blobs of the keys and of the counts by fold, and numbers of counts 1 to 4 and of keys in both."""
+    t = t.combine_chunks()
+    keys, counts, folds = [], [], []
+    for fold, before, run, word, n in zip(*(t[c].to_pylist() for c in ("fold", "before", "run", "word", "n")), strict=True):
+        keys.append(_keys(before, run, word))
+        counts.append(np.frombuffer(n, "<u4"))
+        folds.append(np.full(len(counts[-1]), fold))
+    k, inv = np.unique(np.concatenate(keys), return_inverse=True)
+    n, fold = np.concatenate(counts), np.concatenate(folds)
+    by = [np.bincount(inv, np.where(fold == f, n, 0), len(k)).astype("<u4") for f in (0, 1)]
+    row = {"lang_id": t["lang_id"][0].as_py(), **dict(zip(("before", "run", "word"), _blobs(k), strict=True)), "n0": by[0].tobytes(), "n1": by[1].tobytes()}
+    row |= {f"c{f}{x}": int((by[f] == x).sum()) for f in (0, 1) for x in (1, 2, 3, 4)} | {"shared": int(((by[0] > 0) & (by[1] > 0)).sum())}
+    return pa.Table.from_pylist([row], pa.schema([(c, pa.binary() if c in BLOBS else pa.int64()) for c in row]))
+
+
+def _rows(batch: pa.RecordBatch):
+    """lang_id, keys, (n0, n1) of each staged row."""
+    for lang, before, run, word, n0, n1 in zip(*(batch.column(c).to_pylist() for c in ("lang_id", *BLOBS)), strict=True):
+        yield lang, _keys(before, run, word), tuple(np.frombuffer(n, "<u4").astype(np.int64) for n in (n0, n1))
+
+
+def _follows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Staged rows -> lang_id, c, n0, n1: in how many bigrams of either fold the word c comes second."""
+    held: dict[int, tuple] = {}
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for lang, (c, n0, n1) in held.items():
+            for i in range(0, len(c), 1 << 16):
+                some = slice(i, i + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c[some]), lang)), pa.array(c[some].astype(np.int64)), pa.array(n0[some]), pa.array(n1[some])], ["lang_id", "c", "n0", "n1"])
+        held.clear()
+
+    for batch in batches:
+        for lang, key, n in _rows(batch):
+            old = held.get(lang, (np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)))
+            c, inv = np.unique(np.concatenate((old[0], key & U(0xFFFFFFFF))), return_inverse=True)
+            held[lang] = (c, *(np.bincount(inv, np.concatenate((old[f + 1], n[f] > 0)), len(c)).astype(np.int64) for f in (0, 1)))
+        if sum(len(x[0]) for x in held.values()) > HELD:
+            yield from flush()
+    yield from flush()
+
+
 def _discounts(n: list[int]) -> list[float]:
-    """Discounts of counts 1, 2, 3 and more, from the numbers of n-grams with counts 1 to 4."""
+    """Discounts of counts 0, 1, 2, 3 and more, from the numbers of n-grams with counts 1 to 4."""
     if min(n) == 0:
-        return [0.5, 0.75, 0.9]
+        return [0.0, 0.5, 0.75, 0.9]
     y = n[0] / (n[0] + 2 * n[1])
-    return [min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.05), k - 0.05) for k in (1, 2, 3)]
-
-
-def _discount_table(counts: DataFrame, name: str) -> DataFrame:
-    """lang_id and for each fold f the discounts {name}{f}1, {name}{f}2, {name}{f}3."""
-    aggs = [F.sum((F.col(f"n{f}") == k).cast("long")).alias(f"c{f}{k}") for f in (0, 1) for k in (1, 2, 3, 4)]
-    rows = [(r[0], *(d for f in (0, 1) for d in _discounts([r[f"c{f}{k}"] for k in (1, 2, 3, 4)]))) for r in counts.groupBy("lang_id").agg(*aggs).toLocalIterator()]
-    fields = ", ".join(f"{name}{f}{k} double" for f in (0, 1) for k in (1, 2, 3))
-    return F.broadcast(counts.sparkSession.createDataFrame(rows, "lang_id long, " + fields))
-
-
-def _discount(name: str, fold: int) -> Column:
-    n = F.col(f"n{fold}")
-    return F.when(n == 0, 0.0).when(n == 1, F.col(f"{name}{fold}1")).when(n == 2, F.col(f"{name}{fold}2")).otherwise(F.col(f"{name}{fold}3"))
-
-
-def table(texts: DataFrame, stages: Stages) -> tuple[DataFrame, dict[int, tuple[float | None, float | None]]]:
-    """The staged entries lang_id, kind, x, v0, v1 (values by the counts of fold 0 and 1), and by language the log2 probability of an unknown word in either."""
-    found = texts.select("lang_id", "fold", "text").mapInArrow(_count, "lang_id long, key long, n0 long, n1 long")
-    pairs = stages.keep(found.groupBy("lang_id", "key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "bigrams")
-    before, word = F.shiftrightunsigned("key", 32), F.col("key").bitwiseAND(0xFFFFFFFF)
-    dealt = pairs.join(_discount_table(pairs, "d"), "lang_id")
-    backoff = dealt.groupBy("lang_id", before.alias("a")).agg(*(F.sum(f"n{f}").alias(f"t{f}") for f in (0, 1)), *(F.sum(_discount("d", f)).alias(f"s{f}") for f in (0, 1)))
-    backoff = stages.keep(backoff.select("lang_id", "a", "t0", "t1", *(F.when(F.col(f"t{f}") > 0, F.col(f"s{f}") / F.col(f"t{f}")).alias(f"g{f}") for f in (0, 1))), "backoff")
-    follows = stages.keep(pairs.groupBy("lang_id", word.alias("c")).agg(*(F.sum((F.col(f"n{f}") > 0).cast("long")).alias(f"n{f}") for f in (0, 1))), "follows")
-    spread = follows.join(_discount_table(follows, "e"), "lang_id")
-    sums = spread.groupBy("lang_id").agg(*(F.sum(f"n{f}").alias(f"b{f}") for f in (0, 1)), *((F.sum(_discount("e", f)) / F.nullif(F.sum(f"n{f}"), F.lit(0)) / (F.sum((F.col(f"n{f}") > 0).cast("long")) + 1)).alias(f"z{f}") for f in (0, 1)))
-    sums = F.broadcast(stages.keep(sums, "unknown"))
-    unknown = {r["lang_id"]: tuple(None if r[f"z{f}"] is None else float(np.log2(r[f"z{f}"])) for f in (0, 1)) for r in sums.toLocalIterator()}
-    p = lambda f: F.when(F.col(f"n{f}") > 0, (F.col(f"n{f}") - _discount("e", f)) / F.col(f"b{f}") + F.col(f"z{f}")).alias(f"p{f}")
-    single = stages.keep(spread.join(sums, "lang_id").select("lang_id", "c", p(0), p(1), "z0", "z1"), "unigrams")
-    both = dealt.where("n0 > 0 and n1 > 0").withColumn("a", before).withColumn("c", word).join(backoff, ["lang_id", "a"]).join(single, ["lang_id", "c"])
-    adds = lambda f: F.log2(1 + (F.col(f"n{f}") - _discount("d", f)) / F.col(f"t{f}") / (F.col(f"g{f}") * F.col(f"p{f}")))
-
-    def entries(df: DataFrame, kind: int, x: str, value) -> DataFrame:
-        return df.select("lang_id", F.lit(kind).alias("kind"), F.col(x).alias("x"), *(F.coalesce(value(f), F.lit(0.0)).cast("float").alias(f"v{f}") for f in (0, 1)))
-
-    every = entries(single, UNIGRAM, "c", lambda f: F.log2(F.col(f"p{f}") / F.col(f"z{f}"))).union(entries(backoff, BACKOFF, "a", lambda f: F.log2(F.col(f"g{f}")))).union(entries(both, BIGRAM, "key", adds))
-    out = stages.keep(every, "entries")
-    for done in (pairs, backoff, follows, single):
-        stages.drop(done)
-    return out, unknown
+    return [0.0, *(min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.05), k - 0.05) for k in (1, 2, 3))]
+
+
+def _discounts_by_language(df: DataFrame, numbers: list) -> dict[int, list[list[float]]]:
+    """For each language the discounts in fold 0 and 1."""
+    found = df.groupBy("lang_id").agg(*numbers).toLocalIterator()
+    return {r["lang_id"]: [_discounts([r[f"c{f}{x}"] for x in (1, 2, 3, 4)]) for f in (0, 1)] for r in found}
+
+
+def in_shard(x: np.ndarray, shard: int, shards: int) -> np.ndarray:
+    return mix(x + U(1)) % U(shards) == U(shard)
+
+
+def _share(discounts: dict[int, list[list[float]]], shard: int, shards: int):
+    """Staged rows -> h, of, v0, v1 of one shard's back-off weights (of null) and shared bigrams: h the entry's hash; of that of its
+    word's unigram, v what the bigram holds beside the weight, (n - D) / (total g)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, key, n in _rows(batch):
+                a, inv = np.unique(key >> U(32), return_inverse=True)
+                weight, ratio = [], []
+                for f in (0, 1):
+                    d = np.array(discounts[lang][f])[np.minimum(n[f], 3)]
+                    total, off = np.bincount(inv, n[f], len(a)), np.bincount(inv, d, len(a))
+                    weight.append(np.where(total > 0, np.log2(np.where(total > 0, off / np.maximum(total, 1), 1)), 0))
+                    ratio.append((n[f] - d) / np.maximum(off[inv], 1e-9))
+                mine = in_shard(a, shard, shards)
+                h = entry_hash(np.full(int(mine.sum()), lang), BACKOFF, a[mine]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.nulls(len(h), pa.int64()), *(pa.array(w[mine].astype(np.float32)) for w in weight)], ["h", "of", "v0", "v1"])
+                c = key & U(0xFFFFFFFF)
+                mine = (n[0] > 0) & (n[1] > 0) & in_shard(c, shard, shards)
+                langs = np.full(int(mine.sum()), lang)
+                h, of = entry_hash(langs, BIGRAM, key[mine]).view(np.int64), entry_hash(langs, UNIGRAM, c[mine]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(of), *(pa.array(r[mine].astype(np.float32)) for r in ratio)], ["h", "of", "v0", "v1"])
+
+    return run
+
+
+def _unigrams(shard: int, shards: int):
+    """lang_id, c, p0, p1, z0, z1 -> h, p0, p1, z0, z1 of one shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang, c = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            mine = in_shard(c.view(U), shard, shards)
+            h = entry_hash(lang[mine], UNIGRAM, c[mine]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h), *(pa.array(batch.column(k).to_numpy(zero_copy_only=False)[mine].astype(np.float32)) for k in (2, 3, 4, 5))], ["h", "p0", "p1", "z0", "z1"])
+
+    return run
 
 
 def entry_hash(lang: np.ndarray, kind: int | np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -162,20 +228,36 @@ def entry_hash(lang: np.ndarray, kind: int | np.ndarray, x: np.ndarray) -> np.nd
 class Shard:
     """Entries as a sorted hash array beside the values by fold."""
 
-    def __init__(self, t: pa.Table):
-        lang, kind, x, v0, v1 = (t[c].to_numpy() for c in ("lang_id", "kind", "x", "v0", "v1"))
-        h = entry_hash(lang, kind, x)
+    def __init__(self, single: pa.Table, share: pa.Table):
+        """single: unigrams (h, p0, p1, z0, z1; a p of 0 where the fold lacks the word); share: see _share."""
+        h = single["h"].to_numpy().view(U)
         o = np.argsort(h)
-        self.keys, self.values = h[o], np.stack((v0[o], v1[o]))
+        h = h[o]
+        p = [single[f"p{f}"].to_numpy()[o] for f in (0, 1)]
+        z = [single[f"z{f}"].to_numpy()[o] for f in (0, 1)]
+        uni = [np.log2(np.where(p[f] > 0, p[f] / np.where(p[f] > 0, z[f], 1), 1)) for f in (0, 1)]
+        pair = share["of"].is_valid().to_numpy()
+        at = np.searchsorted(h, share["of"].fill_null(0).to_numpy()[pair].view(U))
+        keys = np.concatenate((h, share["h"].to_numpy().view(U)))
+        o = np.argsort(keys)
+        self.keys = keys[o]
+        values = []
+        for f in (0, 1):
+            v = np.array(share[f"v{f}"].to_numpy())
+            v[pair] = np.log2(1 + v[pair] / p[f][at])
+            values.append(np.concatenate((uni[f], v))[o].astype(np.float32))
+        self.values = np.stack(values)
 
     def value(self, fold: np.ndarray, h: np.ndarray) -> np.ndarray:
         if not len(self.keys):
             return np.zeros(len(h), np.float32)
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        o = np.argsort(h)  # neighbouring searches touch neighbouring memory
+        at = np.empty(len(h), np.int64)
+        at[o] = np.minimum(np.searchsorted(self.keys, h[o]), len(self.keys) - 1)
         return np.where(self.keys[at] == h, self.values[fold, at], 0)
 
 
-def _sum(shard):
+def _sum(shard, s: int, shards: int):
     """row_key, lang_id, fold, text -> row_key, lang_id, fold, n, the shard's share of the log probability by the other fold's counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +269,10 @@ def _sum(shard):
                 n = np.diff(at)
                 lang, fold = np.repeat(langs[i:j], n), np.repeat(1 - folds[i:j], n)
                 parts = ((UNIGRAM, key & U(0xFFFFFFFF)), (BACKOFF, key >> U(32)), (BIGRAM, key))
-                bits = sum((shard.value.value(fold, entry_hash(lang, kind, x)) for kind, x in parts), np.zeros(len(key)))
+                bits = np.zeros(len(key))
+                word, before = (np.flatnonzero(in_shard(x, s, shards)) for _, x in parts[:2])
+                for (kind, x), own in zip(parts, (word, before, word), strict=True):
+                    bits[own] += shard.value.value(fold[own], entry_hash(lang[own], kind, x[own]))
                 cum = np.concatenate((np.zeros(1), np.cumsum(bits, dtype=np.float64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(langs[i:j]), pa.array(folds[i:j]), pa.array(n.astype(np.int64)), pa.array(cum[at[1:]] - cum[at[:-1]])], ["row_key", "lang_id", "fold", "n", "bits"])
 
@@ -199,19 +284,43 @@ class WordModels:
 
     def __init__(self, texts: DataFrame, stages: Stages):
         self.stages = stages
-        self.entries, self.unknown = table(texts, stages)
-        self.shards = max(1, -(-self.entries.count() // PASS_ENTRIES))
+        found = texts.select("lang_id", "fold", "text").mapInArrow(_count, "lang_id long, part long, fold long, before binary, run binary, word binary, n binary")
+        numbers = [f"c{f}{x}" for f in (0, 1) for x in (1, 2, 3, 4)]
+        schema = "lang_id long, " + ", ".join(f"{c} binary" for c in BLOBS) + ", " + ", ".join(f"{c} long" for c in (*numbers, "shared"))
+        self.pairs = stages.keep(found.groupBy("lang_id", "part").applyInArrow(_merge, schema), "bigrams")
+        self.discounts = _discounts_by_language(self.pairs, [F.sum(c).alias(c) for c in numbers])
+        follows = self.pairs.select("lang_id", *BLOBS).mapInArrow(_follows, "lang_id long, c long, n0 long, n1 long")
+        follows = stages.keep(follows.groupBy("lang_id", "c").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "follows")
+        by_language = _discounts_by_language(follows, [F.sum((F.col(f"n{f}") == x).cast("long")).alias(f"c{f}{x}") for f in (0, 1) for x in (1, 2, 3, 4)])
+        rows = [(lang, *d[0][1:], *d[1][1:]) for lang, d in by_language.items()]
+        dealt = F.broadcast(texts.sparkSession.createDataFrame(rows, "lang_id long, " + ", ".join(f"e{f}{x} double" for f in (0, 1) for x in (1, 2, 3))))
+        off = [F.when(F.col(f"n{f}") == 0, 0.0).when(F.col(f"n{f}") == 1, F.col(f"e{f}1")).when(F.col(f"n{f}") == 2, F.col(f"e{f}2")).otherwise(F.col(f"e{f}3")) for f in (0, 1)]
+        spread = follows.join(dealt, "lang_id")
+        seen = lambda f: F.sum((F.col(f"n{f}") > 0).cast("long"))
+        sums = spread.groupBy("lang_id").agg(*(F.sum(f"n{f}").alias(f"b{f}") for f in (0, 1)), *((F.sum(off[f]) / F.nullif(F.sum(f"n{f}"), F.lit(0)) / (seen(f) + 1)).alias(f"z{f}") for f in (0, 1)))
+        sums = stages.keep(sums, "unknown")
+        #: By language the log2 probability of an unknown word in fold 0 and 1, null where the fold has no texts.
+        self.unknown = {r["lang_id"]: tuple(None if r[f"z{f}"] is None else float(np.log2(r[f"z{f}"])) for f in (0, 1)) for r in sums.toLocalIterator()}
+        p = lambda f: F.when(F.col(f"n{f}") > 0, (F.col(f"n{f}") - off[f]) / F.col(f"b{f}") + F.col(f"z{f}")).otherwise(0.0).alias(f"p{f}")
+        self.single = stages.keep(spread.join(F.broadcast(sums), "lang_id").select("lang_id", "c", p(0), p(1), F.coalesce("z0", F.lit(1.0)).alias("z0"), F.coalesce("z1", F.lit(1.0)).alias("z1")), "unigrams")
+        stages.drop(follows)
+        shared = self.pairs.agg(F.sum("shared")).first()[0] or 0
+        self.shards = max(1, -(-(shared + 2 * self.single.count()) // PASS_ENTRIES))
+
+    def shard(self, s: int) -> Shard:
+        share = self.pairs.select("lang_id", *BLOBS).mapInArrow(_share(self.discounts, s, self.shards), "h long, of long, v0 float, v1 float")
+        single = self.single.mapInArrow(_unigrams(s, self.shards), "h long, p0 float, p1 float, z0 float, z1 float")
+        return Shard(single.toArrow(), share.toArrow())
 
     def score(self, texts: DataFrame) -> DataFrame:
         """row_key, lang_id, word_entropy (bits a word; null without words or without counts in the other fold) of row_key, lang_id, fold, text; equal rows once."""
         spark = texts.sparkSession
         sums = None
         for s in range(self.shards):
-            own = self.entries.where(F.pmod(F.xxhash64("lang_id", "kind", "x"), F.lit(self.shards)) == s) if self.shards > 1 else self.entries
-            shard = spark.sparkContext.broadcast(Shard(own.toArrow()))
-            part = texts.select("row_key", "lang_id", "fold", "text").mapInArrow(_sum(shard), "row_key long, lang_id long, fold long, n long, bits double")
+            shard = spark.sparkContext.broadcast(self.shard(s))
+            part = texts.select("row_key", "lang_id", "fold", "text").mapInArrow(_sum(shard, s, self.shards), "row_key long, lang_id long, fold long, n long, bits double")
             part = self.stages.keep(part, "word-bits").withColumn("shard", F.lit(s))
-            shard.unpersist()
+            shard.destroy()
             sums = part if sums is None else sums.union(part)
         same = sums.groupBy("row_key", "lang_id", "fold", "shard").agg(F.max("n").alias("n"), F.max("bits").alias("bits"))
         whole = same.groupBy("row_key", "lang_id", "fold").agg(F.max("n").alias("n"), F.sum("bits").alias("bits"))
@@ -220,4 +329,5 @@ class WordModels:
         return whole.join(unknown, "lang_id", "left").select("row_key", "lang_id", F.when(F.col("n") > 0, -F.col("bits") / F.col("n") - base).alias("word_entropy"))
 
     def drop(self) -> None:
-        self.stages.drop(self.entries)
+        self.stages.drop(self.pairs)
+        self.stages.drop(self.single)
