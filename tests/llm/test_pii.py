@@ -73,3 +73,10 @@ def test_masking(spark):
 def test_native(spark):
     plan = pii_digest(spark.createDataFrame([(1, "x")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan) and "Exchange" not in plan
+
+
+def test_account_numbers_end_where_their_country_says(spark):
+    assert spans(spark, "IBAN ES91 2100 0418 4502 0005 1332 BIC CAIXESBB") == "iban:5:34"
+    assert spans(spark, "AT61 1904 3002 3457 3201 BIC BKAUATWW") == "iban:0:24"
+    assert spans(spark, "PAY BE68 5390 0754 7034 KBC NOW") == "iban:4:23"
+    assert spans(spark, "DE89370400440532013000 AND GB82 WEST 1234 5698 7654 32 ALSO") == "iban:0:22,iban:27:54"
