@@ -1,8 +1,8 @@
 """Personal data in texts, with built-in column functions only.
 
 A regular expression for each kind proposes spans, a checksum or range check confirms them (Luhn for cards, mod 97 for
-account numbers, 255 for address parts, digit counts for phones), and context words in the 48 characters before a span raise its
-score. The base kinds (email, ip, card, phone) count once confirmed; the added kinds (iban, ssn, secret) need a score of
+account numbers, 255 for address parts, digit counts for phones), and context words in the 48 characters of the text on
+either side of a span raise its score (for secrets: right before it). The base kinds (email, ip, card, phone) count once confirmed; the added kinds (iban, ssn, secret) need a score of
 THRESHOLD. The patterns cannot backtrack over a long run: repeated groups are possessive, and a run is entered only at its start
 or where the last match ended, which finds what the plain patterns find.
 
@@ -22,10 +22,10 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("iban", "ssn", "secret")
 KINDS = BASE_KINDS + ADDED_KINDS
 THRESHOLD, CONTEXT_CHARS = 0.6, 48
-#: Characters of an account number after the country code, by the registry; other codes take any number of 11 to 30.
+#: Characters of an account number with its country code, by the registry; codes that are not listed take any length.
 IBAN_LENGTHS = {
     15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
-    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
     29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
 }
 
@@ -50,7 +50,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": _iban_pattern(),
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "secret": r"(?<![A-Za-z0-9])[A-Za-z0-9]{16,128}+",
+    "secret": r"(?<![A-Za-z0-9])[A-Za-z0-9]{16,}+(?:[._~+/-]++[A-Za-z0-9]++)*+=*+",
 }
 #: Score of a confirmed match, and what context words add to it.
 SCORES = {"iban": 0.8, "ssn": 0.4, "secret": 0.3}
@@ -64,6 +64,8 @@ CONTEXT = {
     "secret": r"(?i)(?:password|passwd|secret|token|api[ _-]?key)[\x20\"'=:]*$",
 }
 CONTEXT_BONUS = 0.4
+#: No match of the kind is shorter, so so many neighbours hold all of a span's context.
+LEAST_CHARS = {"email": 5, "ip": 7, "card": 2, "phone": 4, "iban": 15, "ssn": 11, "secret": 16}
 #: A text that lacks this cannot hold the kind.
 NEEDS = {"email": lambda t: F.contains(t, F.lit("@")), "phone": lambda t: F.contains(t, F.lit("+"))}
 
@@ -133,6 +135,19 @@ CHECKS: dict[str, Callable[[Column], Column]] = {
 _SPAN = "struct<start:long,rank:int,end:long,kind:string,score:double>"
 
 
+def _in_context(found: Column, pieces: Column, i: Column, kind: str) -> Column:
+    """Whether context words of the kind lie in the CONTEXT_CHARS before match i, or (secret: only before) in those after it."""
+    k, most = -(-CONTEXT_CHARS // LEAST_CHARS[kind]), F.lit(CONTEXT_CHARS)
+    first = F.greatest(i - k, F.lit(0))
+    joined = lambda parts, matches, both: F.array_join(F.zip_with(parts, matches, both), "")
+    ended = joined(F.slice(pieces, first + 1, i - first), F.slice(found, first + 1, i - first), lambda p, m: F.concat(F.right(p, most), F.right(m, most)))
+    near = F.right(F.concat(ended, F.right(_at(pieces, i), most)), most).rlike(CONTEXT[kind])
+    if kind == "secret":
+        return near
+    after = joined(F.slice(pieces, i + 2, F.lit(k)), F.slice(found, i + 2, F.lit(k)), lambda p, m: F.concat(F.left(p, most), F.coalesce(F.left(m, most), F.lit(""))))
+    return near | F.left(after, most).rlike(CONTEXT[kind])
+
+
 def _of_kind(text: Column, kind: str) -> Column:
     """The confirmed spans of one kind, in order."""
 
@@ -143,8 +158,7 @@ def _of_kind(text: Column, kind: str) -> Column:
             def rows(before: Column) -> Column:
                 def row(m: Column, i: Column) -> Column:
                     start = _at(before, i) + F.length(_at(pieces, i))
-                    near = F.right(_at(pieces, i), F.lit(CONTEXT_CHARS))
-                    score = F.lit(SCORES.get(kind, 1.0)) + F.when(near.rlike(CONTEXT[kind]), CONTEXT_BONUS).otherwise(0.0)
+                    score = F.lit(SCORES.get(kind, 1.0)) + F.when(_in_context(found, pieces, i, kind), CONTEXT_BONUS).otherwise(0.0)
                     good = CHECKS[kind](m) if kind in BASE_KINDS else CHECKS[kind](m) & (score >= THRESHOLD)
                     return F.when(good, F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), (start + F.length(m)).alias("end"), F.lit(kind).alias("kind"), score.alias("score")))
 

@@ -80,3 +80,17 @@ def test_account_numbers_end_where_their_country_says(spark):
     assert spans(spark, "AT61 1904 3002 3457 3201 BIC BKAUATWW") == "iban:0:24"
     assert spans(spark, "PAY BE68 5390 0754 7034 KBC NOW") == "iban:4:23"
     assert spans(spark, "DE89370400440532013000 AND GB82 WEST 1234 5698 7654 32 ALSO") == "iban:0:22,iban:27:54"
+
+
+def test_context_reaches_over_other_spans_and_follows(spark):
+    assert spans(spark, "SSN: 123-45-6789, 223-45-6789, 323-45-6789.") == "ssn:5:16,ssn:18:29,ssn:31:42"
+    assert spans(spark, "123-45-6789 is the ssn") == "ssn:0:11"
+    assert spans(spark, "123-45-6789 " + "x" * 48 + " ssn") == ""
+    assert spans(spark, "ssn " + "x" * 48 + " 123-45-6789") == ""
+
+
+def test_secrets_are_masked_to_their_end(spark):
+    tail = "a1" * 100
+    assert spans(spark, f"password={tail} end") == "secret:9:209"
+    token = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIi.SflK-xw_RJSM="
+    assert spans(spark, f"token: {token}. Then") == f"secret:7:{7 + len(token)}"
