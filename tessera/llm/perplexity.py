@@ -290,8 +290,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     """row_key, doc_id, lang, the measures, entropy, band edges low and high, base_failed and kept, for each row of docs.
 
     base_failed: under 50 words, or over half of the words lie in 3-word windows that occur twice or more. kept: not
-    base_failed, and the entropy lies in its language's band, or by another language's model in that one's band (of the
-    languages scored in the same pass), as where a language label is wrong. A null text is empty (no words, so base_failed, entropy null). A null
+    base_failed, and the entropy lies in its language's band, or by another language's model in that one's band, as where a language label is wrong. A null text is empty (no words, so base_failed, entropy null). A null
     language is a language of its own, named ''. row_key is a hash of id and text. An empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
@@ -319,6 +318,8 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     if len(passes) > 1:  # languages of empty texts only have no model
         scored = scored.union(texts.where(~F.col("lang").isin(list(sizes))).mapInArrow(_score(spark.sparkContext.broadcast({})), schema))
     scored = stages.keep(scored, "scores")
+    if len(passes) > 1:
+        scored = _second_look(scored, texts, counts, passes, stages)
     stages.drop(counts)
     judged = f"n_words >= {MIN_WORDS}"
     lows = spark.createDataFrame([(lang, *band(x, width)) for lang, x in _histograms(scored.where(judged), "entropy").items()], "lang string, low double, high double")
@@ -329,6 +330,40 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(fits, F.lit(True)) & F.col("word_fits")).drop("other_low", "other_high", "word_fits")
 
 
+def _look(models):
+    """row_key, lang, text, entropy -> row_key, lang, other_lang, other_entropy: for each text the best of the models of other languages, if there are any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs = batch.column(1).to_pylist()
+            data, off = utf8(batch.column(2))
+            best: list[tuple] = [(None, None)] * len(langs)
+            for k, own in enumerate(langs):
+                code, _ = grams(data[off[k] : off[k + 1]], np.array([0, off[k + 1] - off[k]]))
+                seen, times = np.unique(code, return_counts=True)
+                tried = [(float(-(m.log2(seen) * times).sum() / times.sum()), lang) for lang, m in models.value.items() if lang != own]
+                best[k] = min(tried, default=(None, None))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[1] for x in best], pa.string()), pa.array([x[0] for x in best], pa.float64())], ["row_key", "lang", "other_lang", "other_entropy"])
+
+    return run
+
+
+def _second_look(scored: DataFrame, texts: DataFrame, counts: DataFrame, passes: list[list[str]], stages: Stages) -> DataFrame:
+    """scored with other_lang and other_entropy by the models of all passes, as one pass would have them."""
+    spark = scored.sparkSession
+    models = lambda langs: _models(counts, langs) if langs else {}
+    means = spark.createDataFrame([(lang, m.mean) for langs in passes for lang, m in models(langs).items()], "lang string, mean double")
+    high = scored.join(F.broadcast(means), "lang").where(F.col("entropy") > F.col("mean") + SECOND_LOOK).select("row_key", "lang")
+    again = stages.keep(texts.select("row_key", "lang", "text").join(high, ["row_key", "lang"], "left_semi").dropDuplicates(["row_key", "lang"]), "second-look")
+    found = None
+    for langs in passes:
+        part = again.mapInArrow(_look(spark.sparkContext.broadcast(models(langs))), "row_key long, lang string, other_lang string, other_entropy double")
+        found = part if found is None else found.union(part)
+    best = found.where("other_lang is not null").groupBy("row_key", "lang").agg(F.min(F.struct("other_entropy", "other_lang")).alias("best"))
+    best = best.select("row_key", "lang", "best.other_lang", "best.other_entropy")
+    return stages.keep(scored.drop("other_lang", "other_entropy").join(best, ["row_key", "lang"], "left"), "looked")
+
+
 def _histograms(scored: DataFrame, col: str) -> dict[str, list[tuple[int, int]]]:
     """(bin, count) pairs of col by language, in bins of 1 / 1000 bit."""
     rows: dict[str, list] = {}
