@@ -7,8 +7,8 @@ a word model: their cost is fixed, so that rubbish which is frequent enough to b
 broadcast. Counts, and the continuation counts of the lower orders, are Spark aggregations over every text. The model is
 stored as one sorted array of 64-bit n-gram hashes for each order beside arrays of log probabilities and back-off weights.
 
-Bands: a document's cross entropy is compared with the median of its language, in units of the median absolute deviation;
-both come from an exact histogram of all documents in steps of 1 / 1000 bit. Languages whose models exceed the bound of one broadcast together
+Bands: a document's cross entropy is compared with the median of its language, below and above it in units of the median
+deviation of that half; they come from an exact histogram of all documents in steps of 1 / 1000 bit. Languages whose models exceed the bound of one broadcast together
 are scored in several passes.
 """
 
@@ -32,8 +32,9 @@ GRAMS = 1 << (ORDER * BITS)
 #: The most entries of a language's model, and of what one pass broadcasts.
 MODEL_BOUND = sum(1 << (k * BITS) for k in range(1, ORDER + 1))
 PASS_ENTRIES = 4 * MODEL_BOUND
-#: Half the width of the band in robust standard deviations, and the least standard deviation, in bits a character.
+#: How far the upper and the lower edge lie from the median in robust standard deviations of their half, and the least of those, in bits a character.
 WIDTH, LEAST_SPREAD = 14.0, 0.05
+LOW_WIDTH, LEAST_LOW_SPREAD = 8.0, 0.03
 #: How far the word model's upper edge lies above the median in robust standard deviations, and the least of those, in bits a word.
 WORD_WIDTH, LEAST_WORD_SPREAD = 8.0, 0.1
 #: Signs (SIGN) are the model's unknown symbol: each costs so many bits, however often the corpus has it.
@@ -409,19 +410,8 @@ def upper_edge(histogram: list[tuple[int, int]], width: float, least: float) ->
 
 
 def band(histogram: list[tuple[int, int]], width: float) -> tuple[float, float]:
-    """Band around the median of (bin, count) pairs in 1 / 1000 bit: width times the scaled median absolute deviation either way."""
-
-    def middle(pairs: list[tuple[float, int]]) -> float:
-        half, run = sum(c for _, c in pairs) / 2, 0
-        for v, c in sorted(pairs):
-            run += c
-            if run >= half:
-                return v
-        return 0.0
-
-    m = middle(histogram)
-    spread = max(LEAST_SPREAD, 1.4826 * middle([(abs(v - m), c) for v, c in histogram]) / 1000)
-    return m / 1000 - width * spread, m / 1000 + width * spread
+    """Lower and upper edge from (bin, count) pairs in 1 / 1000 bit: LOW_WIDTH robust deviations of the lower half below the median, width of the upper half above."""
+    return -upper_edge([(-v - 1, c) for v, c in histogram], LOW_WIDTH, LEAST_LOW_SPREAD), upper_edge(histogram, width, LEAST_SPREAD)
 
 
 def keep_quality(docs: DataFrame) -> DataFrame:

@@ -102,7 +102,7 @@ def test_a_wrong_label_is_no_reason(spark):
 
 def test_verdicts_do_not_depend_on_the_passes(spark, monkeypatch):
     rng = random.Random(9)
-    kinds = {"aa": names(rng, 300, "abcdef"), "mm": names(rng, 300, "ghijkl"), "zz": names(rng, 300, "tuvwxy")}
+    kinds = {lang: [a + b + c for a in two for b in ("", *two) for c in ("", *two)] for lang, two in (("aa", ("ab", "cd")), ("mm", ("gh", "ij")), ("zz", ("tu", "vw")))}
     rows = [(" ".join(rng.choice(v) for _ in range(80)), lang) for lang, v in kinds.items() for _ in range(30)]
     rows += [(" ".join(rng.choice(kinds["zz"]) for _ in range(80)), "aa"), (" ".join(rng.choice(kinds["aa"]) for _ in range(80)), "mm")]
     columns = ("kept", "entropy", "other_lang", "other_entropy")
@@ -112,3 +112,15 @@ def test_verdicts_do_not_depend_on_the_passes(spark, monkeypatch):
     assert [r[2] for r in one[90:]] == ["zz", "aa"] and all(r[0] for r in one)
     assert [(r[0], r[2]) for r in many] == [(r[0], r[2]) for r in one]
     assert [r[3] for r in many[90:]] == pytest.approx([r[3] for r in one[90:]])
+
+
+def test_either_edge_rejects(spark):
+    rng = random.Random(10)
+    syllables = ["an"] * 6 + ["the", "er", "in", "on", "re", "ed", "st", "ou", "ly"]
+    clean = [" ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))) for _ in range(300)) for _ in range(150)]
+    low = " ".join("an" * rng.randint(1, 40) for _ in range(200))
+    high = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(200))
+    got = verdicts(spark, [(t, "en") for t in [*clean, low, high]])
+    assert all(r.kept for r in got[:150])
+    assert got[150].entropy < got[150].low and got[151].entropy > got[151].high
+    assert not any(r.kept or r.base_failed for r in got[150:])
