@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 
 from .common import CHUNK_BYTES, chunks
-from .scan import Memo, code_points, quiet, ragged, split_byte_level, token_hashes
+from .scan import Clash, Memo, code_points, distinct_tokens, quiet, ragged, split_byte_level
 
 _encoders: dict[str, Encoder] = {}
 
@@ -46,20 +46,30 @@ class Encoder:
             if len(offsets) > 2:
                 parts = [self._chunk(data[a:b], np.array([0, b - a])) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            ids = np.array(self.library.encode(raw.decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)
-            return ids, np.array([len(ids)])
-        text = raw.decode("utf-8", "replace")
+            return self._whole(data, offsets)
+        try:
+            return self._remembered(data, offsets, raw.decode("utf-8", "replace"))
+        except Clash:
+            return self._whole(data, offsets)
+
+    def _whole(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Every row by the library."""
+        rows = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        ids = [np.array(self.library.encode(r, add_special_tokens=False).ids, np.uint32) for r in rows]
+        return np.concatenate([np.zeros(0, np.uint32), *ids]), np.array([len(x) for x in ids], np.int64)
+
+    def _remembered(self, data: np.ndarray, offsets: np.ndarray, text: str) -> tuple[np.ndarray, np.ndarray]:
         lead = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
         at = lead[offsets]
         cps = code_points(text)
         start, end = split_byte_level(cps, at)
-        h, first, inverse = np.unique(token_hashes(cps, start, end), return_index=True, return_inverse=True)
+        h, checks, first, inverse = distinct_tokens(cps, start, end)
 
         def encode(which: np.ndarray) -> list:
             model = self.library.model
             return [[t.id for t in model.tokenize(text[a:b].encode().decode("latin-1").translate(self.chars))] for a, b in zip(start[which].tolist(), end[which].tolist(), strict=True)]
 
-        place = self.memo.find(h, first, encode)[inverse]
+        place = self.memo.find(h, checks, first, encode)[inverse]
         length = self.memo.length[place]
         ends = np.concatenate(([0], np.cumsum(length)))
         return ragged(self.memo.flat, self.memo.start[place], length), np.diff(ends[np.searchsorted(start, at)])

@@ -1,194 +1,49 @@
 """Quality rules: plain text measures, and n-gram perplexity with bands for each language.
 
-The model is a modified Kneser-Ney model of order 4 over an alphabet of 32 symbols: the letters a to z without accents or
-case, white space, digits, stops, signs, other letters, and the text's edge. Signs such as * or | count as unknown words do in
-a word model: their cost is fixed, so that rubbish which is frequent enough to be learnt still shows. So a language has at most
-32 ** 4 n-grams of the highest order, and its model at most MODEL_BOUND entries, however large the corpus: that bounds what is
-broadcast. Counts, and the continuation counts of the lower orders, are Spark aggregations over every text. The model is
-stored as one sorted array of 64-bit n-gram hashes for each order beside arrays of log probabilities and back-off weights.
-
-Bands: a document's cross entropy is compared with the median of its language, below and above it in units of the median
-deviation of that half; they come from an exact histogram of all documents in steps of 1 / 1000 bit. Languages whose models exceed the bound of one broadcast together
-are scored in several passes.
+The model is charmodel.py's: modified Kneser-Ney over code points, counted by Spark from every text, each text being scored by the
+counts of the other half of the texts. A document's cross entropy in bits a code point must lie between its language's edges: the
+median less LOW_WIDTH, or plus HIGH_WIDTH, robust deviations of the scores on that side, from an exact histogram of all documents in steps of 1 / 1000
+bit. Short texts vary more, so there are edges for each language and class of length. Rubbish is seldom as predictable as prose: lists of
+words and signs learnt from their likes fall under the lower edge, unlikely texts lie above the upper one. A text above its
+language's upper edge may only be labelled wrongly; it is scored by all languages' models, and stays if one finds it ordinary.
 """
 
 from __future__ import annotations
 
-import unicodedata
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, Stages, chunks, utf8
-from .shingles import BASE, INVERSE, U, mix, powers
-from .wordmodel import WordModels
+from .charmodel import CharModels
+from .common import Stages, fresh
+from .shingles import U, mix, span_hashes, word_spans
 
-ORDER, BITS = 4, 5
-SPACE, DIGIT, STOP, SIGN, OTHER = 27, 28, 29, 30, 31
-GRAMS = 1 << (ORDER * BITS)
-#: The most entries of a language's model, and of what one pass broadcasts.
-MODEL_BOUND = sum(1 << (k * BITS) for k in range(1, ORDER + 1))
-PASS_ENTRIES = 4 * MODEL_BOUND
-#: How far the upper and the lower edge lie from the median in robust standard deviations of their half, and the least of those, in bits a character.
-WIDTH, LEAST_SPREAD = 14.0, 0.05
-LOW_WIDTH, LEAST_LOW_SPREAD = 8.0, 0.03
-#: How far the word model's upper edge lies above the median in robust standard deviations, and the least of those, in bits a word.
-WORD_WIDTH, LEAST_WORD_SPREAD = 8.0, 0.1
-#: Signs (SIGN) are the model's unknown symbol: each costs so many bits, however often the corpus has it.
-UNKNOWN_BITS = 20.0
-#: A text this many bits a character above its language's mean is scored by the other languages' models, too: its label may be wrong.
-SECOND_LOOK = 0.4
+#: How far the upper and the lower edge lie from the median in robust standard deviations of their half, and the least of those, in bits.
+HIGH_WIDTH, LOW_WIDTH, LEAST_SPREAD = 4.0, 4.0, 0.015
+#: Classes of length, by the power of two below the number of code points: the first and the last.
+SHORTEST, LONGEST = 9, 13
+#: To each class so many documents of the whole language are added at most, so that a class of few texts is not its own measure.
+PRIOR = 50
 #: Base rules.
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
-_RAW = np.random.default_rng(99).integers(1 << 32, 1 << 63, 256).astype(U) * U(2) + U(1)
-_SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-_SIGNS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
-
-
-def _symbol_table() -> np.ndarray:
-    table = np.full(0x110000, OTHER, np.uint8)
-    for cp in range(0x2000):
-        c = chr(cp)
-        base = unicodedata.normalize("NFD", c)[0].lower()
-        kind = unicodedata.category(c)
-        if "a" <= base <= "z":
-            table[cp] = ord(base) - 96
-        elif c.isspace():
-            table[cp] = SPACE
-        elif kind == "Nd":
-            table[cp] = DIGIT
-        elif c in ".,;:!?'\"()-":
-            table[cp] = STOP
-        elif kind[0] in "PSC":
-            table[cp] = SIGN
-    table[0x2000:0x2070] = STOP
-    return table
-
-
-_TABLE: list[np.ndarray] = []
-
-
-def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The packed n-gram that ends at each code point, texts being preceded by edge symbols; and where each text's begin."""
-    if not _TABLE:
-        _TABLE.append(_symbol_table())
-    cps = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32)
-    lead = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-    at = lead[offsets]
-    sym = _TABLE[0][np.minimum(cps, 0x10FFFF)].astype(np.int32)
-    code = sym.copy()
-    doc_start = np.repeat(at[:-1], np.diff(at))
-    place = np.arange(len(sym)) - doc_start
-    for k in range(1, ORDER):
-        code[k:] |= np.where(place[k:] >= k, sym[:-k], 0) << (k * BITS)
-    return code, at
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """lang, text -> lang, gram, n: the counts of one partition; at most 8 languages are held at once."""
-    held: dict[str, np.ndarray] = {}
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        for lang, c in held.items():
-            g = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), len(g)), pa.array(g.astype(np.int32)), pa.array(c[g])], ["lang", "gram", "n"])
-        held.clear()
-
-    for batch in batches:
-        langs = np.array(batch.column(0).to_pylist(), object)
-        data, off = utf8(batch.column(1))
-        for i, j in chunks(off, CHUNK_BYTES):
-            code, at = grams(data[off[i] : off[j]], off[i : j + 1] - off[i])
-            names, which = np.unique(langs[i:j].astype(str), return_inverse=True)
-            which = np.repeat(which, np.diff(at))
-            for k, lang in enumerate(names.tolist()):
-                if lang not in held and len(held) == 8:
-                    yield from flush()
-                c = np.bincount(code[which == k] if len(names) > 1 else code, minlength=GRAMS)
-                held[lang] = held[lang] + c if lang in held else c
-    yield from flush()
-
-
-def _discounts(c: np.ndarray) -> np.ndarray:
-    """Discount by count 0, 1, 2, 3 and more, from the counts of counts."""
-    n = [int((c == k).sum()) for k in range(1, 5)]
-    if min(n) == 0:
-        return np.array([0.0, 0.5, 0.75, 0.9])
-    y = n[0] / (n[0] + 2 * n[1])
-    return np.array([0.0, *(min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.05), k - 0.05) for k in (1, 2, 3))])
-
-
-def gram_hash(order: int, gram: np.ndarray) -> np.ndarray:
-    return mix(gram.astype(U) + U(order << 32))
-
-
-class Model:
-    """Modified Kneser-Ney probabilities: for each order a sorted hash array, log2 probabilities, and back-off weights by context."""
-
-    def __init__(self, counts: dict[int, tuple[np.ndarray, np.ndarray]]):
-        """counts: (n-grams ascending, counts) by order; those below the highest are continuation counts."""
-        self.keys, self.logs, self.ctx, self.back = [], [], [], []
-        lower = None
-        for order in range(1, ORDER + 1):
-            g, c = counts[order]
-            d = _discounts(c)[np.minimum(c, 3)]
-            ctx, first, inv = np.unique(g >> BITS, return_index=True, return_inverse=True)
-            total = np.bincount(inv, c)
-            gamma = np.bincount(inv, d) / total
-            below = np.full(len(g), 1 / 32) if lower is None else lower[np.searchsorted(counts[order - 1][0], g & ((1 << BITS * (order - 1)) - 1))]
-            p = (c - d) / total[inv] + gamma[inv] * below
-            lower = p
-            h, hc = gram_hash(order, g), gram_hash(order, ctx)
-            o, oc = np.argsort(h), np.argsort(hc)
-            self.keys.append(h[o])
-            self.logs.append(np.log2(p)[o].astype(np.float32))
-            self.ctx.append(hc[oc])
-            self.back.append(np.log2(gamma)[oc].astype(np.float32))
-
-        g, c = counts[ORDER]
-        #: Bits a character of the counted texts.
-        self.mean = float(-(self.log2(g) * c).sum() / c.sum())
-
-    def log2(self, gram: np.ndarray) -> np.ndarray:
-        """Log probability of each n-gram's last symbol after the others, backing off to shorter ones."""
-        out, todo, weight = np.empty(len(gram), np.float32), np.arange(len(gram)), np.zeros(len(gram), np.float32)
-        for order in range(ORDER, 0, -1):
-            g = gram[todo] & ((1 << BITS * order) - 1)
-            h = gram_hash(order, g)
-            at = np.minimum(np.searchsorted(self.keys[order - 1], h), len(self.keys[order - 1]) - 1)
-            hit = self.keys[order - 1][at] == h
-            out[todo[hit]] = weight[todo[hit]] + self.logs[order - 1][at[hit]]
-            todo, g = todo[~hit], g[~hit]
-            h = gram_hash(order, g >> BITS)
-            at = np.minimum(np.searchsorted(self.ctx[order - 1], h), len(self.ctx[order - 1]) - 1)
-            weight[todo] += np.where(self.ctx[order - 1][at] == h, self.back[order - 1][at], 0)
-        out[todo] = weight[todo] - 5
-        out[gram & (1 << BITS) - 1 == SIGN] = -UNKNOWN_BITS
-        return out
+#: Up to so many keys of 16 bytes are broadcast; more are shuffled.
+BROADCAST_KEYS = 4_000_000
+_BLANK = b" \t\n\v\f\r"
+_SPACES = np.isin(np.arange(256), list(_BLANK))
+_SIGNS = np.isin(np.arange(256), list(b"#*$%&|<>"))
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def measures(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-    """The base measures of each text, all on its bytes: words are runs of bytes that are not ASCII white space."""
+    """The base measures of each text, all on its bytes: words are runs of bytes that are not ASCII white space. Lines are compared themselves, word windows by 64-bit hashes."""
     n = len(offsets) - 1
-    inside = ~_SPACES[data]
     cum = lambda x: np.concatenate(([0], np.cumsum(x)))
     by_row = lambda c: c[offsets[1:]] - c[offsets[:-1]]
-    in_words = cum(inside)
-    cut = offsets[:-1][(offsets[:-1] > 0) & (offsets[:-1] < len(data))]
-    first, last = inside.copy(), inside.copy()
-    first[1:] &= ~inside[:-1]
-    last[:-1] &= ~inside[1:]
-    first[cut], last[cut - 1] = inside[cut], inside[cut - 1]
-    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    total = np.concatenate((np.zeros(1, U), np.cumsum(_RAW[data] * powers(BASE, len(data)))))
-    inv = powers(INVERSE, len(data) + 1)
-    word = mix((total[end] - total[start]) * inv[start])
-    at = np.searchsorted(start, offsets)
+    start, end, at = word_spans(data, offsets)
+    word = span_hashes(data, start, end)[0]
     window = mix(word[:-2] * U(3) + word[1:-1] * U(0xD6E8FEB86659FD93) + word[2:] * U(0xA0761D6478BD642F)) if len(word) > 2 else np.zeros(0, U)
-    repeated = np.zeros(n, np.int64)
+    repeated, dup = np.zeros(n, np.int64), np.zeros(n, np.int64)
     for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
         if b - a > 3:
             w = window[a : b - 2]
@@ -201,196 +56,75 @@ def measures(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
                 places = order[hit]
                 cover[places] = cover[places + 1] = cover[places + 2] = True
                 repeated[i] = cover.sum()
-    # Lines: cut at \n and at the texts' edges.
-    breaks = np.flatnonzero(data == 10)
-    lo, hi = np.concatenate((offsets[:-1], breaks + 1)), np.concatenate((offsets[1:], breaks))
-    row = np.concatenate((np.arange(n), np.searchsorted(offsets, breaks, "right") - 1))
-    lo.sort(kind="stable")
-    hi.sort(kind="stable")
-    row.sort(kind="stable")
-    has = in_words[hi] > in_words[lo]
-    lo, hi, row = lo[has], hi[has], row[has]
-    line = mix((total[hi] - total[lo]) * inv[lo])
-    o = np.lexsort((line, row))
-    twice = (line[o][1:] == line[o][:-1]) & (row[o][1:] == row[o][:-1])
-    dup = np.bincount(row[o][1:][twice], minlength=n)
+    raw = data.tobytes()
+    for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+        lines = [x for x in raw[a:b].split(b"\n") if x.strip(_BLANK)]
+        dup[i] = len(lines) - len(set(lines))
+    inside = ~_SPACES[data]
     return {"n_words": np.diff(at), "word_chars": by_row(cum(inside & ((data & 0xC0) != 0x80))), "n_symbols": by_row(cum(_SIGNS[data])), "n_dup_lines": dup, "n_repeat_words": repeated}
 
 
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-
-
-def _score(models):
-    """row_key, doc_id, lang, text -> measures, cross entropy in bits a character (null for an empty text), and for a high one the best other language's."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, off = utf8(batch.column(3))
-            langs = batch.column(2).to_pylist()
-            for i, j in chunks(off, CHUNK_BYTES):
-                d, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
-                m = measures(d, o)
-                code, at = grams(d, o)
-                bits = np.zeros(j - i)
-                names = np.array(langs[i:j], object).astype(str)
-                chars = np.diff(at)
-                for lang in set(names.tolist()):
-                    mine = np.repeat(names == lang, chars)
-                    own = code[mine]
-                    if len(own):
-                        table = np.zeros(GRAMS, np.float32)
-                        seen = np.flatnonzero(np.bincount(own, minlength=GRAMS))
-                        table[seen] = models.value[lang].log2(seen)
-                        sums = np.concatenate(([0.0], np.cumsum(table[own], dtype=np.float64)))
-                        edge = np.concatenate(([0], np.cumsum(np.where(names == lang, chars, 0))))
-                        bits += sums[edge[1:]] - sums[edge[:-1]]
-                own_bits = -bits / np.maximum(chars, 1)
-                others, other_bits = [None] * (j - i), [None] * (j - i)
-                means = {lang: m.mean for lang, m in models.value.items()}
-                for k in np.flatnonzero((chars > 0) & (own_bits > np.array([means.get(x, np.inf) for x in names.tolist()]) + SECOND_LOOK)).tolist():
-                    seen, times = np.unique(code[at[k] : at[k + 1]], return_counts=True)
-                    tried = [(float(-(m.log2(seen) * times).sum() / times.sum()), lang) for lang, m in models.value.items() if lang != names[k]]
-                    if tried:
-                        other_bits[k], others[k] = min(tried)
-                entropy = pa.array(own_bits, pa.float64(), mask=chars == 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), batch.column(2).slice(i, j - i), *(pa.array(m[c].astype(np.int64)) for c in MEASURES), entropy, pa.array(others, pa.string()), pa.array(other_bits, pa.float64())], ["row_key", "doc_id", "lang", *MEASURES, "entropy", "other_lang", "other_entropy"])
-
-    return run
-
-
-def ngram_counts(texts: DataFrame) -> DataFrame:
-    """lang, ord, gram, n: counts of the highest order, continuation counts below (the number of distinct symbols in front)."""
-    top = texts.select("lang", "text").mapInArrow(_count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    return top.select("lang", F.lit(ORDER).alias("ord"), "gram", "n")
+def _columns(data: np.ndarray, offsets: np.ndarray) -> dict[str, pa.Array]:
+    return {k: pa.array(v.astype(np.int64)) for k, v in measures(data, offsets).items()}
 
 
-def _with_lower(top: DataFrame) -> DataFrame:
-    out, above = top, top
-    for order in range(ORDER - 1, 0, -1):
-        above = above.groupBy("lang", F.col("gram").bitwiseAND((1 << BITS * order) - 1).alias("gram")).agg(F.count(F.lit(1)).alias("n")).select("lang", F.lit(order).alias("ord"), "gram", "n")
-        out = out.union(above)
-    return out
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", high_width: float = HIGH_WIDTH, low_width: float = LOW_WIDTH) -> DataFrame:
+    """row_key, doc_id, lang, the measures, entropy, edges low and high, base_failed and kept, for each row of docs.
 
-
-def _models(counts: DataFrame, langs: list[str]) -> dict[str, Model]:
-    t = counts.where(F.col("lang").isin(langs)).toArrow()
-    lang, order, gram, n = (np.array(t[c].to_numpy(zero_copy_only=False)) for c in ("lang", "ord", "gram", "n"))
-    out = {}
-    for name in langs:
-        parts = {}
-        for k in range(1, ORDER + 1):
-            own = (lang == name) & (order == k)
-            o = np.argsort(gram[own])
-            parts[k] = (gram[own][o].astype(np.int64), n[own][o].astype(np.int64))
-        if len(parts[ORDER][0]):
-            out[name] = Model(parts)
-    return out
-
-
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", width: float = WIDTH) -> DataFrame:
-    """row_key, doc_id, lang, the measures, entropy, band edges low and high, base_failed and kept, for each row of docs.
-
-    base_failed: under 50 words, or over half of the words lie in 3-word windows that occur twice or more. kept: not
-    base_failed, and the entropy lies in its language's band, or by another language's model in that one's band, as where a language label is wrong. A null text is empty (no words, so base_failed, entropy null). A null
-    language is a language of its own, named ''. row_key is a hash of id and text. An empty table gives an empty result; other columns are ignored.
+    base_failed: under MIN_WORDS words, or over half of the words lie in 3-word windows that occur twice or more. kept: not base_failed, and the
+    entropy lies between its language's edges, or by another language's model between that one's, as where a language label is wrong. A null
+    text is empty (no words, so base_failed, entropy null). Entropy is null, too, where the other half has no text of the language;
+    such texts stay. A null language is a language of its own, named ''. Repeated rows get the same verdict. row_key is a hash
+    of id, language and text. An empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
     stages = Stages(spark)
     id_c, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    texts = docs.select(F.xxhash64(id_c, text).alias("row_key"), id_c.alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), text.alias("text"))
-    top = stages.keep(ngram_counts(texts), "ngrams")
-    counts = stages.keep(_with_lower(top), "orders")
-    stages.drop(top)
-    sizes = {r[0]: r[1] for r in counts.groupBy("lang").count().toLocalIterator()}
-    schema = "row_key long, doc_id long, lang string, " + ", ".join(f"{c} long" for c in MEASURES) + ", entropy double, other_lang string, other_entropy double"
-    passes: list[list[str]] = [[]]
-    held = 0
-    for lang in sorted(sizes):
-        if held + sizes[lang] > PASS_ENTRIES and passes[-1]:
-            passes.append([])
-            held = 0
-        passes[-1].append(lang)
-        held += sizes[lang]
-    scored = None
-    for langs in passes:
-        some = texts if len(passes) == 1 else texts.where(F.col("lang").isin(langs))
-        part = some.mapInArrow(_score(spark.sparkContext.broadcast(_models(counts, langs) if langs else {})), schema)
-        scored = part if scored is None else scored.union(part)
-    if len(passes) > 1:  # languages of empty texts only have no model
-        scored = scored.union(texts.where(~F.col("lang").isin(list(sizes))).mapInArrow(_score(spark.sparkContext.broadcast({})), schema))
-    scored = stages.keep(scored, "scores")
-    if len(passes) > 1:
-        scored = _second_look(scored, texts, counts, passes, stages)
-    stages.drop(counts)
-    judged = f"n_words >= {MIN_WORDS}"
-    lows = spark.createDataFrame([(lang, *band(x, width)) for lang, x in _histograms(scored.where(judged), "entropy").items()], "lang string, low double, high double")
+    lang = F.coalesce(F.col(lang_col).cast("string"), F.lit(""))
+    texts = docs.select(row_key(id_c, lang, text).alias("row_key"), id_c.alias("doc_id"), lang.alias("lang"), F.xxhash64(lang).alias("lang_id"), F.xxhash64(text).bitwiseAND(1).cast("long").alias("fold"), text.alias("text"))
+    models = CharModels(texts, stages)
+    more = "".join(f", {c} long" for c in MEASURES)
+    scored = stages.keep(models.score(texts, "row_key long, doc_id long, lang string", _columns, more), "scores")
     failed = F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEATED_PERCENT} * n_words")
-    out = scored.join(lows, "lang", "left").join(lows.toDF("other_lang", "other_low", "other_high"), "other_lang", "left").withColumn("base_failed", failed)
-    fits = F.col("entropy").between(F.col("low"), F.col("high")) | F.coalesce(F.col("other_entropy").between(F.col("other_low"), F.col("other_high")), F.lit(False))
-    out = _with_words(out, texts, stages)
-    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(fits, F.lit(True)) & F.col("word_fits")).drop("other_low", "other_high", "word_fits")
-
-
-def _look(models):
-    """row_key, lang, text, entropy -> row_key, lang, other_lang, other_entropy: for each text the best of the models of other languages, if there are any."""
+    scored = scored.withColumn("base_failed", failed).withColumn("size", _length_class(F.col("n")))
+    bands = F.broadcast(spark.createDataFrame(_bands(scored.where("not base_failed"), high_width, low_width), "lang string, size int, low double, high double"))
+    out = scored.join(bands, ["lang", "size"], "left")
+    flagged = stages.keep(out.where("not base_failed and entropy > high").select("row_key", "size").distinct(), "flagged")
+    langs = [r[0] for r in bands.select(F.xxhash64("lang")).distinct().collect()]
+    again = texts.select("row_key", "fold", "text").join(_small(flagged.select("row_key")), "row_key", "left_semi").dropDuplicates(["row_key"])
+    other = models.score_by_all(again, langs).join(flagged, "row_key").join(bands.withColumn("by", F.xxhash64("lang")).drop("lang"), ["by", "size"])
+    fits = other.where("entropy between low and high").select("row_key", F.lit(True).alias("elsewhere")).distinct()
+    fits = stages.keep(fits, "second-look")
+    models.drop()
+    own = F.coalesce(F.col("entropy").between(F.col("low"), F.col("high")), F.lit(True))
+    out = out.join(_small(fits), "row_key", "left").withColumn("kept", ~F.col("base_failed") & (own | F.coalesce("elsewhere", F.lit(False))))
+    return out.select("row_key", "doc_id", "lang", *MEASURES, "entropy", "low", "high", "base_failed", "kept")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs = batch.column(1).to_pylist()
-            data, off = utf8(batch.column(2))
-            best: list[tuple] = [(None, None)] * len(langs)
-            for k, own in enumerate(langs):
-                code, _ = grams(data[off[k] : off[k + 1]], np.array([0, off[k + 1] - off[k]]))
-                seen, times = np.unique(code, return_counts=True)
-                tried = [(float(-(m.log2(seen) * times).sum() / times.sum()), lang) for lang, m in models.value.items() if lang != own]
-                best[k] = min(tried, default=(None, None))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[1] for x in best], pa.string()), pa.array([x[0] for x in best], pa.float64())], ["row_key", "lang", "other_lang", "other_entropy"])
 
-    return run
+def row_key(doc_id: Column, lang: Column, text: Column) -> Column:
+    return F.xxhash64(doc_id, lang, text)
 
 
-def _second_look(scored: DataFrame, texts: DataFrame, counts: DataFrame, passes: list[list[str]], stages: Stages) -> DataFrame:
-    """scored with other_lang and other_entropy by the models of all passes, as one pass would have them."""
-    spark = scored.sparkSession
-    models = lambda langs: _models(counts, langs) if langs else {}
-    means = spark.createDataFrame([(lang, m.mean) for langs in passes for lang, m in models(langs).items()], "lang string, mean double")
-    high = scored.join(F.broadcast(means), "lang").where(F.col("entropy") > F.col("mean") + SECOND_LOOK).select("row_key", "lang")
-    again = stages.keep(texts.select("row_key", "lang", "text").join(high, ["row_key", "lang"], "left_semi").dropDuplicates(["row_key", "lang"]), "second-look")
-    found = None
-    for langs in passes:
-        part = again.mapInArrow(_look(spark.sparkContext.broadcast(models(langs))), "row_key long, lang string, other_lang string, other_entropy double")
-        found = part if found is None else found.union(part)
-    best = found.where("other_lang is not null").groupBy("row_key", "lang").agg(F.min(F.struct("other_entropy", "other_lang")).alias("best"))
-    best = best.select("row_key", "lang", "best.other_lang", "best.other_entropy")
-    return stages.keep(scored.drop("other_lang", "other_entropy").join(best, ["row_key", "lang"], "left"), "looked")
+def _small(keys: DataFrame) -> DataFrame:
+    """keys, broadcast if their number is below the bound."""
+    return F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys
 
 
-def _histograms(scored: DataFrame, col: str) -> dict[str, list[tuple[int, int]]]:
-    """(bin, count) pairs of col by language, in bins of 1 / 1000 bit."""
-    rows: dict[str, list] = {}
-    for r in scored.where(F.col(col).isNotNull()).groupBy("lang", F.floor(F.col(col) * 1000).alias("bin")).agg(F.count(F.lit(1)).alias("n")).toLocalIterator():
-        rows.setdefault(r[0], []).append((r[1], r[2]))
-    return rows
+def _length_class(n: Column) -> Column:
+    return sum(((n >= 1 << k).cast("int") for k in range(SHORTEST + 1, LONGEST + 1)), F.lit(SHORTEST)).cast("int")
 
 
-def _with_words(out: DataFrame, texts: DataFrame, stages: Stages) -> DataFrame:
-    """out with word_entropy, word_high, and word_fits: not above the upper edge of its language's word model, or of another's."""
-    spark = out.sparkSession
-    hashed = texts.select("row_key", F.xxhash64("lang").alias("lang_id"), F.xxhash64("text").bitwiseAND(1).alias("fold"), "text")
-    models = WordModels(hashed, stages)
-    scores = stages.keep(models.score(hashed), "word-scores")
-    out = stages.keep(out.withColumn("lang_id", F.xxhash64("lang")).join(scores, ["row_key", "lang_id"], "left"), "worded")
-    edges = [(lang, upper_edge(x, WORD_WIDTH, LEAST_WORD_SPREAD)) for lang, x in _histograms(out.where("not base_failed"), "word_entropy").items()]
-    highs = F.broadcast(spark.createDataFrame(edges, "lang string, word_high double"))
-    out = out.join(highs, "lang", "left")
-    flagged = out.where("not base_failed and word_entropy > word_high").select("row_key").distinct()
-    others = highs.select(F.xxhash64("lang").alias("lang_id"), "word_high")
-    again = hashed.drop("lang_id").join(F.broadcast(flagged), "row_key", "left_semi").crossJoin(others.select("lang_id"))
-    fits = models.score(again).join(others, "lang_id").where("word_entropy <= word_high").select("row_key", F.lit(True).alias("elsewhere")).distinct()
-    fits = stages.keep(fits, "word-second-look")
-    models.drop()
-    own = F.coalesce(F.col("word_entropy") <= F.col("word_high"), F.lit(True))
-    return out.join(fits, "row_key", "left").withColumn("word_fits", own | F.coalesce("elsewhere", F.lit(False))).drop("elsewhere", "lang_id")
+def _bands(scored: DataFrame, high_width: float, low_width: float) -> list[tuple[str, int, float, float]]:
+    """(lang, size, low, high) from the histogram; its length is the number of languages times the bins that occur, which entropy bounds."""
+    rows: dict[tuple, list] = {}
+    for r in scored.where("entropy is not null").groupBy("lang", "size", F.floor(F.col("entropy") * 1000).alias("bin")).agg(F.count(F.lit(1)).alias("n")).toLocalIterator():
+        rows.setdefault((r[0], r[1]), []).append((r[2], r[3]))
+    of: dict[str, dict[int, int]] = {}
+    for (lang, _), x in rows.items():
+        for b, c in x:
+            of.setdefault(lang, {})[b] = of.get(lang, {}).get(b, 0) + c
+    share = {lang: min(1.0, PRIOR / sum(h.values())) for lang, h in of.items()}
+    return [(*k, *band([*x, *((b, c * share[k[0]]) for b, c in of[k[0]].items())], high_width, low_width)) for k, x in rows.items()]
 
 
 def _middle(pairs: list[tuple[float, int]]) -> float:
@@ -402,22 +136,27 @@ def _middle(pairs: list[tuple[float, int]]) -> float:
     return 0.0
 
 
-def upper_edge(histogram: list[tuple[int, int]], width: float, least: float) -> float:
-    """The median plus width robust deviations of the upper half, in bits; wider for a language of few texts, whose spread is not known well."""
+def upper_edge(histogram: list[tuple[int, int]], width: float) -> float:
+    """The median plus width robust deviations of the upper half, in bits; wider for few texts, whose spread is not known well."""
     m, n = _middle(histogram), sum(c for _, c in histogram)
-    spread = max(least, 1.4826 * _middle([(v - m, c) for v, c in histogram if v >= m]) / 1000)
+    spread = max(LEAST_SPREAD, 1.4826 * _middle([(v - m, c) for v, c in histogram if v >= m]) / 1000)
     return (m + 1) / 1000 + width * (1 + 20 / n) * spread
 
 
-def band(histogram: list[tuple[int, int]], width: float) -> tuple[float, float]:
-    """Lower and upper edge from (bin, count) pairs in 1 / 1000 bit: LOW_WIDTH robust deviations of the lower half below the median, width of the upper half above."""
-    return -upper_edge([(-v - 1, c) for v, c in histogram], LOW_WIDTH, LEAST_LOW_SPREAD), upper_edge(histogram, width, LEAST_SPREAD)
+def band(histogram: list[tuple[int, int]], high_width: float = HIGH_WIDTH, low_width: float = LOW_WIDTH) -> tuple[float, float]:
+    """Lower and upper edge from (bin, count) pairs in 1 / 1000 bit."""
+    return -upper_edge([(-v - 1, c) for v, c in histogram], low_width), upper_edge(histogram, high_width)
 
 
 def keep_quality(docs: DataFrame) -> DataFrame:
-    """The rows of docs that quality() keeps, with all their columns."""
+    """The rows of docs that quality() keeps, with all their columns, whatever their names.
+
+    Null texts go (they have no words), null ids and languages are judged like others, repeated rows stay or go together, an empty table stays empty.
+    """
     stages = Stages(docs.sparkSession)
-    rejected = stages.keep(quality(docs).where("not kept").select("row_key").distinct(), "rejected")
-    rejected = F.broadcast(rejected) if rejected.count() <= 4_000_000 else rejected
-    key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return docs.join(rejected.withColumnRenamed("row_key", "_rejected_key"), key == F.col("_rejected_key"), "left_anti")
+    rejected = stages.keep(quality(docs).where("not kept").select("row_key", "doc_id").distinct(), "rejected")
+    key, name = fresh(docs, "key"), fresh(docs, "name")
+    keyed = docs.withColumn(key, row_key(F.col("doc_id").cast("long"), F.coalesce(F.col("lang").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    rejected = _small(rejected).toDF(key, name)
+    same = (keyed[key] == rejected[key]) & keyed["doc_id"].cast("long").eqNullSafe(rejected[name])
+    return keyed.join(rejected, same, "left_anti").drop(key)

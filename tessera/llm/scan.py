@@ -1,8 +1,8 @@
 """Tokenisers' splitting rules over whole batches of texts, and a memo of the tokens seen before.
 
 A batch's code points are classed (letter, number, white space, other) by tables, the boundaries of all tokens follow from the classes of
-neighbours, and each token gets a 64-bit hash from prefix sums. Only tokens whose hash is new to this Python worker are encoded one
-by one; all others copy their ids from the memo. The memo is emptied at MEMO_ENTRIES, which bounds its memory.
+neighbours, and each token gets two independent 64-bit hashes. Only tokens that are new to this Python worker are encoded one by one; all
+others copy their ids from the memo, after the second hash has confirmed the hit. The memo is emptied at MEMO_ENTRIES, which bounds its memory.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from itertools import chain
 
 import numpy as np
 
-from .shingles import BASE, INVERSE, U, mix, powers
+from .shingles import U, span_hashes
 
 LETTER, NUMBER, SPACE, OTHER = range(4)
 MEMO_ENTRIES = 3_000_000
@@ -34,7 +34,6 @@ def class_table() -> np.ndarray:
                 inside[a:b] = False
             table[at[inside]] = kind
         _tables.append(table)
-        _tables.append(mix(np.arange(0x110000, dtype=U) * U(0x9E3779B97F4A7C15) + U(12345)) | U(1))
     return _tables[0]
 
 
@@ -123,23 +122,32 @@ def ragged(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarra
     return flat[np.repeat(start - (ends - length), length) + np.arange(total)]
 
 
+class Clash(Exception):
+    """Two different tokens have the same first hash; the caller encodes without a memo."""
+
+
 class Memo:
-    """Values (slices of a flat array) by 64-bit hash."""
+    """Values (slices of a flat array) by 64-bit hash, each hit being confirmed by a second hash."""
 
     def __init__(self, dtype):
         self.dtype = dtype
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.start, self.length = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.keys, self.checks, self.start, self.length = np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat = np.zeros(0, self.dtype)
 
-    def find(self, h: np.ndarray, first: np.ndarray, encode: Callable[[np.ndarray], list]) -> np.ndarray:
+    def find(self, h: np.ndarray, checks: np.ndarray, first: np.ndarray, encode: Callable[[np.ndarray], list]) -> np.ndarray:
         """Places of the sorted distinct hashes h among the entries; encode(first of the new ones) gives what new ones stand for."""
         if len(self.keys) + len(h) > MEMO_ENTRIES:
             self.clear()
         at = np.searchsorted(self.keys, h)
-        new = np.ones(len(h), bool) if not len(self.keys) else self.keys[np.minimum(at, len(self.keys) - 1)] != h
+        new = np.ones(len(h), bool)
+        if len(self.keys):
+            near = np.minimum(at, len(self.keys) - 1)
+            new = self.keys[near] != h
+            if (self.checks[near] != checks)[~new].any():
+                raise Clash
         if new.any():
             values = encode(first[new])
             length = np.fromiter(map(len, values), np.int64, len(values))
@@ -147,17 +155,24 @@ class Memo:
             start = len(self.flat) + np.cumsum(length) - length
             self.flat = np.concatenate((self.flat, joined))
             where = at[new]
-            self.keys, self.start, self.length = np.insert(self.keys, where, h[new]), np.insert(self.start, where, start), np.insert(self.length, where, length)
+            self.keys, self.checks = np.insert(self.keys, where, h[new]), np.insert(self.checks, where, checks[new])
+            self.start, self.length = np.insert(self.start, where, start), np.insert(self.length, where, length)
             at = np.searchsorted(self.keys, h)
         return at
 
 
-def token_hashes(cps: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    class_table()
-    total = np.empty(len(cps) + 1, U)
-    total[0] = 0
-    np.cumsum(_tables[1][cps] * powers(BASE, len(cps)), out=total[1:])
-    return mix((total[end] - total[start]) * powers(INVERSE, len(cps) + 1)[start] + (end - start).astype(U) * U(0xA0761D6478BD642F))
+def token_hashes(cps: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each token."""
+    return span_hashes(cps, start, end, checks=True)
+
+
+def distinct_tokens(cps: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The tokens' distinct hashes in order, their second hashes, the first token of each, and each token's place among them."""
+    hashes, checks = token_hashes(cps, start, end)
+    h, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+    if (checks[first][inverse] != checks).any():
+        raise Clash
+    return h, checks[first], first, inverse
 
 
 def quiet() -> None:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import CHUNK_BYTES, chunks, small_batches, utf8
-from .scan import Memo, class_table, code_points, ragged, split_words, token_hashes
+from .scan import Clash, Memo, class_table, code_points, distinct_tokens, ragged, split_words
 
 _encoders: dict[str, WordBpe] = {}
 #: The library's white space; Python's \s has the separators U+001C to U+001F besides.
@@ -92,6 +92,12 @@ class WordBpe:
 
     def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids, their ends by text, the decoded bytes (a blank after each token), their ends by text."""
+        try:
+            return self._texts(texts, self.ids, self.shown)
+        except Clash:  # every word is encoded under a number of its own
+            return self._texts(texts, Memo(np.uint32), Memo(np.uint8), numbered=True)
+
+    def _texts(self, texts: list[str], ids: Memo, shown_ids: Memo, numbered: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         segments, owner = [], []
         fixed: list[tuple[int, int, str]] = []  # (segment before which it stands, text, special token)
         for i, t in enumerate(texts):
@@ -106,7 +112,7 @@ class WordBpe:
         at = np.concatenate(([0], np.cumsum(np.fromiter(map(len, segments), np.int64, len(segments)))))
         cps = code_points(joined)
         start, end = split_words(cps, at)
-        h, first, inverse = np.unique(token_hashes(cps, start, end), return_index=True, return_inverse=True)
+        h, checks, first, inverse = (np.arange(len(start), dtype=np.uint64),) * 2 + (np.arange(len(start)),) * 2 if numbered else distinct_tokens(cps, start, end)
         new: dict[int, list[int]] = {}
 
         def encode(which: np.ndarray) -> list:
@@ -117,10 +123,10 @@ class WordBpe:
         def show(which: np.ndarray) -> list:
             return ["".join(f"{self.names[i]} " for i in new[w]).encode() for w in which.tolist()]
 
-        place, shown = self.ids.find(h, first, encode)[inverse], self.shown.find(h, first, show)[inverse]
+        place, shown = ids.find(h, checks, first, encode)[inverse], shown_ids.find(h, checks, first, show)[inverse]
         word_at = np.searchsorted(start, at)
         out = []
-        for memo, p, extra in ((self.ids, place, lambda s: np.array([self.special[s]], np.uint32)), (self.shown, shown, lambda s: np.frombuffer(f"{s} ".encode(), np.uint8))):
+        for memo, p, extra in ((ids, place, lambda s: np.array([self.special[s]], np.uint32)), (shown_ids, shown, lambda s: np.frombuffer(f"{s} ".encode(), np.uint8))):
             length = memo.length[p]
             flat = ragged(memo.flat, memo.start[p], length)
             ends = np.concatenate(([0], np.cumsum(length)))[word_at]

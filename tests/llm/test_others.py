@@ -1,106 +1,15 @@
-"""Quality rules, URL rules, chat formatting, neighbours and the pipeline."""
+"""URL rules, chat formatting, neighbours and the pipeline."""
 
 import hashlib
-import math
 import random
 import re
-from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, perplexity, permutation, queries, urlfilter
-
-
-# --- quality rules
-
-
-def measures(t):
-    t = t or ""
-    words = re.findall(r"[^\x20\x09-\x0D]+", t)
-    seen, dup = set(), 0
-    for line in t.split("\n"):
-        if re.search(r"[^\x20\x09-\x0D]", line):
-            dup += line in seen
-            seen.add(line)
-    c = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
-    cover = {j for i in range(len(words) - 2) if c[tuple(words[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
-    return len(words), sum(map(len, words)), sum(x in "#*$%&|<>" for x in t), dup, len(cover)
-
-
-def prose(rng, n):
-    return " ".join("".join(rng.choice(["an", "the", "er", "in", "on", "re", "ed", "st"]) for _ in range(rng.randint(1, 3))) for _ in range(n)) + "."
-
-
-def test_measures_and_verdicts(spark):
-    rng = random.Random(1)
-    texts = [prose(rng, 120) for _ in range(150)]
-    bad = ["x#$%&*|<> " * 80, "".join(rng.choice("zqxjkvwyg") for _ in range(30)) + " " + " ".join("".join(rng.choice("zqxjkvwyg#%") for _ in range(9)) for _ in range(100))]
-    odd = [None, "", " \n\t", "short text", "a b c a b c\na b c\n\n \na b c", "é😀 ü\x0b\x0c x\r\ny" * 40, ("same line here\n" * 60), "word " * 20_000]
-    every = texts + bad + odd
-    df = spark.createDataFrame([(i, t, None if i % 50 == 0 else "en", 1) for i, t in enumerate(every)], "doc_id long, text string, lang string, n_words int").repartition(4)
-    got = {r.doc_id: r for r in perplexity.quality(df).collect()}
-    for i, t in enumerate(every):
-        m = measures(t)
-        r = got[i]
-        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == m, (t or "")[:80]
-        assert r.base_failed == (m[0] < 50 or 100 * m[4] > 50 * m[0])
-        assert not (r.base_failed and r.kept)
-    assert all(got[i].kept for i in range(150))
-    assert not got[150].kept and not got[151].kept
-    kept = perplexity.keep_quality(df)
-    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(i for i in got if got[i].kept)
-    assert perplexity.quality(df.where("doc_id < 0")).count() == 0
-
-
-def kneser_ney(codes):
-    """Probability of a packed n-gram's last symbol, written plainly from the definition."""
-    counts = {4: Counter(codes)}
-    for k in (3, 2, 1):
-        counts[k] = Counter(g & ((1 << 5 * k) - 1) for g in counts[k + 1])
-    disc = {}
-    for k, c in counts.items():
-        n = [sum(v == j for v in c.values()) for j in (1, 2, 3, 4)]
-        if min(n) == 0:
-            disc[k] = [0, 0.5, 0.75, 0.9]
-        else:
-            y = n[0] / (n[0] + 2 * n[1])
-            disc[k] = [0] + [min(max(j - (j + 1) * y * n[j] / n[j - 1], 0.05), j - 0.05) for j in (1, 2, 3)]
-
-    def p(g, k):
-        if k == 0:
-            return 1 / 32
-        same = [(x, v) for x, v in counts[k].items() if x >> 5 == (g & ((1 << 5 * k) - 1)) >> 5]
-        low = p(g, k - 1)
-        if not same:
-            return low
-        total = sum(v for _, v in same)
-        c = counts[k].get(g & ((1 << 5 * k) - 1), 0)
-        return max(c - disc[k][min(c, 3)], 0) / total + sum(disc[k][min(v, 3)] for _, v in same) / total * low
-
-    return counts, p
-
-
-def test_model_equals_the_definition():
-    rng = random.Random(2)
-    data = np.frombuffer(" ".join(rng.choice(["abc", "abd", "b", "acb", "dd"]) for _ in range(300)).encode(), np.uint8)
-    codes, at = perplexity.grams(data, np.array([0, 700, len(data)]))
-    assert at.tolist() == [0, 700, len(data)] and codes[700] < 32
-    counts, p = kneser_ney(codes.tolist())
-    model = perplexity.Model({k: (np.array(sorted(c)), np.array([c[g] for g in sorted(c)])) for k, c in counts.items()})
-    probes = np.array([*list(counts[4])[:60], 1, 5 << 15 | 5 << 10 | 5 << 5 | 1, 1 << 15 | 2 << 10 | 3 << 5 | 1, 26 << 5 | 2])
-    assert model.log2(probes) == pytest.approx([math.log2(p(int(g), 4)) for g in probes], rel=1e-4)
-    assert model.log2(np.array([1 << 5 | perplexity.SIGN]))[0] == -perplexity.UNKNOWN_BITS
-
-
-def test_many_languages_take_several_passes(spark, monkeypatch):
-    monkeypatch.setattr(perplexity, "PASS_ENTRIES", 200)
-    rng = random.Random(3)
-    df = spark.createDataFrame([(i, prose(rng, 60), f"l{i % 7}") for i in range(35)] + [(99, "", "void")], "doc_id long, text string, lang string")
-    got = perplexity.quality(df).collect()
-    assert sorted(r.doc_id for r in got) == [*range(35), 99] and all(r.entropy is not None for r in got if r.doc_id != 99)
+from tessera.llm import chat, permutation, queries, urlfilter
 
 
 # --- URL rules
