@@ -46,7 +46,7 @@ def op7_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(_read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=1)
+    return pack(_read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=1).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
 def op5_pfor(spark: SparkSession, sf_dir: str) -> DataFrame:
