@@ -4,10 +4,10 @@ A template is any object whose render(messages) turns (role, text) pairs into on
 the messages up to it are rendered, then those up to and with it, and the second output must begin with the first. A template whose
 output does not begin so rewrites history (it drops earlier thoughts, say, or merges turns); such turns are reported.
 
-Scale: conversations are sorted by turn within their hash partition and read as a stream. probe() renders test conversations
-to see whether the template only looks back a few turns. If so, a conversation is rendered in windows of WINDOW turns that begin with the
-turn before, each window's first output being compared with the window before, and the task holds a window, however long the conversation.
-Otherwise it holds one conversation and renders every prefix.
+Scale: conversations are sorted by turn within their hash partition and read as a stream. By default a conversation's own prefixes are rendered, all of
+them, so the task holds one conversation, and its work grows with the square of the conversation's length. A template may declare (attribute lookback) how many earlier
+turns a turn's output depends on. Only then prefixes are rendered in windows of WINDOW turns that begin with those turns, so that the
+task holds a window, however long the conversation; where two windows meet, both must give the same output, or the turn counts as a rewrite.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ Message = tuple[str, str]
 class TurnTemplate:
     """A heading line mark, role and text, an end mark. Backslashes and marks inside are escaped by a backslash, so parsing gives them back."""
 
+    #: A turn's output depends on that turn alone.
+    lookback = 0
     HEAD, SEP, END = "### ", ": ", " </turn>\n"
     _IN_TEXT, _IN_ROLE = re.compile(r"\\|###|</turn>"), re.compile(r"\\|###|</turn>|:")
     _UNESCAPE = re.compile(r"\\(\\|###|</turn>|:)")
@@ -61,27 +63,11 @@ def turn_spans(template, messages: list[Message]) -> tuple[str, list[tuple[int,
     return before, spans, rewrites
 
 
-def probe(template) -> bool:
-    """Whether, on test conversations, outputs only grow and a turn's output depends on the turn before at most."""
-    roles = ["system", "user", "assistant", "user", "assistant", "tool", "assistant", "user"]
-    for shift in range(4):
-        talk = [(roles[(i + shift) % len(roles)], f"<think>t{i}</think> text {i}\n") for i in range(2 * WINDOW + 3)]
-        whole, spans, rewrites = turn_spans(template, talk)
-        if rewrites:
-            return False
-        for k in range(1, len(talk)):
-            base = template.render(talk[k - 1 : k])
-            out = template.render(talk[k - 1 : k + 1])
-            if not out.startswith(base) or out[len(base) :] != whole[slice(*spans[k])]:
-                return False
-    return True
-
-
 class _Windowed:
-    """Renders a stream of turns with at most WINDOW turns held."""
+    """Renders a stream of turns with WINDOW turns held, and those that the template looks back on."""
 
     def __init__(self, template):
-        self.template, self.held, self.out = template, [], ""
+        self.template, self.held, self.out, self.keep = template, [], "", max(1, template.lookback)
 
     def add(self, message: Message) -> tuple[str, bool]:
         """The turn's piece of output, and whether history was rewritten."""
@@ -89,8 +75,8 @@ class _Windowed:
         good = new.startswith(self.out)
         piece = new[len(self.out) :] if good else new
         self.held, self.out = [*self.held, message], new
-        if len(self.held) > WINDOW:
-            last = self.held[-2:-1]
+        if len(self.held) > WINDOW + self.keep:
+            last = self.held[-1 - self.keep : -1]
             base, again = self.template.render(last), self.template.render([*last, message])
             good &= again.startswith(base) and again[len(base) :] == piece
             self.held, self.out = [*last, message], again
@@ -101,7 +87,7 @@ _NAMES = ["conv_id", "turn", "place", "piece", "rewrites"]
 _KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
 
 
-def _format(template, local: bool):
+def _format(template):
     def turns(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
@@ -136,7 +122,7 @@ def _format(template, local: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for row in (windowed if local else whole)(turns(batches)):
+        for row in (whole if getattr(template, "lookback", None) is None else windowed)(turns(batches)):
             held.append(row)
             size += len(row[3])
             if size > 4 << 20 or len(held) >= 10_000:
@@ -157,20 +143,26 @@ def format_conversations(turns: DataFrame, template) -> DataFrame:
     """
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.mapInArrow(_format(template, probe(template)), "conv_id long, turn long, place long, piece string, rewrites boolean")
+    return ordered.mapInArrow(_format(template), "conv_id long, turn long, place long, piece string, rewrites boolean")
 
 
 def _digest(template: TurnTemplate):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def row():
-            return now, n, turns.hexdigest(), chars, loss.hexdigest(), total
+        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done, strict=True), kinds, strict=True)], names)
 
         now, n, turns, loss, chars, total, done = object(), 0, None, None, 0, 0, []
         for batch in batches:
             for conv, place, piece in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "place", "piece")), strict=True):
                 if place == 0:
                     if n:
-                        done.append(row())
+                        done.append((now, n, turns.hexdigest(), chars, loss.hexdigest(), total))
+                    if len(done) >= 10_000:
+                        yield flush()
+                        done.clear()
                     now, n, turns, loss, chars, total = conv, 0, hashlib.sha256(), hashlib.sha256(), 0, 0
                 role, text, _, _ = template.parse(piece)
                 turns.update(f"{role}\n{text}\n".encode())
@@ -180,15 +172,16 @@ def _digest(template: TurnTemplate):
                 n += 1
                 total += len(piece)
         if n:
-            done.append(row())
-        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-        for a in range(0, len(done), 10_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done[a : a + 10_000], strict=True), kinds, strict=True)], names)
+            done.append((now, n, turns.hexdigest(), chars, loss.hexdigest(), total))
+        if done:
+            yield flush()
 
     return run
 
 
 def read_back(formatted: DataFrame, template: TurnTemplate) -> DataFrame:
-    """Per conversation what its output says: turns, their hash, the text under the loss mask (the assistant's), and the output's length."""
+    """Per conversation what its output says: turns, their hash, the text under the loss mask (the assistant's), and the output's length.
+
+    formatted: the partitions of format_conversations(); each turn stays, tied or repeated; an empty table gives an empty result.
+    """
     return formatted.mapInArrow(_digest(template), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
