@@ -1,15 +1,16 @@
 """URL rules by a cascade of Bloom filters, with DataFrame functions only.
 
 The listed keys are rules (host and path, such as example.net/en/). The universe is the set of keys that the corpus's URLs can
-match: for each URL every suffix of its host at a dot, with every prefix of its path that has a listed length. Level 1 of the
+match: for each URL the suffixes of its host that have a listed number of labels, with the prefixes of its path that have a listed length. Level 1 of the
 cascade encodes the listed keys that occur in the universe; level 2 the unlisted keys of the universe that level 1 lets through;
 level 3 the listed keys that level 2 lets through, and so on until a level lets nothing wrong through. A key of the
-universe is listed exactly if the first level that refuses it has an even number, so membership is exact and needs no
-join: the levels are arrays of words inside the expression.
+universe is listed exactly if the first level that refuses it has an even number, so membership is exact and judging a URL needs no
+join: a level is one binary literal inside the expression. Each verdict has a cascade of its own, so a rule's verdict is a question of membership, too.
 
 Scale: the universe is one distinct aggregation (hot hosts collapse before the shuffle); each further level only looks at the false
-positives of the one before, a fraction that FALSE_RATE sets. What goes to the driver and into the plan is the filters' words, which
-the number of listed keys bounds, checked against MAX_BITS. A longer list is cut into shards by the keys' hash, each with its own cascade.
+positives of the one before, a fraction that FALSE_RATE sets. What goes to the driver and into the plan is the filters' bits, which
+the number of listed keys bounds, checked against MAX_BITS. A longer list is cut into shards, each with its own cascade. Building a cascade
+compares the universe with the list, which is broadcast up to BROADCAST_KEYS keys.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from .common import Stages
 FALSE_RATE = 0.01
 #: The most bits of a filter; a longer list takes several cascades.
 MAX_BITS = 1 << 22
+BROADCAST_KEYS = 1_000_000
 #: The production rules: (key, verdict).
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
@@ -40,16 +42,13 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def host_suffixes(host: Column) -> Column:
-    """The host and what follows each of its dots."""
-    parts = F.split(host, r"\.", -1)
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-
-
-def candidate_keys(host: Column, path: Column, lengths: list[int]) -> Column:
-    """Every rule key that can fit: host suffixes with path prefixes of the listed lengths."""
-    prefixes = F.filter(F.array(*(F.when(F.length(path) >= n, F.left(path, F.lit(n))) for n in lengths)), lambda p: p.isNotNull())
-    keys = F.flatten(F.transform(host_suffixes(host), lambda h: F.transform(prefixes, lambda p: F.concat(h, F.lit("\n"), p))))
+def candidate_keys(host: Column, path: Column, labels: list[int], lengths: list[int]) -> Column:
+    """Every rule key that can fit: host suffixes of the listed numbers of labels, with path prefixes of the listed lengths."""
+    own = F.length(host) - F.length(F.replace(host, F.lit("."))) + 1
+    listed = lambda numbers, most: F.filter(F.array(*(F.lit(n) for n in numbers)), lambda n: n <= most)
+    hosts = F.transform(listed(labels, own), lambda n: F.call_function("substring_index", host, F.lit("."), -n))
+    prefixes = F.transform(listed(lengths, F.length(path)), lambda n: F.substring(path, F.lit(1), n))
+    keys = F.flatten(F.transform(hosts, lambda h: F.transform(prefixes, lambda p: F.concat(h, F.lit("\n"), p))))
     return F.when(F.length(host) > 0, keys).otherwise(F.array().cast("array<string>"))
 
 
@@ -63,14 +62,15 @@ class Filter:
         at = keys.select(F.explode(F.array(*self._places(F.col("key")))).alias("at"))
         words = at.groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("v"))
         table = {r["w"]: r["v"] for r in words.collect()}  # at most bits / 64 rows
-        self.words = [table.get(i, 0) for i in range(bits // 64)]
+        words = (table.get(i, 0) for i in range(bits // 64))
+        self.bytes = b"".join(w.to_bytes(8, "little", signed=True) for w in words)
 
     def _places(self, key: Column) -> list[Column]:
         return [F.shiftrightunsigned(F.xxhash64(key, F.lit(self.level), F.lit(i)), 1) % self.bits for i in range(self.probes)]
 
     def holds(self, key: Column) -> Column:
-        words = F.array(*(F.lit(w).cast("long") for w in self.words))
-        bit = lambda at: F.getbit(F.element_at(words, (F.shiftright(at, 6) + 1).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1
+        byte = lambda at: F.conv(F.hex(F.substring(F.lit(self.bytes), (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+        bit = lambda at: F.getbit(byte(at), at.bitwiseAND(F.lit(7)).cast("int")) == 1
         return reduce(lambda a, b: a & b, (bit(at) for at in self._places(key)))
 
 
@@ -81,10 +81,11 @@ class Cascade:
         """universe: a staged table with the distinct column key."""
         self.levels: list[Filter] = []
         wanted = spark.createDataFrame([(k,) for k in listed], "key string")
-        inside = universe.join(F.broadcast(wanted), "key", "left_semi").select("key")
+        wanted = F.broadcast(wanted) if len(listed) <= BROADCAST_KEYS else wanted
+        inside = universe.join(wanted, "key", "left_semi").select("key")
         # The list is driver-side configuration, so its members in the universe are bounded by it.
         inside = spark.createDataFrame(inside.collect(), "key string")
-        outside = universe.join(F.broadcast(wanted), "key", "left_anti").select("key")
+        outside = universe.join(wanted, "key", "left_anti").select("key")
         while count := inside.count():
             level = Filter(inside, count, len(self.levels) + 1)
             self.levels.append(level)
@@ -108,20 +109,23 @@ def judge(pages: DataFrame, rules=RULES, default: str = "allow", id_col: str = "
     other columns are ignored; an empty table gives an empty result.
     """
     spark = pages.sparkSession
-    verdicts = {f"{k.partition('/')[0]}\n/{k.partition('/')[2]}": (k, v) for k, v in rules}
+    verdicts = {f"{k.partition('/')[0]}\n/{k.partition('/')[2]}": v for k, v in rules}
+    labels = sorted({k.partition("\n")[0].count(".") + 1 for k in verdicts})
     lengths = sorted({len(k.partition("\n")[2]) for k in verdicts})
     url = F.col(url_col).cast("string")
     parts = pages.select(F.col(id_col).cast("long").alias("page_id"), url_host(url).alias("host"), url_path(url).alias("path"))
-    keyed = parts.withColumn("keys", candidate_keys(F.col("host"), F.col("path"), lengths))
+    keys = candidate_keys(F.col("host"), F.col("path"), labels, lengths)
     stages = Stages(spark)
-    universe = stages.keep(keyed.select("host", F.expr(f"left(path, {max(lengths)})").alias("path")).distinct().select(F.explode(candidate_keys(F.col("host"), F.col("path"), lengths)).alias("key")).distinct(), "universe")
+    short = parts.select("host", F.substring("path", 1, max(lengths)).alias("path")).distinct()
+    universe = stages.keep(short.select(F.explode(keys).alias("key")).distinct(), "universe")
     per_shard = max(1, int(MAX_BITS * math.log(2) ** 2 / -math.log(FALSE_RATE) / 2))
-    names = sorted(verdicts)
-    cascades = [Cascade(spark, universe, names[i : i + per_shard]) for i in range(0, len(names), per_shard)]
-    member = lambda k: reduce(lambda a, b: a | b, (c.holds(k) for c in cascades))
-    fitting = F.filter("keys", member)
-    longest = F.element_at(F.reverse(F.array_sort(F.transform(fitting, lambda k: F.struct(F.length(k).alias("n"), k.alias("key"))))), 1)["key"]
-    table = F.create_map(*(F.lit(x) for k in names for x in (k, verdicts[k][1])))
-    judged = keyed.withColumn("found", F.when(F.size(fitting) > 0, longest))
-    rule = F.replace(F.col("found"), F.lit("\n"), F.lit(""))
-    return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(F.element_at(table, F.col("found")), F.lit(default)).alias("verdict"))
+    cascades: dict[str, list[Cascade]] = {}
+    for verdict in sorted(set(verdicts.values())):
+        names = sorted(k for k, v in verdicts.items() if v == verdict)
+        cascades[verdict] = [Cascade(spark, universe, names[i : i + per_shard]) for i in range(0, len(names), per_shard)]
+    stages.clear()
+    rule_of = lambda k: F.coalesce(*(F.when(c.holds(k), F.lit(v)) for v, some in cascades.items() for c in some))
+    known = F.transform(keys, lambda k: F.struct(F.length(k).alias("n"), k.alias("key"), rule_of(k).alias("verdict")))
+    judged = parts.withColumn("found", F.array_max(F.filter(known, lambda x: x["verdict"].isNotNull())))
+    rule = F.replace(F.col("found.key"), F.lit("\n"), F.lit(""))
+    return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce("found.verdict", F.lit(default)).alias("verdict"))
