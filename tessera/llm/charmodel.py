@@ -332,6 +332,3 @@ class CharModels:
         """row_key, by, entropy of texts (row_key, fold, text) by the models of langs."""
         one = lambda model, s: texts.select("row_key", "fold", "text").mapInArrow(_by_all(model, s, self.shards, langs), "row_key long, by long, n long, bits double")
         return self._passes(["row_key", "by"], one).select("row_key", "by", _bits_of(F.col("bits"), F.col("n")).alias("entropy"))
-
-    def drop(self) -> None:
-        self.stages.drop(self.entries)

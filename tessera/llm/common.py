@@ -52,22 +52,29 @@ class Stages:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         small_batches(spark)
-        self._paths: dict[int, str] = {}
+        self._held: list[tuple[DataFrame, str]] = []
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = new_path(self.spark, name)
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(out)] = path
-        out._tessera_path = path  # noqa: SLF001  keeps id() valid while the frame lives
+        self._held.append((out, path))
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        """Deletes a staged table that no later step reads."""
-        if path := self._paths.pop(id(df), None):
-            jvm = self.spark._jvm  # noqa: SLF001
+    def drop(self, *frames: DataFrame) -> None:
+        """Deletes staged tables that no later step reads."""
+        self._delete([p for df, p in self._held if any(df is f for f in frames)])
+
+    def clear(self, *keep: DataFrame) -> None:
+        """Deletes all staged tables but keep."""
+        self._delete([p for df, p in self._held if not any(df is f for f in keep)])
+
+    def _delete(self, paths: list[str]) -> None:
+        jvm = self.spark._jvm  # noqa: SLF001
+        for path in paths:
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)  # noqa: SLF001
+        self._held = [(df, p) for df, p in self._held if p not in paths]
 
 
 def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

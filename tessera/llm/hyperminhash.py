@@ -9,9 +9,10 @@ drops proposals far below the threshold, and the rest is confirmed on the full s
 Scale: equal sets are first merged into one node (partial aggregation, so a hot group of copies never meets in a
 task). In a band bucket the members are compared with one hub: the node that shares most buckets, which in a family of
 copies is the text they come from. That finds nearly every component. What remains are buckets whose other members still lie in several
-components; there every two members of different components are compared, each pair in the first bucket they share only. A
-large bucket is cut into blocks of BLOCK members, and a task compares two blocks: it holds their sets, and emits the links it confirms, not
-the pairs. So no link is lost, and no task grows with a bucket. Components come from alternating large-star and small-star steps. Every
+components; there every two members of different components are compared, each pair in the first bucket they share only. Members
+are classed by set size in steps of the threshold, as only sets of one class or of neighbouring ones can be linked. The members of a class and bucket
+are cut into blocks of CELL_BYTES of sets and BLOCK members at most, and a task compares two blocks: it holds their sets, and emits the links it
+confirms, not the pairs. So no link is lost, and no task grows with a bucket or with the texts in it, but for the one set that a block has at least. Components come from alternating large-star and small-star steps. Every
 step's result is a table in the shared folder; the driver sees counts only.
 """
 
@@ -23,10 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, Stages, chunks, utf8
+from .common import CHUNK_BYTES, Stages, chunks, fresh, utf8
 from .shingles import U, mix, shingle_sets
 
 BUCKETS, ROWS_PER_BAND = 128, 5
@@ -36,8 +37,8 @@ MANTISSA = 10
 ERRORS = 4.5
 #: Up to so many ids of 8 bytes are broadcast; more are shuffled.
 BROADCAST_IDS = 4_000_000
-#: Members of a bucket that a task holds at once, twice.
-BLOCK = 2048
+#: Members of a bucket that a task holds at once, twice, and the bytes of their sets.
+BLOCK, CELL_BYTES = 2048, 8 << 20
 _BELOW = 57  # bits of a hash below the 7 that choose the bucket
 _PROBES = np.stack([np.random.default_rng(b + 1).permutation(BUCKETS) for b in range(BUCKETS)])
 _EDGES = np.arange(BUCKETS, dtype=U) << U(_BELOW)
@@ -144,22 +145,27 @@ def _confirm(percent: int):
 
 
 def _within(percent: int):
-    """key, band, lo, hi, block, comp, n, sketch, set, sorted by bucket and cell -> the confirmed links between components of each cell."""
+    """key, band, cls, kind, lo, hi, side, comp, n, sketch, set, sorted by bucket and cell -> the confirmed links between components of each cell.
+
+    side: 0 and 1 are compared with each other, 2 among themselves.
+    """
     t = percent / 100
 
     def cell(rows: list[tuple]) -> set[tuple[bytes, bytes]]:
-        _, band, lo, hi = rows[0][:4]
-        comps, number = [r[5] for r in rows], {}
+        band = rows[0][1]
+        comps, number = [r[7] for r in rows], {}
         comp = np.array([number.setdefault(c, len(number)) for c in comps])
-        n = np.array([r[6] for r in rows], np.int64)
-        reg = np.frombuffer(b"".join(r[7] for r in rows), np.uint16).reshape(-1, BUCKETS)
-        block = np.array([r[4] for r in rows])
-        left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+        if len(number) < 2:
+            return set()
+        n = np.array([r[8] for r in rows], np.int64)
+        reg = np.frombuffer(b"".join(r[9] for r in rows), np.uint16).reshape(-1, BUCKETS)
+        side = np.array([r[6] for r in rows])
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         may = comp[left][:, None] != comp[right][None, :]
         small, large = np.minimum(n[left][:, None], n[right]), np.maximum(n[left][:, None], n[right])
         i, j = np.nonzero(may & (100 * small >= percent * large))
         i, j = left[i], right[j]
-        if lo == hi:
+        if side[0] == 2:
             i, j = i[i < j], j[i < j]
         bands = reg[:, : BANDS * ROWS_PER_BAND].reshape(-1, BANDS, ROWS_PER_BAND)
         found, joined = set(), {}
@@ -173,7 +179,7 @@ def _within(percent: int):
                 if worth((e - c) / (1 - c), n[u], n[v], t):
                     joined.setdefault(u, []).append(v)
         sets = {}
-        get = lambda u: sets[u] if u in sets else sets.setdefault(u, np.frombuffer(rows[u][8], U))
+        get = lambda u: sets[u] if u in sets else sets.setdefault(u, np.frombuffer(rows[u][10], U))
         for u, vs in joined.items():
             own, others = get(u), [get(v) for v in vs]
             flat = np.concatenate(others)
@@ -190,7 +196,7 @@ def _within(percent: int):
         links: set = set()
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and row[:4] != held[0][:4]:
+                if held and row[:6] != held[0][:6]:
                     links |= cell(held)
                     held = []
                 held.append(row)
@@ -247,7 +253,39 @@ def _merge(roots: DataFrame | None, links: DataFrame, stages: Stages) -> DataFra
     return stages.keep(moved.union(new), "roots")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _step(percent: int) -> float:
+    """The width of a size class on a logarithmic scale: sets that can be linked lie one class apart at most."""
+    return math.log(100 / percent) * (1 + 1e-9) if percent < 100 else 1e-9
+
+
+def _size_class(n: Column, percent: int) -> Column:
+    return F.floor(F.log(n.cast("double")) / _step(percent)).cast("long")
+
+
+def _cells(members: DataFrame, percent: int) -> DataFrame:
+    """members (key, cls, ...) with at: each of the cells in which they are compared (cls, kind, lo, hi, side)."""
+    largest = F.exp((F.col("cls") + 1) * _step(percent)) * 8
+    each = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(CELL_BYTES / largest)))
+    blocks = members.groupBy("key", "cls").agg(F.ceil(F.count(F.lit(1)) / F.max(each)).cast("int").alias("blocks"))
+    above = blocks.select("key", (F.col("cls") - 1).alias("cls"), F.col("blocks").alias("above"))
+    below = blocks.select("key", (F.col("cls") + 1).alias("cls"), F.col("blocks").alias("below"))
+    numbers = blocks.join(above, ["key", "cls"], "left").join(below, ["key", "cls"], "left")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+
+    def places(count: str, place) -> Column:
+        n = F.coalesce(F.col(count), F.lit(0))
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), place)).otherwise(F.array().cast("array<struct<cls:bigint,kind:int,lo:int,hi:int,side:int>>"))
+
+    at = lambda cls, kind, lo, hi, side: F.struct(cls.alias("cls"), F.lit(kind).alias("kind"), lo.alias("lo"), hi.alias("hi"), side.alias("side"))
+    cls = F.col("cls")
+    same = places("blocks", lambda j: at(cls, 0, F.least(F.col("own"), j), F.greatest(F.col("own"), j), F.when(F.col("own") == j, 2).when(F.col("own") < j, 0).otherwise(1)))
+    up = places("above", lambda j: at(cls, 1, F.col("own"), j, F.lit(0)))
+    down = places("below", lambda j: at(cls - 1, 1, j, F.col("own"), F.lit(1)))
+    dealt = members.join(numbers, ["key", "cls"]).withColumn("own", own)
+    return dealt.withColumn("at", F.explode(F.concat(same, up, down))).drop("cls", "blocks", "above", "below", "own")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", stages: Stages | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs.
 
     Rows are linked when 100 * |A and B| >= percent * |A or B| on their distinct k-word shingles; component_id is the smallest
@@ -256,8 +294,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     links with nothing: it is kept and has a null component_id. Other columns of docs are ignored;
     an empty table gives an empty result.
     """
-    spark, t = docs.sparkSession, percent / 100
-    stages = Stages(spark)
+    t = percent / 100
+    stages = stages or Stages(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = stages.keep(texts.mapInArrow(_scan(k, False), "doc_id long, n_shingles long, node binary, sketch binary").withColumn("node", F.expr("if(doc_id is null, null, node)")), "sketches")
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
@@ -295,30 +333,31 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     roots = _merge(roots, stages.keep(confirmed(pairs), "links"), stages)
 
     m = _labelled(members.select("key", "band", "node"), roots)
-    open_keys = m.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("lo <> hi").select("key", "blocks")
-    left = stages.keep(m.join(open_keys, "key"), "open")
+    open_keys = m.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    left = stages.keep(m.join(open_keys, "key", "left_semi").join(info.select("node", "n"), "node").withColumn("cls", _size_class(F.col("n"), percent)), "open")
     if not left.isEmpty():
-        block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-        cells = left.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        cells = cells.select("key", "band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "comp", "node")
-        full = info.join(sets, "node")
-        cells = cells.join(full, "node").select("key", "band", "lo", "hi", "block", "comp", "n", "sketch", "set")
-        cells = cells.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+        cells = _cells(left.select("key", "band", "cls", "comp", "node"), percent).join(info.join(sets, "node"), "node")
+        cells = cells.select("key", "band", "at.*", "comp", "n", "sketch", "set").repartition("key", "cls", "kind", "lo", "hi").sortWithinPartitions("key", "cls", "kind", "lo", "hi")
         links = cells.mapInArrow(_within(percent), "a binary, b binary").distinct()
         roots = _merge(roots, stages.keep(links, "links"), stages)
-    stages.drop(members)
-    stages.drop(left)
-    stages.drop(sets)
 
     final = _labelled(nodes.select("node", "rep"), roots)
     smallest = final.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    named = final.join(smallest, "comp").select("node", "component_id")
+    named = stages.keep(final.join(smallest, "comp").select("node", "component_id"), "components")
+    stages.clear(rows, named)
     out = rows.select("doc_id", "n_shingles", "node").join(named, "node", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one row for each near-duplicate component: that of the smallest doc_id. Rows that repeat this doc_id and rows without one stay."""
-    verdict = near_duplicates(docs, k, percent).where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(verdict, "doc_id", "left_anti")
+    """docs with one row for each near-duplicate component: that of the smallest doc_id, with all columns.
+
+    Rows that repeat this doc_id stay, and so do rows without a doc_id, and null or empty texts, which link with nothing. An empty table stays empty.
+    """
+    stages = Stages(docs.sparkSession)
+    verdict = near_duplicates(docs, k, percent, stages=stages).where("not kept and doc_id is not null").select("doc_id").distinct()
+    verdict = stages.keep(verdict, "dropped")
+    stages.clear(verdict)
+    name = fresh(docs, "dropped")
+    return docs.join(verdict.withColumnRenamed("doc_id", name), F.col("doc_id").cast("long") == F.col(name), "left_anti")

@@ -68,7 +68,7 @@ def _columns(data: np.ndarray, offsets: np.ndarray) -> dict[str, pa.Array]:
     return {k: pa.array(v.astype(np.int64)) for k, v in measures(data, offsets).items()}
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", high_width: float = HIGH_WIDTH, low_width: float = LOW_WIDTH) -> DataFrame:
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", high_width: float = HIGH_WIDTH, low_width: float = LOW_WIDTH, stages: Stages | None = None) -> DataFrame:
     """row_key, doc_id, lang, the measures, entropy, edges low and high, base_failed and kept, for each row of docs.
 
     base_failed: under MIN_WORDS words, or over half of the words lie in 3-word windows that occur twice or more. kept: not base_failed, and the
@@ -78,13 +78,13 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     of id, language and text. An empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
-    stages = Stages(spark)
+    stages = stages or Stages(spark)
     id_c, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit(""))
     texts = docs.select(row_key(id_c, lang, text).alias("row_key"), id_c.alias("doc_id"), lang.alias("lang"), F.xxhash64(lang).alias("lang_id"), F.xxhash64(text).bitwiseAND(1).cast("long").alias("fold"), text.alias("text"))
     models = CharModels(texts, stages)
     more = "".join(f", {c} long" for c in MEASURES)
-    scored = stages.keep(models.score(texts, "row_key long, doc_id long, lang string", _columns, more), "scores")
+    scored = scored_table = stages.keep(models.score(texts, "row_key long, doc_id long, lang string", _columns, more), "scores")
     failed = F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEATED_PERCENT} * n_words")
     scored = scored.withColumn("base_failed", failed).withColumn("size", _length_class(F.col("n")))
     bands = F.broadcast(spark.createDataFrame(_bands(scored.where("not base_failed"), high_width, low_width), "lang string, size int, low double, high double"))
@@ -95,7 +95,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     other = models.score_by_all(again, langs).join(flagged, "row_key").join(bands.withColumn("by", F.xxhash64("lang")).drop("lang"), ["by", "size"])
     fits = other.where("entropy between low and high").select("row_key", F.lit(True).alias("elsewhere")).distinct()
     fits = stages.keep(fits, "second-look")
-    models.drop()
+    stages.clear(scored_table, fits)
     own = F.coalesce(F.col("entropy").between(F.col("low"), F.col("high")), F.lit(True))
     out = out.join(_small(fits), "row_key", "left").withColumn("kept", ~F.col("base_failed") & (own | F.coalesce("elsewhere", F.lit(False))))
     return out.select("row_key", "doc_id", "lang", *MEASURES, "entropy", "low", "high", "base_failed", "kept")
@@ -154,7 +154,8 @@ def keep_quality(docs: DataFrame) -> DataFrame:
     Null texts go (they have no words), null ids and languages are judged like others, repeated rows stay or go together, an empty table stays empty.
     """
     stages = Stages(docs.sparkSession)
-    rejected = stages.keep(quality(docs).where("not kept").select("row_key", "doc_id").distinct(), "rejected")
+    rejected = stages.keep(quality(docs, stages=stages).where("not kept").select("row_key", "doc_id").distinct(), "rejected")
+    stages.clear(rejected)
     key, name = fresh(docs, "key"), fresh(docs, "name")
     keyed = docs.withColumn(key, row_key(F.col("doc_id").cast("long"), F.coalesce(F.col("lang").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit(""))))
     rejected = _small(rejected).toDF(key, name)

@@ -18,6 +18,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("iban", "ssn", "secret")
 KINDS = BASE_KINDS + ADDED_KINDS
@@ -213,9 +215,14 @@ def pii_digest(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with personal data in text replaced by the names of its kinds, and n_chars set anew where the table has it; a null text stays null."""
-    marked = docs.withColumn("_pii_spans", pii_spans(F.col("text")))
-    out = marked.withColumn("text", masked(F.col("text"), F.col("_pii_spans"))).drop("_pii_spans")
+    """docs with personal data in text replaced by the names of its kinds, and n_chars set anew where the table has it.
+
+    A null text stays null and an empty one empty; overlapping spans are masked together; every row stays, repeated ones too; an empty
+    table stays empty; other columns are not touched, whatever their names.
+    """
+    spans = fresh(docs, "spans")
+    marked = docs.withColumn(spans, pii_spans(F.col("text")))
+    out = marked.withColumn("text", masked(F.col("text"), F.col(spans)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
