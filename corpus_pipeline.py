@@ -18,18 +18,22 @@ from tessera.llm.queries import vocabulary
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the quality rules keep. Null and empty texts go, repeated rows share a verdict, null ids and languages are judged like others; an empty table stays empty."""
     return keep_quality(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each group of near duplicates. Rows without an id stay, rows that repeat the kept id too; an empty table stays empty."""
     return drop_near_duplicates(docs, k=5, percent=80)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row, with personal data masked. Null and empty texts stay as they are; an empty table stays empty."""
     return redact(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The packed pieces with their token ids; tessera.llm.packing.write_sequences writes them as padded sequences. An empty table has no pieces."""
     return pack(docs, vocabulary("byte_bpe_50k.json"), end_id=1)
 
 
@@ -42,8 +46,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents; each stage's rows are written and read again by the next."""
     stages = Stages(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = stages.keep(docs, name.replace(" ", "-"))
-    return docs
+    for _, stage in STAGES[:-1]:
+        before, docs = docs, stages.keep(stage(spark, docs, sf_dir), stage.__name__)
+        stages.drop(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
