@@ -113,7 +113,7 @@ def test_id_files_round_trip(spark):
 def test_packing(spark):
     texts = [None, "", *fuzz(400, 4), "many words here " * 4000, "many words here " * 4000]
     df, lib = table(spark, texts), library("byte_bpe_50k.json")
-    rows = packing.pack(df, vocabulary("byte_bpe_50k.json"), 1, window=256, with_ids=True)
+    rows = packing.pack(df, vocabulary("byte_bpe_50k.json"), 1, window=256)
     got = rows.collect()
     for i, t in enumerate(texts):
         ids = np.array([*lib.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes()
@@ -126,11 +126,60 @@ def test_packing(spark):
         by[r.sequence_id] = r.offset + r.length
     assert max(by.values()) <= 256
     assert len(by) <= sum(by.values()) / 256 * 1.02 + 1
-    joined = {r.sequence_id: len(r.ids) // 4 for r in packing.sequences(rows).collect()}
-    assert joined == by
+    for r in packing.sequences(rows, pad_id=7).collect():
+        own = b"".join(x.ids for x in sorted((x for x in got if x.sequence_id == r.sequence_id), key=lambda x: x.offset))
+        assert r.n_tokens == by[r.sequence_id] == len(own) // 4 and len(r.ids) == 4 * r.padded_to
+        assert r.ids == own + (7).to_bytes(4, "little") * (r.padded_to - r.n_tokens)
+        assert r.padded_to == (r.n_tokens if r.n_tokens & (r.n_tokens - 1) == 0 else 256)
     assert packing.pack(df.where("doc_id < 0"), vocabulary("byte_bpe_50k.json"), 1).count() == 0
 
 
+def test_a_crowd_of_equal_rows_is_dealt_to_all_groups(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_BYTES", 2000)
+    df = spark.createDataFrame([(None, None)] * 3000 + [(5, "same text")] * 1000, "doc_id long, text string").repartition(4)
+    rows = packing.pack(df, vocabulary("byte_bpe_50k.json"), 1, window=64)
+    groups = [r[0] for r in rows.groupBy((rows.sequence_id / 2**32).cast("long")).count().select("count").collect()]
+    assert sum(groups) == 4000 and len(groups) >= 7 and max(groups) < 1000
+    packing.write_sequences(rows, str(tmp_path / "out"))
+    ids = [np.frombuffer(r.ids, "<u4")[: r.n_tokens] for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert sum(int((x == 1).sum()) for x in ids) == 4000
+
+
+def thue_morse(n):
+    s = "a"
+    while len(s) < n:
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s, s.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_words_that_polynomial_hashes_confuse(spark, n):
+    a, b = thue_morse(n)
+    texts = [f"{a}\n{b}", f"{a} {b}", f"{a} {b} {a}"]
+    lib = library("byte_bpe_50k.json")
+    raw = [t.encode() for t in texts]
+    ids, at = Encoder(vocabulary("byte_bpe_50k.json")).encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    for i, t in enumerate(texts):
+        assert ids[at[i] : at[i + 1]].tolist() == lib.encode(t, add_special_tokens=False).ids
+    words, ends, _, _ = encoder(vocabulary("word_bpe_49k.json")).texts(texts)
+    want = [library("word_bpe_49k.json").encode(t, add_special_tokens=False).ids for t in texts]
+    assert words.tolist() == sum(want, []) and ends.tolist() == np.cumsum([len(w) for w in want]).tolist()
+
+
+def test_a_clash_of_hashes_changes_nothing(monkeypatch):
+    """Where the first hash confuses tokens, the second one shows it, and the ids are still the library's."""
+    real = scan.span_hashes
+    texts = ["some words and other words", "1234 abc!? some", "<|endoftext|> x"]
+    raw = [t.encode() for t in texts]
+    data, off = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    monkeypatch.setattr(scan, "span_hashes", lambda *a, **k: (real(*a, **k)[0] & np.uint64(3), real(*a, **k)[1]))
+    ids, at = Encoder(vocabulary("byte_bpe_50k.json")).encode(data, off)
+    want = [library("byte_bpe_50k.json").encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids.tolist() == sum(want, []) and at.tolist() == [0, *np.cumsum([len(w) for w in want]).tolist()]
+    words, ends, _, _ = encoder(vocabulary("word_bpe_49k.json")).texts(texts[:2])
+    assert words.tolist() == sum((library("word_bpe_49k.json").encode(t, add_special_tokens=False).ids for t in texts[:2]), [])
+
+
 def test_best_fit_equals_a_plain_search():
     rng = random.Random(5)
     sizes = sorted((rng.randint(1, 64) for _ in range(400)), reverse=True)
