@@ -51,12 +51,6 @@ def structure_distance(a: Column, b: Column) -> Column:
     return 1 - jaccard(a, b, 1.0)
 
 
-def change_type(kinds: Column) -> Column:
-    """What a set of changed properties amounts to: interaction, reorder, reflow, scale or mixed."""
-    of = lambda names: F.forall(kinds, lambda k: k.isin(*names))
-    return F.when(of(("interaction",)), "interaction").when(of(("order",)), "reorder").when(of(("layoutMode", "gridTemplateColumns", "flexDirection", "display")), "reflow").when(of(("rect", "fontSize", "padding", "gap", "width", "height")), "scale").otherwise("mixed")
-
-
 def rect_moved(a: Column, b: Column, least: float = 0.04) -> Column:
     """Whether a side of two rectangles, in shares of the page, differs by least or more."""
     return F.greatest(*(F.abs(a[k] - b[k]) for k in ("x", "y", "width", "height"))) >= least

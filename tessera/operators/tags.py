@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Words that name a role in an element's classes and attributes.
-ROLE_WORDS = {"status": r"\b(alert|badge|toast|banner|notice|status|chip)\b", "destructive": r"\b(delete|remove|danger|destructive|destroy)\b", "primary-action": r"\b(primary|cta|submit|main-action)\b", "action": r"\b(btn|button|action)\b"}
-
 
 def feature_tags(rules: dict[str, Column], most: int = 6) -> Column:
     """The names of the rules that hold, in order; a rule that is null does not hold."""
@@ -20,25 +17,11 @@ def layered(levels: Column) -> Column:
     return (F.size(d) >= 3) & (F.array_max(d) - F.array_min(d) >= 8) & (F.array_max(d) >= 2 * F.array_min(d))
 
 
-def candidate_role(context: Column, kind: Column, painted: Column) -> Column:
-    """status before destructive before primary-action before action; links are actions only where a word or paint says so."""
-    low = F.lower(context)
-    of = lambda name: low.rlike(ROLE_WORDS[name])
-    link = kind == "a"
-    return F.when(of("status"), "status").when(of("destructive"), "destructive").when(of("primary-action") & (~link | painted), "primary-action").when(of("action") | (kind == "button") | (link & painted), "action")
-
-
 def context_text(*parts: Column) -> Column:
     """Lower-cased parts joined by blanks, empty ones left out."""
     return F.lower(F.concat_ws(" ", *(F.nullif(F.trim(p), F.lit("")) for p in parts)))
 
 
-def section_role(tag: Column, aria: Column, h1: Column, media: Column, repeats: Column, links: Column, actions: Column) -> Column:
-    """The role of a page's section from facts: landmark, hero, media, feature group, navigation, action, content. links: share of text in links."""
-    landmark = F.coalesce(F.when(aria.isin("banner"), "header").when(aria.isin("navigation"), "nav").when(aria.isin("contentinfo"), "footer").when(aria.isin("complementary"), "aside"), F.when(tag.isin("header", "nav", "footer", "aside"), tag))
-    return F.coalesce(landmark, F.when(h1, "hero").when(media >= 0.45, "media").when(repeats >= 3, "feature-group").when(links >= 0.6, "nav").when(actions >= 1, "action").otherwise("content"))
-
-
 def region_score(area: Column, repeats: Column, words: Column, media: Column, actions: Column) -> Column:
     """Points for a region of a page; regions of 4 or more are kept."""
     step = lambda c, high, low: F.when(c >= high, 2).when(c >= low, 1).otherwise(0)
