@@ -27,15 +27,28 @@ def provenance(tokens: DataFrame, usage: DataFrame, group: str) -> DataFrame:
     """token, observations, pages, captures, page_list, source_list for the tokens of one group.
 
     tokens: token, value, category; usage: category, value, weight, url, capture, source. Lengths match within the group's tolerance (a bucketed equi-join), other values by normal form.
+    Usage is added up by value first, and joined with the distinct values of tokens; only then tokens get what their value has.
     """
-    t = tokens.select("token", "category", F.col("value").alias("token_value"))
-    u = usage.select("category", "value", "weight", "url", "capture", "source")
-    if group in TOLERANCES:
-        joined = near(u.withColumn("x", css.length_px(F.col("value"))), t.withColumn("y", css.length_px(F.col("token_value"))), ["category"], "x", "y", TOLERANCES[group])
-    else:
-        joined = u.withColumn("k", match_key(group, F.col("value"))).join(t.withColumn("k", match_key(group, F.col("token_value"))), ["category", "k"])
-    found = joined.groupBy("token").agg(F.sum("weight").alias("observations"), F.count_distinct("url").alias("pages"), F.count_distinct("capture").alias("captures"), F.slice(F.array_sort(F.collect_set("url")), 1, PAGES_SHOWN).alias("page_list"), F.slice(F.array_sort(F.collect_set("source")), 1, SOURCES_SHOWN).alias("source_list"))
-    return t.select("token").join(found, "token", "left").fillna(0, ["observations", "pages", "captures"])
+    key = (lambda v: css.length_px(v)) if group in TOLERANCES else (lambda v: match_key(group, v))
+    t = tokens.select("token", "category", key(F.col("value")).alias("y"))
+    seen = usage.select("category", key(F.col("value")).alias("x"), "weight", "url", "capture", "source").where("x is not null")
+    seen = seen.groupBy("category", "x", "url", "capture", "source").agg(F.sum("weight").alias("weight"))
+    wanted = t.select("category", "y").where("y is not null").distinct()
+    values = seen.select("category", "x").distinct()
+    pairs = near(values, wanted, ["category"], "x", "y", TOLERANCES[group]) if group in TOLERANCES else wanted.withColumn("x", F.col("y"))
+    rows = seen.join(pairs.select("category", "x", "y"), ["category", "x"])
+
+    def listed(col: str, most: int, number: str, name: str) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy("category", "y").orderBy(col))
+        each = rows.where(F.col(col).isNotNull()).select("category", "y", col).distinct().withColumn("_p", place)
+        shown = F.array_sort(F.collect_list(F.when(F.col("_p") <= most, F.col(col))))  # at most so many, as null is not collected
+        return each.groupBy("category", "y").agg(F.count(F.lit(1)).alias(number), shown.alias(name))
+
+    found = rows.groupBy("category", "y").agg(F.sum("weight").alias("observations"))
+    for part in (listed("url", PAGES_SHOWN, "pages", "page_list"), listed("capture", 0, "captures", "_none").drop("_none"), listed("source", SOURCES_SHOWN, "_sources", "source_list").drop("_sources")):
+        found = found.join(part, ["category", "y"], "left")
+    out = t.join(found, ["category", "y"], "left").select("token", "observations", "pages", "captures", "page_list", "source_list")
+    return out.fillna(0, ["observations", "pages", "captures"])
 
 
 def token_index(tokens: DataFrame) -> DataFrame:

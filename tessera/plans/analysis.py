@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import color, css, ids
@@ -39,7 +39,7 @@ def analyse(captures: DataFrame) -> dict[str, DataFrame]:
     scaled = ranking.top(grouped, ["analysisId", "group"], [F.col("n").desc(), F.col("value")], most, "_rank").where(F.col("_rank") <= F.element_at(sizes, F.col("group")))
     tokens = ranking.scale(scaled.drop("_rank"), ["analysisId", "group"], most, "number").withColumn("token", F.concat_ws(".", "group", (F.col("ord") - 1).cast("string")))
     colors = votes.where(F.col("category").isin(*COLOR_CATEGORIES)).groupBy("analysisId", "value").agg(F.sum("weight").alias("n"))
-    colors = ranking.top(colors, ["analysisId"], [F.col("n").desc(), F.col("value")], 2000)
+    colors = colors.withColumn("ord", F.row_number().over(Window.partitionBy("analysisId").orderBy(F.col("n").desc(), "value")))
     palette = clusters.leader_clusters(colors, ["analysisId"])
     palette = palette.withColumn("value", color.normal(F.col("value")))
     observed = table.withColumn("capture", F.concat_ws("::", "url", "viewport")).withColumn("source", F.concat(F.lit("usage:"), F.col("category")))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..operators import diffs, gates, matching
 
 CATEGORIES = ("colors", "typography", "spacing", "radii", "layout", "interaction-states", "responsive")
+#: Interaction states and responsive behaviour need evidence that snapshots of tokens and sections do not hold.
+COMPARED = ("colors", "typography", "spacing", "radii", "layout")
 _OF_GROUP = {"colors": "colors", "fontSizes": "typography", "fontFamilies": "typography", "fontWeights": "typography", "lineHeights": "typography", "spacing": "spacing", "radii": "radii"}
 
 
@@ -21,7 +23,7 @@ def gate(a: DataFrame, b: DataFrame, on: list[str], fields: list[str], soft: lis
 
 
 def compare(tokens_a: DataFrame, tokens_b: DataFrame, sections_a: DataFrame, sections_b: DataFrame, comparable: DataFrame, on: list[str]) -> DataFrame:
-    """on, category, status, changes for the token and layout categories; inconclusive throughout where comparable says so.
+    """on, category, status, changes for the token and layout categories; inconclusive throughout where comparable says so, and for the categories that are not looked at.
 
     tokens: on, group, value, ord; sections: on, page, id, signature, role, layoutMode; comparable: on, comparability.
     """
@@ -34,4 +36,4 @@ def compare(tokens_a: DataFrame, tokens_b: DataFrame, sections_a: DataFrame, sec
     layout = moved.groupBy(*on).agg(F.count(F.lit(1)).alias("changes")).withColumn("category", F.lit("layout"))
     every = comparable.select(*on, F.explode(F.array(*map(F.lit, CATEGORIES))).alias("category"))
     found = every.join(scales.unionByName(layout), [*on, "category"], "left").withColumn("changes", F.coalesce("changes", F.lit(0)))
-    return gates.fail_closed(found.withColumn("status", F.when(F.col("changes") > 0, "changed").otherwise("unchanged")), comparable, on)
+    return gates.fail_closed(found.withColumn("status", F.when(~F.col("category").isin(*COMPARED), "inconclusive").when(F.col("changes") > 0, "changed").otherwise("unchanged")), comparable, on)

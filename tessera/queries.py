@@ -103,7 +103,7 @@ def usage_frequency(spark, d):
 
 
 def usage_fallback(spark, d):
-    seen = _usage(spark, d).where("category = 'error' and site < 8").select("site", "value", "weight")
+    seen = _usage(spark, d).where("category = 'error'").select("site", "value", "weight")
     listed = _read(spark, d, "events").select((F.col("user_id") % 10).alias("site"), F.concat(F.lit("v"), (F.col("event_id") % 7).cast("string")).alias("value"))
     return usage.frequency_with_fallback(seen, listed, ["site"]).select("site", "value", F.round("n", 6).alias("n"))
 
@@ -169,7 +169,7 @@ def token_confidence(spark, d):
 
 def token_provenance(spark, d):
     u = _usage(spark, d).withColumn("source", F.concat(F.lit("usage:"), F.col("site").cast("string"))).withColumn("value", F.concat(F.col("value"), F.lit("px")))
-    t = _read(spark, d, "part").where("p_size <= 40").select(F.concat(F.lit("t"), F.col("p_partkey").cast("string")).alias("token"), F.lit("click").alias("category"), F.concat((F.col("p_size") + 0.05).cast("string"), F.lit("px")).alias("value"))
+    t = _read(spark, d, "part").select(F.concat(F.lit("t"), F.col("p_partkey").cast("string")).alias("token"), F.lit("click").alias("category"), F.concat((F.col("p_size") + 0.05).cast("string"), F.lit("px")).alias("value"))
     out = evidence.provenance(t, usage.valid(u), "spacing")
     return out.select("token", F.round("observations", 6).alias("observations"), "pages", "captures", F.array_join(F.transform("page_list", lambda x: x.cast("string")), ",").alias("page_list"), F.array_join("source_list", ",").alias("source_list"))
 
@@ -341,7 +341,7 @@ c AS (SELECT page_id, nullif(trim(left(trim(regexp_replace(regexp_replace(raw, '
 SELECT page_id, title, coalesce(NOT regexp_matches(title, '(?i)^(home|homepage|log\s*in|sign\s*in|403(\s+forbidden)?|access denied|error(\s+\d{3})?)$|\bjust a moment\b|\bcloudflare\b|\bcaptcha\b'), false) AS meaningful FROM c""",
     "stable_ids": f"SELECT page_id, 'page-' || left(sha256(CASE WHEN n = 1 THEN host ELSE host || chr(31) || i END), 12) AS id FROM (SELECT page_id, host, count(*) OVER (PARTITION BY host) AS n, row_number() OVER (PARTITION BY host ORDER BY page_id) AS i FROM ({_PARTS_SQL}))",
     "usage_frequency": f"SELECT site, category, value, round(sum(weight), 6) AS n FROM ({_VALID_SQL}) GROUP BY ALL",
-    "usage_fallback": f"""WITH s AS (SELECT site, value, sum(weight) AS n FROM ({_VALID_SQL}) WHERE category = 'error' AND site < 8 GROUP BY ALL),
+    "usage_fallback": f"""WITH s AS (SELECT site, value, sum(weight) AS n FROM ({_VALID_SQL}) WHERE category = 'error' GROUP BY ALL),
 f AS (SELECT user_id % 10 AS site, 'v' || (event_id % 7) AS value, CAST(count(*) AS DOUBLE) AS c FROM events GROUP BY ALL),
 g AS (SELECT f.site, value, CASE WHEN f.site IN (SELECT site FROM s) THEN 1.0 ELSE c END AS c FROM f)
 SELECT coalesce(s.site, g.site) AS site, coalesce(s.value, g.value) AS value, round(coalesce(n, c), 6) AS n FROM s FULL OUTER JOIN g ON s.site = g.site AND s.value = g.value""",
@@ -379,7 +379,7 @@ SELECT brand, CAST(floor(CASE WHEN hue < 0 THEN hue + 360 ELSE hue END / 30) AS
     "token_confidence": f"""WITH u AS (SELECT category, value, count(DISTINCT url) AS p, count(DISTINCT capture) AS c, count(*) AS o FROM ({_VALID_SQL}) GROUP BY ALL),
 s AS (SELECT category, value, CAST(CASE WHEN p >= 3 THEN 4 WHEN p >= 2 THEN 3 ELSE 1 END + CASE WHEN o >= 10 THEN 2 WHEN o >= 2 THEN 1 ELSE 0 END + CASE category WHEN 'click' THEN 2 WHEN 'view' THEN 1 ELSE 0 END + CASE WHEN c >= 2 THEN 1 ELSE 0 END AS INT) AS score FROM u)
 SELECT *, CASE WHEN score >= 6 THEN 'high' WHEN score >= 3 THEN 'medium' ELSE 'low' END AS confidence FROM s""",
-    "token_provenance": f"""WITH u AS (SELECT *, CAST(value AS DOUBLE) AS x FROM ({_VALID_SQL}) WHERE category = 'click'), t AS (SELECT 't' || p_partkey AS token, p_size + 0.05 AS y FROM part WHERE p_size <= 40),
+    "token_provenance": f"""WITH u AS (SELECT *, CAST(value AS DOUBLE) AS x FROM ({_VALID_SQL}) WHERE category = 'click'), t AS (SELECT 't' || p_partkey AS token, p_size + 0.05 AS y FROM part),
 j AS (SELECT token, sum(weight) AS o, count(DISTINCT url) AS p, count(DISTINCT capture) AS c, list_sort(list_distinct(list(url)))[1:8] AS pl, list_sort(list_distinct(list('usage:' || site)))[1:12] AS sl FROM u JOIN t ON abs(x - y) <= 0.1 + 1e-9 GROUP BY token)
 SELECT token, round(coalesce(o, 0), 6) AS observations, coalesce(p, 0) AS pages, coalesce(c, 0) AS captures, array_to_string(pl, ',') AS page_list, array_to_string(sl, ',') AS source_list FROM t LEFT JOIN j USING (token)""",
     "near_join": "SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey AND abs(c_acctbal - s_acctbal) <= 50.0 + 1e-9",

@@ -157,12 +157,24 @@ def test_visual_diff(spark):
     faint = base.copy()
     faint[..., 0] = 17
     taller = np.concatenate((base[:30], np.full((6, 48, 4), 255, np.uint8), base[30:]))
-    cases = {"same": base, "region": changed, "faint": faint, "taller": taller}
-    t = spark.createDataFrame([(k, 48, 60, bytearray(base.tobytes()), 48, len(v), bytearray(v.tobytes())) for k, v in cases.items()] + [("wide", 48, 60, bytearray(base.tobytes()), 40, 60, bytearray(b"x"))], "id string, width int, height int, data binary, other_width int, other_height int, other_data binary")
+    textured = np.random.default_rng(3).integers(0, 255, (60, 48, 4)).astype(np.uint8)
+    other = np.random.default_rng(4).integers(0, 255, (70, 48, 4)).astype(np.uint8)
+    clear = base.copy()
+    clear[..., 3] = 255
+    dot = base.copy()
+    dot[58:60, 47, :] = 255
+    inserted = np.concatenate((textured[:30], np.full((6, 48, 4), 255, np.uint8), textured[30:]))
+    cases = {"same": base, "region": changed, "faint": faint, "alpha": clear, "dot": dot, "longer": taller}
+    t = spark.createDataFrame([(k, 48, 60, bytearray(base.tobytes()), 48, len(v), bytearray(v.tobytes())) for k, v in cases.items()] + [(k, 48, 60, bytearray(textured.tobytes()), 48, len(v), bytearray(v.tobytes())) for k, v in {"inserted": inserted, "another": other}.items()] + [("wide", 48, 60, bytearray(base.tobytes()), 40, 60, bytearray(b"x"))], "id string, width int, height int, data binary, other_width int, other_height int, other_data binary")
     got = {r.id: r for r in images.visual_diff(t).collect()}
     assert got["same"].changed == got["faint"].changed == 0
     assert len(got["region"].regions) == 1
-    assert got["taller"].status == "shifted" and got["taller"].changed == pytest.approx(6 / 66)
+    assert got["alpha"].changed == 1.0
+    assert [tuple(x) for x in got["dot"].regions] == [(0, 58, 48, 2)]  # two pixels do not make a tile
+    assert got["inserted"].status == "shifted" and got["inserted"].changed_pixels == 6 * 48 and got["inserted"].changed == pytest.approx(6 / 66)
+    assert [tuple(x) for x in got["inserted"].regions] == [(0, 24, 48, 12)]  # the marker
+    assert got["another"].status == "compared" and got["another"].changed > 0.9
+    assert got["longer"].status == "shifted" and got["longer"].changed_pixels == 6 * 48
     assert got["wide"].status == "width-mismatch"
     png = b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sII", 13, b"IHDR", 640, 480)
     assert tuple(spark.createDataFrame([(bytearray(png),)], "c binary").select(images.png_size(F.col("c")).alias("s")).first()["s"]) == (640, 480)
