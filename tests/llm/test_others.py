@@ -1,6 +1,7 @@
 """URL rules, chat formatting, neighbours and the pipeline."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -171,8 +172,8 @@ def test_neighbours(spark, monkeypatch):
     vectors = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [0.0] * 8), (902, [float("nan")] * 8), (903, [1.0, None, *[0.0] * 6]), (None, [1.0] * 8), (904, [1.0, 2.0]), (1000, [float("inf")] * 8)]
     df = spark.createDataFrame([(*v, "x") for v in vectors], "vec_id long, embedding array<float>, score string").repartition(5)
     monkeypatch.setattr(permutation, "BLOCK", 300)
-    monkeypatch.setattr(permutation, "QUERIES", 3)
-    got = permutation.nearest(df, df.where("vec_id % 50 = 0"), 10, fraction=0.3).collect()
+    monkeypatch.setattr(permutation, "QUERY_BYTES", 3 * 8 * 8)  # several passes
+    got = permutation.nearest(df, df.where("vec_id % 50 = 0"), 10).collect()
     hits = asked = 0
     y = x.astype(np.float64)
     for q in range(0, 700, 50):
@@ -194,6 +195,34 @@ def test_neighbours(spark, monkeypatch):
     assert sorted(r.vec_id for r in few) == [1, 2, 3]
 
 
+@pytest.mark.parametrize("dim,clusters", [(64, 0), (256, 0), (64, 40)])
+def test_recall_at_production_settings(spark, dim, clusters):
+    rng = np.random.default_rng(dim + clusters)
+    x = rng.normal(size=(9000, dim))
+    if clusters:
+        x = rng.normal(size=(clusters, dim))[rng.integers(0, clusters, 9000)] * 3 + x
+    x[500:900] = x[500]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(2)
+    got = {}
+    for r in permutation.nearest(df, df.where("vec_id % 100 = 0"), 10).collect():
+        got.setdefault(r.query_id, {})[r.vec_id] = r.score
+    hits = 0
+    for q in range(0, 9000, 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        true = np.lexsort((np.arange(9000), d))[:10].tolist()
+        hits += len(set(true) & set(got[q]))
+        assert all(got[q][v] == pytest.approx(d[v], abs=1e-12) for v in got[q])
+    assert hits >= 0.9 * 900
+
+
+def test_repeated_rows_are_no_hot_block(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0])] * 20_000 + [(i, [float(i), 1.0]) for i in range(2, 30)], "vec_id long, embedding array<double>").repartition(3)
+    got = permutation.nearest(df, df.where("vec_id = 2"), 10).collect()
+    d = sorted([(math.hypot(2.0 - 1.0, 1.0 - 2.0), 1)] * 20_000 + [(abs(i - 2.0), i) for i in range(3, 30)])[:10]
+    assert [(r.score, r.vec_id) for r in got] == d
+
+
 def test_footrule_is_what_inverted_files_save():
     rng = np.random.default_rng(2)
     x, pivots = rng.normal(size=(50, 4)), rng.normal(size=(12, 4))
