@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from .common import CHUNK_BYTES, chunks, small_batches, utf8
 from .encode import encoder
 
-WINDOW, GROUP_BYTES = 2048, 32 << 20
+WINDOW, GROUP_BYTES = 2048, 8 << 20
+#: Rows of an output batch, which holds their ids.
+OUT_ROWS = 1000
 
 
 class OpenWindows:
@@ -110,7 +112,8 @@ def _place(window: int):
             "sequence_id": pa.array(np.array(where, np.int64) + (t["part"][0].as_py() << 32)), "offset": pa.array(offset, pa.int64()),
             "sequence_tokens": pa.array(used), "padded_to": pa.array(np.where(power, used, window)), "ids": _widened(t),
         }
-        return pa.table({c: t[c] for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")} | columns)
+        out = pa.table({c: t[c] for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")} | columns)
+        return pa.Table.from_batches(out.combine_chunks().to_batches(max_chunksize=OUT_ROWS), out.schema)
 
     return run
 

@@ -16,7 +16,8 @@ import numpy as np
 from .shingles import U, span_hashes
 
 LETTER, NUMBER, SPACE, OTHER = range(4)
-MEMO_ENTRIES = 3_000_000
+#: Tokens that a Python worker remembers; 24 bytes each besides their ids, and twice that while new ones go in.
+MEMO_ENTRIES = 1_000_000
 _tables: list[np.ndarray] = []
 
 
@@ -117,7 +118,7 @@ def split_words(cps: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def ragged(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """The slices flat[start : start + length] one after another."""
-    ends = np.cumsum(length)
+    ends = np.cumsum(length, dtype=np.int64)
     total = int(ends[-1]) if len(ends) else 0
     return flat[np.repeat(start - (ends - length), length) + np.arange(total)]
 
@@ -134,7 +135,7 @@ class Memo:
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.checks, self.start, self.length = np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.keys, self.checks, self.start, self.length = np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.flat = np.zeros(0, self.dtype)
 
     def find(self, h: np.ndarray, checks: np.ndarray, first: np.ndarray, encode: Callable[[np.ndarray], list]) -> np.ndarray:
@@ -150,9 +151,9 @@ class Memo:
                 raise Clash
         if new.any():
             values = encode(first[new])
-            length = np.fromiter(map(len, values), np.int64, len(values))
+            length = np.fromiter(map(len, values), np.int32, len(values))
             joined = np.fromiter(chain.from_iterable(values), self.dtype, int(length.sum())) if self.dtype != np.uint8 else np.frombuffer(b"".join(values), np.uint8)
-            start = len(self.flat) + np.cumsum(length) - length
+            start = (len(self.flat) + np.cumsum(length, dtype=np.int64) - length).astype(np.int32)
             self.flat = np.concatenate((self.flat, joined))
             where = at[new]
             self.keys, self.checks = np.insert(self.keys, where, h[new]), np.insert(self.checks, where, checks[new])
