@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, Stages, chunks, utf8
+from .common import CHUNK_BYTES, Stages, chunks, tidy, utf8
 from .shingles import U, mix
 
 ORDER, BITS = 5, 12
@@ -69,7 +69,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), lang)), pa.array(k[i : i + (1 << 16)]), *map(pa.array, by)], ["lang_id", "gram", "n0", "n1"])
         held.clear()
 
-    for batch in batches:
+    for batch in tidy(batches):
         langs, folds = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
         data, off = utf8(batch.column(2))
         for i, j in chunks(off, CHUNK_BYTES):
@@ -176,7 +176,7 @@ def _entries(shard: int, shards: int):
     """lang_id, kind, ord, gram, v0, v1 -> h, v0, v1 of one shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidy(batches):
             lang, kind, order, gram = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
             h = entry_hash(lang, kind, order, gram)
             mine = in_shard(h, shard, shards)
@@ -248,7 +248,7 @@ def _score(model, shard: int, shards: int, extra):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidy(batches):
             langs, folds = (np.array(batch.column(k).to_numpy(zero_copy_only=False), np.int64) for k in (0, 1))
             data, off = utf8(batch.column(2))
             for i, j in chunks(off, CHUNK_BYTES):
@@ -269,7 +269,7 @@ def _by_all(model, shard: int, shards: int, langs: list[int]):
     """row_key, fold, text -> row_key, by, n, bits for each language by: both folds' mean for texts that may be of another language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidy(batches):
             folds = batch.column(1).to_numpy(zero_copy_only=False)
             data, off = utf8(batch.column(2))
             for i, j in chunks(off, CHUNK_BYTES):

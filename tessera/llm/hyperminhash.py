@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, Stages, chunks, fresh, utf8
+from .common import CHUNK_BYTES, Stages, chunks, fresh, tidy, utf8
 from .shingles import U, mix, shingle_sets
 
 BUCKETS, ROWS_PER_BAND = 128, 5
@@ -94,7 +94,7 @@ def _scan(k: int, full: bool):
     """A function for mapInArrow: doc_id and text -> a row for each document; full: with the whole set, else with registers and bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidy(batches):
             ids = batch.column(0)
             data, off = utf8(batch.column(1))
             for i, j in chunks(off, CHUNK_BYTES):
@@ -194,7 +194,7 @@ def _within(percent: int):
 
         held: list[tuple] = []
         links: set = set()
-        for batch in batches:
+        for batch in tidy(batches):
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if held and row[:6] != held[0][:6]:
                     links |= cell(held)

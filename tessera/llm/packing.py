@@ -17,12 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, chunks, small_batches, utf8
+from .common import chunks, give_back, small_batches, tidy, utf8
 from .encode import encoder
 
 WINDOW, GROUP_BYTES = 2048, 8 << 20
 #: Rows of an output batch, which holds their ids.
 OUT_ROWS = 1000
+#: Bytes of text that are cut at a time; the work on them takes many times as much memory.
+CUT_BYTES = 1 << 18
 
 
 class OpenWindows:
@@ -81,9 +83,9 @@ def _cut(path: str, end_id: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         kind = "<u2" if max(end_id + 1, enc.library.get_vocab_size()) <= 1 << 16 else "<u4"
-        for batch in batches:
+        for batch in tidy(batches):
             data, off = utf8(batch.column(1))
-            for i, j in chunks(off, CHUNK_BYTES):
+            for i, j in chunks(off, CUT_BYTES):
                 ids, at = enc.encode(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 n = np.diff(at) + 1
                 own = np.insert(ids, at[1:], np.uint32(end_id)).astype(kind)
@@ -113,7 +115,10 @@ def _place(window: int):
             "sequence_tokens": pa.array(used), "padded_to": pa.array(np.where(power, used, window)), "ids": _widened(t),
         }
         out = pa.table({c: t[c] for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")} | columns)
-        return pa.Table.from_batches(out.combine_chunks().to_batches(max_chunksize=OUT_ROWS), out.schema)
+        packed = pa.Table.from_batches(out.combine_chunks().to_batches(max_chunksize=OUT_ROWS), out.schema)
+        del t, columns, out
+        give_back()
+        return packed
 
     return run
 
