@@ -17,7 +17,7 @@ from .shingles import U, span_hashes
 
 LETTER, NUMBER, SPACE, OTHER = range(4)
 #: Tokens that a Python worker remembers; 24 bytes each besides their ids, and twice that while new ones go in.
-MEMO_ENTRIES = 1_000_000
+MEMO_ENTRIES = 300_000
 _tables: list[np.ndarray] = []
 
 
