@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import design_queries
+from . import capture_queries, design_queries
 from .functions import color, css, ids, text, url
 from .operators import clusters, diffs, evidence, gates, images, matching, ranking, usage
 from .plans import compare, exports
@@ -431,5 +431,5 @@ FROM (SELECT user_id AS url, CASE event_type WHEN 'click' THEN 'desktop' WHEN 'v
 SELECT w.site, count(DISTINCT w.url) AS pages, count(*) AS expected, count(e.url) AS captured, round(count(e.url) / CAST(count(*) AS DOUBLE), 6) AS share FROM w LEFT JOIN e USING (site, url, viewport) GROUP BY w.site""",
 }
 
-QUERIES |= design_queries.QUERIES
-ORACLES |= design_queries.ORACLES
+QUERIES |= design_queries.QUERIES | capture_queries.QUERIES
+ORACLES |= design_queries.ORACLES | capture_queries.ORACLES
