@@ -47,7 +47,7 @@ INPUTS = {
     "variables": "SELECT user_id AS site, event_id AS ord, event_type AS name, CAST(event_id % 10 AS VARCHAR(4)) AS value FROM events",
     "captures": "SELECT event_id AS id, user_id AS url, " + _case("event_id % 4", ("mobile", "tablet", "desktop", "watch")) + " AS viewport, event_id AS ord FROM events",
     "changes": "SELECT l_orderkey AS page, l_linenumber AS id, " + _case("l_partkey % 9", ("rect.x", "height", "boxShadow", "node.heading.fontSize", "borderTop", "gridTemplateColumns", "order", "media.height", "color")) + " AS property, "
-    + _case("l_suppkey % 5", ("10px", "0px none", "1px solid red", "", None)) + " AS before, " + _case("l_partkey % 4", ("10px", "20px", "repeat(3, 1fr)", "none")) + " AS after, " + _case("l_linenumber % 4", ("header", "hero", "action", "content")) + " AS role FROM lineitem",
+    + _case("l_suppkey % 9", ("10px", "0px none", "1px solid red", "", None, "1px solid transparent", "2px solid rgba(0, 0, 0, 0)", "medium none", "0.5px solid red")) + " AS before, " + _case("l_partkey % 4", ("10px", "20px", "repeat(3, 1fr)", "none")) + " AS after, " + _case("l_linenumber % 4", ("header", "hero", "action", "content")) + " AS role FROM lineitem",
 }
 
 
@@ -297,8 +297,8 @@ SELECT id, round(x, 6) AS x, round(y, 6) AS y, round(width, 6) AS width, round(h
 SELECT page, CASE WHEN c = ['interactionModel'] THEN 'interaction' WHEN list_contains(c, 'sequenceIndex') AND len(list_filter(c, lambda x: x NOT IN ('sequenceIndex', 'rect.x', 'rect.y'))) = 0 THEN 'reorder' WHEN list_contains(c, 'interactionModel') THEN 'mixed'
   WHEN len(list_filter(c, lambda x: x IN ('sequenceIndex', 'layoutMode', 'display', 'gridTemplateColumns', 'rect.x', 'rect.y'))) > 0 THEN 'reflow' WHEN len(list_filter(c, lambda x: x NOT IN ('height', 'rect.width', 'rect.height', 'maxWidth', 'paddingTop', 'paddingRight', 'paddingBottom', 'paddingLeft', 'gap'))) = 0 THEN 'scale' ELSE 'mixed' END AS change_type FROM g""",
     "useful_changes": _with("changes") + """ SELECT page, id, CASE WHEN property = 'rect.x' OR before IS NOT DISTINCT FROM after THEN false WHEN property = 'gridTemplateColumns' THEN coalesce(before, '') <> '' AND NOT (after IN ('10px', '20px') AND before = '10px')
-    AND NOT (after = 'repeat(3, 1fr)' AND before = '1px solid red') WHEN property IN ('node.heading.fontSize', 'order') THEN true WHEN property IN ('height', 'media.height') THEN role IN ('header', 'action') AND coalesce(before, '') = '10px' AND after IN ('10px', '20px')
-    WHEN property = 'borderTop' THEN coalesce(before IN ('10px', '1px solid red'), false) OR after <> 'none' ELSE property = 'boxShadow' END AS useful FROM changes""",
+    AND NOT (after = 'repeat(3, 1fr)' AND before IN ('1px solid red', '1px solid transparent', '2px solid rgba(0, 0, 0, 0)', '0.5px solid red')) WHEN property IN ('node.heading.fontSize', 'order') THEN true WHEN property IN ('height', 'media.height') THEN role IN ('header', 'action') AND coalesce(before, '') = '10px' AND after IN ('10px', '20px')
+    WHEN property = 'borderTop' THEN coalesce(before IN ('10px', '1px solid red', '0.5px solid red'), false) OR after <> 'none' ELSE property = 'boxShadow' END AS useful FROM changes""",
     "ordered_before": _with("sections") + """ SELECT * FROM (SELECT page, id, upper(tag) AS role, lead(id) OVER w AS next_id, lead(upper(tag)) OVER w AS next_role, row_number() OVER w AS place FROM sections WINDOW w AS (PARTITION BY page ORDER BY id, upper(tag))) WHERE place <= 4 AND next_id IS NOT NULL""",
     "focus_indicators": _with("elements") + """, v AS (SELECT id, CASE id % 3 WHEN 0 THEN false WHEN 1 THEN true END AS shade, id % 4 AS s, id % 5 AS w, id % 7 AS p FROM elements),
 o AS (SELECT *, CASE WHEN s = 3 AND w = 3 AND p = 3 THEN NULL WHEN s = 1 OR w = 1 OR p IN (1, 4) THEN false WHEN s IN (2, 3) OR w IN (2, 3) OR p IN (2, 3) THEN NULL ELSE true END AS line FROM v)

@@ -68,6 +68,15 @@ def visible_shadow(text: Column) -> Column:
     return F.coalesce((F.lower(F.trim(text)) != "none") & F.exists(layers, seen), F.lit(False))
 
 
+def visible_border(text: Column) -> Column:
+    """Whether a border's text names neither none nor hidden, its first number is above 0, and the colour that ends it, if any, is not transparent; false for null."""
+    from .color import transparent
+
+    width = F.get(numbers_in(text), F.lit(0))
+    paint = F.regexp_extract(text, r"(?i)(transparent|(?:rgba?|hsla?|oklch|oklab|hsl|lab|lch)\([^)]+\)|#[\da-f]{3,8})\s*$", 1)
+    return F.coalesce(~text.rlike(r"(?i)\b(?:none|hidden)\b") & (width > 0) & ((paint == "") | ~transparent(paint)), F.lit(False))
+
+
 def grid_columns(text: Column) -> Column:
     """repeat()'s count, else the number of tracks; null for none."""
     bare = text

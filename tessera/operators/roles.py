@@ -179,10 +179,9 @@ def useful_change(name: Column, before: Column, after: Column, role: Column) ->
     x, y = css.grid_columns(before), css.grid_columns(after)
     columns = _no((F.trim(before) != "") & (F.trim(after) != "")) & F.coalesce(x != y, F.lit(True))
     heights = role.isin("header", "navigation", "action") & css.bounded_px(before).isNotNull() & css.bounded_px(after).isNotNull()
-    drawn = lambda v: _no(~v.rlike(r"(?i)^\s*(0(px)?\b|none)") & (F.trim(v) != ""))
     never = name.startswith("rect.") | (name == "visibility") | before.eqNullSafe(after)
     use = F.when(never, False).when(grid, columns).when(name.isin("node.heading.fontSize", "layoutMode", "position", "order", "sequenceIndex"), True)
-    use = use.when((name == "height") | name.endswith(".height"), _no(heights)).when(name.rlike("^border(?:Top|Right|Bottom|Left)$"), drawn(before) | drawn(after))
+    use = use.when((name == "height") | name.endswith(".height"), _no(heights)).when(name.rlike("^border(?:Top|Right|Bottom|Left)$"), css.visible_border(before) | css.visible_border(after))
     return use.otherwise(name == "boxShadow")
 
 
