@@ -29,6 +29,8 @@ from .ranks import BROADCAST_MARKS, numbered
 
 FAN = 8
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+#: Nodes of a level for each task, at least: a level with no more is one task's.
+LEVEL_NODES = 16_384
 PATH = "array<struct<slot:int,siblings:string>>"
 
 
@@ -88,14 +90,29 @@ def _to_children(met: tuple) -> Iterable[tuple]:
         yield (group, index * FAN + slot), [_step(slot, children), *path]
 
 
+def _gathered(pairs: Iterable[tuple]) -> Iterable[tuple]:
+    """Key and values of a task that has all pairs."""
+    found: dict = {}
+    for key, value in pairs:
+        found.setdefault(key, []).append(value)
+    return found.items()
+
+
+def _meet(of_key: tuple) -> Iterable[tuple]:
+    key, values = of_key
+    ours, theirs = ([v for mine, v in values if mine == side] for side in (0, 1))
+    return [(key, (a, b)) for a in ours for b in theirs]  # one of each
+
+
 class Supersteps:
     """The tree's levels as RDDs of runs: (group, index of the parent) -> (nodes on the children's level, children's digests)."""
 
-    def __init__(self, spark: SparkSession, partitions: int):
+    def __init__(self, spark: SparkSession, partitions: int, nodes: list[int]):
+        """nodes: how many nodes all groups together have on each level. A level of at most LEVEL_NODES is worked on by one task, others by up to partitions tasks."""
         shared_dir(spark)  # names a checkpoint folder where the session has none
-        self.partitions, self._held = partitions, []
+        self.parts, self._held = [min(partitions, -(-n // LEVEL_NODES)) for n in nodes], []
 
-    def _keep(self, rdd: RDD) -> RDD:
+    def keep(self, rdd: RDD) -> RDD:
         rdd = rdd.persist(StorageLevel.DISK_ONLY)
         rdd.checkpoint()
         rdd.count()
@@ -108,29 +125,34 @@ class Supersteps:
             rdd.unpersist()
         self._held = []
 
+    def grouped(self, pairs: RDD, level: int) -> RDD:
+        parts = self.parts[min(level, len(self.parts) - 1)]
+        return pairs.groupByKey(parts) if parts > 1 else pairs.coalesce(1).mapPartitions(_gathered)
+
     def ascend(self, nodes: RDD, height: int) -> tuple[list[RDD], RDD]:
         """The runs of each level, leaves first, and what remains of each group: group -> (level, digest)."""
         tiers, tops = [], []
         for level in range(height + 1):
             tops.append(nodes.filter(lambda node: node[1][0] == 1).map(lambda node, level=level: (node[0][0], (level, node[1][1]))))
-            if level == height:
-                break
-            parts = max(1, self.partitions // FAN**level)
-            runs = nodes.filter(lambda node: node[1][0] > 1).map(_to_parent).groupByKey(parts).map(_run)
-            tiers.append(self._keep(runs))
-            nodes = tiers[-1].map(_forward)
+            if level < height:
+                tiers.append(self.keep(self.grouped(nodes.filter(lambda node: node[1][0] > 1).map(_to_parent), level).map(_run)))
+                nodes = tiers[-1].map(_forward)
         return tiers, reduce(RDD.union, tops)
 
+    def met(self, ours: RDD, theirs: RDD, level: int) -> RDD:
+        """key -> (ours, theirs) where both have the key; each has it once."""
+        return self.grouped(ours.mapValues(lambda v: (0, v)).union(theirs.mapValues(lambda v: (1, v))), level).flatMap(_meet)
+
     def descend(self, tiers: list[RDD], seeds: RDD) -> RDD:
         """The runs of leaves with the path from their parent upwards; seeds: group -> (level of its top, path of its top)."""
         paths = None
         for level in range(len(tiers), 0, -1):
             begin = seeds.filter(lambda s, level=level: s[1][0] == level).map(lambda s: ((s[0], 0), s[1][1]))
             paths = begin if paths is None else paths.union(begin)
-            met = tiers[level - 1].join(paths, max(1, self.partitions // FAN ** (level - 1)))
+            runs = self.met(tiers[level - 1], paths, level - 1)
             if level == 1:
-                return met
-            paths = self._keep(met.flatMap(_to_children))
+                return runs
+            paths = self.keep(runs.flatMap(_to_children))
         return seeds.context.emptyRDD()
 
 
@@ -155,25 +177,30 @@ def manifest(rows: DataFrame, fields: tuple[str, ...] = FIELDS, part: str = "lan
     leaves = stages.keep(rows.select(*cols, *(F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry))), "leaves")
     placed = stages.keep(numbered(leaves, stages, "part", ["id", "leaf"], ("group", "index", "size")), "placed")
     stages.drop(leaves)
-    largest, groups = placed.agg(F.max("size"), F.max("group") + 1).first()
+    parts = placed.where("index = 0").agg(F.max("size"), F.count("*")).first()
+    height, groups = _height(parts[0] or 0), parts[1]
+    on_level = lambda k: F.sum(F.when(F.col("size") > FAN ** max(0, k - 1), F.ceil(F.col("size") / FAN**k)).otherwise(0))
+    nodes_of = [n or 0 for n in placed.where("index = 0").agg(*map(on_level, range(height + 1))).first()]
     partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    steps = Supersteps(spark, partitions)
+    steps = Supersteps(spark, partitions, nodes_of)
+    crown = Supersteps(spark, partitions, [-(-groups // FAN**k) for k in range(_height(groups) + 1)])
     nodes = placed.select("group", "index", "size", F.unhex("leaf").alias("leaf")).rdd.map(lambda r: ((r[0], r[1]), (r[2], bytes(r[3]))))
-    tiers, tops = steps.ascend(nodes, _height(largest or 0))
-    tops = steps._keep(tops)  # noqa: SLF001
-    upper, last = steps.ascend(tops.map(lambda t, n=groups: ((0, t[0]), (n, t[1][1]))), _height(groups or 0))
+    tiers, tops = steps.ascend(nodes, height)
+    tops = steps.keep(tops)
+    upper, last = crown.ascend(tops.map(lambda t: ((0, t[0]), (groups, t[1][1]))), _height(groups))
     last = last.take(1)  # one node
     root = last[0][1][1] if last else b""
-    crown = [(0, (_height(groups or 0), []))]
-    heads = steps.descend(upper, spark.sparkContext.parallelize(crown, 1)).flatMap(_to_children).map(lambda x: (x[0][1], x[1]))
     if groups == 1:
         heads = spark.sparkContext.parallelize([(0, [])], 1)
-    heads = steps._keep(tops.join(heads, max(1, partitions // FAN)))  # noqa: SLF001  group -> ((level, subroot), path above)
+    else:
+        heads = crown.descend(upper, spark.sparkContext.parallelize([(0, (_height(groups), []))], 1)).flatMap(_to_children).map(lambda x: (x[0][1], x[1]))
+    heads = crown.keep(crown.met(tops, heads, 0))  # group -> ((level, subroot), path above)
     runs = steps.descend(tiers, heads.mapValues(lambda v: (v[0][0], v[1])))
     of_runs = spark.createDataFrame(runs.map(lambda r: (r[0][0], r[0][1], r[1][0][1], r[1][1])), "run_group long, run long, children binary, above array<binary>", verifySchema=False)
     of_parts = spark.createDataFrame(heads.map(lambda h: (h[0], h[1][0][1], h[1][1] if h[1][0][0] == 0 else [])), "part_group long, subroot binary, head array<binary>", verifySchema=False)
     out = stages.keep(_with_paths(placed, stages.keep(of_runs, "runs"), stages.keep(of_parts, "subroots"), root), "manifest")
     steps.release()
+    crown.release()
     stages.clear(out)
     return out.withColumnsRenamed({"id": id_col} | {f"carried_{i}": c for i, c in enumerate(carry)})
 
