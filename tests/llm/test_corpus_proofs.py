@@ -92,7 +92,8 @@ def test_manifest_of_few_null_and_repeated_rows(spark):
 def test_manifest_joins_without_broadcasts(spark, monkeypatch):
     monkeypatch.setattr("tessera.llm.ranks.BROADCAST_MARKS", 0)
     monkeypatch.setattr(merkle, "BROADCAST_MARKS", 0)
-    rows = [(i, "s", "ab"[i % 2], 1, f"T{i}", "x", 1) for i in range(100)]
+    monkeypatch.setattr(merkle, "LEVEL_NODES", 5)  # many tasks a level
+    rows = [(i, "s", "ab"[i % 2], 1, f"T{i}", "x", 1) for i in range(200)] + [(i, "s", f"c{i}", 1, "", "x", 1) for i in range(20)]
     assert as_text(proofs(spark, rows)) == as_text(plain_manifest(rows))
 
 
@@ -200,13 +201,13 @@ def test_edited_texts_and_equal_fingerprints(spark, repeat, monkeypatch):
     assert all(len(v) == 1 for v in texts_of.values())
 
 
-def plain_fingerprint(hashes, whole):
-    """From sorted hashes as unsigned values; signature values come from Spark's own hash of arrays."""
-    subsets, shift = [], 0
-    for parts, kept in imatch.LEVELS:
-        subsets += [[h for h in hashes if (h % (1 << 64) >> shift) & (parts - 1) == j] for j in range(kept)]
-        shift += parts.bit_length() - 1
-    return subsets
+def plain_subsets(hashes):
+    """The subsets of sorted hashes, level by level."""
+    out, level = [], [hashes]
+    for i, kept in enumerate(imatch.LEVELS):
+        level = [[h for h in terms if (h % (1 << 64) >> 2 * i) & 3 == j] for terms in level for j in range(kept)]
+        out += level
+    return out
 
 
 def test_signatures_against_plain_subsets(spark, monkeypatch):
@@ -223,7 +224,7 @@ def test_signatures_against_plain_subsets(spark, monkeypatch):
     for i in hashes:
         kept = sorted(h for h in hashes[i] if h in chosen)
         flat = "".join(got[i].text_fingerprint.split(".")[1:])
-        subsets = plain_fingerprint(kept, None)
+        subsets = plain_subsets(kept)
         codes = [r.c for r in spark.createDataFrame([(n, s) for n, s in enumerate(subsets)], "n int, s array<long>").select("n", F.lower(F.lpad(F.hex(F.xxhash64("s").bitwiseAND(F.lit(0xFFFF))), 4, "0")).alias("c")).orderBy("n").collect()]
         assert flat == "".join(c if s else imatch.NOTHING for c, s in zip(codes, subsets, strict=True))
         assert got[i].text_fingerprint[0] == ("b" if kept else "w")
