@@ -4,7 +4,7 @@ The lexicon holds the terms whose inverse document frequency ln(documents / df)
 typing errors of one. A document's terms in the lexicon, distinct and sorted, are hashed once for the whole lexicon and once for each of
 several random subsets of it. An edit leaves the signatures of all subsets that hold none of the changed terms as they were, so the
 share of equal signatures tells how alike two documents are. The subsets come in levels of finer and finer shares of the lexicon, as
-a short document needs larger subsets than a long one; the bits of a term's hash deal it to one subset of each level at most.
+a short document needs larger subsets than a long one; the bits of a term's hash deal it to one subset of each level at most, inside that of the level before.
 
 Scale: a term occurs in the band only if at least exp(-MAX_IDF) of all documents hold it, so the lexicon has at most exp(MAX_IDF)
 times as many terms as a document has on average, however large the corpus is; it is broadcast after a check of its size. Terms are 64-bit
@@ -27,8 +27,8 @@ from .ranks import numbered
 
 #: The band of ln(documents / document frequency): terms of more than a fifth of the documents, or of fewer than one in 2,981, say nothing.
 MIN_IDF, MAX_IDF = math.log(5), 8.0
-#: (parts that the lexicon is dealt into, how many of them are subsets) for each level after the whole lexicon.
-LEVELS = ((4, 4), (16, 16), (64, 32), (256, 48), (1024, 48))
+#: Every subset of a level (first of the whole lexicon) is dealt into SPLIT parts, of which so many are subsets of the next level.
+SPLIT, LEVELS = 4, (4, 4, 2, 2, 1)
 #: So many subsets with terms must a level have to tell how alike two documents are.
 LEAST_SUBSETS = 12
 MAX_LEXICON = 4_000_000
@@ -56,51 +56,47 @@ def lexicon(texts: DataFrame, stages: Stages, text: str = "text", min_idf: float
     return F.broadcast(kept) if kept.count() <= MAX_LEXICON else kept
 
 
-def _dealt(term: Column, shift: int, parts: int) -> Column:
-    return F.shiftrightunsigned(term, shift).bitwiseAND(F.lit(parts - 1))
+def _signature(terms: Column) -> Column:
+    code = F.lower(F.lpad(F.hex(F.xxhash64(terms).bitwiseAND(F.lit(0xFFFF))), 4, "0"))
+    return F.when(F.size(terms) == 0, F.lit(NOTHING)).otherwise(code)
 
 
-def _level(terms: Column, shift: int, parts: int, kept: int) -> Column:
-    """The signatures of a level's subsets, 4 hex digits each."""
-    code = lambda t: F.lower(F.lpad(F.hex(F.xxhash64(t).bitwiseAND(F.lit(0xFFFF))), 4, "0"))
-    signature = lambda t: F.when(F.size(t) == 0, F.lit(NOTHING)).otherwise(code(t))
-    numbers = F.sequence(F.lit(0).cast("long"), F.lit(kept - 1).cast("long"))
-    of_subsets = lambda few: F.transform(numbers, lambda j: let(F.filter(few, lambda t: _dealt(t, shift, parts) == j), signature))
-    inside = F.filter(terms, lambda t: _dealt(t, shift, parts) < kept) if kept < parts else terms
-    return F.array_join(let(inside, of_subsets), "")
+def _split(subsets: Column, level: int) -> Column:
+    """The subsets of a level, out of those of the level before."""
+    part = lambda t: F.shiftrightunsigned(t, level * (SPLIT.bit_length() - 1)).bitwiseAND(F.lit(SPLIT - 1))
+    numbers = F.array(*(F.lit(j).cast("long") for j in range(LEVELS[level])))
+    return F.flatten(F.transform(subsets, lambda terms: F.transform(numbers, lambda j: F.filter(terms, lambda t: part(t) == j))))
 
 
-def fingerprint(terms: Column, whole: Column) -> Column:
-    """The fingerprint of sorted distinct lexicon terms: a signature of all, then 4 hex digits for each subset, level by level.
+def with_fingerprint(rows: DataFrame, terms: str, whole: Column, name: str) -> DataFrame:
+    """rows with a fingerprint of column terms, which are sorted and distinct: a signature of all, then 4 hex digits for each subset, level by level.
 
-    whole is a hash of all terms of the text; it stands for the lexicon's where the text has none of its terms. Subsets without terms are NOTHING.
+    whole is a hash of all terms of the text; it stands for the lexicon's where the text has none of its terms. Subsets without terms are NOTHING. Each level
+    is a column of its own, so that none is worked out twice.
     """
-    shifts = [sum(p.bit_length() - 1 for p, _ in LEVELS[:i]) for i in range(len(LEVELS))]
-    levels = [_level(terms, shift, parts, kept) for shift, (parts, kept) in zip(shifts, LEVELS, strict=True)]
-    of_all = F.lower(F.lpad(F.hex(F.when(F.size(terms) == 0, whole).otherwise(F.xxhash64(terms))), 16, "0"))
-    return F.concat_ws(".", F.concat(F.when(F.size(terms) == 0, F.lit("w")).otherwise(F.lit("b")), of_all), *levels)
+    level = lambda i: f"{terms}_level_{i}"
+    out = rows.withColumn(level(0), F.array(terms))
+    for i in range(len(LEVELS)):
+        out = out.withColumn(level(i + 1), _split(F.col(level(i)), i))
+    all_of = F.lower(F.lpad(F.hex(F.when(F.size(terms) == 0, whole).otherwise(F.xxhash64(terms))), 16, "0"))
+    texts = [F.array_join(F.transform(level(i + 1), _signature), "") for i in range(len(LEVELS))]
+    first = F.concat(F.when(F.size(terms) == 0, F.lit("w")).otherwise(F.lit("b")), all_of)
+    return out.withColumn(name, F.concat_ws(".", first, *texts)).drop(*(level(i) for i in range(len(LEVELS) + 1)))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """The share of equal signatures, from 0 to 1: 1 for equal fingerprints, else on the finest level where LEAST_SUBSETS subsets have terms of either document, or on the coarsest level."""
-
-    def shares(x: Column, y: Column, kept: int) -> tuple[Column, Column]:
-        at = lambda s, i: F.substring(s, i * 4 + 1, F.lit(4))
-        pairs = F.transform(F.sequence(F.lit(0), F.lit(kept - 1)), lambda i: F.struct(at(x, i).alias("x"), at(y, i).alias("y")))
-        filled = lambda p: (p["x"] != NOTHING) | (p["y"] != NOTHING)
-        return F.size(F.filter(pairs, filled)), F.size(F.filter(pairs, lambda p: filled(p) & (p["x"] == p["y"])))
-
-    def by_level(xs: Column, ys: Column) -> Column:
-        counts = F.array(*(F.struct(*(c.alias(n) for c, n in zip(shares(xs[i], ys[i], kept), ("filled", "same"), strict=True))) for i, (_, kept) in reversed([*enumerate(LEVELS, 1)])))
+def _share(a: Column, b: Column, level: int, least: int) -> Column:
+    """The share of equal signatures among a level's subsets with terms of either fingerprint; null where those are fewer than least."""
+    subsets, begin = math.prod(LEVELS[: level + 1]), 18 + sum(4 * math.prod(LEVELS[: i + 1]) + 1 for i in range(level))
+    at = lambda s, i: F.substring(s, i * 4 + begin + 1, F.lit(4))
+    pairs = F.transform(F.sequence(F.lit(0), F.lit(subsets - 1)), lambda i: F.struct(at(a, i).alias("x"), at(b, i).alias("y")))
+    filled = F.filter(pairs, lambda p: (p["x"] != NOTHING) | (p["y"] != NOTHING))
+    return let(filled, lambda f: F.when(F.size(f) >= least, F.size(F.filter(f, lambda p: p["x"] == p["y"])) / F.size(f)))
 
-        def choose(c: Column) -> Column:
-            enough = F.filter(c, lambda level: level["filled"] >= LEAST_SUBSETS)
-            chosen = F.when(F.size(enough) > 0, F.get(enough, F.lit(0))).otherwise(F.get(c, F.lit(len(LEVELS) - 1)))
-            return F.when(chosen["filled"] > 0, chosen["same"] / chosen["filled"]).otherwise(F.lit(0.0))
 
-        return let(counts, choose)
-
-    return F.when(a == b, F.lit(1.0)).otherwise(let(F.split(a, r"\."), lambda xs: let(F.split(b, r"\."), lambda ys: by_level(xs, ys))))
+def likeness(a: Column, b: Column) -> Column:
+    """The share of equal signatures, from 0 to 1: 1 for equal fingerprints, else on the finest level where LEAST_SUBSETS subsets have terms of either document, or on the coarsest level."""
+    finer = [_share(a, b, level, LEAST_SUBSETS) for level in range(len(LEVELS) - 1, 0, -1)]
+    return F.when(a == b, F.lit(1.0)).otherwise(F.coalesce(*finer, _share(a, b, 0, 1), F.lit(0.0)))
 
 
 def fingerprints(rows: DataFrame, lexicon: DataFrame, by: list[str], texts: list[str], keep: list[str]) -> DataFrame:
@@ -119,8 +115,9 @@ def fingerprints(rows: DataFrame, lexicon: DataFrame, by: list[str], texts: list
     each = each.join(lexicon, "term").select(*by, "term", "of", F.when(F.col("of") < 0, F.col("held")).alias("held"))
     lists = [F.array_sort(F.collect_list(F.when(F.col("of") == i, F.col("term")))).alias(f"terms_{i}") for i in range(len(texts))]
     found = each.groupBy(*by).agg(F.first("held", ignorenulls=True).alias("held"), *lists)
-    prints = [fingerprint(F.col(f"terms_{i}"), F.col(f"held.whole_{i}")).alias(f"{t}_fingerprint") for i, t in enumerate(texts)]
-    return found.select(*by, *(f"held.{c}" for c in keep), *prints)
+    for i, t in enumerate(texts):
+        found = with_fingerprint(found, f"terms_{i}", F.col(f"held.whole_{i}"), f"{t}_fingerprint")
+    return found.select(*by, *(f"held.{c}" for c in keep), *(f"{t}_fingerprint" for t in texts))
 
 
 def document_key(doc_id: Column, text: Column) -> Column:
