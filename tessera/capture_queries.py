@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators import nesting, pairing
 from .sources import stylesheets
 
 TABLES = ("pages", "part", "lineitem", "orders", "customer", "events", "embeddings", "documents")
@@ -27,7 +28,50 @@ _SHEET = " || ".join([
     "'px;color:blue} .c{transition:w'", _s("p % 13"), "' .2s ease-in,color 100ms}}} @keyframes k{from{opacity:0}} .e{animation:spin '", _s("p % 3 + 1"), "'s linear infinite}'",
 ])
 
-INPUTS = {"sheets": f"SELECT p AS page_id, p % 4 AS site, {_SHEET} AS css FROM (SELECT page_id AS p FROM pages)"}
+def _pick(by: str, *texts: str | None) -> str:
+    return f"CASE ({by}) % {len(texts)} " + " ".join(f"WHEN {i} THEN " + ("NULL" if t is None else f"'{t}'") for i, t in enumerate(texts)) + " END"
+
+
+#: A page's elements in document order: each holds as many numbers after its own as its lowest set bit tells, the first one all.
+_BOXES = (
+    "SELECT *, CASE WHEN pre = 0 THEN 100000000 ELSE pre + (pre & -pre) - 1 END AS last FROM ("
+    "SELECT o_orderkey % 20 AS page, o_orderkey AS id, CAST((o_orderkey - o_orderkey % 20) / 20 AS BIGINT) AS pre, o_custkey AS c FROM orders)"
+)
+#: A section of either side; b's pages and values differ for some.
+_SIDE = (
+    "SELECT p_partkey AS id, {page} AS page, p_brand || '-' || " + _s("p_size % 7") + " AS role, " + _pick("p_size", "flow", "grid") + " AS layout_mode, "
+    "CASE WHEN p_partkey >= 60 AND p_size % 3 = 0 THEN p_partkey - 60 END AS parent_id, " + _s("p_size + {shift} * (p_partkey % 5)") + " AS order_, "
+    + _pick("p_size + {shift} * p_partkey", "block", "grid", None) + " AS display, " + _pick("p_partkey * {shift}", "static", "sticky", "static", "") + " AS position, "
+    + _pick("p_size + {shift} * (p_partkey % 2)", "1fr  1fr", "repeat(3, 1fr)", "none", "200px 300px", "") + " AS grid, p_partkey AS k FROM part"
+)
+_HELD = "SELECT l_orderkey * 8 + l_linenumber AS id, l_partkey AS section_id, {page} AS page, {type} AS type, l_linestatus AS element_kind, 's' || " + _s("l_suppkey % 40") + " AS role FROM lineitem"
+_MOVED = "CASE WHEN {k} % 13 = 0 THEN {k} % 60 + 60 ELSE {k} % 60 END"
+#: What sections do between two viewports, a row for each changed property of an observation.
+_SEEN = (
+    "SELECT {k} AS page, p_partkey AS id, p_partkey - p_partkey % 2 * 60 AS section, " + _pick("p_size", "mobile", "tablet") + " AS to_viewport, "
+    + _pick("p_partkey", "order", "gridTemplateColumns", "rect.x", "position", "height") + " AS property, " + _pick("p_size + {shift} * (p_partkey % 3)", "40px", "1fr 1fr", "300px") + " AS before, "
+    + _pick("p_size", "50px", "1fr 1fr 1fr", None) + " AS after FROM part"
+)
+#: What pointer and keyboard do to elements of a page.
+_ACTS = (
+    "SELECT user_id AS page, event_id AS id, event_type AS driver, " + _pick("event_id", "mouse", "key") + " AS trigger, " + _pick("event_id + user_id", "color", "transform") + " AS property, "
+    + _pick("event_id", "none", None, "red") + " AS before, " + _pick("user_id + {shift} * (user_id % 3)", "translateX(4px)", " blue ", "matrix(1, 0, 0, 1, 4, 0)", "none") + " AS after FROM events"
+)
+
+INPUTS = {
+    "sheets": f"SELECT p AS page_id, p % 4 AS site, {_SHEET} AS css FROM (SELECT page_id AS p FROM pages)",
+    "boxes": f"SELECT page, id, pre, last, CAST((c * 37 % 6 + 1) * 1000 AS DOUBLE) AS area, c % 3 = 0 AS landmark FROM ({_BOXES}) b",
+    "layers": "SELECT *, x0 + width AS x1 FROM (SELECT page, id, pre, last, c, CASE c % 7 WHEN 0 THEN -30.5 WHEN 1 THEN -3 ELSE 0 END AS x0, 900 + c % 90 * 3 AS width, 1000 AS viewport, "
+    "id % 10 <> 3 AS visible, " + _pick("c % 23 * 2", "fixed", *["static"] * 44) + " AS position, " + _pick("c", "hidden", "auto", *["visible"] * 15) + " AS overflow_x, 1000 + c % 9 AS scroll_width, 1000 AS client_width, "
+    f"pre = 0 AS body, false AS root FROM ({_BOXES}) b) w",
+    "rects": "SELECT p_partkey % 40 AS page, p_partkey AS id, CASE WHEN p_size % 3 = 0 THEN p_size END AS section, CAST(p_size % 9 AS DOUBLE) / 8 AS x, CAST(p_partkey % 7 AS DOUBLE) / 8 AS y, 0.125 AS w, CAST(p_size % 2 AS DOUBLE) / 4 AS h FROM part",
+    "crops": "SELECT c_custkey % 40 AS page, c_custkey AS crop, c_custkey % 97 AS ord, c_custkey % 60 AS section, CAST(c_custkey % 6 AS DOUBLE) / 8 AS x, CAST(c_nationkey % 5 AS DOUBLE) / 8 AS y, CAST(c_custkey % 5 AS DOUBLE) / 8 AS w, CAST(c_nationkey % 4 AS DOUBLE) / 8 AS h FROM customer",
+    "sections_a": _SIDE.format(page="p_partkey % 60", shift=0), "sections_b": _SIDE.format(page=_MOVED.format(k="p_partkey"), shift=1),
+    "held_a": _HELD.format(page="l_partkey % 60", type="l_returnflag"),
+    "held_b": _HELD.format(page=_MOVED.format(k="l_partkey"), type="CASE WHEN l_orderkey % 50 = 0 THEN 'Z' ELSE l_returnflag END"),
+    "seen_a": _SEEN.format(k="p_partkey % 60", shift=0), "seen_b": _SEEN.format(k=_MOVED.format(k="p_partkey"), shift=1),
+    "acts_a": _ACTS.format(shift=0), "acts_b": _ACTS.format(shift=1),
+}
 
 
 def _input(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -74,8 +118,87 @@ def page_stylesheets(spark, d):
     return stylesheets.styled(rows).select("page_id", "sheet", "selector", "property", "value")
 
 
-QUERIES = {f.__name__: f for f in (stylesheet_declarations, stylesheet_states, stylesheet_breakpoints, stylesheet_motion, variable_colors, page_stylesheets)}
+def suppressed_sections(spark, d):
+    return nesting.suppressed_sections(_input(spark, d, "boxes"), ["page"]).select("page", "id", "suppressed")
+
+
+def overflow_sources(spark, d):
+    over = nesting.overflowing(_input(spark, d, "layers").withColumnsRenamed({"x0": "left", "x1": "right"}), ["page"])
+    sections = _input(spark, d, "boxes").select("page", F.col("id").alias("section"), F.when(F.col("landmark"), "main").otherwise("content").alias("role"), "pre", "last", "area", F.col("pre").alias("ord"))
+    found = nesting.overflow_report(over, nesting.overflow_sources(over, ["page"]), sections, ["page"])
+    return found.join(nesting.content_width(over, ["page"]), "page")
+
+
+def crop_of_rect(spark, d):
+    return nesting.crop_of(_input(spark, d, "rects"), _input(spark, d, "crops"), ["page"])
+
+
+def _sections(spark, d):
+    frames = [(_input(spark, d, f"sections_{x}"), _input(spark, d, f"held_{x}")) for x in "ab"]
+    return frames, pairing.match_sections(*(pairing.section_signatures(s, c, ["page"]) for s, c in frames), ["page"])
+
+
+def section_matches(spark, d):
+    return _sections(spark, d)[1].drop("match")
+
+
+def component_matches(spark, d):
+    frames, sections = _sections(spark, d)
+    return pairing.match_components(frames[0][1], frames[1][1], sections, ["page"]).drop("match")
+
+
+def match_summaries(spark, d):
+    return pairing.match_summary(_sections(spark, d)[1].withColumn("site", F.col("page") % 7), ["site"], ["site", "page"])
+
+
+def layout_property_changes(spark, d):
+    frames, sections = _sections(spark, d)
+    named = [s.select("page", "id", "role", F.col("order_").alias("order"), F.col("layout_mode").alias("layoutMode"), "display", "position", F.lit(None).cast("string").alias("maxWidth"),
+                      F.col("grid").alias("gridTemplateColumns"), F.col("display").alias("childGridTemplateColumns")) for s, _ in frames]
+    return pairing.layout_changes(pairing.pairs(sections, ["page"]), *named, ["page"])
+
+
+def responsive_pairs(spark, d):
+    frames, sections = _sections(spark, d)
+    values = []
+    for x, (known, _) in zip("ab", frames, strict=True):
+        seen = _input(spark, d, f"seen_{x}").withColumns({"from_viewport": F.lit("desktop"), "change_type": F.lit("reflow"), "ord": F.lit(0)})
+        roles = known.select("page", F.col("id").alias("section"), F.when(F.col("id") % 4 == 0, "header").otherwise(F.col("role")).alias("role"))
+        values.append(pairing.responsive_values(seen.select("page", "id", "ord", "property", "before", "after"), seen.drop("property", "before", "after", "ord"), roles, ["page"]))
+    return pairing.pair_responsive(*values, pairing.pairs(sections, ["page"]), ["page"])
+
+
+def interaction_pairs(spark, d):
+    return pairing.pair_interactions(*(pairing.interaction_groups(_input(spark, d, f"acts_{x}"), ["page"]) for x in "ab"), ["page"])
+
+
+QUERIES = {f.__name__: f for f in (
+    stylesheet_declarations, stylesheet_states, stylesheet_breakpoints, stylesheet_motion, variable_colors, page_stylesheets, suppressed_sections, overflow_sources, crop_of_rect,
+    section_matches, component_matches, match_summaries, layout_property_changes, responsive_pairs, interaction_pairs)}
+
+
+
+def _with(*names: str) -> str:
+    return "WITH " + ", ".join(f"{n} AS ({INPUTS[n]})" for n in names)
+
 
+#: Sections of both sides with what they hold, and their matches.
+_MATCHED = _with("sections_a", "sections_b", "held_a", "held_b", "seen_a", "seen_b") + """,
+sections AS (SELECT *, 'a' AS side FROM sections_a UNION ALL SELECT *, 'b' FROM sections_b),
+held AS (SELECT *, 'a' AS side, type || '|' || element_kind || '|' || role AS kind FROM held_a UNION ALL SELECT *, 'b', type || '|' || element_kind || '|' || role FROM held_b),
+kinds AS (SELECT side, page, section_id, list(kind ORDER BY kind) AS kinds FROM held GROUP BY ALL),
+signed AS (
+  SELECT s.*, hash(s.role, s.layout_mode, CASE WHEN s.parent_id IS NULL THEN 'root' ELSE coalesce(u.role, 'unknown') END, coalesce(kinds, [])) AS sig
+  FROM sections s LEFT JOIN sections u ON u.side = s.side AND u.page = s.page AND u.id = s.parent_id LEFT JOIN kinds k ON k.side = s.side AND k.page = s.page AND k.section_id = s.id),
+first AS (SELECT *, count(*) FILTER (side = 'a') OVER w = 1 AND count(*) FILTER (side = 'b') OVER w = 1 AS exact FROM signed WINDOW w AS (PARTITION BY page, sig)),
+second AS (SELECT *, count(*) FILTER (side = 'a') OVER w AS na, count(*) FILTER (side = 'b') OVER w AS nb FROM first WHERE NOT exact WINDOW w AS (PARTITION BY page, role)),
+matched AS (
+  SELECT page, side, id, CAST(sig AS VARCHAR) AS name, 'matched' AS status, 'high' AS confidence, 'exact-semantic-signature' AS reason FROM first WHERE exact
+  UNION ALL SELECT page, side, id, role, CASE WHEN na = 1 AND nb = 1 THEN 'matched' WHEN na * nb > 0 THEN 'ambiguous' ELSE 'unmatched' END, CASE WHEN na = 1 AND nb = 1 THEN 'medium' ELSE 'none' END,
+    CASE WHEN na = 1 AND nb = 1 THEN 'unique-role' WHEN na * nb > 0 THEN 'duplicate-semantic-candidates' ELSE 'missing-counterpart' END FROM second)"""
+_PAIRED = """
+paired AS (SELECT a.page, a.id AS a_id, b.id AS b_id FROM matched a JOIN matched b ON a.page = b.page AND a.name = b.name AND a.side = 'a' AND b.side = 'b' AND a.status = 'matched' AND b.status = 'matched'),
+shaped AS (SELECT *, CASE grid WHEN '1fr  1fr' THEN '2' WHEN 'repeat(3, 1fr)' THEN '3' WHEN 'none' THEN 'none' WHEN '200px 300px' THEN '2' END AS columns FROM sections)"""
 _P = "WITH x AS (SELECT page_id AS p FROM pages)"
 _OUTER = "'@media (min-width:' || p % 7 * 100 + 320 || 'px) and (max-width:64em)'"
 _INNER = f"{_OUTER} || ' @container card (width >= ' || p % 5 * 16 + 200 || 'px)'"
@@ -103,4 +226,59 @@ FROM m GROUP BY 1, 2, 3, 4 QUALIFY ord <= 10""",
     "variable_colors": f"""{_P}, v AS (SELECT p, CASE WHEN p % 3 = 0 THEN printf('#%02x0709', p % 200) ELSE {_BRAND} END AS value FROM x)
 SELECT p AS page_id, unnest(['declaredColor', 'brandTokenColor']) AS category, value, 2 AS weight FROM v UNION ALL SELECT p, 'declaredColor', '#010203', 1 FROM v""",
     "page_stylesheets": "SELECT page_id, 0 AS sheet, 'p' AS selector, 'margin' AS property, '0' AS value FROM pages WHERE contains(html, '<style>p{margin:0}</style>')",
+    "suppressed_sections": _with("boxes") + """,
+pairs AS (SELECT a.page, a.id AS outer_id, b.id AS inner_id, a.area AS x, b.area AS y, a.landmark AS m, b.landmark AS n FROM boxes a JOIN boxes b ON a.page = b.page AND a.pre < b.pre AND b.pre <= a.last),
+gone AS (SELECT page, CASE WHEN m AND NOT n THEN inner_id ELSE outer_id END AS id FROM pairs WHERE y >= x * 0.85 UNION SELECT page, outer_id FROM pairs WHERE y < x * 0.85 AND NOT m AND n AND y >= x * 0.5)
+SELECT page, id, (page, id) IN (SELECT (page, id) FROM gone) AS suppressed FROM boxes""",
+    "overflow_sources": _with("layers", "boxes") + """,
+free AS (SELECT *, greatest(0, -x0) + greatest(0, x1 - 1000) AS px FROM layers e WHERE visible AND position <> 'fixed' AND NOT EXISTS (SELECT 1 FROM layers a WHERE a.page = e.page AND a.pre < e.pre AND e.pre <= a.last
+  AND (a.position = 'fixed' OR (a.pre > 0 AND (a.overflow_x = 'hidden' OR (a.overflow_x = 'auto' AND a.scroll_width > 1004)))))),
+over AS (SELECT * FROM free WHERE px > 4),
+s1 AS (SELECT * FROM over QUALIFY row_number() OVER (PARTITION BY page ORDER BY body, px DESC, pre) = 1),
+r2 AS (SELECT o.* FROM over o JOIN s1 s USING (page) WHERE o.last < s.pre OR s.last < o.pre), s2 AS (SELECT * FROM r2 QUALIFY row_number() OVER (PARTITION BY page ORDER BY body, px DESC, pre) = 1),
+r3 AS (SELECT o.* FROM r2 o JOIN s2 s USING (page) WHERE o.last < s.pre OR s.last < o.pre), s3 AS (SELECT * FROM r3 QUALIFY row_number() OVER (PARTITION BY page ORDER BY body, px DESC, pre) = 1),
+chosen AS (SELECT *, 1 AS ord FROM s1 UNION ALL SELECT *, 2 FROM s2 UNION ALL SELECT *, 3 FROM s3),
+held AS (SELECT c.page, c.ord, b.id AS section, CASE WHEN b.landmark THEN 'main' ELSE 'content' END AS role FROM chosen c JOIN boxes b ON b.page = c.page AND b.pre <= c.pre AND c.pre <= b.last
+  QUALIFY row_number() OVER (PARTITION BY c.page, c.ord ORDER BY b.area, b.pre) = 1),
+wide AS (SELECT page, CAST(ceil(max(greatest(1000, x1, 1000 - x0))) AS INTEGER) AS content_width FROM over GROUP BY page)
+SELECT page, ord, c.id, CAST(floor(px + 0.5) AS INTEGER) AS overflow_px, CAST(width AS INTEGER) AS width, position, section, role, content_width, content_width > 1004 AS overflows FROM chosen c JOIN held USING (page, ord) JOIN wide USING (page)""",
+    "crop_of_rect": _with("rects", "crops") + """
+SELECT r.page, r.id, c.crop FROM rects r JOIN crops c ON r.page = c.page AND (r.section = c.section OR (r.x >= c.x AND r.y >= c.y AND r.x + r.w <= c.x + c.w AND r.y + r.h <= c.y + c.h))
+QUALIFY row_number() OVER (PARTITION BY r.page, r.id ORDER BY c.ord, c.crop) = 1""",
+    "section_matches": _MATCHED + " SELECT page, side, id, status, confidence, reason FROM matched",
+    "component_matches": _MATCHED + """,
+comps AS (SELECT h.page, h.side, h.id, m.name, m.status AS parent, CASE WHEN m.status = 'matched' THEN kind ELSE '' END AS kind FROM held h JOIN matched m ON m.page = h.page AND m.side = h.side AND m.id = h.section_id),
+numbered AS (SELECT *, count(*) FILTER (side = 'a') OVER w AS na, count(*) FILTER (side = 'b') OVER w AS nb FROM comps WINDOW w AS (PARTITION BY page, name, kind))
+SELECT page, side, id, CASE WHEN parent = 'matched' AND na = 1 AND nb = 1 THEN 'matched' WHEN parent IN ('matched', 'ambiguous') AND na * nb > 0 THEN 'ambiguous' ELSE 'unmatched' END AS status,
+  CASE WHEN parent = 'matched' AND na = 1 AND nb = 1 THEN 'high' ELSE 'none' END AS confidence,
+  CASE WHEN parent = 'matched' AND na = 1 AND nb = 1 THEN 'exact-semantic-signature' WHEN parent = 'matched' AND na * nb > 0 THEN 'duplicate-semantic-candidates'
+    WHEN parent = 'ambiguous' AND na * nb > 0 THEN 'parent-section-unresolved' ELSE 'missing-counterpart' END AS reason FROM numbered""",
+    "match_summaries": _MATCHED + """
+SELECT page % 7 AS site, count(*) FILTER (status = 'matched') // 2 AS matched_pairs, count(*) FILTER (confidence = 'high') // 2 AS high_confidence_pairs, count(*) FILTER (confidence = 'medium') // 2 AS medium_confidence_pairs,
+  count(DISTINCT CASE WHEN status = 'ambiguous' THEN (page, name) END) AS ambiguous_groups, count(*) FILTER (status = 'unmatched') AS unmatched_entities FROM matched GROUP BY 1""",
+    "layout_property_changes": _MATCHED + ", " + _PAIRED + """,
+told AS (
+  SELECT p.page, a_id, b_id, a.role, unnest(['order', 'display', 'position', 'gridTemplateColumns', 'childGridTemplateColumns']) AS property,
+    unnest([a.order_, a.display, nullif(a.position, ''), a.columns, CASE a.display WHEN 'block' THEN '1' WHEN 'grid' THEN '1' END]) AS before, unnest([b.order_, b.display, nullif(b.position, ''), b.columns, CASE b.display WHEN 'block' THEN '1' WHEN 'grid' THEN '1' END]) AS after
+  FROM paired p JOIN shaped a ON a.side = 'a' AND a.page = p.page AND a.id = p.a_id JOIN shaped b ON b.side = 'b' AND b.page = p.page AND b.id = p.b_id)
+SELECT * FROM told WHERE before IS DISTINCT FROM after""",
+    "responsive_pairs": _MATCHED + ", " + _PAIRED + """,
+seen AS (SELECT *, 'a' AS side FROM seen_a UNION ALL SELECT *, 'b' FROM seen_b),
+useful AS (
+  SELECT e.page, e.side, e.id, section, to_viewport, CASE WHEN section % 4 = 0 THEN 'header' ELSE s.role END AS role, CASE WHEN property = 'order' THEN 'reorder' ELSE 'reflow' END || ' · ' || property || ': ' || before || ' → ' || coalesce(after, '—') AS value
+  FROM seen e JOIN sections s ON s.side = e.side AND s.page = e.page AND s.id = e.section
+  WHERE (property IN ('order', 'position') AND before IS DISTINCT FROM after) OR (property = 'gridTemplateColumns' AND (before <> '1fr 1fr' AND after = '1fr 1fr 1fr' OR before = '1fr 1fr' AND after IN ('50px', '1fr 1fr 1fr')))
+    OR (property = 'height' AND section % 4 = 0 AND before = '40px' AND after = '50px')),
+one AS (SELECT page, section, to_viewport, min(id) AS b_id, min(value) AS after FROM useful WHERE side = 'b' GROUP BY ALL HAVING count(*) = 1)
+SELECT u.page, u.id AS a_id, o.b_id, 'responsive.' || role || '.desktop-' || u.to_viewport AS path, value AS before, after, CASE WHEN o.b_id IS NULL THEN 'unpaired' WHEN value = after THEN 'same' ELSE 'changed' END AS state
+FROM useful u LEFT JOIN paired p ON p.page = u.page AND p.a_id = u.section LEFT JOIN one o ON o.page = u.page AND o.section = p.b_id AND o.to_viewport = u.to_viewport WHERE side = 'a'""",
+    "interaction_pairs": _with("acts_a", "acts_b") + """,
+acts AS (SELECT *, 'a' AS side FROM acts_a UNION ALL SELECT *, 'b' FROM acts_b),
+told AS (
+  SELECT page, side, driver, trigger, property, before IS NOT NULL AS direct, property || ': ' || CASE WHEN property = 'transform' THEN CASE WHEN before = 'red' THEN 'red' ELSE 'matrix(1, 0, 0, 1, 0, 0)' END ELSE coalesce(before, '—') END || ' → '
+    || CASE WHEN property = 'transform' THEN CASE after WHEN ' blue ' THEN 'blue' WHEN 'none' THEN 'matrix(1, 0, 0, 1, 0, 0)' ELSE 'matrix(1, 0, 0, 1, 4, 0)' END ELSE trim(after) END AS value FROM acts),
+grouped AS (
+  SELECT page, side, driver, trigger, property, coalesce(string_agg(DISTINCT value, ' | ' ORDER BY value) FILTER (direct), string_agg(DISTINCT value, ' | ' ORDER BY value)) AS value FROM told GROUP BY ALL)
+SELECT page, driver, trigger, property AS properties, a.value AS before, b.value AS after, CASE WHEN a.value IS NULL OR b.value IS NULL THEN 'unpaired' WHEN a.value = b.value THEN 'same' ELSE 'changed' END AS state
+FROM (SELECT * FROM grouped WHERE side = 'a') a FULL JOIN (SELECT * FROM grouped WHERE side = 'b') b USING (page, driver, trigger, property)""",
 }
