@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import nesting, pairing
+from .operators import components, nesting, pairing
 from .sources import stylesheets
 
 TABLES = ("pages", "part", "lineitem", "orders", "customer", "events", "embeddings", "documents")
@@ -61,6 +61,15 @@ _ACTS = (
 INPUTS = {
     "sheets": f"SELECT p AS page_id, p % 4 AS site, {_SHEET} AS css FROM (SELECT page_id AS p FROM pages)",
     "boxes": f"SELECT page, id, pre, last, CAST((c * 37 % 6 + 1) * 1000 AS DOUBLE) AS area, c % 3 = 0 AS landmark FROM ({_BOXES}) b",
+    "elements": (
+        "SELECT page, id, pre, last, CASE WHEN pre > 0 THEN (pre & (pre - 1)) * 20 + page END AS parent_id, " + _pick("c + pre", "div", "a", "button", "section", "input", "nav", "div", "li", "img", "div", "dialog") + " AS tag, "
+        + _pick("c * 3 + pre", *[None] * 11, "button", "textbox", "grid", "region", "tab", "list") + " AS role, " + _pick("c", "text", "submit", "hidden") + " AS input_type, id % 3 > 0 AS has_href, "
+        + _pick("c + id", "btn", "card", "item", "modal-box", "card") + " AS class, id % 5 = 0 AS onclick, " + _pick("id + c", "0", None, "-1") + " AS tabindex, " + _pick("c", None, None, None, "true") + " AS aria_modal, "
+        "id % 11 <> 4 AS visible, CAST(100 + c % 7 * 60 AS DOUBLE) AS width, CAST(40 + c % 5 * 40 AS DOUBLE) AS height, CAST(400 AS DOUBLE) AS viewport_width, CAST(300 AS DOUBLE) AS viewport_height, CAST(c % 20 AS INT) AS text_chars, "
+        "c % 4 = 0 AS main_child, " + _pick("c + id", "transparent", "rgba(0, 0, 0, 0)", "rgb(1, 2, 3)", "#fff", "rgb(1, 2, 3)", "#eee") + " AS background, " + _pick("id", "none", "0 1px 2px red", "none") + " AS shadow, "
+        + _pick("c", "static", "fixed") + " AS position, " + _pick("id", "auto", "3") + " AS z_index, CAST(c % 3 AS DOUBLE) AS line, " + _pick("c + id", "solid", "none", "solid") + " AS style, CAST(c % 4 * 3 AS DOUBLE) AS corner, "
+        f"CAST(id % 3 * 8 AS DOUBLE) AS pad FROM ({_BOXES}) b"
+    ),
     "layers": "SELECT *, x0 + width AS x1 FROM (SELECT page, id, pre, last, c, CASE c % 7 WHEN 0 THEN -30.5 WHEN 1 THEN -3 ELSE 0 END AS x0, 900 + c % 90 * 3 AS width, 1000 AS viewport, "
     "id % 10 <> 3 AS visible, " + _pick("c % 23 * 2", "fixed", *["static"] * 44) + " AS position, " + _pick("c", "hidden", "auto", *["visible"] * 15) + " AS overflow_x, 1000 + c % 9 AS scroll_width, 1000 AS client_width, "
     f"pre = 0 AS body, false AS root FROM ({_BOXES}) b) w",
@@ -129,6 +138,22 @@ def overflow_sources(spark, d):
     return found.join(nesting.content_width(over, ["page"]), "page")
 
 
+def detected_components(spark, d):
+    e = _input(spark, d, "elements")
+    kids = e.where("parent_id is not null").groupBy("page", F.col("parent_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pre", "tag"))), lambda x: x["tag"]).alias("child_tags"))
+    none = F.array().cast("array<string>")
+    e = e.join(kids, ["page", "id"], "left").withColumns({
+        "child_tags": F.coalesce("child_tags", none), "classes": F.array("class"), "border_width": F.array("line"), "border_style": F.array("style"), "radius": F.array("corner"), "padding": F.array("pad"),
+    })
+    found = components.detect_components(e, ["page"])
+    return found.select("page", "id", "type", F.round("confidence", 6).alias("confidence"), F.array_join("reasons", ",").alias("reasons"))
+
+
+def status_roots(spark, d):
+    e = _input(spark, d, "elements").select("page", "id", "pre", "last", (F.col("text_chars") % 5 == 0).alias("native"), (F.col("line") > 0).alias("strong"), (F.col("corner") < 9).alias("drawn"))
+    return components.status_roots(e, ["page"]).select("page", "id", "root")
+
+
 def crop_of_rect(spark, d):
     return nesting.crop_of(_input(spark, d, "rects"), _input(spark, d, "crops"), ["page"])
 
@@ -173,7 +198,7 @@ def interaction_pairs(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    stylesheet_declarations, stylesheet_states, stylesheet_breakpoints, stylesheet_motion, variable_colors, page_stylesheets, suppressed_sections, overflow_sources, crop_of_rect,
+    stylesheet_declarations, stylesheet_states, stylesheet_breakpoints, stylesheet_motion, variable_colors, page_stylesheets, suppressed_sections, overflow_sources, crop_of_rect, detected_components, status_roots,
     section_matches, component_matches, match_summaries, layout_property_changes, responsive_pairs, interaction_pairs)}
 
 
@@ -281,4 +306,54 @@ grouped AS (
   SELECT page, side, driver, trigger, property, coalesce(string_agg(DISTINCT value, ' | ' ORDER BY value) FILTER (direct), string_agg(DISTINCT value, ' | ' ORDER BY value)) AS value FROM told GROUP BY ALL)
 SELECT page, driver, trigger, property AS properties, a.value AS before, b.value AS after, CASE WHEN a.value IS NULL OR b.value IS NULL THEN 'unpaired' WHEN a.value = b.value THEN 'same' ELSE 'changed' END AS state
 FROM (SELECT * FROM grouped WHERE side = 'a') a FULL JOIN (SELECT * FROM grouped WHERE side = 'b') b USING (page, driver, trigger, property)""",
+    "detected_components": _with("elements") + """,
+kids AS (SELECT page, parent_id AS id, string_agg(tag, ',' ORDER BY pre) FILTER (k <= 5) AS tags, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY page, parent_id ORDER BY pre) AS k FROM elements WHERE parent_id IS NOT NULL) GROUP BY 1, 2),
+known AS (
+  SELECT e.*, coalesce(k.tags, '') AS tags, coalesce(k.n, 0) AS n_kids, u.background AS behind, tag IN ('img', 'button', 'input') OR (tag = 'a' AND has_href) OR coalesce(role = 'button', false) AS acts
+  FROM elements e LEFT JOIN kids k USING (page, id) LEFT JOIN (SELECT page, id AS parent_id, background FROM elements) u USING (page, parent_id)),
+held AS (SELECT a.page, a.id FROM known a JOIN known b ON a.page = b.page AND a.pre < b.pre AND b.pre <= a.last AND b.acts GROUP BY ALL),
+alike AS (SELECT page, parent_id, tag, class, tags FROM known WHERE visible AND parent_id IS NOT NULL GROUP BY ALL HAVING count(*) >= 2),
+inputs AS (
+  SELECT *, tag = 'input' AND input_type = 'text' AS typed FROM known WHERE (tag = 'input' AND input_type = 'text') OR role = 'textbox'),
+chain AS (
+  SELECT i.page, i.id, i.width AS w0, i.height AS h0, i.background AS paint, i.parent_id AS up, 1 AS level FROM inputs i
+  UNION ALL SELECT c.page, c.id, w0, h0, paint, k.parent_id, 2 FROM (SELECT i.page, i.id, i.width AS w0, i.height AS h0, i.background AS paint, i.parent_id AS up FROM inputs i) c JOIN known k ON k.page = c.page AND k.id = c.up
+  UNION ALL SELECT c.page, c.id, w0, h0, paint, g.parent_id, 3 FROM (SELECT i.page, i.id, i.width AS w0, i.height AS h0, i.background AS paint, i.parent_id AS up FROM inputs i) c JOIN known k ON k.page = c.page AND k.id = c.up JOIN known g ON g.page = k.page AND g.id = k.parent_id),
+boxes AS (
+  SELECT c.page, c.id, u.id AS box FROM chain c JOIN known u ON u.page = c.page AND u.id = c.up
+  WHERE u.visible AND u.width >= w0 AND u.height >= h0 AND u.width <= greatest(w0 * 1.8, w0 + 160) AND u.height <= greatest(h0 * 3, 72) AND (u.width > w0 + 2 OR u.height > h0 + 2)
+    AND ((u.line > 0 AND u.style <> 'none') OR u.corner > 0 OR u.shadow <> 'none' OR (u.background NOT IN ('transparent', 'rgba(0, 0, 0, 0)') AND u.background <> paint))
+  QUALIFY row_number() OVER (PARTITION BY c.page, c.id ORDER BY level) = 1),
+scored AS (
+  SELECT k.page, k.id, h.id IS NOT NULL AS media, a.tag IS NOT NULL AS twice, corner > 4 AS rounded, shadow <> 'none' AS shaded, line > 0 AND style <> 'none' AS lined,
+    background NOT IN ('transparent', 'rgba(0, 0, 0, 0)') AND background <> coalesce(behind, '') AS apart, text_chars >= 12 AS content, n_kids >= 2 AS built, width >= 360 AND height >= 150 AS large
+  FROM known k LEFT JOIN held h USING (page, id) LEFT JOIN alike a ON a.page = k.page AND a.parent_id = k.parent_id AND a.tag = k.tag AND a.class = k.class AND a.tags = k.tags
+  WHERE visible AND k.tag NOT IN ('nav', 'dialog', 'button', 'input') AND width >= 120 AND height >= 72 AND pad >= 12 AND NOT (width >= 360 AND (main_child OR coalesce(role = 'region', false)))),
+cards AS (
+  SELECT page, id, 'card' AS type, least(0.94, score) AS confidence, 15 AS place, list_filter([CASE WHEN rounded THEN 'rounded-container' END, CASE WHEN shaded THEN 'shadow-boundary' END, CASE WHEN lined THEN 'border-boundary' END, 'contained-spacing',
+    CASE WHEN apart THEN 'distinct-surface' END, CASE WHEN content THEN 'content-region' END, CASE WHEN built THEN 'structured-children' END, CASE WHEN twice THEN 'repeated-sibling-structure' END, CASE WHEN media THEN 'media-or-action' END,
+    CASE WHEN large THEN 'large-layout-penalty' END], lambda r: r IS NOT NULL) AS reasons
+  FROM (SELECT *, 0.16 * rounded::INT + 0.22 * (shaded OR lined)::INT + 0.16 + 0.1 * apart::INT + 0.12 * content::INT + 0.08 * built::INT + 0.12 * twice::INT + 0.08 * media::INT - 0.2 * large::INT AS score FROM scored WHERE rounded OR shaded OR lined) WHERE score >= 0.62),
+told AS (
+  SELECT page, id, 'button' AS type, 0.98 AS confidence, 0 AS place, ['native-element'] AS reasons FROM known WHERE visible AND (tag = 'button' OR (tag = 'input' AND input_type = 'submit'))
+  UNION ALL SELECT page, id, 'button', 0.9, 1, ['aria-role'] FROM known WHERE visible AND role = 'button'
+  UNION ALL SELECT page, id, 'button', 0.65, 2, ['class-name', 'interactive-behavior'] FROM known WHERE visible AND class = 'btn' AND ((tag = 'a' AND has_href) OR tag IN ('button', 'input') OR onclick OR coalesce(tabindex = '0', false))
+  UNION ALL SELECT page, id, 'navigation', 0.98, 3, ['native-element'] FROM known WHERE visible AND tag = 'nav'
+  UNION ALL SELECT i.page, coalesce(b.box, i.id), 'input', CASE WHEN typed THEN 0.98 ELSE 0.88 END, CASE WHEN typed THEN 5 ELSE 6 END, CASE WHEN typed THEN ['native-element'] ELSE ['aria-role'] END FROM inputs i LEFT JOIN boxes b USING (page, id) WHERE i.visible OR b.box IS NOT NULL
+  UNION ALL SELECT i.page, coalesce(b.box, i.id), 'input', 0.88, 6, ['aria-role'] FROM inputs i LEFT JOIN boxes b USING (page, id) WHERE (i.visible OR b.box IS NOT NULL) AND typed AND role = 'textbox'
+  UNION ALL SELECT page, id, 'table', 0.82, 9, ['aria-grid-role'] FROM known WHERE visible AND role = 'grid'
+  UNION ALL SELECT page, id, 'modal', 0.98, 10, ['native-element'] FROM known WHERE visible AND tag = 'dialog'
+  UNION ALL SELECT page, id, 'modal', 0.65, 12, ['class-name', 'overlay-position'] FROM known WHERE visible AND class = 'modal-box' AND (coalesce(aria_modal = 'true', false) OR (position = 'fixed' AND z_index = '3'))
+  UNION ALL SELECT page, id, 'list', 0.9, 14, ['aria-role'] FROM known WHERE visible AND role = 'list'
+  UNION ALL SELECT page, id, type, confidence, place, reasons FROM cards),
+each AS (SELECT page, id, type, reason, min(place * 100 + i) AS pos FROM (SELECT page, id, type, place, unnest(reasons) AS reason, unnest(range(len(reasons))) AS i FROM told) GROUP BY ALL)
+SELECT page, id, type, round(CAST(c.confidence AS DOUBLE), 6) AS confidence, r.reasons FROM (SELECT page, id, type, max(confidence) AS confidence FROM told GROUP BY ALL) c JOIN (SELECT page, id, type, string_agg(reason, ',' ORDER BY pos) AS reasons FROM each GROUP BY ALL) r USING (page, id, type)""",
+    "status_roots": _with("elements") + """,
+c AS (SELECT page, id, pre, last, text_chars % 5 = 0 AS native, line > 0 AS strong, corner < 9 AS drawn FROM elements),
+up AS (SELECT a.page, a.id AS outer_id, a.strong AS outer_strong, a.pre AS outer_pre, b.id, b.native, b.strong, b.pre FROM c a JOIN c b ON a.page = b.page AND a.pre < b.pre AND b.pre <= a.last),
+natives AS (SELECT DISTINCT page, outer_id AS id FROM up WHERE native),
+nearest AS (SELECT page, id, max(outer_pre) AS stop FROM up WHERE outer_strong GROUP BY ALL),
+counted AS (SELECT u.page, u.outer_id AS id, count(*) AS n FROM up u LEFT JOIN nearest s ON s.page = u.page AND s.id = u.id WHERE u.strong AND u.outer_pre >= coalesce(s.stop, -1) GROUP BY ALL),
+preferred AS (SELECT c.* FROM c LEFT JOIN natives n USING (page, id) LEFT JOIN counted k USING (page, id) WHERE drawn AND (native OR (n.id IS NULL AND (strong OR coalesce(k.n, 0) < 2))))
+SELECT c.page, c.id, p.id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM preferred q WHERE q.page = c.page AND q.pre < c.pre AND c.pre <= q.last) AS root FROM c LEFT JOIN preferred p USING (page, id)""",
 }
