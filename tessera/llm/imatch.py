@@ -34,8 +34,8 @@ LEAST_SUBSETS = 12
 MAX_LEXICON = 4_000_000
 MAX_BLOCKS, LEAST_BLOCK = 65_536, 32
 NOTHING = "----"
-#: What parts terms, as a fixed value: ASCII other than letters and digits.
-BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What parts terms: ASCII other than letters and digits, one by one, since the pattern looks single characters up in a table but tries ranges in turn.
+BETWEEN = "[" + "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum()) + "]+"
 #: In every lexicon, so that documents without any of its terms keep a row.
 MARK = 0
 
@@ -87,10 +87,15 @@ def with_fingerprint(rows: DataFrame, terms: str, whole: Column, name: str) -> D
 def _share(a: Column, b: Column, level: int, least: int) -> Column:
     """The share of equal signatures among a level's subsets with terms of either fingerprint; null where those are fewer than least."""
     subsets, begin = math.prod(LEVELS[: level + 1]), 18 + sum(4 * math.prod(LEVELS[: i + 1]) + 1 for i in range(level))
-    at = lambda s, i: F.substring(s, i * 4 + begin + 1, F.lit(4))
-    pairs = F.transform(F.sequence(F.lit(0), F.lit(subsets - 1)), lambda i: F.struct(at(a, i).alias("x"), at(b, i).alias("y")))
-    filled = F.filter(pairs, lambda p: (p["x"] != NOTHING) | (p["y"] != NOTHING))
-    return let(filled, lambda f: F.when(F.size(f) >= least, F.size(F.filter(f, lambda p: p["x"] == p["y"])) / F.size(f)))
+    nothing = F.lit(bytearray(NOTHING, "ascii"))
+
+    def shares(x: Column, y: Column) -> Column:
+        at = lambda s, i: F.substring(s, i * 4 + begin + 1, F.lit(4))  # noqa: E731  of bytes, which needs no count of characters
+        pairs = F.transform(F.sequence(F.lit(0), F.lit(subsets - 1)), lambda i: F.struct(at(x, i).alias("x"), at(y, i).alias("y")))
+        filled = F.filter(pairs, lambda p: (p["x"] != nothing) | (p["y"] != nothing))
+        return let(filled, lambda f: F.when(F.size(f) >= least, F.size(F.filter(f, lambda p: p["x"] == p["y"])) / F.size(f)))
+
+    return let(F.struct(a.cast("binary").alias("x"), b.cast("binary").alias("y")), lambda t: shares(t["x"], t["y"]))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -108,12 +113,12 @@ def fingerprints(rows: DataFrame, lexicon: DataFrame, by: list[str], texts: list
     hashed = rows.select(*by, *keep, *(term_hashes(F.col(t)).alias(f"hashes_{i}") for i, t in enumerate(texts)))
     tag = lambda i: lambda h: F.struct(h.alias("term"), F.lit(i).alias("of"))
     marked = [F.transform(f"hashes_{i}", tag(i)) for i in range(len(texts))]
-    wholes = [F.xxhash64(F.array_sort(f"hashes_{i}")).alias(f"whole_{i}") for i in range(len(texts))]
+    wholes = [F.xxhash64(F.sort_array(f"hashes_{i}")).alias(f"whole_{i}") for i in range(len(texts))]
     mark = F.array(F.struct(F.lit(MARK).cast("long").alias("term"), F.lit(-1).alias("of")))
     held = hashed.select(*by, F.struct(*keep, *wholes).alias("held"), F.concat(*marked, mark).alias("terms"))
     each = held.select(*by, "held", F.explode("terms").alias("t")).select(*by, "held", F.col("t.term").alias("term"), F.col("t.of").alias("of"))
     each = each.join(lexicon, "term").select(*by, "term", "of", F.when(F.col("of") < 0, F.col("held")).alias("held"))
-    lists = [F.array_sort(F.collect_list(F.when(F.col("of") == i, F.col("term")))).alias(f"terms_{i}") for i in range(len(texts))]
+    lists = [F.sort_array(F.collect_list(F.when(F.col("of") == i, F.col("term")))).alias(f"terms_{i}") for i in range(len(texts))]
     found = each.groupBy(*by).agg(F.first("held", ignorenulls=True).alias("held"), *lists)
     for i, t in enumerate(texts):
         found = with_fingerprint(found, f"terms_{i}", F.col(f"held.whole_{i}"), f"{t}_fingerprint")
