@@ -8,10 +8,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import components, nesting, pairing
+from .operators import components, manifests, nesting, pairing
+from .plans import colors
 from .sources import stylesheets
 
-TABLES = ("pages", "part", "lineitem", "orders", "customer", "events", "embeddings", "documents")
+TABLES = ("pages", "part", "supplier", "lineitem", "orders", "customer", "events", "embeddings", "documents")
 
 
 def _s(number: str) -> str:
@@ -75,6 +76,12 @@ INPUTS = {
     f"pre = 0 AS body, false AS root FROM ({_BOXES}) b) w",
     "rects": "SELECT p_partkey % 40 AS page, p_partkey AS id, CASE WHEN p_size % 3 = 0 THEN p_size END AS section, CAST(p_size % 9 AS DOUBLE) / 8 AS x, CAST(p_partkey % 7 AS DOUBLE) / 8 AS y, 0.125 AS w, CAST(p_size % 2 AS DOUBLE) / 4 AS h FROM part",
     "crops": "SELECT c_custkey % 40 AS page, c_custkey AS crop, c_custkey % 97 AS ord, c_custkey % 60 AS section, CAST(c_custkey % 6 AS DOUBLE) / 8 AS x, CAST(c_nationkey % 5 AS DOUBLE) / 8 AS y, CAST(c_custkey % 5 AS DOUBLE) / 8 AS w, CAST(c_nationkey % 4 AS DOUBLE) / 8 AS h FROM customer",
+    "tones": "SELECT c_nationkey AS site, c_custkey AS ord, " + _pick("c_custkey", "textColor", "bgColor", "borderColor", "declaredColor", "bgArea", "actionBackgroundColor", "linkColor", "structuralBorderColor", "statusColor")
+    + " AS category, printf('#%02x%02x%02x', CAST(c_custkey * 37 % 9 * 28 AS INT), CAST(c_custkey * 91 % 7 * 36 AS INT), CAST(c_custkey * 53 % 5 * 50 AS INT)) AS value, c_custkey % 97 AS n FROM customer",
+    "raw_tones": "SELECT s_nationkey AS site, s_suppkey AS ord, printf('#%02x0000', CAST(s_suppkey % 250 AS INT)) AS value FROM supplier",
+    "acts_seen": "SELECT c_nationkey AS site, c_custkey AS ord, " + _pick("c_custkey", "action", "primary-action", "status") + " AS role, 'status' AS status_kind, 'warning' AS status_intent, "
+    "printf('#%02x%02x%02x', CAST(c_custkey * 37 % 9 * 28 AS INT), CAST(c_custkey * 91 % 7 * 36 AS INT), CAST(c_custkey * 53 % 5 * 50 AS INT)) AS background, '#ffffff' AS foreground, c_name AS element FROM customer",
+    "manifests": "SELECT o_orderkey AS k FROM orders",
     "sections_a": _SIDE.format(page="p_partkey % 60", shift=0), "sections_b": _SIDE.format(page=_MOVED.format(k="p_partkey"), shift=1),
     "held_a": _HELD.format(page="l_partkey % 60", type="l_returnflag"),
     "held_b": _HELD.format(page=_MOVED.format(k="l_partkey"), type="CASE WHEN l_orderkey % 50 = 0 THEN 'Z' ELSE l_returnflag END"),
@@ -197,9 +204,27 @@ def interaction_pairs(spark, d):
     return pairing.pair_interactions(*(pairing.interaction_groups(_input(spark, d, f"acts_{x}"), ["page"]) for x in "ab"), ["page"])
 
 
+def color_tokens(spark, d):
+    u = _input(spark, d, "tones")
+    return colors.color_tokens(u, _input(spark, d, "acts_seen"), ["site"])
+
+
+def general_colors(spark, d):
+    return colors.general_frequency(_input(spark, d, "tones"), _input(spark, d, "raw_tones"), ["site"]).select("site", "value", F.col("n").cast("long").alias("n"))
+
+
+def manifest_differences(spark, d):
+    pairs = _input(spark, d, "manifests")
+    names = (*manifests.INCONCLUSIVE, *manifests.LIMITING)
+    held = lambda s: F.struct(F.lit(1).alias("schema"), F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*((F.when((F.col("k") + i) % (7 + s * (i % 3)) == 0, "x").otherwise("y")) for i in range(len(names))))).alias("fields"))
+    made = pairs.select("k", F.when(F.col("k") % 19 > 0, held(0)).alias("manifest_a"), held(1).alias("manifest_b"))
+    told = manifests.with_comparability(made)
+    return told.select("k", F.array_join("manifest_reasons", ",").alias("reasons"), F.array_join("manifest_limitations", ",").alias("limitations"), F.coalesce(F.size("differences"), F.lit(0)).alias("n"))
+
+
 QUERIES = {f.__name__: f for f in (
     stylesheet_declarations, stylesheet_states, stylesheet_breakpoints, stylesheet_motion, variable_colors, page_stylesheets, suppressed_sections, overflow_sources, crop_of_rect, detected_components, status_roots,
-    section_matches, component_matches, match_summaries, layout_property_changes, responsive_pairs, interaction_pairs)}
+    color_tokens, general_colors, manifest_differences, section_matches, component_matches, match_summaries, layout_property_changes, responsive_pairs, interaction_pairs)}
 
 
 
@@ -356,4 +381,17 @@ nearest AS (SELECT page, id, max(outer_pre) AS stop FROM up WHERE outer_strong G
 counted AS (SELECT u.page, u.outer_id AS id, count(*) AS n FROM up u LEFT JOIN nearest s ON s.page = u.page AND s.id = u.id WHERE u.strong AND u.outer_pre >= coalesce(s.stop, -1) GROUP BY ALL),
 preferred AS (SELECT c.* FROM c LEFT JOIN natives n USING (page, id) LEFT JOIN counted k USING (page, id) WHERE drawn AND (native OR (n.id IS NULL AND (strong OR coalesce(k.n, 0) < 2))))
 SELECT c.page, c.id, p.id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM preferred q WHERE q.page = c.page AND q.pre < c.pre AND c.pre <= q.last) AS root FROM c LEFT JOIN preferred p USING (page, id)""",
+    "general_colors": _with("tones", "raw_tones") + """,
+seen AS (SELECT site, value, sum(n) AS n FROM tones WHERE category IN ('textColor', 'bgColor', 'borderColor', 'declaredColor') AND n > 0 GROUP BY ALL),
+listed AS (SELECT site, value, count(*) AS m FROM raw_tones GROUP BY ALL)
+SELECT site, value, CAST(coalesce(n, CASE WHEN site IN (SELECT site FROM seen) THEN 1 ELSE m END) AS BIGINT) AS n FROM seen FULL JOIN listed USING (site, value)""",
+    "manifest_differences": _with("manifests") + """,
+f AS (SELECT k, unnest(range(22)) AS i FROM manifests),
+d AS (
+  SELECT k, i, CASE WHEN i < 7 THEN 'request' WHEN i < 14 OR i > 16 THEN 'environment' WHEN i < 16 THEN 'stabilization' ELSE 'tool' END AS family, i >= 16 AS soft
+  FROM f WHERE k % 19 > 0 AND ((k + i) % 7 = 0) <> ((k + i) % (7 + i % 3) = 0)),
+g AS (SELECT k, count(*) AS n, bool_or(NOT soft) AS hard, bool_or(family = 'request') AS r, bool_or(family = 'environment') AS e, bool_or(family = 'stabilization') AS s, bool_or(family = 'environment' AND soft) AS b, bool_or(family = 'tool') AS t FROM d GROUP BY k)
+SELECT k, CASE WHEN k % 19 = 0 THEN 'missing-capture-manifest' ELSE array_to_string(list_filter([CASE WHEN hard AND r THEN 'capture-settings-mismatch' END, CASE WHEN hard AND e THEN 'capture-environment-mismatch' END, CASE WHEN hard AND s THEN 'stabilization-mismatch' END], lambda x: x IS NOT NULL), ',') END AS reasons,
+  array_to_string(list_filter([CASE WHEN b THEN 'browser-environment-differs' END, CASE WHEN t THEN 'tool-version-differs' END], lambda x: x IS NOT NULL), ',') AS limitations, CAST(coalesce(n, 0) AS INTEGER) AS n
+FROM manifests LEFT JOIN g USING (k)""",
 }

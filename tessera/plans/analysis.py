@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import color, css, ids
 from ..operators import clusters, evidence, gates, ranking, usage
 from ..sources import snapshots
+from . import colors as color_plan
 
 #: Token groups with the usage category that feeds them.
 GROUPS = {"fontSizes": "fontSize", "fontWeights": "fontWeight", "lineHeights": "lineHeight", "spacing": "spacing", "radii": "radius", "shadows": "shadow", "borders": "border", "fontFamilies": "fontFamily", "letterSpacings": "letterSpacing", "zIndices": "zIndex", "transitions": "transition"}
@@ -27,7 +28,7 @@ def eligible(captures: DataFrame) -> DataFrame:
 
 
 def analyse(captures: DataFrame) -> dict[str, DataFrame]:
-    """Named tables: usage, votes, tokens, palette, token_evidence, components, coverage, sections."""
+    """Named tables: usage, votes, tokens, palette, colors, color_pairs, token_evidence, components, coverage, sections. colors holds the named colour tokens (analysisId, name, value)."""
     good = eligible(captures.where("analysisId is not null"))
     table = snapshots.usage_table(good)
     votes = usage.vote_shares(table, ["analysisId"], "viewport", "url")
@@ -42,6 +43,9 @@ def analyse(captures: DataFrame) -> dict[str, DataFrame]:
     colors = colors.withColumn("ord", F.row_number().over(Window.partitionBy("analysisId").orderBy(F.col("n").desc(), "value")))
     palette = clusters.leader_clusters(colors, ["analysisId"])
     palette = palette.withColumn("value", color.normal(F.col("value")))
+    weighed = votes.select("analysisId", "category", "value", F.col("weight").alias("n"), F.row_number().over(Window.partitionBy("analysisId", "category").orderBy(F.col("weight").desc(), "value")).alias("ord"))
+    acts = snapshots.observation_table(good)
+    named = color_plan.color_tokens(weighed, acts, ["analysisId"])
     observed = table.withColumn("capture", F.concat_ws("::", "url", "viewport")).withColumn("source", F.concat(F.lit("usage:"), F.col("category")))
     parts = [evidence.provenance(tokens.where(F.col("group") == g).select(F.concat_ws("/", "analysisId", "token").alias("token"), F.concat_ws("/", "analysisId", "category").alias("category"), "value"), observed.withColumn("category", F.concat_ws("/", "analysisId", "category")), g) for g in GROUPS]
     found = parts[0]
@@ -53,4 +57,4 @@ def analyse(captures: DataFrame) -> dict[str, DataFrame]:
     components = snapshots.entity_table(good, "components")
     summary = components.groupBy("analysisId", "type").agg(F.count(F.lit(1)).alias("count"), F.avg("confidence").alias("confidence"))
     wanted = captures.select("analysisId", "url").distinct().join(captures.select("analysisId", "viewport").distinct(), "analysisId")
-    return {"usage": usage.frequency(table, ["analysisId", "category", "value"]), "votes": votes, "tokens": tokens, "palette": palette, "token_evidence": found.withColumn("confidence", gates.confidence(score)), "sections": sections, "components": summary, "coverage": evidence.coverage(good, wanted, ["analysisId"])}
+    return {"usage": usage.frequency(table, ["analysisId", "category", "value"]), "votes": votes, "tokens": tokens, "palette": palette, "colors": named, "color_pairs": color_plan.color_pairs(named, acts, ["analysisId"]), "token_evidence": found.withColumn("confidence", gates.confidence(score)), "sections": sections, "components": summary, "coverage": evidence.coverage(good, wanted, ["analysisId"])}

@@ -50,3 +50,10 @@ def entity_table(captures: DataFrame, field: str) -> DataFrame:
     """analysisId, url, viewport, ord and the fields of each element of sections or components."""
     rows = captures.select("analysisId", "url", "viewport", F.posexplode(field).alias("ord", "_e"))
     return rows.select("analysisId", "url", "viewport", "ord", "_e.*")
+
+
+def observation_table(captures: DataFrame) -> DataFrame:
+    """analysisId, ord, role, status_kind, status_intent, background, foreground, element from the observed colour roles; ord follows URL, viewport and place."""
+    rows = captures.select("analysisId", "url", "viewport", F.posexplode("styles.colorRoleObservations").alias("pos", "_o"))
+    at = F.struct("url", "viewport", "pos")
+    return rows.select("analysisId", at.alias("ord"), F.col("_o.role").alias("role"), F.col("_o.statusKind").alias("status_kind"), F.col("_o.statusIntent").alias("status_intent"), F.col("_o.background").alias("background"), F.col("_o.foreground").alias("foreground"), F.concat_ws("|", "url", "viewport", "_o.elementRef").alias("element"))
