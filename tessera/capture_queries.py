@@ -8,9 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import components, manifests, nesting, pairing
+from .operators import color_groups, components, element_usage, lookup, manifests, nesting, pairing
 from .plans import colors
-from .sources import stylesheets
+from .sources import discovery, stylesheets
 
 TABLES = ("pages", "part", "supplier", "lineitem", "orders", "customer", "events", "embeddings", "documents")
 
@@ -82,6 +82,18 @@ INPUTS = {
     "acts_seen": "SELECT c_nationkey AS site, c_custkey AS ord, " + _pick("c_custkey", "action", "primary-action", "status") + " AS role, 'status' AS status_kind, 'warning' AS status_intent, "
     "printf('#%02x%02x%02x', CAST(c_custkey * 37 % 9 * 28 AS INT), CAST(c_custkey * 91 % 7 * 36 AS INT), CAST(c_custkey * 53 % 5 * 50 AS INT)) AS background, '#ffffff' AS foreground, c_name AS element FROM customer",
     "manifests": "SELECT o_orderkey AS k FROM orders",
+    "drawn": "SELECT o_custkey % 30 AS page, o_orderkey AS id, CAST(o_custkey % 9 * 20 - 60 AS DOUBLE) AS x0, CAST(o_custkey % 9 * 20 - 60 + o_orderkey % 5 * 40 AS DOUBLE) AS x1, CAST(o_orderkey % 7 * 30 - 30 AS DOUBLE) AS y0, CAST(o_orderkey % 7 * 30 + 10 AS DOUBLE) AS y1, "
+    "CAST(100 AS DOUBLE) AS viewport_width, CAST(100 AS DOUBLE) AS viewport_height, " + _pick("o_custkey", "#ffffff", "transparent", "rgb(1, 2, 3)", "#fff", None) + " AS background, " + _pick("o_orderkey", "1px", "0px", "2.5px") + " AS w1, "
+    + _pick("o_custkey", "0px", "1px") + " AS w2, " + _pick("o_orderkey", "solid", "none", "dashed", "hidden") + " AS s1, " + _pick("o_custkey", "solid", "none", "solid") + " AS s2, " + _pick("o_orderkey", "#ff0000", "rgba(9, 9, 9, 0)") + " AS p1, "
+    + _pick("o_custkey", "#ff0000", "#00ff00", "inherit") + " AS p2, o_orderkey % 3 = 0 AS interactive, " + _pick("o_custkey", "Arial", "", None, "Serif") + " AS font_family, CAST(o_orderkey % 6 AS INT) AS text_chars, "
+    + _pick("o_orderkey", "4px", "normal", "0px", "8px") + " AS g, " + _pick("o_custkey", "4px", None, "auto") + " AS m FROM orders",
+    "named_tones": "SELECT site, ord, CASE WHEN ord % 5 = 0 THEN 'palette-' || " + _s("ord") + " WHEN ord % 11 = 1 THEN 'primary' WHEN ord % 11 = 2 THEN 'accent' WHEN ord % 11 = 3 THEN 'border-' || " + _s("ord") + " WHEN ord % 11 = 4 THEN 'badge-' || " + _s("ord")
+    + " ELSE 'c-' || " + _s("ord") + " END || CASE WHEN ord % 11 IN (1, 2) AND ord % 5 > 0 AND ord > 11 THEN '-' || " + _s("ord") + " ELSE '' END AS name, value FROM (SELECT c_nationkey AS site, c_custkey AS ord, "
+    "printf('#%02x%02x%02x', CAST(c_custkey * 37 % 9 * 28 AS INT), CAST(c_custkey * 91 % 7 * 36 AS INT), CAST(c_custkey * 53 % 5 * 50 AS INT)) AS value FROM customer) c",
+    "graph": "SELECT o_orderkey % 4 AS site, o_custkey AS url, (o_custkey * 7 + o_orderkey) % 150 AS target FROM orders",
+    "cited": "SELECT l_suppkey % 6 AS site, CASE l_linenumber % 4 WHEN 0 THEN 's' ELSE 'e' END || " + _s("l_partkey") + " AS id, " + _s("l_partkey % 40") + " AS page, 's' || " + _s("(l_partkey * 3 + 1) % 200")
+    + " AS section, l_linenumber % 4 AS kind, 'k' || " + _s("l_orderkey % 50") + " AS claim, l_partkey AS place FROM (SELECT DISTINCT l_suppkey % 6 AS l_suppkey, l_partkey, l_partkey % 4 AS l_linenumber, l_orderkey % 50 AS l_orderkey FROM lineitem) l",
+    "cited_pages": "SELECT DISTINCT s.l_suppkey % 6 AS site, " + _s("s.l_partkey % 37") + " AS page, 'https://e.com/' || " + _s("s.l_partkey % 37 % 7") + " AS url, " + _pick("s.l_partkey % 37", "desktop", "mobile", "tablet") + " AS viewport FROM lineitem s",
     "sections_a": _SIDE.format(page="p_partkey % 60", shift=0), "sections_b": _SIDE.format(page=_MOVED.format(k="p_partkey"), shift=1),
     "held_a": _HELD.format(page="l_partkey % 60", type="l_returnflag"),
     "held_b": _HELD.format(page=_MOVED.format(k="l_partkey"), type="CASE WHEN l_orderkey % 50 = 0 THEN 'Z' ELSE l_returnflag END"),
@@ -222,9 +234,61 @@ def manifest_differences(spark, d):
     return told.select("k", F.array_join("manifest_reasons", ",").alias("reasons"), F.array_join("manifest_limitations", ",").alias("limitations"), F.coalesce(F.size("differences"), F.lit(0)).alias("n"))
 
 
+def usage_of_elements(spark, d):
+    e = _input(spark, d, "drawn").withColumnsRenamed({"x0": "left", "x1": "right", "y0": "top", "y1": "bottom"})
+    e = e.withColumns({"border_width": F.array("w1", "w2", "w1", "w2"), "border_style": F.array("s1", "s1", "s2", "s2"), "border_color": F.array("p1", "p1", "p2", "p1"), "spacing": F.create_map(F.lit("gap"), F.col("g"), F.lit("marginTop"), F.col("m"))})
+    found = element_usage.element_usage(e, ["page"])
+    return found.select("page", "category", "value", F.round("weight", 6).alias("weight"))
+
+
+def color_name_groups(spark, d):
+    u = _input(spark, d, "tones").select("site", "category", "value", "n")
+    tokens = _input(spark, d, "named_tones")
+    sources = tokens.where("ord % 4 = 0").select("site", "name", F.lit("usage:linkColor").alias("source"))
+    found = color_groups.color_groups(tokens, u, sources, tokens.select("site", "name", (F.col("ord") % 3).alias("observations")), ["site"])
+    return found.select("site", "label", "label_order", "place", "name", F.col("score").cast("long").alias("score"))
+
+
+def page_frontier(spark, d):
+    seeds = _input(spark, d, "graph").where("url < 20").select("site", F.col("url").cast("string").alias("url")).distinct()
+    links = _input(spark, d, "graph").select("site", F.col("url").cast("string").alias("url"), F.col("target").cast("string").alias("target"), F.lit(0.0).alias("rank"))
+    return discovery.frontier(seeds, links, rounds=6)
+
+
+def _index(spark, d):
+    c = _input(spark, d, "cited")
+    pages = _input(spark, d, "cited_pages")
+    sections = c.where("kind = 0").select("site", "id", "page", F.lit(None).cast("string").alias("section"))
+    others = c.where("kind > 0").select("site", "id", F.when(F.col("kind") < 3, F.col("page")).alias("page"), "section", "kind")
+    parts = {"sections": sections} | {n: others.where(F.col("kind") == k).drop("kind") for k, n in ((1, "components"), (2, "media"), (3, "responsive"))}
+    return lookup.id_index(parts, pages, ["site"])
+
+
+def evidence_index(spark, d):
+    return _index(spark, d)
+
+
+def claim_scopes(spark, d):
+    cites = _input(spark, d, "cited").select("site", F.col("claim"), "id")
+    return lookup.claim_scopes(cites, _index(spark, d), ["site"]).select("site", "claim", F.array_join("scopes", ", ").alias("scopes"), F.col("more").cast("long").alias("more"))
+
+
+def dangling_evidence(spark, d):
+    refs = _input(spark, d, "cited").select("site", F.col("claim").alias("owner"), F.concat("id", F.when(F.col("place") % 5 == 0, "x").otherwise("")).alias("id"))
+    return lookup.dangling_ids(refs, _index(spark, d), ["site"])
+
+
+def token_evidence(spark, d):
+    c = _input(spark, d, "cited")
+    owners = c.select("site", F.col("place").alias("rank"), "id", F.array(F.concat(F.lit("t"), (F.col("place") % 30).cast("string"))).alias("token_refs")).where("kind < 3 and place % 30 < 20")
+    tokens = c.groupBy("site", F.concat(F.lit("t"), (F.col("place") % 30).cast("string")).alias("token")).agg(F.collect_set(F.concat(F.lit("https://e.com/"), (F.col("place") % 7).cast("string"), F.lit("?q"))).alias("urls"))
+    pages = _input(spark, d, "cited_pages")
+    return lookup.evidence_of_tokens(tokens, owners, pages.withColumn("ord", F.col("page").cast("long")), ["site"]).select("site", "token", "place", "id", F.col("more").cast("long").alias("more"))
+
+
 QUERIES = {f.__name__: f for f in (
     stylesheet_declarations, stylesheet_states, stylesheet_breakpoints, stylesheet_motion, variable_colors, page_stylesheets, suppressed_sections, overflow_sources, crop_of_rect, detected_components, status_roots,
-    color_tokens, general_colors, manifest_differences, section_matches, component_matches, match_summaries, layout_property_changes, responsive_pairs, interaction_pairs)}
+    color_tokens, general_colors, manifest_differences, usage_of_elements, color_name_groups, page_frontier, evidence_index, claim_scopes, dangling_evidence, token_evidence, section_matches, component_matches, match_summaries, layout_property_changes, responsive_pairs, interaction_pairs)}
 
 
 
@@ -249,6 +313,14 @@ matched AS (
 _PAIRED = """
 paired AS (SELECT a.page, a.id AS a_id, b.id AS b_id FROM matched a JOIN matched b ON a.page = b.page AND a.name = b.name AND a.side = 'a' AND b.side = 'b' AND a.status = 'matched' AND b.status = 'matched'),
 shaped AS (SELECT *, CASE grid WHEN '1fr  1fr' THEN '2' WHEN 'repeat(3, 1fr)' THEN '3' WHEN 'none' THEN 'none' WHEN '200px 300px' THEN '2' END AS columns FROM sections)"""
+#: The index of ids over the collections: sections, components, media, responsive observations, pages.
+_CITED = _with("cited", "cited_pages") + """,
+every AS (
+  SELECT site, id, page, NULL AS section, 0 AS c, 'sections' AS collection FROM cited WHERE kind = 0 UNION ALL SELECT site, id, CASE WHEN kind < 3 THEN page END, section, kind, ['components', 'media', 'responsive'][kind] FROM cited WHERE kind > 0
+  UNION ALL SELECT site, page, page, NULL, 4, 'pages' FROM cited_pages),
+one AS (SELECT DISTINCT * FROM every QUALIFY rank() OVER (PARTITION BY site, id ORDER BY c) = 1),
+held AS (SELECT site, id AS section, min(page) AS held_page FROM cited WHERE kind = 0 GROUP BY ALL),
+idx AS (SELECT o.site, o.id, collection, coalesce(o.page, held_page) AS page, o.section, p.url, p.viewport FROM one o LEFT JOIN held h ON h.site = o.site AND h.section = o.section LEFT JOIN cited_pages p ON p.site = o.site AND p.page = coalesce(o.page, held_page))"""
 _P = "WITH x AS (SELECT page_id AS p FROM pages)"
 _OUTER = "'@media (min-width:' || p % 7 * 100 + 320 || 'px) and (max-width:64em)'"
 _INNER = f"{_OUTER} || ' @container card (width >= ' || p % 5 * 16 + 200 || 'px)'"
@@ -394,4 +466,51 @@ g AS (SELECT k, count(*) AS n, bool_or(NOT soft) AS hard, bool_or(family = 'requ
 SELECT k, CASE WHEN k % 19 = 0 THEN 'missing-capture-manifest' ELSE array_to_string(list_filter([CASE WHEN hard AND r THEN 'capture-settings-mismatch' END, CASE WHEN hard AND e THEN 'capture-environment-mismatch' END, CASE WHEN hard AND s THEN 'stabilization-mismatch' END], lambda x: x IS NOT NULL), ',') END AS reasons,
   array_to_string(list_filter([CASE WHEN b THEN 'browser-environment-differs' END, CASE WHEN t THEN 'tool-version-differs' END], lambda x: x IS NOT NULL), ',') AS limitations, CAST(coalesce(n, 0) AS INTEGER) AS n
 FROM manifests LEFT JOIN g USING (k)""",
+    "usage_of_elements": _with("drawn") + """,
+e AS (SELECT *, CASE background WHEN '#ffffff' THEN '#ffffff' WHEN '#fff' THEN '#ffffff' WHEN 'rgb(1, 2, 3)' THEN '#010203' END AS paint, greatest(0, least(x1, 100) - greatest(x0, 0)) * greatest(0, least(y1, 100) - greatest(y0, 0)) / 10000.0 AS share FROM drawn),
+sides AS (
+  SELECT page, id, interactive, w1 AS w, s1 AS s, p1 AS p, x1 - x0 AS edge FROM e UNION ALL SELECT page, id, interactive, w2, s1, p1, y1 - y0 FROM e
+  UNION ALL SELECT page, id, interactive, w1, s2, p2, x1 - x0 FROM e UNION ALL SELECT page, id, interactive, w2, s2, p1, y1 - y0 FROM e),
+painted AS (SELECT * FROM sides WHERE w <> '0px' AND edge > 0 AND s IN ('solid', 'dashed') AND p IN ('#ff0000', '#00ff00')),
+u AS (
+  SELECT page, 'bgColor' AS category, paint AS value, 1.0 AS weight FROM e WHERE paint IS NOT NULL UNION ALL SELECT page, 'bgArea', paint, share FROM e WHERE paint IS NOT NULL AND share > 0
+  UNION ALL SELECT page, 'borderColor', p, 1 FROM (SELECT DISTINCT page, id, p FROM painted) UNION ALL SELECT page, 'structuralBorderColor', p, 1 FROM (SELECT DISTINCT page, id, p FROM painted WHERE NOT interactive)
+  UNION ALL SELECT page, 'border', b, 1 FROM (SELECT DISTINCT page, id, w || ' ' || s || ' ' || p AS b FROM painted)
+  UNION ALL SELECT page, 'fontFamily', font_family, 1 FROM e WHERE font_family <> '' UNION ALL SELECT page, 'fontTextFamily', font_family, text_chars FROM e WHERE font_family <> '' AND text_chars > 0
+  UNION ALL SELECT page, 'spacing', g, 1 FROM e WHERE g IN ('4px', '8px') UNION ALL SELECT page, 'spacing', m, 1 FROM e WHERE m = '4px')
+SELECT page, category, value, round(CAST(sum(weight) AS DOUBLE), 6) AS weight FROM u GROUP BY ALL""",
+    "color_name_groups": _with("tones", "named_tones") + """,
+alias AS (
+  SELECT site, value, ord, name, min(ord) OVER (PARTITION BY site, value) AS first, row_number() OVER (PARTITION BY site, value ORDER BY CASE WHEN name IN ('primary', 'accent') OR name LIKE 'border-%' OR name LIKE '%badge%' THEN 3 WHEN name LIKE 'palette-%' THEN 0 ELSE 1 END DESC, ord % 3 DESC, name) AS r,
+    bool_or(ord % 4 = 0) OVER (PARTITION BY site, value) AS link FROM named_tones),
+used AS (
+  SELECT site, value, sum(n) FILTER (category = 'actionBackgroundColor') AS action, sum(n) FILTER (category = 'linkColor') AS editorial, sum(n) FILTER (category = 'statusColor') AS status, sum(n) FILTER (category = 'bgColor') AS decorative,
+    sum(n) FILTER (category = 'textColor') AS texts, sum(n) FILTER (category IN ('bgColor', 'bgArea')) AS surface, sum(n) FILTER (category IN ('borderColor', 'structuralBorderColor')) AS border,
+    sum(n) FILTER (category = 'declaredColor') AS declared, sum(n) FILTER (category <> 'declaredColor') AS rendered FROM tones GROUP BY ALL),
+s AS (
+  SELECT a.site, a.value, name, first, [coalesce(action, 0), coalesce(editorial, 0) + link::INT, coalesce(status, 0), coalesce(decorative, 0), coalesce(texts, 0), coalesce(surface, 0), coalesce(border, 0), 0] AS scores, coalesce(declared, 0) AS declared, coalesce(rendered, 0) AS rendered,
+    bool_or(name = 'primary') OVER (PARTITION BY a.site) AS shown FROM alias a LEFT JOIN used USING (site, value) WHERE r = 1),
+p AS (SELECT site, bool_or(name = 'primary') AS has_primary FROM named_tones GROUP BY 1),
+l AS (
+  SELECT *, CASE WHEN rendered = 0 AND declared > 0 THEN 'declared' WHEN name LIKE '%badge%' THEN 'status' WHEN name = 'accent' THEN CASE WHEN has_primary THEN 'action' ELSE 'decorative' END WHEN name LIKE 'border-%' THEN 'border' WHEN name LIKE 'primary%' THEN 'action'
+    WHEN list_max(scores) > 0 THEN ['action', 'editorial', 'status', 'decorative', 'text', 'surface', 'border', 'fallback'][list_position(scores, list_max(scores))] ELSE 'fallback' END AS label FROM s JOIN p USING (site)),
+g AS (SELECT *, CAST(greatest(1, CASE WHEN label = 'declared' THEN declared ELSE scores[list_position(['action', 'editorial', 'status', 'decorative', 'text', 'surface', 'border', 'fallback'], label)] END) AS BIGINT) AS score FROM l)
+SELECT site, label, CAST(list_position(['action', 'editorial', 'status', 'decorative', 'text', 'surface', 'border', 'declared', 'fallback'], label) AS INTEGER) AS label_order,
+  CAST(row_number() OVER (PARTITION BY site, label ORDER BY score DESC, first) AS INTEGER) AS place, name, score FROM g QUALIFY place <= 6""",
+    "page_frontier": "WITH RECURSIVE graph AS (" + INPUTS["graph"] + """),
+reached AS (SELECT DISTINCT site, url, 0 AS depth FROM graph WHERE url < 20 UNION SELECT r.site, g.target, depth + 1 FROM reached r JOIN graph g USING (site, url) WHERE depth < 6),
+least AS (SELECT site, url, min(depth) AS depth FROM reached GROUP BY ALL)
+SELECT l.site, CAST(l.url AS VARCHAR) AS url, l.depth, min(CAST(g.url AS VARCHAR)) AS parent FROM least l LEFT JOIN (SELECT p.site, p.url, p.depth, target FROM least p JOIN graph USING (site, url)) g ON g.site = l.site AND g.target = l.url AND g.depth = l.depth - 1 GROUP BY ALL""",
+    "evidence_index": _CITED + " SELECT site, id, collection, page, section, url, viewport FROM idx",
+    "claim_scopes": _CITED + """,
+u AS (SELECT site, claim, url, string_agg(DISTINCT viewport, '/' ORDER BY viewport) AS v FROM cited JOIN idx USING (site, id) WHERE url IS NOT NULL GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY site, claim ORDER BY url) AS k, count(*) OVER (PARTITION BY site, claim) AS n FROM u)
+SELECT site, claim, string_agg(url || ' · ' || v, ', ' ORDER BY url || ' · ' || v) AS scopes, greatest(max(n) - 2, 0) AS more FROM r WHERE k <= 2 GROUP BY ALL""",
+    "dangling_evidence": _CITED + """
+SELECT site, claim AS owner, c.id || CASE WHEN place % 5 = 0 THEN 'x' ELSE '' END AS id FROM cited c LEFT JOIN idx i USING (site, id) WHERE place % 5 = 0 OR i.url IS NULL""",
+    "token_evidence": _CITED + """,
+o AS (SELECT DISTINCT site, 't' || place % 30 AS token, id, place AS rank FROM cited WHERE kind < 3 AND place % 30 < 20),
+b AS (SELECT DISTINCT c.site, 't' || c.place % 30 AS token, p.page AS id, CAST(p.page AS BIGINT) AS rank FROM cited c JOIN cited_pages p ON p.site = c.site AND p.url = 'https://e.com/' || c.place % 7 WHERE (c.site, 't' || c.place % 30) NOT IN (SELECT (site, token) FROM o)),
+r AS (SELECT *, row_number() OVER (PARTITION BY site, token ORDER BY rank, id) AS k, count(*) OVER (PARTITION BY site, token) AS n FROM (SELECT site, token, id, min(rank) AS rank FROM (SELECT * FROM o UNION ALL SELECT * FROM b) GROUP BY ALL))
+SELECT site, token, CAST(k AS INTEGER) AS place, id, greatest(n - 8, 0) AS more FROM r WHERE k <= 8""",
 }
