@@ -40,8 +40,10 @@ INPUTS = {
     f"CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE {_hex('(o_orderkey % 5 + 4)')} END AS foreground, (o_orderkey % 5 + 4) AS fi, CASE o_orderstatus WHEN 'F' THEN 'positive' WHEN 'O' THEN 'warning' ELSE 'negative' END AS status_intent, "
     "CASE WHEN o_orderkey % 3 = 0 THEN 'delta' END AS status_kind, CAST(o_custkey AS VARCHAR(20)) AS element FROM orders",
     "primaries": f"SELECT DISTINCT o_custkey % 50 AS site, {_hex('((o_custkey % 50) % 6)')} AS primary, ((o_custkey % 50) % 6) AS pi, {_hex('((o_custkey % 50) % 4 + 3)')} AS foreground, ((o_custkey % 50) % 4 + 3) AS oi FROM orders",
-    "colour_usage": f"SELECT c_nationkey AS site, c_custkey AS ord, {_case('c_custkey % 6', ('structuralBorderColor', 'borderColor', 'bgColor', 'linkColor', 'statusColor', 'borderColor'))} AS category, "
-    f"{_hex('(c_custkey % 40)')} AS value, c_custkey % 40 AS vi, c_custkey % 97 AS n FROM customer WHERE NOT (c_nationkey % 4 = 0 AND c_custkey % 6 = 0)",
+    "colour_usage": f"SELECT c_nationkey AS site, c_custkey AS ord, CASE WHEN c_nationkey % 4 = 0 AND c_custkey % 6 = 0 THEN 'bgColor' ELSE {_case('c_custkey % 6', ('structuralBorderColor', 'borderColor', 'bgColor', 'linkColor', 'statusColor', 'borderColor'))} END AS category, "
+    f"{_hex('(c_custkey % 40)')} AS value, c_custkey % 40 AS vi, c_custkey % 97 AS n FROM customer",
+    "near_colours": "SELECT c_nationkey AS site, c_custkey AS ord, c_custkey % 40 AS vi, least(255, (c_custkey % 40 * 37 + 20) % 256 + c_custkey % 4 * 8) AS red, "
+    "printf('#%02x%02x%02x', least(255, (c_custkey % 40 * 37 + 20) % 256 + c_custkey % 4 * 8), (c_custkey % 40 * 91 + 10) % 256, (c_custkey % 40 * 53 + 200) % 256) AS value FROM customer",
     "motion": "SELECT user_id AS site, event_id AS ord, event_type AS property, printf('%dms', CAST(user_id * 7 + event_id AS BIGINT) % 4 * 100) AS duration, CASE WHEN event_id % 2 = 0 THEN 'ease' ELSE 'linear' END AS easing, event_id % 5 + 1 AS n FROM events",
     "spacings": "SELECT p_brand AS site, p_partkey AS i, CASE WHEN p_partkey % 7 = 0 THEN 'auto' ELSE printf('%dpx', CAST(p_size * 3 AS BIGINT)) END AS value, p_size * 3 AS px, p_partkey % 7 = 0 AS odd, p_partkey % 30 AS n FROM part",
     "variables": "SELECT user_id AS site, event_id AS ord, event_type AS name, CAST(event_id % 10 AS VARCHAR(4)) AS value FROM events",
@@ -77,7 +79,8 @@ def page_roles(spark, d):
     p = spark.read.parquet(f"{d}/pages.parquet")
     path = F.concat(F.regexp_extract("url", r"^[a-z]+://[^/?#]*([^?#]*)", 1), F.element_at(F.array(*map(F.lit, ("", "/pricing", "/studio/x", "/profile/", "/dashboard", "/features", "/Blog/1"))), (F.col("page_id") % 7 + 1).cast("int")))
     h = F.col("html")
-    role = roles.page_role(path, F.lit(False), F.lit(0), F.length(h), h.contains("<h1"), h.contains("<form"), h.contains("<table"), h.contains("<nav"), h.contains("<h1"), F.lit(2))
+    i = F.col("page_id")
+    role = roles.page_role(path, i % 11 == 0, i * 7 % 900, F.length(h), h.contains("<h1"), h.contains("<form"), h.contains("<table"), h.contains("<nav"), h.contains("<h1"), i % 4)
     return p.select("page_id", role.alias("role"))
 
 
@@ -128,7 +131,7 @@ def semantic_status_pairs(spark, d):
 
 def action_accents(spark, d):
     o, p = _input(spark, d, "observations"), _input(spark, d, "primaries")
-    text, other, seen = color_roles.text_only_accent(o, ["site"]), color_roles.secondary_action(o, p, ["site"], 3), color_roles.has_action_background(o, ["site"])
+    text, other, seen = color_roles.text_only_accent(o, ["site"]), color_roles.secondary_action(o, p, ["site"]), color_roles.has_action_background(o, ["site"])
     return seen.join(text, "site", "left").join(other, "site", "left")
 
 
@@ -158,8 +161,7 @@ def color_role_predicates(spark, d):
 
 
 def color_usage_weights(spark, d):
-    u = _input(spark, d, "colour_usage")
-    return color_roles.usage_weight(u.select("site", F.col("ord").alias("token"), "value"), u, ["site"], 60.0)
+    return color_roles.usage_weight(_input(spark, d, "near_colours").select("site", F.col("ord").alias("token"), "value"), _input(spark, d, "colour_usage"), ["site"])
 
 
 def merged_motion(spark, d):
@@ -204,7 +206,7 @@ def representative_styles(spark, d):
 
 
 def visual_qa(spark, d):
-    e = _input(spark, d, "captures").where("viewport <> 'watch'")
+    e = _input(spark, d, "captures")
     pages = e.select((F.col("url") % 10).alias("site"), F.col("id").alias("page"), "url", "viewport", F.element_at(F.array(*map(F.lit, ("usable", "degraded", "unusable", None))), (F.col("id") % 4 + 1).cast("int")).alias("health"), (F.col("id") % 3 == 0).alias("overflow"), "ord")
     images = e.where("id % 5 > 0").select((F.col("url") % 10).alias("site"), F.col("id").alias("page"), (F.col("id") % 6).alias("width"), F.lit(4).alias("height"))
     return merges.visual_checks(pages, images, ["site"])
@@ -226,8 +228,22 @@ def _with(*names: str) -> str:
     return "WITH " + ", ".join(f"{n} AS ({INPUTS[n]})" for n in names)
 
 
+#: The words of the role rules as the expected results take them, apart from the operator's own.
+_SAID = {
+    "action-hint": "btn|button|cta|pill|action|primary|secondary",
+    "primary-action": "primary|cta|submit|confirm|purchase|checkout|continue",
+    "destructive-action": "error|danger|destructive|delete|remove|invalid",
+    "status": "status|success|successful|warning|warn|error|danger|destructive|delete|remove|healthy|health|ok|invalid",
+    "subject": "delta|trend|change",
+    "direction": "up|down|positive|negative|increase|decrease|gain|loss",
+    "positive": "success|successful|healthy|health|ok|up|positive|increase|gain",
+    "warning": "warning|warn",
+    "negative": "error|danger|destructive|delete|remove|invalid|down|negative|decrease|loss",
+}
+
+
 def _said(name: str) -> str:
-    return f"regexp_matches(context, '{roles.word_rx(name)}')"
+    return rf"regexp_matches(context, '(?:^|[\s_-])(?:{_SAID[name]})(?:$|[\s_-])')"
 
 
 def _part(c: str, i: str) -> str:
@@ -284,8 +300,10 @@ SELECT id, CASE k WHEN 's' THEN 'status' WHEN 'a' THEN CASE WHEN anchor THEN 'an
   WHEN upper(tag) = 'ASIDE' OR aria = 'complementary' THEN 'aside' WHEN h1 AND top < 1350 THEN 'hero' WHEN media >= area * 0.45 THEN 'media' WHEN children >= 3 AND alike >= 2 THEN 'feature-group' WHEN chars > 0 AND link_chars >= chars * 0.6 THEN 'navigation'
   WHEN actions > 0 AND chars > 0 AND chars <= 480 AND area / 150000.0 <= 0.35 THEN 'action' WHEN upper(tag) IN ('MAIN', 'ARTICLE', 'SECTION') THEN 'content' ELSE 'unknown' END AS role FROM sections""",
     "page_roles": r"""WITH p AS (SELECT page_id, html, lower(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) || CASE page_id % 7 WHEN 0 THEN '' WHEN 1 THEN '/pricing' WHEN 2 THEN '/studio/x' WHEN 3 THEN '/profile/' WHEN 4 THEN '/dashboard' WHEN 5 THEN '/features' ELSE '/Blog/1' END) AS path FROM pages)
-SELECT page_id, CASE """ + " ".join(f"WHEN regexp_matches(path, '/({w})(/|$)') THEN '{n}'" for n, w in roles.PAGE_PATHS) + r""" WHEN NOT contains(html, '<h1') AND length(html) >= 500 THEN 'content' WHEN contains(html, '<form') AND contains(html, '<table') AND contains(html, '<nav') THEN 'workspace'
-  WHEN contains(html, '<h1') THEN 'landing' ELSE 'unknown' END AS role FROM p WHERE url IS NOT NULL OR true""".replace(" WHERE url IS NOT NULL OR true", ""),
+SELECT page_id, CASE WHEN regexp_matches(path, '/(pricing|plans|billing)(/|$)') THEN 'pricing' WHEN regexp_matches(path, '/(workspace|editor|studio|console|creator)(/|$)') THEN 'workspace' WHEN regexp_matches(path, '/profile(/|$)') THEN 'profile'
+  WHEN regexp_matches(path, '/(account|settings|dashboard)(/|$)') THEN 'account' WHEN regexp_matches(path, '/(product|products|features)(/|$)') THEN 'product' WHEN regexp_matches(path, '/(article|blog|docs|guide|about|explore|discover)(/|$)') THEN 'content'
+  WHEN page_id % 11 = 0 THEN 'profile' WHEN page_id * 7 % 900 >= 500 THEN 'content' WHEN NOT contains(html, '<h1') AND length(html) >= 500 THEN 'content'
+  WHEN contains(html, '<form') AND contains(html, '<table') AND contains(html, '<nav') THEN 'workspace' WHEN contains(html, '<h1') AND page_id % 4 >= 2 THEN 'landing' ELSE 'unknown' END AS role FROM p""",
     "element_geometry": _with("elements") + """, r AS (SELECT id, width * 4 AS w4, height * 4 AS h4, height AS hh, id % 40 - 4 AS rad, least(1200.0, greatest(0.0, width * 20 - 100)) AS x0, least(1500.0, height * 30.0) AS y0, width * 9.0 AS w0, height * 1.0 AS h0,
   CASE id % 5 WHEN 0 THEN 'video' WHEN 1 THEN 'svg' WHEN 2 THEN 'canvas' WHEN 3 THEN 'image' ELSE 'css-background' END AS kind FROM elements),
 s AS (SELECT *, x0 / 1200 AS x, y0 / 1500 AS y, greatest(0.0, least(1200 - x0, w0)) / 1200 AS width, greatest(0.0, least(1500 - y0, h0)) / 1500 AS height, w4 * h4 / 400000.0 AS share FROM r)
@@ -315,7 +333,7 @@ SELECT site, {_hex('pi')} AS background, CASE WHEN f IS NULL THEN NULL ELSE {_he
   FROM observations WHERE role = 'status' AND (status_kind IS NULL OR status_intent IN ('positive', 'negative')) GROUP BY ALL)
 SELECT site, name, CASE WHEN b IS NULL THEN NULL ELSE {_hex('b')} END AS background, CASE WHEN f IS NULL THEN NULL ELSE {_hex('f')} END AS foreground, observations FROM g QUALIFY row_number() OVER (PARTITION BY site, name ORDER BY observations DESC, first) = 1""",
     "action_accents": _with("observations", "primaries") + f""", t AS (SELECT site, fi, count(*) AS n, min(ord) AS first FROM observations WHERE role IN ('action', 'primary-action') AND background IS NULL AND foreground IS NOT NULL AND NOT {_grey('fi')} GROUP BY ALL),
-s AS (SELECT o.site, bi, count(DISTINCT element) AS n FROM observations o JOIN primaries p ON o.site = p.site WHERE role = 'action' AND background IS NOT NULL AND bi <> pi AND NOT {_grey('bi')} GROUP BY ALL HAVING count(DISTINCT element) >= 3)
+s AS (SELECT o.site, bi, count(DISTINCT element) AS n FROM observations o JOIN primaries p ON o.site = p.site WHERE role = 'action' AND background IS NOT NULL AND bi <> pi AND NOT {_grey('bi')} GROUP BY ALL HAVING count(DISTINCT element) >= 2)
 SELECT site, observed, (SELECT {_hex('fi')} FROM t WHERE t.site = a.site ORDER BY n DESC, first LIMIT 1) AS accent, (SELECT {_hex('bi')} FROM s WHERE s.site = a.site ORDER BY n DESC, {_hex('bi')} LIMIT 1) AS secondary
 FROM (SELECT site, max(role IN ('action', 'primary-action') AND background IS NOT NULL) AS observed FROM observations GROUP BY site) a""",
     "border_roles": _with("colour_usage") + f""", b AS (SELECT *, {_grey('vi')} AS grey FROM colour_usage WHERE category IN ('structuralBorderColor', 'borderColor')),
@@ -333,8 +351,9 @@ SELECT site, ord, value, row_number() OVER (PARTITION BY site ORDER BY later, fa
     "color_role_predicates": _with("colour_usage") + f""", l AS (SELECT *, {_light('vi')} AS lv, {_light_of(*_SURFACE)} AS ls, {_light_of(*_INK)} AS li, printf('#%02x%02x%02x', {', '.join(_SURFACE)}) AS other FROM colour_usage)
 SELECT site, ord, EXISTS (SELECT 1 FROM colour_usage u WHERE u.site = l.site AND u.vi = l.vi AND u.n > 0 AND u.category IN ('linkColor', 'bgColor')) AS used, CASE WHEN abs(lv - li) < abs(ls - li) THEN value ELSE other END AS surface,
   CASE WHEN ls > li THEN lv > li + 0.005 AND lv < ls - 0.05 ELSE lv < li - 0.005 AND lv > ls + 0.03 END AS muted, {_chroma('vi')} >= 32 AND {_chroma('vi')} * 1.0 / {_top('vi')} >= 0.3 AND lv > 0.015 AND lv < 0.97 AS accent FROM l""",
-    "color_usage_weights": _with("colour_usage") + f""", s AS (SELECT site, vi, sum(CASE WHEN category <> 'statusColor' THEN n END) AS ui, sum(CASE WHEN category = 'statusColor' THEN n END) AS status FROM colour_usage WHERE category IN ('bgColor', 'linkColor', 'statusColor') AND n > 0 GROUP BY ALL)
-SELECT t.site, t.ord AS token, CAST(coalesce(sum(s.ui), 0) AS BIGINT) AS ui, CAST(coalesce(sum(s.status), 0) AS BIGINT) AS status FROM colour_usage t LEFT JOIN s ON s.site = t.site AND {_far('t.vi', 's.vi')} <= 60 GROUP BY ALL""",
+    "color_usage_weights": _with("colour_usage", "near_colours") + f""", s AS (SELECT site, vi, sum(CASE WHEN category <> 'statusColor' THEN n END) AS ui, sum(CASE WHEN category = 'statusColor' THEN n END) AS status FROM colour_usage WHERE category IN ('bgColor', 'linkColor', 'statusColor') AND n > 0 GROUP BY ALL)
+SELECT t.site, t.ord AS token, CAST(coalesce(sum(s.ui), 0) AS BIGINT) AS ui, CAST(coalesce(sum(s.status), 0) AS BIGINT) AS status FROM near_colours t
+LEFT JOIN s ON s.site = t.site AND sqrt(power(t.red - {_part('r', 's.vi')}, 2) + power({_part('g', 't.vi')} - {_part('g', 's.vi')}, 2) + power({_part('b', 't.vi')} - {_part('b', 's.vi')}, 2)) <= 20 GROUP BY ALL""",
     "merged_motion": _with("motion") + """, g AS (SELECT site, property, duration, easing, CAST(sum(n) AS BIGINT) AS n, min(ord) AS first FROM motion GROUP BY ALL)
 SELECT site, property, duration, easing, n, row_number() OVER (PARTITION BY site ORDER BY n DESC, first) AS place FROM g QUALIFY place <= 10""",
     "merged_breakpoints": """WITH b AS (SELECT p_brand AS site, p_size * 30 + 60 AS width, count(DISTINCT p_partkey) AS n, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS changes FROM part GROUP BY ALL),
@@ -353,7 +372,7 @@ SELECT site, spacing, (SELECT string_agg(CAST(px AS VARCHAR), ',' ORDER BY px) F
 SELECT component, role, count(*) AS instances, count(DISTINCT url) AS pages, array_to_string(list_sort(list(DISTINCT gap))[1:8], ',') AS gaps, array_to_string(list_sort(list(DISTINCT ref)), ',') AS token_refs, array_to_string(list_sort(list(DISTINCT id))[1:24], ',') AS evidence_refs FROM c GROUP BY ALL""",
     "representative_styles": """WITH g AS (SELECT p_type AS type, p_brand || '/' || (p_size % 5) AS styles, count(*) AS n, max(p_size % 5 % 2) AS rank, max(length(p_brand)) AS detail, max(p_partkey % 7) AS confidence FROM part GROUP BY ALL)
 SELECT type, styles, n FROM g QUALIFY row_number() OVER (PARTITION BY type ORDER BY rank DESC, n DESC, detail DESC, confidence DESC, styles) = 1""",
-    "visual_qa": _with("captures") + """, p AS (SELECT * FROM captures WHERE viewport <> 'watch')
+    "visual_qa": _with("captures") + """, p AS (SELECT * FROM captures)
 SELECT url % 10 AS site, 'page-health' AS "check", id AS subject, CASE id % 4 WHEN 2 THEN 'fail' WHEN 1 THEN 'warning' ELSE 'pass' END AS status FROM p UNION ALL SELECT url % 10, 'overflow', id, CASE WHEN id % 3 = 0 THEN 'warning' ELSE 'pass' END FROM p
 UNION ALL SELECT url % 10, 'screenshot-dimensions', id, CASE WHEN id % 5 = 0 THEN 'warning' WHEN id % 6 = 0 THEN 'fail' ELSE 'pass' END FROM p
 UNION ALL SELECT url % 10, 'responsive', min(id), CASE WHEN count(DISTINCT viewport) >= 2 THEN 'pass' ELSE 'warning' END FROM p GROUP BY url""",

@@ -39,8 +39,8 @@ def integrity(claims: DataFrame, evidence: DataFrame, group: list[str]) -> DataF
     found = cites.join(evidence.select(*group, "id", "safe", "passive", "severe", F.col("token_refs").alias("owned"), F.lit(True).alias("there")), [*group, "id"], "left")
     twice = claims.groupBy(*group, "claim_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     passive = found.groupBy(*group, "claim_id", "confidence").agg(F.bool_and(F.coalesce("passive", F.lit(False))).alias("all_passive")).where("all_passive and confidence = 'high'")
-    owned = found.groupBy(*group, "claim_id").agg(F.flatten(F.collect_list("owned")).alias("owned"))
-    refs = claims.select(*group, "claim_id", F.explode("token_refs").alias("ref")).join(owned, [*group, "claim_id"], "left").where(~F.coalesce(F.array_contains("owned", F.col("ref")), F.lit(False)))
+    owned = found.select(*group, "claim_id", F.explode("owned").alias("ref")).distinct()
+    refs = claims.select(*group, "claim_id", F.explode("token_refs").alias("ref")).join(owned, [*group, "claim_id", "ref"], "left_anti")
     parts = [
         error(twice, "duplicate-id", F.col("n")),
         error(claims.where(F.size("evidence_ids") <= 0), "no-evidence", F.lit(None)),

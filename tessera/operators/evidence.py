@@ -9,6 +9,7 @@ from ..functions import color, css
 from .clusters import run_lengths
 from .diffs import adjacent, map_changes
 from .matching import near
+from .ranking import top
 
 PAGES_SHOWN, SOURCES_SHOWN = 8, 12
 #: How token values are compared with observed ones, by group: a tolerance for numbers, or a normal form.
@@ -38,14 +39,14 @@ def provenance(tokens: DataFrame, usage: DataFrame, group: str) -> DataFrame:
     pairs = near(values, wanted, ["category"], "x", "y", TOLERANCES[group]) if group in TOLERANCES else wanted.withColumn("x", F.col("y"))
     rows = seen.join(pairs.select("category", "x", "y"), ["category", "x"])
 
-    def listed(col: str, most: int, number: str, name: str) -> DataFrame:
-        place = F.row_number().over(Window.partitionBy("category", "y").orderBy(col))
-        each = rows.where(F.col(col).isNotNull()).select("category", "y", col).distinct().withColumn("_p", place)
-        shown = F.array_sort(F.collect_list(F.when(F.col("_p") <= most, F.col(col))))  # at most so many, as null is not collected
-        return each.groupBy("category", "y").agg(F.count(F.lit(1)).alias(number), shown.alias(name))
+    def first(col: str, most: int, name: str) -> DataFrame:
+        """The smallest distinct texts of each value; a task sends on no more than most of its own, so a value that every page has stays small."""
+        each = top(rows.where(F.col(col).isNotNull()).select("category", "y", col).distinct(), ["category", "y"], [F.col(col)], most, "_p")
+        return each.groupBy("category", "y").agg(F.array_sort(F.collect_list(col)).alias(name))
 
+    number = lambda col, name: rows.where(F.col(col).isNotNull()).select("category", "y", col).distinct().groupBy("category", "y").agg(F.count(F.lit(1)).alias(name))
     found = rows.groupBy("category", "y").agg(F.sum("weight").alias("observations"))
-    for part in (listed("url", PAGES_SHOWN, "pages", "page_list"), listed("capture", 0, "captures", "_none").drop("_none"), listed("source", SOURCES_SHOWN, "_sources", "source_list").drop("_sources")):
+    for part in (number("url", "pages"), first("url", PAGES_SHOWN, "page_list"), number("capture", "captures"), first("source", SOURCES_SHOWN, "source_list")):
         found = found.join(part, ["category", "y"], "left")
     out = t.join(found, ["category", "y"], "left").select("token", "observations", "pages", "captures", "page_list", "source_list")
     return out.fillna(0, ["observations", "pages", "captures"])

@@ -81,13 +81,21 @@ def component_specs(components: DataFrame, group: list[str]) -> DataFrame:
     """
     key = [*group, "type", "role"]
     c = components.withColumn("role", F.coalesce("role", F.lit("")))
-    refs = lambda col: F.array_sort(F.array_distinct(F.flatten(F.collect_set(col))))
-    whole = c.groupBy(*key).agg(F.count(F.lit(1)).alias("instances"), F.count_distinct("url").alias("pages"), refs("token_refs").alias("token_refs"), refs(F.array_union(F.array("id"), "evidence_refs")).alias("evidence_refs"))
+    whole = c.groupBy(*key).agg(F.count(F.lit(1)).alias("instances"), F.count_distinct("url").alias("pages"))
+    none = F.array().cast("array<string>")
+
+    def listed(refs: Column, name: str, most: int | None) -> DataFrame:
+        each = c.select(*key, F.explode(refs).alias("_ref")).distinct()
+        each = each if most is None else top(each, key, [F.col("_ref")], most, "_place")  # no more than most of a task's rows travel
+        return each.groupBy(*key).agg(F.array_sort(F.collect_list("_ref")).alias(name))
+
+    # The distinct token references are as many as a site has tokens.
+    for refs, name, most in ((F.col("token_refs"), "token_refs", None), (F.array_union(F.array("id"), "evidence_refs"), "evidence_refs", SPEC_REFS)):
+        whole = whole.join(listed(refs, name, most), key, "left").withColumn(name, F.coalesce(name, none))
     values = c.select(*key, F.explode("styles").alias("property", "value")).distinct()
     shown = top(values, [*key, "property"], [F.col("value")], SPEC_VALUES).groupBy(*key, "property").agg(F.array_sort(F.collect_list("value")).alias("values"))
     styles = shown.groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("property", "values")))).alias("styles"))
-    out = whole.join(styles, key, "left").withColumn("evidence_refs", F.slice("evidence_refs", 1, SPEC_REFS))
-    return out.withColumnRenamed("type", "component")
+    return whole.join(styles, key, "left").withColumnRenamed("type", "component")
 
 
 def representative_style(styles: DataFrame, group: list[str]) -> DataFrame:

@@ -75,8 +75,8 @@ def representative_breakpoints(breakpoints: DataFrame, group: list[str], most: i
 def page_pool(candidates: DataFrame, site: str) -> DataFrame:
     """Distinct URLs of score 90 or more (the best row of each, DOM first on ties), only those under the site's own path if there are any."""
     best = first_row(candidates, [site, "url"], [F.col("score").desc(), (F.col("source") == "dom").desc()]).where("score >= 90")
-    some = F.max(F.col("contextual").cast("int")).over(Window.partitionBy(site))
-    return best.withColumn("_any", some).where("_any = 0 or contextual").drop("_any")
+    some = best.where("contextual").select(site).distinct().withColumn("_any", F.lit(True))
+    return best.join(some, site, "left").where("_any is null or contextual").select(*best.columns)
 
 
 def ranked_pages(candidates: DataFrame, site: str, n: int) -> DataFrame:
