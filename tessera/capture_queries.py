@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import color_groups, components, element_usage, lookup, manifests, nesting, pairing
+from .operators import color_groups, components, diffs, element_usage, lookup, manifests, merges, nesting, pairing, roles
 from .plans import colors
 from .sources import discovery, stylesheets
 
@@ -82,6 +82,8 @@ INPUTS = {
     "acts_seen": "SELECT c_nationkey AS site, c_custkey AS ord, " + _pick("c_custkey", "action", "primary-action", "status") + " AS role, 'status' AS status_kind, 'warning' AS status_intent, "
     "printf('#%02x%02x%02x', CAST(c_custkey * 37 % 9 * 28 AS INT), CAST(c_custkey * 91 % 7 * 36 AS INT), CAST(c_custkey * 53 % 5 * 50 AS INT)) AS background, '#ffffff' AS foreground, c_name AS element FROM customer",
     "manifests": "SELECT o_orderkey AS k FROM orders",
+    "texts": "SELECT p_partkey AS id, " + _pick("p_partkey", "4px", "0px", "0", "50%", "") + " AS corner, " + _pick("p_size", None, "8px", "url(x)", "0em") + " AS other, "
+    + _pick("p_partkey", "Mozilla Chrome/120.1 Safari", "x Edg/99.0 Chrome/98", "HeadlessChrome/9.9", "Chromium/7.1", "curl", None) + " AS agent, " + _pick("p_size", None, "/opt/msedge/x", "/usr/bin/chromium", "C:/google chrome/a", "/bin/sh") + " AS path FROM part",
     "drawn": "SELECT o_custkey % 30 AS page, o_orderkey AS id, CAST(o_custkey % 9 * 20 - 60 AS DOUBLE) AS x0, CAST(o_custkey % 9 * 20 - 60 + o_orderkey % 5 * 40 AS DOUBLE) AS x1, CAST(o_orderkey % 7 * 30 - 30 AS DOUBLE) AS y0, CAST(o_orderkey % 7 * 30 + 10 AS DOUBLE) AS y1, "
     "CAST(100 AS DOUBLE) AS viewport_width, CAST(100 AS DOUBLE) AS viewport_height, " + _pick("o_custkey", "#ffffff", "transparent", "rgb(1, 2, 3)", "#fff", None) + " AS background, " + _pick("o_orderkey", "1px", "0px", "2.5px") + " AS w1, "
     + _pick("o_custkey", "0px", "1px") + " AS w2, " + _pick("o_orderkey", "solid", "none", "dashed", "hidden") + " AS s1, " + _pick("o_custkey", "solid", "none", "solid") + " AS s2, " + _pick("o_orderkey", "#ff0000", "rgba(9, 9, 9, 0)") + " AS p1, "
@@ -286,9 +288,62 @@ def token_evidence(spark, d):
     return lookup.evidence_of_tokens(tokens, owners, pages.withColumn("ord", F.col("page").cast("long")), ["site"]).select("site", "token", "place", "id", F.col("more").cast("long").alias("more"))
 
 
+def corner_texts(spark, d):
+    t = _input(spark, d, "texts")
+    radius = roles.structural_radius(F.array("corner", "corner", F.coalesce("other", "corner"), "corner"))
+    return t.select("id", radius.alias("radius"), roles.browser_product(F.col("agent"), F.col("path")).alias("product"), roles.browser_version(F.col("agent")).alias("version"))
+
+
+def page_keys(spark, d):
+    p = spark.read.parquet(f"{d}/pages.parquet")
+    final = F.when(F.col("page_id") % 3 > 0, F.concat(F.lit("https://e.com/"), F.col("page_id").cast("string"), F.lit("//?q#x")))
+    view = F.when(F.col("page_id") % 2 == 0, "desktop").otherwise("mobile")
+    fixed = F.concat(F.lit("https://u@e.com/p"), (F.col("page_id") % 9).cast("string"), F.lit("/?a=1"))
+    return p.select("page_id", merges.page_key(fixed, view).alias("page_key"), merges.source_route(final, fixed).alias("route"), merges.site_name(F.when(F.col("page_id") % 4 == 0, " Name "), F.when(F.col("page_id") % 5 == 0, ""), fixed).alias("site"))
+
+
+def moved_rects(spark, d):
+    t = _input(spark, d, "rects")
+    rect = lambda by: F.struct((F.col("x") + by).alias("x"), F.col("y").alias("y"), F.col("w").alias("width"), F.col("h").alias("height"))
+    shift = F.element_at(F.array(*map(F.lit, (0.0, 0.03, 0.05, -0.125))), (F.col("id") % 4 + 1).cast("int"))
+    fit = merges.preview_fit(*(c.cast("double") for c in (F.col("id") % 900, F.col("id") % 700 + 1, F.col("id") % 500, F.lit(400), F.lit(90000))))
+    out = t.select("id", diffs.rect_moved(rect(F.lit(0.0)), rect(shift)).alias("moved"), diffs.severe_overflow(F.col("id") % 100, F.col("id") % 50, F.col("id") % 200).alias("severe"), fit.alias("f"))
+    return out.select("id", "moved", "severe", *(F.col(f"f.{c}").cast("long").alias(c) for c in ("width", "height_a", "height_b")))
+
+
+def capture_merges(spark, d):
+    e = _input(spark, d, "acts_a")
+    usage = merges.merge_usage(e.select("page", F.col("driver").alias("category"), F.col("property").alias("value"), (F.col("id") % 7).alias("n")), ["page"])
+    seen = merges.merge_observations(e.select("page", F.col("trigger").alias("capture"), F.col("property").alias("element"), F.col("driver").alias("role"), F.col("id").alias("ord"), "after"), ["page"], ["after"])
+    last = seen.groupBy("page", F.col("role").alias("category"), F.col("element").alias("value")).agg(F.count(F.lit(1)).alias("observations"), F.min("ord").alias("first"), F.max_by("after", "ord").alias("last"))
+    return usage.join(last, ["page", "category", "value"])
+
+
+def state_metrics(spark, d):
+    e = _input(spark, d, "acts_a")
+    kinds = F.element_at(F.array(*map(F.lit, ("hover", "focus", "visited"))), (F.col("id") % 3 + 1).cast("int"))
+    states = e.select("page", kinds.alias("kind"), F.col("after").alias("styles"))
+    seen = e.select("page", F.when(F.col("id") % 4 == 0, "safe-active").when(F.col("id") % 4 == 1, "passive").otherwise("skipped").alias("safety"))
+    sure = merges.confidence_summary(e.select("page", F.element_at(F.array(*map(F.lit, ("high", "medium", "low", "low"))), (F.col("id") % 4 + 1).cast("int")).alias("confidence")), ["page"])
+    return merges.interaction_metrics(states, seen, ["page"]).join(sure, "page")
+
+
+def observation_identity(spark, d):
+    c = _input(spark, d, "cited").where("site >= 0")
+    sections = c.select(F.col("place").cast("string").alias("section"), F.concat(F.lit("role"), (F.col("place") % 3).cast("string")).alias("role")).distinct()
+    text = lambda e: F.expr(e).cast("string")
+    seen = c.select("place").distinct().select(F.col("place").alias("id"), F.array(text("place"), text("place + 3"), F.when(F.col("place") % 5 == 0, text("place + 1")).otherwise(text("place")), F.lit("gone")).alias("refs"))
+    return roles.consistent_identity(seen, sections)
+
+
+def owner_tokens(spark, d):
+    o = _input(spark, d, "sections_a").select("page", F.col("k").alias("ord"), F.col("id").cast("string").alias("id"), F.array(F.concat(F.lit("color."), F.col("order_")), F.concat(F.lit("radius."), F.col("order_")), F.concat(F.lit("color.x"), (F.col("k") % 3).cast("string"))).alias("refs"))
+    return roles.owner_refs(o, ["page"], ["ord"], "color.")
+
+
 QUERIES = {f.__name__: f for f in (
     stylesheet_declarations, stylesheet_states, stylesheet_breakpoints, stylesheet_motion, variable_colors, page_stylesheets, suppressed_sections, overflow_sources, crop_of_rect, detected_components, status_roots,
-    color_tokens, general_colors, manifest_differences, usage_of_elements, color_name_groups, page_frontier, evidence_index, claim_scopes, dangling_evidence, token_evidence, section_matches, component_matches, match_summaries, layout_property_changes, responsive_pairs, interaction_pairs)}
+    corner_texts, page_keys, moved_rects, capture_merges, state_metrics, observation_identity, owner_tokens, color_tokens, general_colors, manifest_differences, usage_of_elements, color_name_groups, page_frontier, evidence_index, claim_scopes, dangling_evidence, token_evidence, section_matches, component_matches, match_summaries, layout_property_changes, responsive_pairs, interaction_pairs)}
 
 
 
@@ -513,4 +568,26 @@ o AS (SELECT DISTINCT site, 't' || place % 30 AS token, id, place AS rank FROM c
 b AS (SELECT DISTINCT c.site, 't' || c.place % 30 AS token, p.page AS id, CAST(p.page AS BIGINT) AS rank FROM cited c JOIN cited_pages p ON p.site = c.site AND p.url = 'https://e.com/' || c.place % 7 WHERE (c.site, 't' || c.place % 30) NOT IN (SELECT (site, token) FROM o)),
 r AS (SELECT *, row_number() OVER (PARTITION BY site, token ORDER BY rank, id) AS k, count(*) OVER (PARTITION BY site, token) AS n FROM (SELECT site, token, id, min(rank) AS rank FROM (SELECT * FROM o UNION ALL SELECT * FROM b) GROUP BY ALL))
 SELECT site, token, CAST(k AS INTEGER) AS place, id, greatest(n - 8, 0) AS more FROM r WHERE k <= 8""",
+    "corner_texts": _with("texts") + """
+SELECT id, CASE WHEN corner = '' OR (corner IN ('0px', '0') AND coalesce(other, '0') IN ('0', '0em')) OR coalesce(other, '') = 'url(x)' THEN NULL ELSE corner || ' ' || corner || ' ' || coalesce(other, corner) || ' ' || corner END AS radius,
+  CASE WHEN path = '/opt/msedge/x' THEN 'edge' WHEN path = '/usr/bin/chromium' THEN 'chromium' WHEN path = 'C:/google chrome/a' THEN 'chrome' WHEN id % 6 = 1 THEN 'edge' WHEN id % 6 = 3 THEN 'chromium' WHEN id % 6 IN (0, 2) THEN 'chrome' ELSE 'unknown' END AS product,
+  CASE id % 6 WHEN 0 THEN '120.1' WHEN 1 THEN '99.0' WHEN 2 THEN '9.9' WHEN 3 THEN '7.1' END AS version FROM texts""",
+    "page_keys": """SELECT page_id, 'https://e.com/p' || page_id % 9 || '::' || CASE WHEN page_id % 2 = 0 THEN 'desktop' ELSE 'mobile' END AS page_key, CASE WHEN page_id % 3 > 0 THEN 'https://e.com/' || page_id ELSE 'https://e.com/p' || page_id % 9 END AS route,
+  CASE WHEN page_id % 4 = 0 THEN 'Name' ELSE 'e.com' END AS site FROM pages""",
+    "moved_rects": _with("rects") + """,
+p AS (SELECT id, id % 4 >= 2 AS moved, id % 100 >= 64 AND id % 200 >= 2.5 * (id % 50) AS severe, CAST(id % 900 AS DOUBLE) AS w, CAST(id % 700 + 1 AS DOUBLE) AS a, CAST(id % 500 AS DOUBLE) AS b FROM rects),
+q AS (SELECT *, greatest(1, floor(w * least(1.0, 400 / w, sqrt(90000 / (w * greatest(a, b)))))) AS shown FROM p WHERE w > 0 AND b > 0),
+f AS (SELECT id, CAST(shown AS BIGINT) AS width, CAST(greatest(1, floor(a * (shown / w))) AS BIGINT) AS height_a, CAST(greatest(1, floor(b * (shown / w))) AS BIGINT) AS height_b FROM q)
+SELECT id, moved, severe, width, height_a, height_b FROM p LEFT JOIN f USING (id)""",
+    "capture_merges": _with("acts_a") + """,
+o AS (SELECT page, trigger, property, driver, min(id) AS ord, arg_max(after, id) AS last FROM acts_a GROUP BY ALL)
+SELECT u.*, observations, first, last FROM (SELECT page, driver AS category, property AS value, CAST(sum(id % 7) AS BIGINT) AS n FROM acts_a GROUP BY ALL) u
+JOIN (SELECT page, driver AS category, property AS value, count(*) AS observations, min(ord) AS first, arg_max(last, ord) AS last FROM o GROUP BY ALL) USING (page, category, value)""",
+    "state_metrics": _with("acts_a") + """
+SELECT page, count(DISTINCT (id % 3, after)) FILTER (id % 3 < 2) AS patterns, count(*) FILTER (id % 4 = 1) AS passive, count(*) FILTER (id % 4 = 0) AS safe_active, count(*) FILTER (id % 4 = 0) AS high, count(*) FILTER (id % 4 = 1) AS medium, count(*) FILTER (id % 4 > 1) AS low FROM acts_a GROUP BY page""",
+    "observation_identity": _with("cited") + """, k AS (SELECT DISTINCT place FROM cited) SELECT place AS id, NOT (place % 5 = 0 AND place + 1 IN (SELECT place FROM k)) AS consistent FROM k""",
+    "owner_tokens": _with("sections_a") + """,
+r AS (SELECT page, k, CAST(id AS VARCHAR) AS id, unnest(['color.' || order_, 'color.x' || k % 3]) AS ref, unnest([0, 2]) AS pos FROM sections_a),
+f AS (SELECT page, ref, min(k * 4 + pos) AS turn, arg_min(id, k * 4 + pos) AS owner FROM r GROUP BY ALL)
+SELECT page, ref, owner, CAST(row_number() OVER (PARTITION BY page ORDER BY turn) AS INTEGER) AS place FROM f QUALIFY place <= 6""",
 }
