@@ -33,30 +33,37 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near duplicates over all documents; see near_duplicates for nulls, ties and empty tables."""
     return near_duplicates(_read(spark, sf_dir, "documents"), k=3, percent=85)
 
 
 def op6_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base measures and verdicts of all documents; see quality for nulls, ties and empty tables."""
     return quality(_read(spark, sf_dir, "documents")).select("doc_id", *MEASURES, "base_failed", "kept", "lang", "entropy", "low", "high")
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents; see pii_digest: a null text is empty, repeated rows stay, an empty table gives an empty result."""
     return pii_digest(_read(spark, sf_dir, "documents"))
 
 
 def op7_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of all pages by the production rules; see judge for nulls, repeated rows and empty tables."""
     return judge(_read(spark, sf_dir, "pages"))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with the checksum of their ids; see pack for nulls, long texts and empty tables."""
     return pack(_read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=1).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
 def op5_pfor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the written id files say of all documents; see through_files. A null text has the end id alone."""
     return through_files(_read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0)
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded texts of all documents as digests; see encode_texts for nulls and empty tables."""
     return encode_texts(_read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), digest=True)
 
 
@@ -65,6 +72,7 @@ MARKED = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "
 
 
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and a marked one, formatted and read back; see format_conversations and read_back. A null text is empty."""
     turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     turns = turns.union(spark.createDataFrame(MARKED, "conv_id long, turn long, role string, text string"))
     template = TurnTemplate()
@@ -72,10 +80,12 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents for every context limit; see token_counts for nulls and empty tables."""
     return token_counts(_read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 def op10_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest ten of every hundredth vector among all; see nearest for vectors that take no part."""
     vectors = _read(spark, sf_dir, "embeddings")
     return nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
 
