@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import color_groups, components, diffs, element_usage, lookup, manifests, merges, nesting, pairing, roles
+from .operators import color_groups, components, diffs, element_usage, feature_rules, lookup, manifests, merges, nesting, page_facts, pairing, roles, tags
 from .plans import colors
 from .sources import discovery, stylesheets
 
@@ -82,6 +82,9 @@ INPUTS = {
     "acts_seen": "SELECT c_nationkey AS site, c_custkey AS ord, " + _pick("c_custkey", "action", "primary-action", "status") + " AS role, 'status' AS status_kind, 'warning' AS status_intent, "
     "printf('#%02x%02x%02x', CAST(c_custkey * 37 % 9 * 28 AS INT), CAST(c_custkey * 91 % 7 * 36 AS INT), CAST(c_custkey * 53 % 5 * 50 AS INT)) AS background, '#ffffff' AS foreground, c_name AS element FROM customer",
     "manifests": "SELECT o_orderkey AS k FROM orders",
+    "facts": "SELECT o_orderkey AS k, " + _pick("o_orderkey", "https://e.com/a", "https://e.com/login", "https://e.com/x/SSO/y?q", "https://e.com/author", "https://e.com/#/sign-in", "about:blank", None) + " AS final_url, "
+    "CAST(CASE o_custkey % 11 WHEN 0 THEN 401 WHEN 1 THEN 403 WHEN 2 THEN 404 WHEN 3 THEN 429 WHEN 4 THEN NULL ELSE 200 END AS INT) AS status FROM orders",
+    "spaced": "SELECT p_partkey % 20 AS site, CAST((p_partkey - p_partkey % 20) / 20 AS BIGINT) AS k FROM part",
     "texts": "SELECT p_partkey AS id, " + _pick("p_partkey", "4px", "0px", "0", "50%", "") + " AS corner, " + _pick("p_size", None, "8px", "url(x)", "0em") + " AS other, "
     + _pick("p_partkey", "Mozilla Chrome/120.1 Safari", "x Edg/99.0 Chrome/98", "HeadlessChrome/9.9", "Chromium/7.1", "curl", None) + " AS agent, " + _pick("p_size", None, "/opt/msedge/x", "/usr/bin/chromium", "C:/google chrome/a", "/bin/sh") + " AS path FROM part",
     "drawn": "SELECT o_custkey % 30 AS page, o_orderkey AS id, CAST(o_custkey % 9 * 20 - 60 AS DOUBLE) AS x0, CAST(o_custkey % 9 * 20 - 60 + o_orderkey % 5 * 40 AS DOUBLE) AS x1, CAST(o_orderkey % 7 * 30 - 30 AS DOUBLE) AS y0, CAST(o_orderkey % 7 * 30 + 10 AS DOUBLE) AS y1, "
@@ -341,9 +344,55 @@ def owner_tokens(spark, d):
     return roles.owner_refs(o, ["page"], ["ord"], "color.")
 
 
+def auth_walls(spark, d):
+    f = _input(spark, d, "facts")
+    login = page_facts.login_only(F.col("k") % 7000, F.col("k") % 40, F.when(F.col("k") % 6 == 0, 1).otherwise(0), F.col("k") % 3, F.col("k") % 4, F.col("k") % 2, F.lit(1))
+    wall = page_facts.auth_wall(F.col("final_url"), F.col("status"), F.when(F.col("k") % 13 == 0, 1).otherwise(0), F.col("k") % 17 == 0, login)
+    return f.select("k", wall.alias("w")).select("k", "w.detected", "w.confidence", F.array_join("w.reasons", ",").alias("reasons"))
+
+
+def page_health(spark, d):
+    f, k = _input(spark, d, "facts"), F.col("k")
+    facts = F.struct(
+        (k % 50 / 100.0).alias("overlay_ratio"), page_facts.main_empty(k % 60, k % 160, k % 2).alias("main_empty"), (k % 25 / 100.0).alias("skeleton_ratio"), (k % 9 > 0).alias("fonts_ready"), (k % 45).alias("mutations"),
+        F.lit(1000).alias("viewport_width"), (k % 12 + 995).alias("content_width"), (k % 29 == 0).alias("auth_wall"), (k % 31 == 0).alias("captcha"),
+    )
+    issues = page_facts.health_issues(facts, F.col("status"), F.lit("https://e.com/x"), F.col("final_url"))
+    out = f.select("k", issues.alias("i")).select("k", "i", page_facts.health(F.col("i")).alias("h"))
+    return out.select("k", F.array_join(F.transform("i", lambda x: F.concat_ws(":", x["code"], x["severity"], x["detail"])), ",").alias("issues"), "h.status", "h.eligible")
+
+
+def region_scores(spark, d):
+    k = F.col("k")
+    score = tags.region_score(k % 4, k % 40 / 100.0, k % 5, k % 1200, k % 3, k % 6)
+    return _input(spark, d, "facts").select("k", score.cast("int").alias("score"))
+
+
+def site_feature_tags(spark, d):
+    u = _input(spark, d, "spaced")
+    scale = lambda kind, test, value: u.where(test).select("site", F.lit(kind).alias("kind"), F.col("k").alias("ord"), value.alias("value"))
+    k = F.col("k")
+    fonts = F.element_at(F.array(*map(F.lit, ("Fira Code", "Noto Serif", "Inter"))), (F.col("site") % 3 + 1).cast("int"))
+    first = k < 3
+    tokens = scale("fontFamilies", (k == 0) | ((k == 1) & (F.col("site") % 2 == 0)), fonts).unionByName(scale("shadows", first & (F.col("site") % 4 > 0), F.concat(F.lit("0 "), ((k + 1) * F.col("site") % 9 * 2).cast("string"), F.lit("px 4px red"))))
+    tokens = tokens.unionByName(scale("radii", first, F.concat((k * (F.col("site") % 5) * 2 + 2).cast("string"), F.lit("px")))).unionByName(scale("fontWeights", first, (k * (F.col("site") % 4) * 100 + 300).cast("string")))
+    colors_ = u.where(first).select("site", k.cast("string").alias("name"), F.format_string("rgb(%d, %d, %d)", (k * 10).cast("int"), (k * 10 + F.col("site") % 3 * 10).cast("int"), (k * 10).cast("int")).alias("value"))
+    use = u.select("site", F.lit("radius").alias("category"), F.concat((k % 12 * 2 + 2).cast("string"), F.lit("px")).alias("value"), F.lit(1).alias("n"))
+    names = u.select("site", F.concat(F.lit("--v"), (k % (F.col("site") + 5)).cast("string")).alias("name"))
+    rhythm = u.groupBy("site").agg(F.array(F.lit(4.0), F.lit(8.0)).alias("rhythm")).where("site % 2 = 0")
+    return feature_rules.site_tags(tokens, colors_, use, names, rhythm, ["site"]).select("site", F.array_join("tags", "; ").alias("tags"))
+
+
+def palette_facts(spark, d):
+    u = _input(spark, d, "tones").select("site", F.when(F.col("category") == "structuralBorderColor", "actionColor").otherwise(F.col("category")).alias("category"), "value", (F.col("n") / 100.0).alias("n"))
+    primaries = u.where("category = 'actionColor'").groupBy("site").agg(F.min("value").alias("primary"))
+    found = feature_rules.palette_facts(u, primaries, ["site"])
+    return found.select("site", "action_families", F.round("dominant_share", 6).alias("dominant_share"), "decorative", "stable", F.round("neutral", 6).alias("neutral"))
+
+
 QUERIES = {f.__name__: f for f in (
     stylesheet_declarations, stylesheet_states, stylesheet_breakpoints, stylesheet_motion, variable_colors, page_stylesheets, suppressed_sections, overflow_sources, crop_of_rect, detected_components, status_roots,
-    corner_texts, page_keys, moved_rects, capture_merges, state_metrics, observation_identity, owner_tokens, color_tokens, general_colors, manifest_differences, usage_of_elements, color_name_groups, page_frontier, evidence_index, claim_scopes, dangling_evidence, token_evidence, section_matches, component_matches, match_summaries, layout_property_changes, responsive_pairs, interaction_pairs)}
+    auth_walls, page_health, region_scores, site_feature_tags, palette_facts, corner_texts, page_keys, moved_rects, capture_merges, state_metrics, observation_identity, owner_tokens, color_tokens, general_colors, manifest_differences, usage_of_elements, color_name_groups, page_frontier, evidence_index, claim_scopes, dangling_evidence, token_evidence, section_matches, component_matches, match_summaries, layout_property_changes, responsive_pairs, interaction_pairs)}
 
 
 
@@ -590,4 +639,45 @@ SELECT page, count(DISTINCT (id % 3, after)) FILTER (id % 3 < 2) AS patterns, co
 r AS (SELECT page, k, CAST(id AS VARCHAR) AS id, unnest(['color.' || order_, 'color.x' || k % 3]) AS ref, unnest([0, 2]) AS pos FROM sections_a),
 f AS (SELECT page, ref, min(k * 4 + pos) AS turn, arg_min(id, k * 4 + pos) AS owner FROM r GROUP BY ALL)
 SELECT page, ref, owner, CAST(row_number() OVER (PARTITION BY page ORDER BY turn) AS INTEGER) AS place FROM f QUALIFY place <= 6""",
+    "auth_walls": _with("facts") + """,
+r AS (
+  SELECT k, k % 7 IN (1, 2, 4) AS redirect, coalesce(status IN (401, 403), false) AS denied, k % 13 = 0 AS form, k % 17 = 0 AS dialog,
+    k % 7000 > 0 AND k % 7000 < 5000 AND k % 40 <= 30 AND (k % 6 = 0 OR (k % 3 > 0 AND ((k % 4 > 0 AND k % 2 > 0) OR k % 4 >= 2))) AS login FROM facts)
+SELECT k, denied OR form OR dialog OR login AS detected, CASE WHEN denied OR form OR dialog THEN 'high' WHEN login THEN 'medium' ELSE 'low' END AS confidence,
+  array_to_string(list_filter([CASE WHEN redirect THEN 'login-redirect' END, CASE WHEN denied THEN 'unauthorized-response' END, CASE WHEN form THEN 'password-form' END, CASE WHEN dialog THEN 'blocking-login-dialog' END, CASE WHEN login THEN 'login-only-page' END],
+    lambda x: x IS NOT NULL), ',') AS reasons FROM r""",
+    "page_health": _with("facts") + """,
+i AS (
+  SELECT k, list_filter([CASE WHEN k % 50 >= 45 THEN 'large-overlay:error' WHEN k % 50 >= 8 THEN 'large-overlay:warning' END, CASE WHEN k % 60 < 30 AND k % 160 < 80 AND k % 2 = 0 THEN 'main-content-empty:error' END, CASE WHEN k % 25 >= 12 THEN 'skeleton-heavy:warning' END,
+    CASE WHEN k % 9 = 0 THEN 'fonts-not-ready:warning' END, CASE WHEN k % 45 >= 30 THEN 'dom-still-mutating:warning:' || k % 45 END, CASE WHEN k % 12 + 995 > 1004 THEN 'horizontal-overflow:warning:1000/' || k % 12 + 995 END, CASE WHEN k % 29 = 0 THEN 'auth-wall:error' END,
+    CASE WHEN k % 31 = 0 THEN 'captcha:error' END, CASE WHEN status = 429 THEN 'rate-limited:error' END, CASE WHEN status >= 400 THEN 'error-page:error:' || status END, CASE WHEN k % 7 = 5 THEN 'unexpected-navigation:error:about:blank' END], lambda x: x IS NOT NULL) AS i FROM facts)
+SELECT k, array_to_string(i, ',') AS issues, CASE WHEN len(list_filter(i, lambda x: contains(x, ':error'))) > 0 THEN 'unusable' WHEN len(i) > 0 THEN 'degraded' ELSE 'healthy' END AS status,
+  len(list_filter(i, lambda x: NOT starts_with(x, 'horizontal-overflow'))) = 0 AS eligible FROM i""",
+    "region_scores": _with("facts") + """
+SELECT k, CASE WHEN k % 4 < 2 THEN 0 ELSE CASE WHEN k % 40 >= 30 THEN 2 WHEN k % 40 >= 8 THEN 1 ELSE 0 END + CASE WHEN k % 5 >= 3 THEN 2 WHEN k % 5 = 2 THEN 1 ELSE 0 END + (k % 1200 >= 600)::INT + (k % 3 = 2)::INT + (k % 6 >= 3)::INT END AS score FROM facts""",
+    "site_feature_tags": _with("spaced") + """,
+r AS (SELECT s.site, t.ord, t.ord * (s.site % 5) * 2 + 2 AS px FROM (SELECT DISTINCT site FROM spaced) s, (SELECT unnest(range(3)) AS ord) t),
+w AS (SELECT r.site, r.ord, r.px, greatest(1, count(u.k)) AS n FROM r LEFT JOIN spaced u ON u.site = r.site AND u.k % 12 * 2 + 2 = r.px GROUP BY ALL),
+c AS (SELECT *, sum(n) OVER (PARTITION BY site ORDER BY px, ord) AS run, sum(n) OVER (PARTITION BY site) AS total FROM w),
+m AS (SELECT site, min(px) FILTER (run >= total / 2.0) AS radius, sum(n) FILTER (px <= 4) / max(total) AS small FROM c GROUP BY site),
+e AS (SELECT s.site, list_distinct(list_transform(range(1, 4), lambda j: CAST(j * s.site % 9 * 2 + 4 AS DOUBLE))) AS levels FROM (SELECT DISTINCT site FROM spaced) s),
+v AS (SELECT site, count(DISTINCT k % (site + 5)) AS v FROM spaced GROUP BY site)
+SELECT site, array_to_string(list_filter([CASE WHEN site % 2 = 0 THEN 'spacing rhythm led by 4px, 8px' END, CASE WHEN site % 3 = 0 THEN 'monospace typography' END, CASE WHEN site % 3 = 1 THEN 'serif editorial style' END, CASE WHEN site % 2 = 1 THEN 'single-font system' END,
+  CASE WHEN site % 3 < 2 THEN 'monochrome palette' END, CASE WHEN radius >= 12 THEN 'large-radius rounded style' WHEN radius <= 4 AND small >= 0.5 THEN 'compact-radius surfaces observed' END,
+  CASE WHEN site % 4 = 0 THEN 'no stable shadow scale observed' WHEN len(levels) >= 3 AND list_max(levels) - list_min(levels) >= 8 AND list_max(levels) >= 2 * list_min(levels) THEN 'layered elevation system' END,
+  CASE WHEN site % 4 >= 2 THEN 'weight contrast hierarchy' END, CASE WHEN v > 20 THEN 'extensive CSS variable usage' END], lambda x: x IS NOT NULL), '; ') AS tags FROM m JOIN e USING (site) JOIN v USING (site)""",
+    "palette_facts": _with("tones") + """,
+t AS (
+  SELECT site, CASE category WHEN 'structuralBorderColor' THEN 'actionColor' ELSE category END AS category, value, n / 100.0 AS n, ord * 37 % 9 * 28 AS r, ord * 91 % 7 * 36 AS g, ord * 53 % 5 * 50 AS b FROM tones),
+h AS (
+  SELECT *, greatest(r, g, b) - least(r, g, b) AS c, CAST(floor((CASE WHEN greatest(r, g, b) = least(r, g, b) THEN 0 WHEN r >= greatest(g, b) THEN 60 * fmod((g - b) / CAST(r - least(g, b) AS DOUBLE), 6) WHEN g >= b THEN 60 * ((b - r) / CAST(g - least(r, b) AS DOUBLE) + 2)
+    ELSE 60 * ((r - g) / CAST(b - least(r, g) AS DOUBLE) + 4) END + 360) % 360 / 30) AS INTEGER) AS family FROM t),
+own AS (SELECT site, arg_min(family, value) AS family FROM h WHERE category = 'actionColor' GROUP BY site),
+a AS (SELECT site, count(*) AS f, max(n) / sum(n) AS share FROM (SELECT site, family, sum(n) AS n FROM h WHERE n > 0 AND c >= 24 AND category IN ('actionBackgroundColor', 'actionColor') GROUP BY ALL) GROUP BY site),
+d AS (SELECT site, family, sum(n) FILTER (category = 'bgColor') AS uses, sum(n) FILTER (category = 'bgArea') AS area FROM h WHERE n > 0 AND c >= 24 AND category IN ('bgColor', 'bgArea') GROUP BY ALL),
+k AS (SELECT d.* FROM d WHERE (site, family) NOT IN (SELECT (site, family) FROM h WHERE n > 0 AND c >= 24 AND category = 'statusColor') AND (site, family) NOT IN (SELECT (site, family) FROM own)),
+x AS (SELECT site, count(*) AS decorative, count(*) FILTER (coalesce(uses, 0) >= 2 OR coalesce(area, 0) >= 0.003) AS stable FROM k GROUP BY site),
+n AS (SELECT site, coalesce(sum(n) FILTER (c < 24), 0) / sum(n) AS neutral FROM h WHERE n > 0 AND category IN ('bgColor', 'bgArea', 'textColor') GROUP BY site)
+SELECT s.site, coalesce(f, 0) AS action_families, round(CAST(coalesce(share, 1) AS DOUBLE), 6) AS dominant_share, coalesce(decorative, 0) AS decorative, coalesce(stable, 0) AS stable, round(CAST(coalesce(neutral, 0) AS DOUBLE), 6) AS neutral
+FROM (SELECT DISTINCT site FROM tones) s LEFT JOIN a USING (site) LEFT JOIN x USING (site) LEFT JOIN n USING (site)""",
 }

@@ -22,10 +22,14 @@ def context_text(*parts: Column) -> Column:
     return F.lower(F.concat_ws(" ", *(F.nullif(F.trim(p), F.lit("")) for p in parts)))
 
 
-def region_score(area: Column, repeats: Column, words: Column, media: Column, actions: Column) -> Column:
-    """Points for a region of a page; regions of 4 or more are kept."""
+def region_score(children: Column, area: Column, repeats: Column, chars: Column, media: Column, actions: Column) -> Column:
+    """Points for a region of a page; regions of 4 or more are kept. One with fewer than two visible children has none.
+
+    area: its share of the viewport; repeats: the most children of one tag and class; chars: of its text; media and actions: how many it holds.
+    """
     step = lambda c, high, low: F.when(c >= high, 2).when(c >= low, 1).otherwise(0)
-    return step(area, 0.15, 0.05) + step(repeats, 4, 2) + F.when(words >= 20, 1).otherwise(0) + F.when(media >= 1, 1).otherwise(0) + F.when(actions >= 1, 1).otherwise(0)
+    points = step(area, 0.3, 0.08) + step(repeats, 3, 2) + F.when(chars >= 600, 1).otherwise(0) + F.when(media >= 2, 1).otherwise(0) + F.when(actions >= 3, 1).otherwise(0)
+    return F.when(children >= 2, points).otherwise(0)
 
 
 def outermost(elements: DataFrame, group: list[str], locator: str) -> DataFrame:

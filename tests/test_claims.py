@@ -40,7 +40,8 @@ def test_tags_and_roles(spark):
     assert one(tags.feature_tags({"a": F.lit(True), "b": F.lit(None).cast("boolean"), "c": F.lit(True)}, 1)) == ["a"]
     assert one(tags.layered(F.array(F.lit(2.0), F.lit(4.0), F.lit(12.0)))) and not one(tags.layered(F.array(F.lit(2.0), F.lit(12.0))))
     assert one(tags.context_text(F.lit("Btn Delete"), F.lit(""), F.lit(None).cast("string"))) == "btn delete"
-    assert one(tags.region_score(F.lit(0.2), F.lit(4), F.lit(30), F.lit(0), F.lit(0))) == 5
+    score = lambda *v: one(tags.region_score(*map(F.lit, v)))
+    assert score(2, 0.3, 3, 600, 2, 3) == 7 and score(2, 0.08, 2, 599, 1, 2) == 2 and score(9, 0.07, 1, 0, 0, 0) == 0 and score(1, 0.9, 9, 900, 9, 9) == 0
 
 
 def test_ancestors(spark):
