@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import color_groups, components, diffs, element_usage, feature_rules, lookup, manifests, merges, nesting, page_facts, pairing, roles, tags
+from .operators import color_groups, components, diffs, element_usage, feature_rules, lookup, manifests, merges, nesting, page_facts, pairing, roles, tags, token_refs
 from .plans import colors
 from .sources import discovery, stylesheets
 
@@ -390,9 +390,18 @@ def palette_facts(spark, d):
     return found.select("site", "action_families", F.round("dominant_share", 6).alias("dominant_share"), "decorative", "stable", F.round("neutral", 6).alias("neutral"))
 
 
+def element_token_refs(spark, d):
+    e, k = _input(spark, d, "spaced"), F.col("k")
+    tokens = e.where("k < 12").select("site", F.concat(F.when(k % 3 == 0, "spacing.").when(k % 3 == 1, "radius.").otherwise("typography.font-size."), k.cast("string")).alias("ref"), F.concat((k % 4 * 4 + 4).cast("string"), F.lit("px")).alias("value"))
+    pick = lambda m: F.concat((k % m * 4 + 4).cast("string"), F.lit("px"))
+    styles = F.create_map(F.lit("gap"), pick(5), F.lit("borderRadius"), F.concat(pick(3), F.lit(" 0px")), F.lit("width"), pick(4), F.lit("fontSize"), F.concat(((k % 4 + 1) / 4).cast("string"), F.lit("rem")))
+    found = token_refs.style_token_refs(e.select("site", k.alias("id"), styles.alias("styles")), tokens, ["site"])
+    return found.select("site", "id", F.array_join("refs", ",").alias("refs"))
+
+
 QUERIES = {f.__name__: f for f in (
     stylesheet_declarations, stylesheet_states, stylesheet_breakpoints, stylesheet_motion, variable_colors, page_stylesheets, suppressed_sections, overflow_sources, crop_of_rect, detected_components, status_roots,
-    auth_walls, page_health, region_scores, site_feature_tags, palette_facts, corner_texts, page_keys, moved_rects, capture_merges, state_metrics, observation_identity, owner_tokens, color_tokens, general_colors, manifest_differences, usage_of_elements, color_name_groups, page_frontier, evidence_index, claim_scopes, dangling_evidence, token_evidence, section_matches, component_matches, match_summaries, layout_property_changes, responsive_pairs, interaction_pairs)}
+    element_token_refs, auth_walls, page_health, region_scores, site_feature_tags, palette_facts, corner_texts, page_keys, moved_rects, capture_merges, state_metrics, observation_identity, owner_tokens, color_tokens, general_colors, manifest_differences, usage_of_elements, color_name_groups, page_frontier, evidence_index, claim_scopes, dangling_evidence, token_evidence, section_matches, component_matches, match_summaries, layout_property_changes, responsive_pairs, interaction_pairs)}
 
 
 
@@ -680,4 +689,9 @@ x AS (SELECT site, count(*) AS decorative, count(*) FILTER (coalesce(uses, 0) >=
 n AS (SELECT site, coalesce(sum(n) FILTER (c < 24), 0) / sum(n) AS neutral FROM h WHERE n > 0 AND category IN ('bgColor', 'bgArea', 'textColor') GROUP BY site)
 SELECT s.site, coalesce(f, 0) AS action_families, round(CAST(coalesce(share, 1) AS DOUBLE), 6) AS dominant_share, coalesce(decorative, 0) AS decorative, coalesce(stable, 0) AS stable, round(CAST(coalesce(neutral, 0) AS DOUBLE), 6) AS neutral
 FROM (SELECT DISTINCT site FROM tones) s LEFT JOIN a USING (site) LEFT JOIN x USING (site) LEFT JOIN n USING (site)""",
+    "element_token_refs": _with("spaced") + """,
+t AS (SELECT site, CASE k % 3 WHEN 0 THEN 'spacing.' WHEN 1 THEN 'radius.' ELSE 'typography.font-size.' END || k AS ref, k % 3 AS kind, k % 4 * 4 + 4 AS px FROM spaced WHERE k < 12),
+u AS (SELECT site, k AS id, unnest([0, 1, 2]) AS kind, unnest([k % 5 * 4 + 4, k % 3 * 4 + 4, k % 4 * 4 + 4]) AS px FROM spaced),
+f AS (SELECT DISTINCT site, id, ref FROM u JOIN t USING (site, kind, px))
+SELECT s.site, s.k AS id, coalesce(refs, '') AS refs FROM spaced s LEFT JOIN (SELECT site, id, string_agg(ref, ',' ORDER BY ref) AS refs FROM f GROUP BY ALL) g ON g.site = s.site AND g.id = s.k""",
 }
