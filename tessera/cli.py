@@ -8,11 +8,11 @@ from __future__ import annotations
 import argparse
 import sys
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .operators.diffs import scale_diff
-from .plans import analysis, exports
+from .plans import analysis, claims, exports
 from .session import ship
 from .sources import snapshots
 
@@ -48,12 +48,17 @@ def run(spark: SparkSession, args: list[str]) -> int:
             names = list(exports.FORMATS) if given.formats == "all" else given.formats.split(",")
             if set(names) - set(exports.FORMATS):
                 return USAGE
-            tables = _tokens(spark, given.snapshots)
+            captures = snapshots.read_snapshots(spark, given.snapshots)
+            tables = analysis.analyse(captures)
             if tables["usage"].isEmpty():
                 return EMPTY
             for name, df in tables.items():
                 df.write.mode("overwrite").parquet(f"{given.out}/{name}")
-            tokens = spark.read.parquet(f"{given.out}/tokens").select("analysisId", "group", "ord", "value")
+            tokens, named = (spark.read.parquet(f"{given.out}/{t}") for t in ("tokens", "colors"))
+            for name, df in claims.claims_of(captures, tokens, named).items():
+                df.write.mode("overwrite").parquet(f"{given.out}/{name}")
+            shades = named.select("analysisId", F.lit("colors").alias("group"), F.row_number().over(Window.partitionBy("analysisId").orderBy("name")).alias("ord"), "name", "value")
+            tokens = tokens.select("analysisId", "group", "ord", F.lit(None).cast("string").alias("name"), "value").unionByName(shades)
             for name, df in exports.export(tokens, ["analysisId"], ",".join(names)).items():
                 df.write.mode("overwrite").parquet(f"{given.out}/export-{name}")
         else:

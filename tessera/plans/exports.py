@@ -10,9 +10,15 @@ PROPERTY = {"colors": "color", "fontSizes": "font-size", "fontWeights": "font-we
 DTCG_TYPES = {"colors": "color", "fontSizes": "dimension", "spacing": "dimension", "radii": "dimension", "fontFamilies": "fontFamily", "fontWeights": "fontWeight", "transitions": "duration", "shadows": "shadow"}
 
 
-def property_name(group: Column, ord: Column) -> Column:
+def property_name(group: Column, label: Column) -> Column:
     names = F.create_map(*(F.lit(x) for kv in PROPERTY.items() for x in kv))
-    return F.concat(F.coalesce(F.element_at(names, group), group), F.lit("-"), ord.cast("string"))
+    return F.concat(F.coalesce(F.element_at(names, group), group), F.lit("-"), label.cast("string"))
+
+
+def _label(tokens: DataFrame) -> Column:
+    """A token's name where it has one, as colours do, else its place."""
+    place = F.col("ord").cast("string")
+    return F.coalesce("name", place) if "name" in tokens.columns else place
 
 
 def _joined(tokens: DataFrame, on: list[str], line: Column, before: str, after: str) -> DataFrame:
@@ -22,29 +28,29 @@ def _joined(tokens: DataFrame, on: list[str], line: Column, before: str, after:
 
 
 def css_variables(tokens: DataFrame, on: list[str]) -> DataFrame:
-    """on, text: a :root rule. tokens: on, group, ord, value."""
-    return _joined(tokens, on, F.concat(F.lit("  --"), property_name(F.col("group"), F.col("ord")), F.lit(": "), F.col("value"), F.lit(";")), ":root {\n", "\n}\n")
+    """on, text: a :root rule. tokens: on, group, ord, value, and name for what is named."""
+    return _joined(tokens, on, F.concat(F.lit("  --"), property_name(F.col("group"), _label(tokens)), F.lit(": "), F.col("value"), F.lit(";")), ":root {\n", "\n}\n")
 
 
 def scss(tokens: DataFrame, on: list[str]) -> DataFrame:
-    return _joined(tokens, on, F.concat(F.lit("$"), property_name(F.col("group"), F.col("ord")), F.lit(": "), F.col("value"), F.lit(";")), "", "\n")
+    return _joined(tokens, on, F.concat(F.lit("$"), property_name(F.col("group"), _label(tokens)), F.lit(": "), F.col("value"), F.lit(";")), "", "\n")
 
 
 def tailwind(tokens: DataFrame, on: list[str]) -> DataFrame:
-    return _joined(tokens, on, F.concat(F.lit("  --"), property_name(F.col("group"), F.col("ord")), F.lit(": "), F.col("value"), F.lit(";")), '@import "tailwindcss";\n\n@theme {\n', "\n}\n")
+    return _joined(tokens, on, F.concat(F.lit("  --"), property_name(F.col("group"), _label(tokens)), F.lit(": "), F.col("value"), F.lit(";")), '@import "tailwindcss";\n\n@theme {\n', "\n}\n")
 
 
 def dtcg(tokens: DataFrame, on: list[str]) -> DataFrame:
     """on, text: JSON of groups of {name: {$type, $value}}."""
     types = F.create_map(*(F.lit(x) for kv in DTCG_TYPES.items() for x in kv))
     leaf = F.struct(F.coalesce(F.element_at(types, F.col("group")), F.lit("string")).alias("$type"), F.col("value").alias("$value"))
-    groups = tokens.groupBy(*on, "group").agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.struct(F.col("ord").cast("string").alias("k"), leaf.alias("v")).alias("e")))), lambda x: x["e"])).alias("leaves"))
+    groups = tokens.groupBy(*on, "group").agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.struct(_label(tokens).alias("k"), leaf.alias("v")).alias("e")))), lambda x: x["e"])).alias("leaves"))
     return groups.groupBy(*on).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("group", "leaves")), lambda a, b: F.when(a["group"] < b["group"], -1).when(a["group"] > b["group"], 1).otherwise(0)))).alias("text"))
 
 
 def markdown(tokens: DataFrame, on: list[str]) -> DataFrame:
     """on, text: one list for each group."""
-    line = F.concat(F.lit("- "), property_name(F.col("group"), F.col("ord")), F.lit(": `"), F.col("value"), F.lit("`"))
+    line = F.concat(F.lit("- "), property_name(F.col("group"), _label(tokens)), F.lit(": `"), F.col("value"), F.lit("`"))
     return _joined(tokens, on, F.concat(F.when(F.col("ord") == 1, F.concat(F.lit("\n## "), F.col("group"), F.lit("\n\n"))).otherwise(""), line), "# Design tokens\n", "\n")
 
 

@@ -110,3 +110,28 @@ def test_uncertainties(spark):
     for r in cr.uncertainties(a, t["pages"], t["sections"], t["interactions"], ON).orderBy("site", "place").collect():
         got.setdefault(r.site, []).append(r.topic)
     assert got == {1: ["capture-coverage", "capture-health", "responsive-presence", "overflow"], 2: ["page-coverage", "asset-coverage", "cross-page", "interaction", "responsive-identity", "sections"]}
+
+
+def test_snapshots_to_claims(spark, tmp_path):
+    import json
+
+    from tessera import cli
+
+    def capture(url, viewport):
+        section = lambda k, role, i, paint: {"key": k, "role": role, "layoutMode": "flow", "order": i, "rect": {"x": 0.0, "y": 0.1 * i, "width": 1.0, "height": 0.1}, "styles": {"backgroundColor": paint, "paddingTop": "8px"}}
+        return {
+            "analysisId": "a", "url": url, "viewport": viewport, "viewportWidth": 1440.0, "styles": {"usageCount": {"spacing:8px": 4, "bgColor:rgb(255, 255, 255)": 5, "textColor:rgb(17, 17, 17)": 5}}, "health": {"status": "healthy", "issues": []},
+            "sections": [section("h", "hero", 0, "rgb(255, 255, 255)"), section("c", "content", 1, None)], "components": [{"key": "b", "sectionKey": "h", "type": "button", "role": "cta", "styles": {"borderRadius": "99px"}, "confidence": 0.9}],
+        }
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/x.json").write_text("\n".join(json.dumps(capture(f"https://e.com/{u}", v)) for u in "xy" for v in ("desktop", "mobile")))
+    out = str(tmp_path / "out")
+    assert cli.run(spark, ["extract", str(tmp_path / "in"), "--out", out, "--formats", "css,json"]) == 0
+    got = {r.key: r for r in spark.read.parquet(f"{out}/claims").collect()}
+    assert got["observed-section-sequence"].confidence == "high" and got["observed-section-sequence"].subject["roles"] == "hero -> content" and len(got["observed-section-sequence"].evidence_ids) == 4  # one capture for each URL
+    assert got["visual-color"].token_refs == ["color.background", "spacing.1"] and got["component-button-cta"].subject["shapes"] == "pill"
+    assert spark.read.parquet(f"{out}/assertions").where("predicate = 'ordered-before'").count() >= 2
+    css = spark.read.parquet(f"{out}/export-css").first().text
+    assert "--color-background: #ffffff;" in css and "--spacing-1: 8px;" in css
+    assert json.loads(spark.read.parquet(f"{out}/export-json").first().text)["colors"]["foreground"]["$value"] == "#111111"
