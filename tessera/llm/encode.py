@@ -29,7 +29,8 @@ class Encoder:
         # Its byte-level step maps bytes to characters: printable ones to themselves, the rest in order to those from U+0100.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
-        self.chars = {b: chr(256 + i) for i, b in enumerate(hidden)}
+        self.chars = np.arange(256, dtype=np.uint32)
+        self.chars[hidden] = np.arange(256, 256 + len(hidden))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ids, counts = [], []
@@ -67,7 +68,9 @@ class Encoder:
 
         def encode(which: np.ndarray) -> list:
             model = self.library.model
-            return [[t.id for t in model.tokenize(text[a:b].encode().decode("latin-1").translate(self.chars))] for a, b in zip(start[which].tolist(), end[which].tolist(), strict=True)]
+            shown = self.chars[data].tobytes().decode("utf-32-le")  # a character for each byte
+            byte = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+            return [[t.id for t in model.tokenize(shown[a:b])] for a, b in zip(byte[start[which]].tolist(), byte[end[which]].tolist(), strict=True)]
 
         place = self.memo.find(h, checks, first, encode)[inverse]
         length = self.memo.length[place]

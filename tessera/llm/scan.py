@@ -2,7 +2,7 @@
 
 A batch's code points are classed (letter, number, white space, other) by tables, the boundaries of all tokens follow from the classes of
 neighbours, and each token gets two independent 64-bit hashes. Only tokens that are new to this Python worker are encoded one by one; all
-others copy their ids from the memo, after the second hash has confirmed the hit. The memo is emptied at MEMO_ENTRIES, which bounds its memory.
+others copy their ids from the memo, after the second hash has confirmed the hit. At MEMO_ENTRIES the memo forgets what has not come up again, which bounds its memory.
 """
 
 from __future__ import annotations
@@ -136,12 +136,22 @@ class Memo:
 
     def clear(self) -> None:
         self.keys, self.checks, self.start, self.length = np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.int32), np.zeros(0, np.int32)
-        self.flat = np.zeros(0, self.dtype)
+        self.flat, self.again = np.zeros(0, self.dtype), np.zeros(0, bool)
+
+    def forget(self, more: int) -> None:
+        """Makes room for more entries: those that came up again since the last time stay, unless they are too many themselves."""
+        kept = self.again
+        if int(kept.sum()) > MEMO_ENTRIES // 2 or int(kept.sum()) + more > MEMO_ENTRIES:
+            return self.clear()
+        length = self.length[kept]
+        self.flat = ragged(self.flat, self.start[kept], length)
+        self.keys, self.checks, self.start, self.length = self.keys[kept], self.checks[kept], (np.cumsum(length, dtype=np.int64) - length).astype(np.int32), length
+        self.again = np.zeros(len(self.keys), bool)
 
     def find(self, h: np.ndarray, checks: np.ndarray, first: np.ndarray, encode: Callable[[np.ndarray], list]) -> np.ndarray:
         """Places of the sorted distinct hashes h among the entries; encode(first of the new ones) gives what new ones stand for."""
         if len(self.keys) + len(h) > MEMO_ENTRIES:
-            self.clear()
+            self.forget(len(h))
         at = np.searchsorted(self.keys, h)
         new = np.ones(len(h), bool)
         if len(self.keys):
@@ -149,6 +159,7 @@ class Memo:
             new = self.keys[near] != h
             if (self.checks[near] != checks)[~new].any():
                 raise Clash
+            self.again[near[~new]] = True
         if new.any():
             values = encode(first[new])
             length = np.fromiter(map(len, values), np.int32, len(values))
@@ -158,6 +169,7 @@ class Memo:
             where = at[new]
             self.keys, self.checks = np.insert(self.keys, where, h[new]), np.insert(self.checks, where, checks[new])
             self.start, self.length = np.insert(self.start, where, start), np.insert(self.length, where, length)
+            self.again = np.insert(self.again, where, False)
             at = np.searchsorted(self.keys, h)
         return at
 

@@ -217,3 +217,30 @@ def test_lengths(spark):
 
 def test_vocabularies_stay_outside():
     assert not vocabulary("byte_bpe_50k.json").startswith(os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+
+
+def test_memo_forgets_what_does_not_recur(monkeypatch):
+    monkeypatch.setattr(scan, "MEMO_ENTRIES", 20)
+    memo, asked = scan.Memo(np.uint32), []
+
+    def look(*keys):
+        h = np.array(sorted(keys), np.uint64)
+
+        def encode(which):
+            asked.extend(h[which].tolist())
+            return [[int(h[i]), int(h[i]) + 1] for i in which.tolist()]
+
+        at = memo.find(h, h * 3, np.arange(len(h)), encode)
+        assert [memo.flat[memo.start[p] : memo.start[p] + memo.length[p]].tolist() for p in at.tolist()] == [[k, k + 1] for k in sorted(keys)]
+
+    look(1, 2, 3)
+    look(2, 3, 4)
+    look(*range(10, 24))
+    assert len(memo.keys) == 18
+    look(30, 31, 32)  # 2 and 3 came up again and stay
+    assert sorted(memo.keys.tolist()) == [2, 3, 30, 31, 32]
+    look(2, 3, 1)
+    assert asked.count(2) == asked.count(3) == 1 and asked.count(1) == 2
+    look(*range(40, 70))  # more than fits at once
+    look(2)
+    assert asked.count(2) == 2
