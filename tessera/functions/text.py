@@ -10,6 +10,7 @@ IDENTITY_CHARS = 120
 GENERIC_TITLES = (r"^(?:home|homepage)$", r"^(?:首页|主页)$", r"^(?:log\s*in|sign\s*in)$", r"^403(?:\s+forbidden)?$", r"^access denied$", r"^error(?:\s+\d{3})?$")
 INTERSTITIAL_TITLES = (r"\bjust a moment\b", r"\bchecking your browser\b", r"\bcloudflare\b", r"\bcaptcha\b", r"\bhuman verification\b")
 BLOCKED_HEALTH = ("auth-wall", "captcha", "error-page", "rate-limited", "unexpected-navigation")
+# Notices of new messages before a title, and what parts a title.
 NOTICE = r"^(?:(?:\(|（|\[|【)\s*(?:\d+\s*(?:条)?(?:新)?消息|(?:\d+\s+)?new\s+messages?|未读|unread)\s*(?:\)|）|\]|】)\s*|\(\s*\d+\s*\)\s+(?=\S))+"
 SEPARATOR = r"\s+(?:[-–—|·•])\s+"
 

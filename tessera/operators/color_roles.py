@@ -13,6 +13,7 @@ from ..functions import color
 from ..functions.binding import let
 
 ACTIONS = ("action", "primary-action")
+# Contrast that is aimed at, how near to it is near, and colours to fall back on.
 TARGET_CONTRAST, NEAR_MISS = 4.5, 0.15
 FALLBACKS = ("#1a1a1a", "#000000", "#ffffff")
 # Usage categories that count as interface, and as status.

@@ -25,6 +25,7 @@ PAGE_PATHS = (
     ("pricing", "pricing|plans|billing"), ("workspace", "workspace|editor|studio|console|creator"), ("profile", "profile"),
     ("account", "account|settings|dashboard"), ("product", "product|products|features"), ("content", "article|blog|docs|guide|about|explore|discover"),
 )
+# A fixed value: colours that paint nothing.
 UNPAINTED = r"(?i)^(?:transparent|rgba?\([^)]*(?:,|/)\s*0(?:\.0+)?\s*\))$"
 
 
@@ -141,7 +142,7 @@ def structural_radius(corners: Column) -> Column:
 
 
 def browser_product(agent: Column, path: Column) -> Column:
-    """By the executable's path, then by the user agent."""
+    """By the executable's path, then by the user agent; the patterns and their order are fixed values."""
     role = F.when(path.rlike(r"(?i)(?:^|[\\/])(?:msedge|microsoft edge)(?:[\\/.]|$)"), "edge").when(path.rlike(r"(?i)(?:^|[\\/])(?:chrome-headless-shell|chromium)(?:[\\/.]|$)"), "chromium")
     role = role.when(path.rlike(r"(?i)(?:^|[\\/])(?:chrome|google chrome)(?:[\\/.]|$)"), "chrome").when(agent.rlike(r"(?i)Edg/"), "edge")
     return role.when(agent.rlike(r"(?i)Chromium/") | path.rlike("(?i)chromium"), "chromium").when(agent.rlike(r"(?i)(?:Headless)?Chrome/"), "chrome").otherwise("unknown")
@@ -158,7 +159,7 @@ def positive_length(text: Column) -> Column:
 
 
 def outline_visible(style: Column, width: Column, paint: Column) -> Column:
-    """Whether an outline shows; null where the record does not tell."""
+    """Whether an outline shows; null where the record does not tell. The words of the patterns are fixed values."""
     unset = r"(?i)^(?:none|hidden|initial|unset)$"
     vague = style.isNull() | F.trim(style).rlike(r"(?i)^(?:inherit|revert(?:-layer)?)$") | positive_length(width).isNull() | paint.isNull() | F.trim(paint).rlike(r"(?i)^(?:initial|inherit|unset|revert(?:-layer)?)$")
     nothing = style.isNull() & width.isNull() & paint.isNull()

@@ -292,7 +292,15 @@ def fail_closed(spark, d):
     return gates.fail_closed(o, gate, ["c_custkey"]).select("c_custkey", "category", "status", F.col("changes").cast("long").alias("changes"))
 
 
-QUERIES = {f.__name__: f for f in (route_identity, page_kind_counts, page_link_candidates, page_link_score, representative_pages, diverse_pages, tracking_params_stripped, redact_urls, page_identity, stable_ids, usage_frequency, usage_fallback, accent_votes, vote_normalised_usage, top_scale_values, weighted_median, breakpoint_islands, distribution_distance, color_normalise, color_contrast, hue_families, neutral_coverage, leader_cluster, subpixel_lengths, token_confidence, token_provenance, near_join, named_diff, scale_diff, palette_match, entity_match, adjacent_responsive_diff, comparability_gate, fail_closed, cross_page_patterns, section_sequences, role_runs, term_similarity, integrity_errors, component_variants, benchmark_confusion, array_diff, history_page, css_export, canonical_capture, median_sample, capture_coverage)}
+_ALL = (
+    route_identity, page_kind_counts, page_link_candidates, page_link_score, representative_pages, diverse_pages, tracking_params_stripped,
+    redact_urls, page_identity, stable_ids, usage_frequency, usage_fallback, accent_votes, vote_normalised_usage, top_scale_values, weighted_median,
+    breakpoint_islands, distribution_distance, color_normalise, color_contrast, hue_families, neutral_coverage, leader_cluster, subpixel_lengths,
+    token_confidence, token_provenance, near_join, named_diff, scale_diff, palette_match, entity_match, adjacent_responsive_diff, comparability_gate,
+    fail_closed, cross_page_patterns, section_sequences, role_runs, term_similarity, integrity_errors, component_variants, benchmark_confusion,
+    array_diff, history_page, css_export, canonical_capture, median_sample, capture_coverage,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 
 _LINKS_SQL = r"""
 bare AS (SELECT page_id, url, regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>', '', 'g') AS h FROM pages),
