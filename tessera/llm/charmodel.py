@@ -20,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, Stages, chunks, tidy, utf8
+from .common import Stages, chunks, tidy, utf8
 from .shingles import U, mix
 
 ORDER, BITS = 5, 12
 SYMBOLS = 1 << BITS
+#: Bytes of text that are counted or scored at a time: a dozen arrays of 8 bytes a code point are made of them.
+WORK_BYTES = 1 << 18
 #: Entries of one broadcast shard (16 bytes each), and distinct n-grams that a counting task holds.
 SHARD_ENTRIES, HELD = 4_000_000, 2_000_000
 #: N-grams that a Python worker remembers (16 bytes each).
@@ -72,7 +74,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in tidy(batches):
         langs, folds = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
         data, off = utf8(batch.column(2))
-        for i, j in chunks(off, CHUNK_BYTES):
+        for i, j in chunks(off, WORK_BYTES):
             code, at = grams(data[off[i] : off[j]], off[i : j + 1] - off[i])
             for lang, fold, own in groups(langs[i:j], folds[i:j], at):
                 k, c = np.unique(code[own], return_counts=True)
@@ -251,7 +253,7 @@ def _score(model, shard: int, shards: int, extra):
         for batch in tidy(batches):
             langs, folds = (np.array(batch.column(k).to_numpy(zero_copy_only=False), np.int64) for k in (0, 1))
             data, off = utf8(batch.column(2))
-            for i, j in chunks(off, CHUNK_BYTES):
+            for i, j in chunks(off, WORK_BYTES):
                 d, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
                 code, at = grams(d, o)
                 bits = np.zeros(len(code))
@@ -272,7 +274,7 @@ def _by_all(model, shard: int, shards: int, langs: list[int]):
         for batch in tidy(batches):
             folds = batch.column(1).to_numpy(zero_copy_only=False)
             data, off = utf8(batch.column(2))
-            for i, j in chunks(off, CHUNK_BYTES):
+            for i, j in chunks(off, WORK_BYTES):
                 code, at = grams(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 seen, inv = np.unique(code, return_inverse=True)
                 fold = np.repeat(folds[i:j], np.diff(at))
