@@ -394,7 +394,7 @@ def element_token_refs(spark, d):
     e, k = _input(spark, d, "spaced"), F.col("k")
     tokens = e.where("k < 12").select("site", F.concat(F.when(k % 3 == 0, "spacing.").when(k % 3 == 1, "radius.").otherwise("typography.font-size."), k.cast("string")).alias("ref"), F.concat((k % 4 * 4 + 4).cast("string"), F.lit("px")).alias("value"))
     pick = lambda m: F.concat((k % m * 4 + 4).cast("string"), F.lit("px"))
-    styles = F.create_map(F.lit("gap"), pick(5), F.lit("borderRadius"), F.concat(pick(3), F.lit(" 0px")), F.lit("width"), pick(4), F.lit("fontSize"), F.concat(((k % 4 + 1) / 4).cast("string"), F.lit("rem")))
+    styles = F.create_map(F.lit("gap"), pick(5), F.lit("borderRadius"), F.concat(pick(3), F.lit(" 0px")), F.lit("width"), pick(4), F.lit("fontSize"), pick(4))
     found = token_refs.style_token_refs(e.select("site", k.alias("id"), styles.alias("styles")), tokens, ["site"])
     return found.select("site", "id", F.array_join("refs", ",").alias("refs"))
 
@@ -543,7 +543,8 @@ cards AS (
   SELECT page, id, 'card' AS type, least(0.94, score) AS confidence, 15 AS place, list_filter([CASE WHEN rounded THEN 'rounded-container' END, CASE WHEN shaded THEN 'shadow-boundary' END, CASE WHEN lined THEN 'border-boundary' END, 'contained-spacing',
     CASE WHEN apart THEN 'distinct-surface' END, CASE WHEN content THEN 'content-region' END, CASE WHEN built THEN 'structured-children' END, CASE WHEN twice THEN 'repeated-sibling-structure' END, CASE WHEN media THEN 'media-or-action' END,
     CASE WHEN large THEN 'large-layout-penalty' END], lambda r: r IS NOT NULL) AS reasons
-  FROM (SELECT *, 0.16 * rounded::INT + 0.22 * (shaded OR lined)::INT + 0.16 + 0.1 * apart::INT + 0.12 * content::INT + 0.08 * built::INT + 0.12 * twice::INT + 0.08 * media::INT - 0.2 * large::INT AS score FROM scored WHERE rounded OR shaded OR lined) WHERE score >= 0.62),
+  FROM (SELECT *, 0.16::DOUBLE * rounded::INT + 0.22::DOUBLE * (shaded OR lined)::INT + 0.16::DOUBLE + 0.1::DOUBLE * apart::INT + 0.12::DOUBLE * content::INT + 0.08::DOUBLE * built::INT + 0.12::DOUBLE * twice::INT + 0.08::DOUBLE * media::INT
+  - 0.2::DOUBLE * large::INT AS score FROM scored WHERE rounded OR shaded OR lined) WHERE score >= 0.62::DOUBLE),
 told AS (
   SELECT page, id, 'button' AS type, 0.98 AS confidence, 0 AS place, ['native-element'] AS reasons FROM known WHERE visible AND (tag = 'button' OR (tag = 'input' AND input_type = 'submit'))
   UNION ALL SELECT page, id, 'button', 0.9, 1, ['aria-role'] FROM known WHERE visible AND role = 'button'
