@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .operators import color_groups, components, diffs, element_usage, feature_rules, lookup, manifests, merges, nesting, page_facts, pairing, roles, tags, token_refs
 from .plans import colors
 from .sources import discovery, stylesheets
+from .staging import cut
 
 TABLES = ("pages", "part", "supplier", "lineitem", "orders", "customer", "events", "embeddings", "documents")
 
@@ -156,7 +157,7 @@ def suppressed_sections(spark, d):
 
 
 def overflow_sources(spark, d):
-    over = nesting.overflowing(_input(spark, d, "layers").withColumnsRenamed({"x0": "left", "x1": "right"}), ["page"])
+    over = cut(nesting.overflowing(_input(spark, d, "layers").withColumnsRenamed({"x0": "left", "x1": "right"}), ["page"]))
     sections = _input(spark, d, "boxes").select("page", F.col("id").alias("section"), F.when(F.col("landmark"), "main").otherwise("content").alias("role"), "pre", "last", "area", F.col("pre").alias("ord"))
     found = nesting.overflow_report(over, nesting.overflow_sources(over, ["page"]), sections, ["page"])
     return found.join(nesting.content_width(over, ["page"]), "page")

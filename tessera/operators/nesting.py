@@ -1,9 +1,9 @@
 """What lies inside what: aggregates over the descendants and ancestors of page elements, suppression of layered sections, sources of overflow, crops.
 
 An element has its number in document order, pre, and the largest number inside it, last; so it contains whatever lies in (pre, last].
-An interval is cut into at most two aligned blocks for each power of two, a number lies in one block of each, and blocks meet by an equi-join after
-both sides have been summed up by block. A page of n elements costs n log n rows, never the pairs of its elements, and a page of any size spreads over
-its blocks.
+An interval is cut into aligned blocks of 1, 8, 64 and so on numbers, at most fourteen of each, a number lies in one block of each, and blocks meet by an equi-join after
+what is looked for has been summed up by block. A page of n elements costs n log n rows, never the pairs of its elements, and a page of any size spreads over
+its blocks. Exploded rows outgrow what Spark reckons with, so these joins deal out both sides (see staging) and send none of them whole.
 """
 
 from __future__ import annotations
@@ -14,55 +14,76 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import half_up
+from ..staging import dealt
 
 #: Shares of a section's area from which a nested one tells the same, fixed values.
 SAME_REGION, LANDMARK_REGION = 0.85, 0.5
 #: Pixels beyond the viewport that count, and how many sources are named.
 LEAST_OVERFLOW, MOST_SOURCES = 4, 3
 CELLS, NEAR = 8, 1e-6
+#: Binary digits between two levels of blocks.
+BITS = 3
 
 
-def _levels(elements: DataFrame) -> int:
-    """Powers of two up to the largest number in use: one row for the driver."""
-    return max(1, int(elements.agg(F.max(F.greatest("pre", "last"))).first()[0] or 1).bit_length())
+def _heights(points: DataFrame) -> tuple[int, int]:
+    """The largest number among points, and how many times it can be cut by BITS: one row for the driver."""
+    most = max(0, int(points.agg(F.max("pre")).first()[0] or 0))
+    return most, -(-max(1, most.bit_length()) // BITS)
 
 
-def _point_blocks(at: Column, levels: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda k: F.struct(k.alias("level"), F.call_function("shiftright", at, k).alias("block")))
+def _block(at: Column, k: int, height: int) -> Column:
+    """The name of the block of level k with this number; blocks of different levels differ."""
+    return at + F.lit(1 << BITS * (height - k)).cast("long")
 
 
-def _interval_blocks(low: Column, high: Column, levels: int) -> Column:
-    """The blocks that make up [low, high]; none where it is empty."""
+def _point_blocks(at: Column, height: int) -> Column:
+    return F.array(*(_block(F.call_function("shiftright", at, F.lit(BITS * k)), k, height) for k in range(height + 1)))
 
-    def of_level(k: Column) -> Column:
-        side = F.call_function("shiftleft", F.lit(1).cast("long"), k)
-        begin, end = F.call_function("shiftright", low + side - 1, k), F.call_function("shiftright", high + 1, k)
-        block = lambda b, taken: F.when(taken & (begin < end), F.struct(k.alias("level"), b.alias("block")))
-        return F.array(block(begin, begin % 2 == 1), block(end - 1, end % 2 == 1))
 
-    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels)), of_level)))
+def _interval_blocks(low: Column, high: Column, most: int, height: int) -> Column:
+    """The blocks that make up what of [low, high] points can lie in; none where it is empty."""
+    top = F.when(high.isNotNull(), F.least(high, F.lit(most).cast("long")))
+    begin = lambda k: F.call_function("shiftright", low + F.lit((1 << BITS * k) - 1).cast("long"), F.lit(BITS * k))
+    end = lambda k: F.call_function("shiftright", top + 1, F.lit(BITS * k))
+    none = F.array().cast("array<bigint>")
+
+    def run(a: Column, b: Column, k: int) -> Column:
+        return F.coalesce(F.when(a < b, F.sequence(_block(a, k, height), _block(b - 1, k, height))), none)
+
+    def of_level(k: int) -> list[Column]:
+        if k == height:
+            return [run(begin(k), end(k), k)]
+        above = begin(k + 1) < end(k + 1)
+        left, right = F.when(above, begin(k + 1) * (1 << BITS)).otherwise(end(k)), F.when(above, end(k + 1) * (1 << BITS)).otherwise(end(k))
+        return [run(begin(k), left, k), run(right, end(k), k)]
+
+    return F.flatten(F.array(*(r for k in range(height + 1) for r in of_level(k))))
 
 
 def _met(wanted: DataFrame, wanted_blocks: Column, given: DataFrame, given_blocks: Column, page: list[str], ident: str, measures: dict[str, tuple[str, Column]]) -> DataFrame:
     fold = {"max": F.max, "min": F.min}
-    blocks = given.select(*page, *(c.alias(n) for n, (_, c) in measures.items()), F.explode(given_blocks).alias("_b")).select("*", "_b.level", "_b.block")
-    blocks = blocks.groupBy(*page, "level", "block").agg(*(fold[how](n).alias(n) for n, (how, _) in measures.items()))
-    looked = wanted.select(*page, ident, F.explode(wanted_blocks).alias("_b")).select(*page, ident, "_b.level", "_b.block")
-    return looked.join(blocks, [*page, "level", "block"]).groupBy(*page, ident).agg(*(fold[how](n).alias(n) for n, (how, _) in measures.items()))
+    blocks = given.select(*page, *(c.alias(n) for n, (_, c) in measures.items()), F.explode(given_blocks).alias("_block"))
+    blocks = blocks.groupBy(*page, "_block").agg(*(fold[how](n).alias(n) for n, (how, _) in measures.items()))
+    looked = wanted.select(*page, ident, F.explode(wanted_blocks).alias("_block"))
+    met = looked.join(dealt(blocks), [*page, "_block"]).groupBy(*page, ident).agg(*(fold[how](n).alias(n) for n, (how, _) in measures.items()))
+    return dealt(met)
 
 
-def over_descendants(wanted: DataFrame, given: DataFrame, page: list[str], ident: str, measures: dict[str, tuple[str, Column]]) -> DataFrame:
-    """page, ident and the measures, (max or min, column of given), over all rows of given inside each row of wanted, itself not counted; rows with nothing inside are left out."""
-    levels = max(_levels(wanted), _levels(given))
+def over_descendants(wanted: DataFrame, given: DataFrame, page: list[str], ident: str, measures: dict[str, tuple[str, Column]], among: DataFrame | None = None) -> DataFrame:
+    """page, ident and the measures, (max or min, column of given), over all rows of given inside each row of wanted, itself not counted; rows with nothing inside are left out.
+
+    among: a table at hand that holds the rows of given, if those take work to find.
+    """
+    most, height = _heights(given if among is None else among)
     pre, last = F.col("pre").cast("long"), F.col("last").cast("long")
-    return _met(wanted, _interval_blocks(pre + 1, last, levels), given, _point_blocks(pre, levels), page, ident, measures)
+    return _met(wanted, _interval_blocks(pre + 1, last, most, height), given, _point_blocks(pre, height), page, ident, measures)
 
 
-def over_ancestors(wanted: DataFrame, given: DataFrame, page: list[str], ident: str, measures: dict[str, tuple[str, Column]], itself: bool = False) -> DataFrame:
-    """The same over all rows of given that contain each row of wanted, with itself if so asked."""
-    levels = max(_levels(wanted), _levels(given))
+def over_ancestors(wanted: DataFrame, given: DataFrame, page: list[str], ident: str, measures: dict[str, tuple[str, Column]], itself: bool = False, among: DataFrame | None = None) -> DataFrame:
+    """The same over all rows of given that contain each row of wanted, with itself if so asked. among: a table at hand that holds the rows of wanted."""
+    most, height = _heights(wanted if among is None else among)
     pre, last = F.col("pre").cast("long"), F.col("last").cast("long")
-    return _met(wanted, _point_blocks(pre, levels), given, _interval_blocks(pre if itself else pre + 1, last, levels), page, ident, measures)
+    return _met(wanted, _point_blocks(pre, height), given, _interval_blocks(pre if itself else pre + 1, last, most, height), page, ident, measures)
 
 
 def suppressed_sections(candidates: DataFrame, page: list[str], ident: str = "id") -> DataFrame:
@@ -73,7 +94,7 @@ def suppressed_sections(candidates: DataFrame, page: list[str], ident: str = "id
     """
     area, mark = F.col("area").cast("double"), F.coalesce(F.col("landmark"), F.lit(False))
     inside = over_descendants(candidates, candidates, page, ident, {"_any": ("max", area), "_mark": ("max", F.when(mark, area))})
-    around = over_ancestors(candidates, candidates, page, ident, {"_outer": ("min", F.when(mark, area))})
+    around = over_ancestors(candidates.where(~mark), candidates.where(mark), page, ident, {"_outer": ("min", area)}, among=candidates)
     told = candidates.join(inside, [*page, ident], "left").join(around, [*page, ident], "left")
     outer = F.when(mark, F.col("_mark") >= area * SAME_REGION).otherwise((F.col("_any") >= area * SAME_REGION) | (F.coalesce(F.col("_mark") >= area * LANDMARK_REGION, F.lit(False))))
     inner = ~mark & (area >= F.col("_outer") * SAME_REGION)
@@ -91,8 +112,9 @@ def overflowing(elements: DataFrame, page: list[str], ident: str = "id") -> Data
     clips = F.coalesce(clips, F.lit(False)) & ~F.col("body") & ~F.col("root")
     layered = F.coalesce(F.col("position") == "fixed", F.lit(False))
     special = elements.withColumns({"_clips": clips, "_fixed": layered}).where("_clips or _fixed")
-    around = over_ancestors(elements, special, page, ident, {"_in_clip": ("max", F.col("_clips")), "_in_fixed": ("max", F.col("_fixed"))})
-    free = elements.where(F.col("visible") & ~layered).join(around, [*page, ident], "left").where(~F.coalesce("_in_clip", F.lit(False)) & ~F.coalesce("_in_fixed", F.lit(False)))
+    free = elements.where(F.col("visible") & ~layered)
+    around = over_ancestors(free, special, page, ident, {"_in_clip": ("max", F.col("_clips")), "_in_fixed": ("max", F.col("_fixed"))}, among=elements)
+    free = free.join(around, [*page, ident], "left").where(~F.coalesce("_in_clip", F.lit(False)) & ~F.coalesce("_in_fixed", F.lit(False)))
     beyond = F.greatest(F.lit(0.0), -F.col("left").cast("double")) + F.greatest(F.lit(0.0), (F.col("right") - F.col("viewport")).cast("double"))
     return free.select(*elements.columns, beyond.alias("overflow_px")).where(F.col("overflow_px") > LEAST_OVERFLOW)
 

@@ -1,4 +1,4 @@
-"""Cutting plans: a result that several later steps read is written to the checkpoint folder, so neither it nor its plan is repeated."""
+"""Cutting plans: a result that several later steps read is written to the checkpoint folder, so neither it nor its plan is repeated. Joins of two large sides."""
 
 from __future__ import annotations
 
@@ -17,3 +17,8 @@ def cut(df: DataFrame) -> DataFrame:
         spark.sparkContext.setCheckpointDir(where)
         spark.conf.set("spark.checkpoint.dir", where)
     return df.checkpoint()
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """df as a side of a join whose two sides grow with the input: rows meet by their keys on the executors, so neither side passes through the driver whatever size is reckoned for it."""
+    return df.hint("merge")
