@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from tessera.operators import nesting
 
 ELEMENTS = "page int, id string, pre int, last int, area double, landmark boolean"
@@ -103,3 +105,34 @@ def test_crops_equal_the_first_that_fits(spark):
                 break
     got = nesting.crop_of(spark.createDataFrame(targets, "page int, id int, section string, x double, y double, w double, h double"), spark.createDataFrame(crops, "page int, crop string, ord int, section string, x double, y double, w double, h double"), ["page"])
     assert {(r.page, r.id): r.crop for r in got.collect()} == want and len(want) > 50
+
+
+def sends_no_side_whole(df):
+    return "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def numbered(spark, n):
+    """A few elements, whose joins Spark would make by sending one side to all."""
+    return spark.range(n).selectExpr("1 AS page", "id", "id AS pre", "id + (id & -id) AS last", "CAST(id % 5 AS DOUBLE) AS area", "id % 3 = 0 AS landmark")
+
+
+def test_blocks_are_dealt_out_whatever_the_reckoned_size(spark):
+    some, measures = numbered(spark, 200), {"n": ("max", F.col("pre"))}
+    for met in (nesting.over_descendants(some, some, ["page"], "id", measures), nesting.over_ancestors(some, some, ["page"], "id", measures)):
+        assert sends_no_side_whole(some.join(met, ["page", "id"], "left"))
+
+
+def test_intervals_of_any_bounds_equal_the_quadratic_rule(spark):
+    rng = random.Random(8)
+    rows = [(p, i, rng.choice([0, 1, 7, 8, 63, 64, 65, i]), rng.choice([None, -5, 0, 6, 7, 8, 62, 63, 64, 511, 4000, 2**40])) for p in range(3) for i in range(90)]
+    df = spark.createDataFrame(rows, "page int, id long, pre long, last long")
+    pairs = [(a, d) for a in rows for d in rows if a[0] == d[0] and a[3] is not None and a[2] < d[2] <= a[3]]
+    inside, around = {}, {}
+    for a, d in pairs:
+        inside[a[:2]] = max(inside.get(a[:2], 0), d[1])
+        around[d[:2]] = min(around.get(d[:2], 999), a[1])
+    got = nesting.over_descendants(df, df, ["page"], "id", {"n": ("max", F.col("id"))})
+    assert {(r.page, r.id): r.n for r in got.collect()} == inside and inside
+    got = nesting.over_ancestors(df, df, ["page"], "id", {"n": ("min", F.col("id"))})
+    assert {(r.page, r.id): r.n for r in got.collect()} == around
+    assert nesting.over_ancestors(df.where("false"), df, ["page"], "id", {"n": ("min", F.col("id"))}).count() == 0
