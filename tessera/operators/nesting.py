@@ -155,14 +155,17 @@ def crop_of(targets: DataFrame, crops: DataFrame, page: list[str], ident: str =
     """page, ident, crop: the first crop in order that is of the target's section or holds its rectangle; targets without one are left out.
 
     targets: page, ident, section, x, y, w, h; crops: page, crop, ord, section, x, y, w, h, in shares of the page. A crop lies in the cells of a grid that it covers, a target in that
-    of its corner, so rectangles meet by an equi-join.
+    of its corner, so rectangles meet by an equi-join. Of a page's equal crops only the first can be the answer, and equal targets have the same, so neither meets others more than once.
     """
     cell = lambda v: F.least(F.greatest(F.floor(v * CELLS), F.lit(0)), F.lit(CELLS)).cast("int")
     span = lambda a, n: F.sequence(cell(F.col(a) - NEAR), cell(F.col(a) + F.col(n) + NEAR))
+    first = F.min(F.struct("ord", "crop"))
     named = crops.withColumnsRenamed({"section": "crop_section", "x": "cx", "y": "cy", "w": "cw", "h": "ch"}).where("cw >= 0 and ch >= 0")
-    covered = named.withColumn("gx", F.explode(span("cx", "cw"))).withColumn("gy", F.explode(span("cy", "ch")))
-    placed = targets.withColumns({"gx": cell(F.col("x")), "gy": cell(F.col("y"))})
+    covered = named.groupBy(*page, "cx", "cy", "cw", "ch").agg(first.alias("_c")).withColumn("gx", F.explode(span("cx", "cw"))).withColumn("gy", F.explode(span("cy", "ch")))
+    placed = targets.select(*page, "x", "y", "w", "h").distinct().withColumns({"gx": cell(F.col("x")), "gy": cell(F.col("y"))})
     within = lambda a, n, b, m: (F.col(a) >= F.col(b) - NEAR) & (F.col(a) + F.col(n) <= F.col(b) + F.col(m) + NEAR)
-    held = placed.join(covered, [*page, "gx", "gy"]).where(within("x", "w", "cx", "cw") & within("y", "h", "cy", "ch"))
-    own = targets.join(named, [*(targets[p] == named[p] for p in page), targets["section"] == named["crop_section"]]).select(*(targets[p] for p in page), ident, "crop", "ord")
-    return held.select(*page, ident, "crop", "ord").unionByName(own).groupBy(*page, ident).agg(F.min_by("crop", F.struct("ord", "crop")).alias("crop"))
+    met = placed.join(dealt(covered), [*page, "gx", "gy"]).where(within("x", "w", "cx", "cw") & within("y", "h", "cy", "ch"))
+    held = met.groupBy(*page, "x", "y", "w", "h").agg(F.min("_c").alias("_held"))
+    own = named.groupBy(*page, F.col("crop_section").alias("section")).agg(first.alias("_own"))
+    out = targets.join(dealt(held), [*page, "x", "y", "w", "h"], "left").join(dealt(own), [*page, "section"], "left").withColumn("_c", F.least("_held", "_own"))
+    return out.where("_c is not null").groupBy(*page, ident).agg(F.min("_c").alias("_c")).select(*page, ident, "_c.crop")

@@ -136,3 +136,22 @@ def test_intervals_of_any_bounds_equal_the_quadratic_rule(spark):
     got = nesting.over_ancestors(df, df, ["page"], "id", {"n": ("min", F.col("id"))})
     assert {(r.page, r.id): r.n for r in got.collect()} == around
     assert nesting.over_ancestors(df.where("false"), df, ["page"], "id", {"n": ("min", F.col("id"))}).count() == 0
+
+
+def most_rows(plan):
+    """Of all steps of a plan that has run."""
+    while plan.nodeName() == "AdaptiveSparkPlan" or plan.nodeName().endswith("QueryStage"):
+        plan = plan.executedPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan.plan()
+    rows = plan.metrics().get("numOutputRows")
+    below = [most_rows(plan.children().apply(i)) for i in range(plan.children().size())]
+    return max([rows.get().value() if rows.isDefined() else 0, *below])
+
+
+def test_equal_rectangles_meet_once(spark):
+    """Four shapes of targets and three of crops, each a thousand times: matched one by one the copies would be millions of pairs."""
+    targets = spark.range(4000).selectExpr("1 AS page", "id", "CAST(NULL AS INT) AS section", "id % 4 / 8D AS x", "0D AS y", "0.125D AS w", "0.125D AS h")
+    crops = spark.range(3000).selectExpr("1 AS page", "id AS crop", "id % 7 AS ord", "1 AS section", "id % 3 / 8D AS x", "0D AS y", "0.25D AS w", "0.5D AS h")
+    got = nesting.crop_of(targets, crops, ["page"])
+    want = {0: 0, 1: 0, 2: 7, 3: 14}
+    assert {(r.id % 4, r.crop) for r in got.collect()} == set(want.items()) and got.count() == 4000
+    assert got.collect() and most_rows(got._jdf.queryExecution().executedPlan()) <= 4000
