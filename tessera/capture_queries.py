@@ -185,7 +185,7 @@ def crop_of_rect(spark, d):
 
 def _sections(spark, d):
     frames = [(_input(spark, d, f"sections_{x}"), _input(spark, d, f"held_{x}")) for x in "ab"]
-    return frames, pairing.match_sections(*(pairing.section_signatures(s, c, ["page"]) for s, c in frames), ["page"])
+    return frames, cut(pairing.match_sections(*(pairing.section_signatures(s, c, ["page"]) for s, c in frames), ["page"]))
 
 
 def section_matches(spark, d):

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import css
+from ..staging import cut, dealt
 from . import roles
 
 #: Properties of a matched section that are compared, fixed values.
@@ -34,10 +35,11 @@ def section_signatures(sections: DataFrame, components: DataFrame, page: list[st
 
     sections: page, id, role, layout_mode, parent_id; components: page, section_id, type, element_kind, role.
     """
-    held = components.groupBy(*page, "section_id", component_signature().alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    # Both groupings lie within a section, so components are dealt out once.
+    held = components.select(*page, "section_id", component_signature().alias("kind")).repartition(*page, "section_id").groupBy(*page, "section_id", "kind").agg(F.count(F.lit(1)).alias("n"))
     held = held.groupBy(*page, "section_id").agg(F.array_sort(F.collect_list(F.concat_ws("*", "kind", "n"))).alias("_held"))
     above = sections.select(*page, F.col("id").alias("parent_id"), F.col("role").alias("_above"))
-    out = sections.join(above, [*page, "parent_id"], "left").join(held.withColumnRenamed("section_id", "id"), [*page, "id"], "left")
+    out = sections.join(dealt(above), [*page, "parent_id"], "left").join(dealt(held.withColumnRenamed("section_id", "id")), [*page, "id"], "left")
     parent = F.when(F.col("parent_id").isNull(), F.lit("root")).otherwise(F.coalesce("_above", F.lit("unknown")))
     signature = F.concat_ws("|", _text("role"), _text("layout_mode"), parent, F.array_join(F.coalesce("_held", F.array().cast("array<string>")), ","))
     return out.select(*sections.columns, signature.alias("signature"))
@@ -50,7 +52,7 @@ def _sides(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
 def _counted(rows: DataFrame, key: list[str], prefix: str) -> DataFrame:
     """rows with the numbers of either side's rows that share key."""
     number = lambda s: F.count(F.when(F.col("side") == s, 1)).alias(f"{prefix}_{s}")
-    return rows.join(rows.groupBy(*key).agg(number("a"), number("b")), key)
+    return rows.join(dealt(rows.groupBy(*key).agg(number("a"), number("b"))), key)
 
 
 def _alone(prefix: str) -> Column:
@@ -70,7 +72,8 @@ def match_sections(a: DataFrame, b: DataFrame, page: list[str]) -> DataFrame:
 
     a, b: page, id, role, signature. Sections that share a role with the other side without being alone are ambiguous, the rest unmatched; members of one match share its name.
     """
-    rows = _counted(_sides(a, b, [*page, "id", "role", "signature"]).withColumn("role", _text("role")), [*page, "signature"], "sig")
+    told = cut(_sides(a, b, [*page, "id", "role", "signature"]).withColumns({"role": _text("role"), "signature": F.when(F.col("signature").isNotNull(), _named("signature", F.col("signature")))}))
+    rows = cut(_counted(told, [*page, "signature"], "sig"))
     exact = rows.where(_alone("sig"))
     rest = _counted(rows.where(~_alone("sig")), [*page, "role"], "role")
     status = F.when(_alone("role"), "matched").when(_both("role"), "ambiguous").otherwise("unmatched")
@@ -78,7 +81,7 @@ def match_sections(a: DataFrame, b: DataFrame, page: list[str]) -> DataFrame:
         "status": status, "confidence": F.when(_alone("role"), "medium").otherwise("none"),
         "reason": F.when(_alone("role"), "unique-role").when(_both("role"), "duplicate-semantic-candidates").otherwise("missing-counterpart"),
     }
-    first = exact.select(*page, "side", "id", _named("signature", F.col("signature")).alias("match"), F.lit("matched").alias("status"), F.lit("high").alias("confidence"), F.lit("exact-semantic-signature").alias("reason"))
+    first = exact.select(*page, "side", "id", F.col("signature").alias("match"), F.lit("matched").alias("status"), F.lit("high").alias("confidence"), F.lit("exact-semantic-signature").alias("reason"))
     return first.unionByName(rest.select(*page, "side", "id", _named("role", F.col("role")).alias("match"), *(c.alias(n) for n, c in said.items())))
 
 
@@ -91,14 +94,15 @@ def match_components(a: DataFrame, b: DataFrame, sections: DataFrame, page: list
     columns = [*page, "id", "section_id"]
     kinds = [x.withColumn("signature", component_signature()) for x in (a, b)]
     parents = sections.select(*page, "side", F.col("id").alias("section_id"), F.col("match").alias("parent"), F.col("status").alias("parent_status"))
-    rows = _sides(*kinds, [*columns, "signature"]).join(parents, [*page, "side", "section_id"])
+    rows = _sides(*kinds, [*columns, "signature"]).join(dealt(parents), [*page, "side", "section_id"])
     resolved = F.col("parent_status") == "matched"
-    rows = _counted(rows.withColumn("signature", F.when(resolved, F.col("signature")).otherwise(F.lit(""))), [*page, "parent", "signature"], "n")
+    name = F.unhex(F.md5(F.concat_ws("\n", "parent", F.when(resolved, F.col("signature")).otherwise(F.lit("")))))
+    rows = _counted(rows.select(*page, "side", "id", "parent_status", name.alias("_name")), [*page, "_name"], "n")
     unsettled = (F.col("parent_status") == "ambiguous") & _both("n")
     status = F.when(resolved & _alone("n"), "matched").when((resolved & _both("n")) | (~resolved & unsettled), "ambiguous").otherwise("unmatched")
     reason = F.when(resolved & _alone("n"), "exact-semantic-signature").when(resolved & _both("n"), "duplicate-semantic-candidates").when(~resolved & unsettled, "parent-section-unresolved").otherwise("missing-counterpart")
     confidence = F.when(F.col("status") == "matched", "high").otherwise("none")
-    out = rows.select(*page, "side", "id", _named("component", F.col("parent"), F.col("signature")).alias("match"), status.alias("status"), reason.alias("reason"))
+    out = rows.select(*page, "side", "id", F.concat(F.lit("component:"), F.lower(F.hex("_name"))).alias("match"), status.alias("status"), reason.alias("reason"))
     return out.select(*page, "side", "id", "match", "status", confidence.alias("confidence"), "reason")
 
 
@@ -118,7 +122,7 @@ def pairs(matches: DataFrame, page: list[str]) -> DataFrame:
     """page, a_id, b_id, confidence of the matched entities."""
     some = matches.where("status = 'matched'")
     side = lambda s: some.where(F.col("side") == s).select(*page, "match", F.col("id").alias(f"{s}_id"), *(["confidence"] if s == "a" else []))
-    return side("a").join(side("b"), [*page, "match"]).select(*page, "a_id", "b_id", "confidence")
+    return side("a").join(dealt(side("b")), [*page, "match"]).select(*page, "a_id", "b_id", "confidence")
 
 
 def layout_value(name: str, value: Column) -> Column:
@@ -130,8 +134,8 @@ def layout_value(name: str, value: Column) -> Column:
 def layout_changes(paired: DataFrame, a: DataFrame, b: DataFrame, page: list[str]) -> DataFrame:
     """page, a_id, b_id, role, property, before, after for each property of LAYOUT_PROPERTIES that differs between matched sections. a, b: page, id, role and those properties."""
     values = lambda s: [layout_value(p, F.col(f"{s}.{p}")) for p in LAYOUT_PROPERTIES]
-    both = paired.alias("p").join(a.alias("a"), [*(F.col(f"p.{k}") == F.col(f"a.{k}") for k in page), F.col("p.a_id") == F.col("a.id")])
-    both = both.join(b.alias("b"), [*(F.col(f"p.{k}") == F.col(f"b.{k}") for k in page), F.col("p.b_id") == F.col("b.id")])
+    both = paired.alias("p").join(dealt(a.alias("a")), [*(F.col(f"p.{k}") == F.col(f"a.{k}") for k in page), F.col("p.a_id") == F.col("a.id")])
+    both = both.join(dealt(b.alias("b")), [*(F.col(f"p.{k}") == F.col(f"b.{k}") for k in page), F.col("p.b_id") == F.col("b.id")])
     told = F.array(*(F.struct(F.lit(p).alias("property"), x.alias("before"), y.alias("after")) for p, x, y in zip(LAYOUT_PROPERTIES, values("a"), values("b"), strict=True)))
     out = both.select(*(F.col(f"p.{k}").alias(k) for k in page), "a_id", "b_id", F.col("a.role").alias("role"), F.inline(told))
     return out.where(~F.col("before").eqNullSafe(F.col("after")))
@@ -143,8 +147,8 @@ def responsive_values(changes: DataFrame, observations: DataFrame, sections: Dat
     changes: on, id, ord, property, before, after; observations: on, id, section, from_viewport, to_viewport, change_type; sections: on, section, role. The changes of one
     observation are one group, a few properties.
     """
-    known = observations.join(sections.select(*on, "section", F.col("role").alias("_role")), [*on, "section"])
-    each = changes.join(known, [*on, "id"]).where(roles.useful_change(F.col("property"), F.col("before"), F.col("after"), F.col("_role")))
+    known = observations.join(dealt(sections.select(*on, "section", F.col("role").alias("_role"))), [*on, "section"])
+    each = changes.join(dealt(known), [*on, "id"]).where(roles.useful_change(F.col("property"), F.col("before"), F.col("after"), F.col("_role")))
     shown = F.concat(F.col("property"), F.lit(": "), F.coalesce("before", F.lit("—")), F.lit(" → "), F.coalesce("after", F.lit("—")))
     key = [*on, "id", "section", "from_viewport", "to_viewport", "change_type", "_role"]
     told = each.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("ord", shown.alias("text")))).alias("_texts"), F.min(F.col("property").isin(*ORDER_PROPERTIES)).alias("_moved"))
@@ -161,9 +165,9 @@ def pair_responsive(a: DataFrame, b: DataFrame, paired: DataFrame, on: list[str]
     """
     viewports = ["from_viewport", "to_viewport"]
     target = paired.select(*on, F.col("a_id").alias("section"), F.col("b_id").alias("_section"))
-    mapped = a.join(target, [*on, "section"], "left")
+    mapped = a.join(dealt(target), [*on, "section"], "left")
     one = b.groupBy(*on, F.col("section").alias("_section"), *viewports).agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("b_id"), F.min("value").alias("after")).where("_n = 1")
-    met = mapped.join(one, [*on, "_section", *viewports], "left")
+    met = mapped.join(dealt(one), [*on, "_section", *viewports], "left")
     state = F.when(F.col("b_id").isNull(), "unpaired").when(F.col("value") == F.col("after"), "same").otherwise("changed")
     return met.select(*on, F.col("id").alias("a_id"), "b_id", "path", F.col("value").alias("before"), "after", state.alias("state"))
 

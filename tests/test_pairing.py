@@ -156,3 +156,13 @@ def test_interaction_results(spark):
     captures = spark.createDataFrame([(i, i == 4) for i in range(1, 6)], "on int, coverage_differs boolean")
     got = {r.on: (r.status, r.changes, pr.INTERACTION_UNPAIRED in r.limitations) for r in pr.interaction_result(met, captures, ["on"]).collect()}
     assert got == {1: ("unchanged", 0, False), 2: ("changed", 1, True), 3: ("inconclusive", 0, True), 4: ("unchanged", 0, True), 5: ("inconclusive", 0, False)}
+
+
+def test_no_side_is_sent_whole_whatever_its_reckoned_size(spark):
+    """A few rows, whose joins Spark would make by sending one side to all."""
+    matches = spark.range(40).selectExpr("1 AS page", "IF(id % 2 = 0, 'a', 'b') AS side", "id", "CAST(id DIV 2 AS STRING) AS match", "'matched' AS status", "'high' AS confidence")
+    seen = spark.range(40).selectExpr("1 AS page", "id", "id AS section", "'d' AS from_viewport", "'m' AS to_viewport", "'p' AS path", "'v' AS value")
+    paired = pr.pairs(matches, ["page"])
+    met = pr.pair_responsive(seen, seen, paired, ["page"])
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+    assert {(r.a_id, r.b_id) for r in met.where("state = 'same'").collect()} == {(i, i + 1) for i in range(0, 40, 2)}
