@@ -16,13 +16,16 @@ def leader_clusters(colors: DataFrame, group: list[str], threshold: float = colo
     equals), which need not be its leader. colors: group, ord, value, n; rows that are no colours are left out. A group is one palette, folded in the JVM.
     """
     c = colors.withColumn("c", color.channels(F.col("value"))).where("c is not null")
-    # Equal channels join the same leader as the first of them, so only that one is folded.
-    first = c.groupBy(*group, F.struct("c.r", "c.g", "c.b").alias("_rgb")).agg(F.min_by(F.struct("ord", "c"), "ord").alias("row"))
+    # Equal channels join the same leader as the first of them, so a colour is summed up before it is folded and placed, once for all its rows.
+    best = F.struct(F.col("n"), (-F.col("ord")).alias("ord"))
+    first = c.groupBy(*group, F.struct("c.r", "c.g", "c.b").alias("_rgb")).agg(
+        F.min_by(F.struct("ord", "c"), "ord").alias("row"), F.max(best).alias("_best"), F.max_by("value", best).alias("value"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("members")
+    )
     leaders = first.groupBy(*group).agg(F.array_sort(F.collect_list("row")).alias("all"))
     near = lambda a, b: color.distance(a["c"], b["c"]) < threshold
     leaders = leaders.select(*group, F.aggregate("all", F.slice("all", 1, 1), lambda acc, x: F.when(F.exists(acc, lambda lead: near(lead, x)), acc).otherwise(F.array_append(acc, x))).alias("leaders"))
-    placed = c.join(leaders, group).withColumn("leader_ord", F.element_at(F.filter("leaders", lambda lead: near(lead, F.struct("c"))), 1)["ord"])
-    total = placed.groupBy(*group, "leader_ord").agg(F.max_by("value", F.struct(F.col("n"), -F.col("ord"))).alias("value"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("members"))
+    placed = first.join(leaders, group).withColumn("leader_ord", F.element_at(F.filter("leaders", lambda lead: near(lead, F.col("row"))), 1)["ord"])
+    total = placed.groupBy(*group, "leader_ord").agg(F.max_by("value", "_best").alias("value"), F.sum("n").alias("n"), F.sum("members").alias("members"))
     return top(total, group, [F.col("n").desc(), F.col("leader_ord")], most).drop("ord")
 
 

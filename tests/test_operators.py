@@ -245,3 +245,19 @@ def test_store(spark, tmp_path):
 def test_gates(spark):
     r = spark.range(1).select(gates.evidence_eligible(F.lit("degraded"), F.array(F.lit("horizontal-overflow"))).alias("ok"), gates.evidence_eligible(F.lit("degraded"), F.array(F.lit("captcha"))).alias("no"), gates.comparability(F.array(), F.array()).alias("c")).first()
     assert r.ok and not r.no and r.c == "limited"
+
+
+def test_leader_clusters_place_a_colour_once(spark):
+    """Three colours, each a thousand times, meet the leaders as three rows."""
+    t = spark.range(3000).selectExpr("1 AS g", "id AS ord", "concat('rgb(', id % 3 * 90, ', 0, 0)') AS value", "1D AS n")
+    got = clusters.leader_clusters(t, ["g"])
+    assert [(r.leader_ord, r.n, r.members) for r in got.orderBy("leader_ord").collect()] == [(i, 1000.0, 1000) for i in range(3)]
+    got.collect()
+
+    def joined(plan):
+        while plan.nodeName() == "AdaptiveSparkPlan" or plan.nodeName().endswith("QueryStage"):
+            plan = plan.executedPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan.plan()
+        own = [plan.metrics().get("numOutputRows").get().value()] if "Join" in plan.nodeName() else []
+        return own + [n for i in range(plan.children().size()) for n in joined(plan.children().apply(i))]
+
+    assert joined(got._jdf.queryExecution().executedPlan()) == [3]
