@@ -3,7 +3,8 @@
 Elements are rows: page columns, id, parent_id, pre and last (see nesting), tag in lower case, role, input_type, has_href, classes, onclick, tabindex, aria_modal,
 visible, width, height, viewport_width, viewport_height, text_chars, child_tags, main_child (whether it is a section or article right under the main part), background, shadow,
 position, z_index, and border_width, border_style, radius and padding, each an array of the four sides or corners. All detectors are conditions of one row; what they
-find is exploded, moved to the element that it is seen on, and merged by element in one aggregation.
+find is exploded, moved to the element that it is seen on, and merged by element in one aggregation. Elements are wide and stay where they are read: joins move only what is found,
+inputs, and a few columns of those that may be cards.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..staging import cut
+from ..staging import cut, dealt
 from . import nesting
 
 # Kinds, confidences, reasons and bounds of the detectors.
@@ -98,60 +99,72 @@ def structural_signature() -> Column:
     return F.concat_ws("|", "tag", F.array_join(names, "."), F.array_join(F.slice("child_tags", 1, 5), ","))
 
 
-def _repeated(elements: DataFrame, counted: DataFrame, page: list[str], signature: Column, name: str) -> DataFrame:
-    """elements with name: whether two rows or more of counted share the parent and the signature. One aggregation by parent and signature."""
+def _repeated(some: DataFrame, counted: DataFrame, page: list[str]) -> DataFrame:
+    """some with _repeated: whether two rows or more of counted share the parent and _signature. One aggregation by parent and signature."""
     key = [*page, "parent_id", "_signature"]
-    twice = counted.withColumn("_signature", signature).groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where("_n >= 2").withColumn(name, F.lit(True)).drop("_n")
-    out = elements.withColumn("_signature", signature).join(twice, key, "left").drop("_signature")
-    return out.withColumn(name, F.coalesce(name, F.lit(False)))
+    twice = counted.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where("_n >= 2").withColumn("_repeated", F.lit(True)).drop("_n")
+    return some.join(dealt(twice), key, "left").withColumn("_repeated", F.coalesce("_repeated", F.lit(False)))
 
 
-def _with_surroundings(elements: DataFrame, page: list[str]) -> DataFrame:
-    """elements with the parent's background and whether they hold media or something to act on."""
+def _card_rows(elements: DataFrame, page: list[str], bounds: tuple[Column, Column, Column], painted: Column, signature: Column) -> DataFrame:
+    """What counts of elements that may be cards, so that joins move a few narrow columns of these alone. bounds: rounded, shadowed, bordered."""
+    large = (_C("width") >= _C("viewport_width") * 0.9) & (_C("height") >= _C("viewport_height") * 0.5)
+    told = {**dict(zip(("_rounded", "_shadowed", "_bordered"), bounds, strict=True)), "_content": _C("text_chars") >= 12, "_built": F.size("child_tags") >= 2, "_large": large}
+    return elements.select(*page, "id", "parent_id", "pre", "last", F.when(painted, _C("background")).alias("_paint"), signature.alias("_signature"), *(_yes(c).alias(n) for n, c in told.items()))
+
+
+def _with_surroundings(some: DataFrame, elements: DataFrame, page: list[str]) -> DataFrame:
+    """some, rows of _card_rows, with _distinct, whether they are painted unlike the parent, and _acts, whether they hold media or something to act on."""
     parents = elements.select(*page, _C("id").alias("parent_id"), _C("background").alias("_behind"))
     acts = _C("tag").isin(*MEDIA_OR_ACTION) | ((_C("tag") == "a") & _yes(_C("has_href"))) | _yes(_C("role") == "button")
-    inside = nesting.over_descendants(elements, elements.where(acts), page, "id", {"_acts": ("max", F.lit(True))})
-    return elements.join(parents, [*page, "parent_id"], "left").join(inside, [*page, "id"], "left").withColumn("_acts", F.coalesce("_acts", F.lit(False)))
+    inside = nesting.over_descendants(some, elements.where(acts), page, "id", {"_acts": ("max", F.lit(True))}, among=elements)
+    out = some.join(inside, [*page, "id"], "left").join(dealt(parents), [*page, "parent_id"], "left")
+    return out.withColumns({"_acts": F.coalesce("_acts", F.lit(False)), "_distinct": _yes(_C("_paint") != F.coalesce("_behind", F.lit("")))}).drop("_paint", "_behind")
 
 
-def _card_parts(shadowed: Column, bordered: Column, rounded: Column, distinct: Column, padded: Column, repeated: Column) -> list[tuple[float, Column, Column]]:
-    """(score, condition, reasons), in the order in which they add up."""
+def _card_parts(padded: Column, repeated: Column) -> list[tuple[float, Column, Column]]:
+    """(score, condition, reasons) of rows with surroundings, in the order in which they add up."""
     one = lambda reason: F.array(F.lit(reason))
-    large = (_C("width") >= _C("viewport_width") * 0.9) & (_C("height") >= _C("viewport_height") * 0.5)
-    bounds = F.array_compact(F.array(F.when(shadowed, "shadow-boundary"), F.when(bordered, "border-boundary")))
+    bounds = F.array_compact(F.array(F.when(_C("_shadowed"), "shadow-boundary"), F.when(_C("_bordered"), "border-boundary")))
     return [
-        (0.16, rounded, one("rounded-container")), (0.22, shadowed | bordered, bounds), (0.16, padded, one("contained-spacing")), (0.1, distinct, one("distinct-surface")),
-        (0.12, _C("text_chars") >= 12, one("content-region")), (0.08, F.size("child_tags") >= 2, one("structured-children")), (0.12, repeated, one("repeated-sibling-structure")),
-        (0.08, _C("_acts"), one("media-or-action")), (-0.2, large, one("large-layout-penalty")),
+        (0.16, _C("_rounded"), one("rounded-container")), (0.22, _C("_shadowed") | _C("_bordered"), bounds), (0.16, padded, one("contained-spacing")), (0.1, _C("_distinct"), one("distinct-surface")),
+        (0.12, _C("_content"), one("content-region")), (0.08, _C("_built"), one("structured-children")), (0.12, repeated, one("repeated-sibling-structure")),
+        (0.08, _C("_acts"), one("media-or-action")), (-0.2, _C("_large"), one("large-layout-penalty")),
     ]
 
 
-def _card() -> Column:
-    """struct(type, confidence, reasons) of an element that looks like a card, else null. Needs _behind, _acts and _repeated."""
+def _score(parts: list[tuple[float, Column, Column]]) -> Column:
+    return reduce(lambda total, p: total + F.when(p[1], F.lit(p[0])).otherwise(F.lit(0.0)), parts, F.lit(0.0))
+
+
+def _cards(elements: DataFrame, page: list[str]) -> DataFrame:
+    """page, id, confidence, reasons of the visible elements that look like cards. Only these meet parents, insides and siblings."""
     rounded, shadowed, padded = _largest("radius") > 4, _C("shadow") != "none", _largest("padding") >= 12
     bordered = (_largest("border_width") > 0) & F.exists("border_style", lambda s: s != "none")
-    distinct = ~_clear_surface(_C("background")) & (_C("background") != F.coalesce("_behind", F.lit("")))
-    parts = _card_parts(shadowed, bordered, rounded, distinct, padded, _C("_repeated"))
-    score = reduce(lambda total, p: total + F.when(_yes(p[1]), F.lit(p[0])).otherwise(F.lit(0.0)), parts, F.lit(0.0))
-    reasons = F.flatten(F.array(*(F.when(_yes(c), r).otherwise(F.array().cast("array<string>")) for _, c, r in parts)))
-    fits = ~_C("tag").isin(*NO_CARDS) & (_C("width") >= 120) & (_C("height") >= 72) & ~_wide_section() & padded & (rounded | shadowed | bordered)
-    return F.when(_yes(fits) & (score >= LEAST_CARD), F.struct(F.lit("card").alias("type"), F.least(F.lit(MOST_CARD), score).alias("confidence"), reasons.alias("reasons")))
+    fits = _C("visible") & ~_C("tag").isin(*NO_CARDS) & (_C("width") >= 120) & (_C("height") >= 72) & ~_wide_section() & padded & (rounded | shadowed | bordered)
+    some = _card_rows(elements.where(_yes(fits)), page, (rounded, shadowed, bordered), ~_clear_surface(_C("background")), structural_signature())
+    counted = elements.where("visible and parent_id is not null").select(*page, "parent_id", structural_signature().alias("_signature"))
+    parts = _card_parts(F.lit(True), _C("_repeated"))
+    reasons = F.flatten(F.array(*(F.when(c, r).otherwise(F.array().cast("array<string>")) for _, c, r in parts)))
+    known = _repeated(_with_surroundings(some, elements, page), counted, page).withColumn("_score", _score(parts)).where(_C("_score") >= LEAST_CARD)
+    return known.select(*page, "id", F.least(F.lit(MOST_CARD), "_score").alias("confidence"), reasons.alias("reasons"))
 
 
 def input_boxes(inputs: DataFrame, elements: DataFrame, page: list[str]) -> DataFrame:
     """page, id, box: the nearest of the next ancestors that frames the input visibly and closely, else the input itself. One join for each level of INPUT_BOX_LEVELS, over inputs alone."""
-    up = elements.select(
-        *page, _C("id").alias("_at"), _C("parent_id").alias("_next"), "visible", _C("width").alias("_w"), _C("height").alias("_h"), F.get("border_width", F.lit(0)).alias("_line"),
-        F.get("border_style", F.lit(0)).alias("_style"), F.get("radius", F.lit(0)).alias("_radius"), _C("shadow").alias("_shadow"), _C("background").alias("_paint"),
-    )
+    lined = (F.get("border_width", F.lit(0)) > 0) & ~F.get("border_style", F.lit(0)).isin("none", "hidden")
+    framed = _yes(lined | (F.get("radius", F.lit(0)) > 0) | (_C("shadow") != "none"))
+    up = dealt(elements.select(
+        *page, _C("id").alias("_at"), _C("parent_id").alias("_next"), F.when(_C("visible"), _C("width")).alias("_w"), _C("height").alias("_h"), framed.alias("_framed"),
+        F.when(~framed & ~clear_paint(_C("background")), _C("background")).alias("_paint"),
+    ))
     out = inputs.select(*page, "id", "width", "height", "background", _C("parent_id").alias("_up"), F.lit(None).cast(elements.schema["id"].dataType).alias("box"))
     kept = ["id", "width", "height", "background"]
     for _ in range(INPUT_BOX_LEVELS):
         met = out.join(up.withColumnRenamed("_at", "_up"), [*page, "_up"], "left")
         close = (_C("_w") >= _C("width")) & (_C("_h") >= _C("height")) & (_C("_w") <= F.greatest(_C("width") * 1.8, _C("width") + 160)) & (_C("_h") <= F.greatest(_C("height") * 3, F.lit(72)))
         larger = (_C("_w") > _C("width") + 2) | (_C("_h") > _C("height") + 2)
-        framed = ((_C("_line") > 0) & ~_C("_style").isin("none", "hidden")) | (_C("_radius") > 0) | (_C("_shadow") != "none") | (~clear_paint(_C("_paint")) & (_C("_paint") != _C("background")))
-        box = F.coalesce("box", F.when(_yes(_C("visible") & close & larger & framed), _C("_up")))
+        box = F.coalesce("box", F.when(_yes(close & larger & (_C("_framed") | (_C("_paint") != _C("background")))), _C("_up")))
         out = met.select(*page, *kept, _C("_next").alias("_up"), box.alias("box"))
     return out.select(*page, "id", F.coalesce("box", "id").alias("box"))
 
@@ -161,15 +174,16 @@ def detect_components(elements: DataFrame, page: list[str]) -> DataFrame:
 
     Inputs are told of the box that frames them. Elements without a parent have no siblings that repeat them. An empty table gives an empty result.
     """
-    told = [F.when(_yes(c), F.struct(F.lit(t).alias("type"), F.lit(p).alias("confidence"), F.array(*map(F.lit, r)).alias("reasons"))) for t, p, r, c in _detectors()]
-    known = _repeated(_with_surroundings(elements, page), elements.where("visible and parent_id is not null"), page, structural_signature(), "_repeated")
-    found = known.select(*page, "id", "visible", F.posexplode(F.array(*told, _card())).alias("_place", "_found")).where("_found is not null")
-    inputs = _editable("hidden", "button", "submit", "reset") | _C("role").isin(*EDITABLE_ROLES)
-    boxes = input_boxes(elements.where(_yes(inputs)), elements, page)
-    seen = found.join(boxes, [*page, "id"], "left").withColumn("_on", F.when((_C("_found.type") == "input") & (_C("box") != _C("id")), _C("box")))
-    seen = seen.where(_C("visible") | _C("_on").isNotNull())
-    merged = seen.groupBy(*page, F.coalesce("_on", "id").alias("id"), _C("_found.type").alias("type")).agg(
-        F.max("_found.confidence").alias("confidence"), F.array_sort(F.collect_set(F.struct("_place", "_found.reasons"))).alias("_all")  # one for each detector
+    made = lambda place, t, p, r: F.struct(F.lit(t).alias("type"), p.alias("confidence"), F.lit(place).alias("_place"), r.alias("reasons"))
+    told = [(t, F.when(_yes(c), made(i, t, F.lit(p), F.array(*map(F.lit, r))))) for i, (t, p, r, c) in enumerate(_detectors())]
+    found_by = lambda inputs: F.explode(F.array_compact(F.array(*(f for t, f in told if (t == "input") == inputs)))).alias("_found")
+    plain = elements.where("visible").select(*page, "id", found_by(False))
+    cards = _cards(elements, page).select(*page, "id", made(len(told), "card", _C("confidence"), _C("reasons")).alias("_found"))
+    inputs = elements.where(_yes(_editable("hidden", "button", "submit", "reset") | _C("role").isin(*EDITABLE_ROLES)))
+    boxed = inputs.select(*page, "id", "visible", found_by(True)).join(dealt(input_boxes(inputs, elements, page)), [*page, "id"], "left")
+    boxed = boxed.where(_C("visible") | (_C("box") != _C("id"))).select(*page, F.coalesce("box", "id").alias("id"), "_found")
+    merged = plain.unionByName(boxed).unionByName(cards).groupBy(*page, "id", "_found.type").agg(
+        F.max("_found.confidence").alias("confidence"), F.array_sort(F.collect_set(F.struct("_found._place", "_found.reasons"))).alias("_all")  # one for each detector
     )
     return merged.select(*page, "id", "type", "confidence", F.array_distinct(F.flatten(F.transform("_all", lambda r: r["reasons"]))).alias("reasons"))
 
@@ -207,13 +221,11 @@ def deep_cards(elements: DataFrame, taken: DataFrame, page: list[str]) -> DataFr
     line, rounded, shadowed = F.get("border_width", F.lit(0)), F.get("radius", F.lit(0)) > 4, _C("shadow") != "none"
     bordered = (line > 0) & ~F.get("border_style", F.lit(0)).isin("none", "hidden")
     fits = ~_C("tag").isin(*NO_DEEP_CARDS) & _C("visible") & _C("in_main") & _C("parent_id").isNotNull() & ~_wide_section() & (shadowed | bordered | rounded) & (_largest("padding") >= 8) & (_C("width") >= 120) & (_C("height") >= 64)
-    some = _with_surroundings(elements, page).where(_yes(fits)).join(taken.select(*page, "id").distinct(), [*page, "id"], "left_anti")
-    some = _repeated(some, some, page, F.concat_ws("|", "tag", "background", "radius_text", line.cast("string")), "_repeated")
-    distinct = ~clear_paint(_C("background")) & (_C("background") != F.coalesce("_behind", F.lit("")))
-    parts = _card_parts(shadowed, bordered, rounded, distinct, F.lit(True), F.lit(False))
-    base = reduce(lambda total, p: total + F.when(_yes(p[1]), F.lit(p[0])).otherwise(F.lit(0.0)), parts, F.lit(0.0))
-    score = base + F.when(_C("_repeated"), F.lit(0.12)).otherwise(F.lit(0.0))
-    return some.where(score >= LEAST_CARD).select(*page, "id", F.least(F.lit(MOST_CARD), score).alias("confidence"))
+    rows = _card_rows(elements.where(_yes(fits)), page, (rounded, shadowed, bordered), ~clear_paint(_C("background")), F.concat_ws("|", "tag", "background", "radius_text", line.cast("string")))
+    some = cut(rows.join(dealt(taken.select(*page, "id").distinct()), [*page, "id"], "left_anti"))
+    score = _score(_card_parts(F.lit(True), F.lit(False))) + F.when(_C("_repeated"), F.lit(0.12)).otherwise(F.lit(0.0))
+    known = _repeated(_with_surroundings(some, elements, page), some, page)
+    return known.where(score >= LEAST_CARD).select(*page, "id", F.least(F.lit(MOST_CARD), score).alias("confidence"))
 
 
 def collect_components(elements: DataFrame, page: list[str]) -> DataFrame:

@@ -177,6 +177,41 @@ def test_detectors_equal_plain_rules(spark):
     assert sum(r.type == "card" for r in some) > 3
 
 
+def exchanged(df):
+    """The names of the columns of each exchange of the plan."""
+    out, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        todo += [node.children().apply(i) for i in range(node.children().length())]
+        if "Exchange" in node.nodeName():
+            out.append({node.output().apply(i).name() for i in range(node.output().length())})
+    return out
+
+
+def test_wide_elements_stay_where_they_are_read(spark):
+    table = spark.createDataFrame([tuple(e[n] for n in NAMES) for e in page_of(random.Random(3), 0, 40)], SCHEMA)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for how in (co.detect_components, co.collect_components):
+            moved = exchanged(how(table, PAGE))
+            assert len(moved) > 5
+            assert not set().union(*moved) & {"classes", "child_tags", "text_chars", "viewport_width", "shadow", "border_style", "border_width", "radius", "padding", "main_child"}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_boxes_of_unseen_parts_and_elements_without_a_page(spark):
+    """A hidden box frames nothing but is passed on the way up, and what has no page is still found."""
+    one = next(e for e in page_of(random.Random(4), 0, 9) if e["parent_id"]) | dict(role=None, classes=[], has_href=False, child_tags=[], background="transparent", shadow="none", border_width=[0.0], border_style=["none"], radius=[0.0], padding=[0.0], visible=True)
+    make = lambda i, up, **more: one | dict(id=i, parent_id=up, pre=int(i), last=9, tag="div", input_type=None) | more
+    rows = [
+        make("0", None, width=300.0, height=60.0, shadow="0 1px 2px red"), make("1", "0", width=250.0, height=50.0, shadow="0 1px 2px red", visible=False),
+        make("2", "1", width=200.0, height=40.0, tag="input", input_type="text", visible=False), make("3", None, page=None, tag="textarea"), make("4", None, page=None, tag="textarea", visible=False),
+    ]
+    got = co.detect_components(spark.createDataFrame([tuple(e[n] for n in NAMES) for e in rows], SCHEMA), PAGE).collect()
+    assert {(r.page, r.id, r.type, r.confidence, tuple(r.reasons)) for r in got} == {(0, "0", "input", 0.98, ("native-element",)), (None, "3", "input", 0.98, ("native-element",))}
+
+
 def test_status_roots_equal_plain_rules(spark):
     rows = []
     for page in range(25):
