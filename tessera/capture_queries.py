@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .operators import color_groups, components, diffs, element_usage, feature_rules, lookup, manifests, merges, nesting, page_facts, pairing, roles, tags, token_refs
 from .plans import colors
 from .sources import discovery, stylesheets
-from .staging import cut
+from .staging import cut, dealt
 
 TABLES = ("pages", "part", "supplier", "lineitem", "orders", "customer", "events", "embeddings", "documents")
 
@@ -167,7 +167,7 @@ def detected_components(spark, d):
     e = _input(spark, d, "elements")
     kids = e.where("parent_id is not null").groupBy("page", F.col("parent_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pre", "tag"))), lambda x: x["tag"]).alias("child_tags"))
     none = F.array().cast("array<string>")
-    e = e.join(kids, ["page", "id"], "left").withColumns({
+    e = e.join(dealt(kids), ["page", "id"], "left").withColumns({
         "child_tags": F.coalesce("child_tags", none), "classes": F.array("class"), "border_width": F.array("line"), "border_style": F.array("style"), "radius": F.array("corner"), "padding": F.array("pad"),
     })
     found = components.detect_components(e, ["page"])

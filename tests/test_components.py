@@ -3,6 +3,7 @@
 import random
 import re
 
+from tessera import capture_queries
 from tessera.operators import components as co
 
 SCHEMA = (
@@ -200,6 +201,21 @@ def test_wide_elements_stay_where_they_are_read(spark):
         spark.conf.unset("spark.sql.adaptive.enabled")
 
 
+def test_no_side_is_sent_whole(spark):
+    """Whatever size is reckoned for a side, rows of elements don't pass through the driver."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for how in (capture_queries.detected_components, capture_queries.suppressed_sections):
+            names, todo = [], [how(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan()]
+            while todo:
+                node = todo.pop()
+                names.append(node.nodeName())
+                todo += [node.children().apply(i) for i in range(node.children().length())]
+            assert "Exchange" in names and "BroadcastExchange" not in names
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_boxes_of_unseen_parts_and_elements_without_a_page(spark):
     """A hidden box frames nothing but is passed on the way up, and what has no page is still found."""
     one = next(e for e in page_of(random.Random(4), 0, 9) if e["parent_id"]) | dict(role=None, classes=[], has_href=False, child_tags=[], background="transparent", shadow="none", border_width=[0.0], border_style=["none"], radius=[0.0], padding=[0.0], visible=True)
