@@ -31,44 +31,53 @@ def _heights(points: DataFrame) -> tuple[int, int]:
     return most, -(-max(1, most.bit_length()) // BITS)
 
 
-def _block(at: Column, k: int, height: int) -> Column:
-    """The name of the block of level k with this number; blocks of different levels differ."""
-    return at + F.lit(1 << BITS * (height - k)).cast("long")
+def _shifted(way: str, at: Column, levels: Column) -> Column:
+    return F.call_function(f"shift{way}", at, levels * BITS)
 
 
-def _point_blocks(at: Column, height: int) -> Column:
-    return F.array(*(_block(F.call_function("shiftright", at, F.lit(BITS * k)), k, height) for k in range(height + 1)))
+def _by_level(rows: DataFrame, height: int) -> DataFrame:
+    """rows once for each level of blocks, _k. A plan names a level by this column, so it is as long for any height."""
+    return rows.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(height))))
 
 
-def _interval_blocks(low: Column, high: Column, most: int, height: int) -> Column:
-    """The blocks that make up what of [low, high] points can lie in; none where it is empty."""
-    top = F.when(high.isNotNull(), F.least(high, F.lit(most).cast("long")))
-    begin = lambda k: F.call_function("shiftright", low + F.lit((1 << BITS * k) - 1).cast("long"), F.lit(BITS * k))
-    end = lambda k: F.call_function("shiftright", top + 1, F.lit(BITS * k))
-    none = F.array().cast("array<bigint>")
+def _block(at: Column, height: int) -> Column:
+    """The name of the block of level _k with this number; blocks of different levels differ."""
+    return at + _shifted("left", F.lit(1).cast("long"), F.lit(height) - F.col("_k"))
 
-    def run(a: Column, b: Column, k: int) -> Column:
-        return F.coalesce(F.when(a < b, F.sequence(_block(a, k, height), _block(b - 1, k, height))), none)
 
-    def of_level(k: int) -> list[Column]:
-        if k == height:
-            return [run(begin(k), end(k), k)]
-        above = begin(k + 1) < end(k + 1)
-        left, right = F.when(above, begin(k + 1) * (1 << BITS)).otherwise(end(k)), F.when(above, end(k + 1) * (1 << BITS)).otherwise(end(k))
-        return [run(begin(k), left, k), run(right, end(k), k)]
+def _point_blocks(rows: DataFrame, height: int) -> DataFrame:
+    """rows, without the number _at, once for each block that it lies in, _block."""
+    return _by_level(rows, height).withColumn("_block", _block(_shifted("right", F.col("_at"), F.col("_k")), height)).drop("_at", "_k")
 
-    return F.flatten(F.array(*(r for k in range(height + 1) for r in of_level(k))))
 
+def _interval_blocks(rows: DataFrame, most: int, height: int) -> DataFrame:
+    """rows, without the bounds _low and _high, once for each of the blocks, _block, that make up what of [_low, _high] points can lie in; none where it is empty."""
+    top = F.when(F.col("_high").isNotNull(), F.least("_high", F.lit(most).cast("long")))
+    begin = lambda k: _shifted("right", F.col("_low") + _shifted("left", F.lit(1).cast("long"), k) - 1, k)
+    end = lambda k: _shifted("right", F.col("_high") + 1, k)
+    above = F.least(F.col("_k") + 1, F.lit(height))
+    each = _by_level(rows.withColumn("_high", top).where("_low <= _high"), height)
+    # blocks of level _k in [_from, _end), less those in [_up, _to), which higher levels hold
+    each = each.withColumns({"_from": begin(F.col("_k")), "_up": begin(above), "_to": end(above), "_end": end(F.col("_k"))})
+    inner = (F.col("_k") < height) & (F.col("_up") < F.col("_to"))
+    each = each.withColumns({c: F.when(inner, _shifted("left", F.col(c), F.lit(1))).otherwise(F.col("_end")) for c in ("_up", "_to")})
+    left = F.col("_up") - F.col("_from")
+    each = each.withColumn("_n", F.greatest(left, F.lit(0)) + F.col("_end") - F.col("_to")).where("_n > 0").withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    at = F.when(F.col("_i") < left, F.col("_from")).otherwise(F.col("_to") - left) + F.col("_i")
+    return each.withColumn("_block", _block(at, height)).drop("_low", "_high", "_k", "_from", "_up", "_to", "_end", "_n", "_i")
 
-def _met(wanted: DataFrame, wanted_blocks: Column, given: DataFrame, given_blocks: Column, page: list[str], ident: str, measures: dict[str, tuple[str, Column]]) -> DataFrame:
+
+def _met(looked: DataFrame, blocks: DataFrame, page: list[str], ident: str, measures: dict[str, tuple[str, Column]]) -> DataFrame:
     fold = {"max": F.max, "min": F.min}
-    blocks = given.select(*page, *(c.alias(n) for n, (_, c) in measures.items()), F.explode(given_blocks).alias("_block"))
     blocks = blocks.groupBy(*page, "_block").agg(*(fold[how](n).alias(n) for n, (how, _) in measures.items()))
-    looked = wanted.select(*page, ident, F.explode(wanted_blocks).alias("_block"))
     met = looked.join(dealt(blocks), [*page, "_block"]).groupBy(*page, ident).agg(*(fold[how](n).alias(n) for n, (how, _) in measures.items()))
     return dealt(met)
 
 
+def _measured(measures: dict[str, tuple[str, Column]]) -> list[Column]:
+    return [c.alias(n) for n, (_, c) in measures.items()]
+
+
 def over_descendants(wanted: DataFrame, given: DataFrame, page: list[str], ident: str, measures: dict[str, tuple[str, Column]], among: DataFrame | None = None) -> DataFrame:
     """page, ident and the measures, (max or min, column of given), over all rows of given inside each row of wanted, itself not counted; rows with nothing inside are left out.
 
@@ -76,14 +85,16 @@ def over_descendants(wanted: DataFrame, given: DataFrame, page: list[str], ident
     """
     most, height = _heights(given if among is None else among)
     pre, last = F.col("pre").cast("long"), F.col("last").cast("long")
-    return _met(wanted, _interval_blocks(pre + 1, last, most, height), given, _point_blocks(pre, height), page, ident, measures)
+    looked = _interval_blocks(wanted.select(*page, ident, (pre + 1).alias("_low"), last.alias("_high")), most, height)
+    return _met(looked, _point_blocks(given.select(*page, *_measured(measures), pre.alias("_at")), height), page, ident, measures)
 
 
 def over_ancestors(wanted: DataFrame, given: DataFrame, page: list[str], ident: str, measures: dict[str, tuple[str, Column]], itself: bool = False, among: DataFrame | None = None) -> DataFrame:
     """The same over all rows of given that contain each row of wanted, with itself if so asked. among: a table at hand that holds the rows of wanted."""
     most, height = _heights(wanted if among is None else among)
     pre, last = F.col("pre").cast("long"), F.col("last").cast("long")
-    return _met(wanted, _point_blocks(pre, height), given, _interval_blocks(pre if itself else pre + 1, last, most, height), page, ident, measures)
+    looked = _point_blocks(wanted.select(*page, ident, pre.alias("_at")), height)
+    return _met(looked, _interval_blocks(given.select(*page, *_measured(measures), (pre if itself else pre + 1).alias("_low"), last.alias("_high")), most, height), page, ident, measures)
 
 
 def suppressed_sections(candidates: DataFrame, page: list[str], ident: str = "id") -> DataFrame:

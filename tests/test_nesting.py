@@ -122,6 +122,18 @@ def test_blocks_are_dealt_out_whatever_the_reckoned_size(spark):
         assert sends_no_side_whole(some.join(met, ["page", "id"], "left"))
 
 
+def test_plans_are_as_long_for_any_numbers(spark):
+    """The driver plans and compiles the same steps however far a page's numbers go."""
+    measures, lengths, found = {"n": ("max", F.col("id"))}, [], []
+    for digits in (6, 46):
+        some = numbered(spark, 50).withColumns({c: F.call_function("shiftleft", F.col(c), F.lit(digits - 5)) for c in ("pre", "last")})
+        for met in (nesting.over_descendants(some, some, ["page"], "id", measures), nesting.over_ancestors(some, some, ["page"], "id", measures)):
+            lengths.append(len(met._jdf.queryExecution().optimizedPlan().toString()))
+            found.append({(r.id, r.n) for r in met.collect()})
+    assert max(lengths[2:]) < 1.2 * max(lengths[:2]) < 6000
+    assert found[:2] == found[2:] and all(found)
+
+
 def test_intervals_of_any_bounds_equal_the_quadratic_rule(spark):
     rng = random.Random(8)
     rows = [(p, i, rng.choice([0, 1, 7, 8, 63, 64, 65, i]), rng.choice([None, -5, 0, 6, 7, 8, 62, 63, 64, 511, 4000, 2**40])) for p in range(3) for i in range(90)]
